@@ -8,6 +8,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -103,3 +105,54 @@ def connected_components(edges: DataFrame) -> DataFrame:
         )
     nodes = edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
     return nodes.union(edges.select("v", F.col("v")).distinct())
+
+
+def sound_vector(vector: Column) -> Column:
+    """Is it an array without null, NaN or infinite components, and not all zero?"""
+    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.coalesce(vector.isNotNull() & fine & F.exists(vector, lambda x: x != 0), F.lit(False))
+
+
+def common_length(df: DataFrame, vector: str) -> int:
+    """The length that most vectors have (the larger of equally frequent ones), 0 for none."""
+    n = F.size(vector)
+    row = df.groupBy(n.alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+    return row["n"] if row else 0
+
+
+def matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+    """A list column without nulls as a float64 matrix."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+
+
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1, first by their largest component so that no square overflows."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def least_labels(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """For each of n nodes the smallest node that the pairs (p, q) connect it with."""
+    label = np.arange(n)
+    while True:
+        least, before = np.minimum(label[p], label[q]), label.copy()
+        np.minimum.at(label, p, least)
+        np.minimum.at(label, q, least)
+        label = label[label]
+        if (label == before).all():
+            return label
+
+
+def nearest_means(x: np.ndarray, k: int, rounds: int = 10, seed: int = 7) -> np.ndarray:
+    """Centres of Lloyd's algorithm over a bounded sample; empty clusters restart at random rows."""
+    rng = np.random.default_rng(seed)
+    centres = x[rng.choice(len(x), k, replace=len(x) < k)].copy()
+    for _ in range(rounds):
+        own = np.argmin((centres**2).sum(1) - 2 * x @ centres.T, axis=1)
+        size = np.bincount(own, minlength=k)
+        total = np.zeros_like(centres)
+        np.add.at(total, own, x)
+        centres = np.where(size[:, None] > 0, total / np.maximum(size, 1)[:, None], x[rng.integers(0, len(x), k)])
+    return centres

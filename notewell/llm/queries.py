@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, sharding, warc
+from . import bpe, chat, mixing, sharding, simhash, warc
 from .common import prepare, scratch, table
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return simhash.groups(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return mixing.mix(table(spark, sf_dir, "documents")).select(
@@ -35,11 +41,24 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def vocabulary_path() -> str:
+    """The public vocabulary that the registered query encodes with; it is installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return bpe.encode(table(spark, sf_dir, "documents"), vocabulary_path()).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return sharding.shard(table(spark, sf_dir, "documents"), sharding.full_tree(24))
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op4_warc, op5_chat, op9_shard)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_mix_sources, op4_warc, op5_chat, op8_bpe, op9_shard)}
 
 ORACLES = {"op2_mix_sources": mixing.SQL, "op4_warc": warc.SQL, "op5_chat": chat.SQL}
