@@ -62,22 +62,22 @@ def best_paths(messages: DataFrame) -> DataFrame:
     with the logarithm of the depth. A node whose parent is missing is left out, with all below it.
     """
     nodes = messages.select("msg_id", "parent_id", F.coalesce("score", F.lit(0.0)).alias("score")).checkpoint()
-    # reach 2^k: `to` is the ancestor that many steps up, or the root if the walk ends there
+    # after k rounds `to` is the ancestor 2^k steps up, or the root where the walk has ended before
+    rooted = F.col("parent_id").isNull()
     walk = nodes.select(
-        "msg_id", F.coalesce("parent_id", "msg_id").alias("to"), F.col("parent_id").isNotNull().cast("long").alias("depth"),
-        F.when(F.col("parent_id").isNotNull(), F.col("score")).otherwise(0.0).alias("total"))
-    links = [nodes.where("parent_id IS NOT NULL").select("msg_id", F.col("parent_id").alias("to"))]
-    while True:
-        far = walk.select(F.col("msg_id").alias("to"), F.col("to").alias("next"), F.col("depth").alias("d2"), F.col("total").alias("t2"))
-        ahead = walk.join(far, "to").select(
-            "msg_id", F.col("next").alias("to"), (F.col("depth") + F.col("d2")).alias("depth"), (F.col("total") + F.col("t2")).alias("total")).checkpoint()
-        reach = 1 << len(links)
-        walk = ahead
-        link = ahead.where(F.col("depth") >= reach)
-        if link.isEmpty():
-            break
-        links.append(link.select("msg_id", "to"))
-        # a node that has just its 2^k-th ancestor at the root has `depth` = 2^k: an exact step
+        "msg_id", F.coalesce("parent_id", "msg_id").alias("to"), (~rooted).cast("long").alias("depth"),
+        F.when(rooted, 0.0).otherwise(F.col("score")).alias("total"), rooted.alias("ended")).checkpoint()
+    done, going = walk.where("ended"), walk.where("NOT ended")
+    links = []
+    while not going.isEmpty():
+        links.append(going.select("msg_id", "to"))
+        far = done.union(going).select(
+            F.col("msg_id").alias("to"), F.col("to").alias("next"), F.col("depth").alias("d2"), F.col("total").alias("t2"), "ended")
+        # only walks that have not ended go on, so a round costs what is left of the deep trees
+        ahead = going.drop("ended").join(far, "to").select(
+            "msg_id", F.col("next").alias("to"), (F.col("depth") + F.col("d2")).alias("depth"), (F.col("total") + F.col("t2")).alias("total"), "ended").checkpoint()
+        done, going = done.union(ahead.where("ended")), ahead.where("NOT ended")
+    walk = done.checkpoint()
     roots = nodes.where("parent_id IS NULL").select(F.col("msg_id").alias("to"), F.col("score").alias("root_score"))
     leaves = walk.join(nodes.select(F.col("parent_id").alias("msg_id")), "msg_id", "left_anti").join(roots, "to")
     mean = (F.col("total") + F.col("root_score")) / (F.col("depth") + 1)

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import ship
+
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows up to which the small side of a join may be broadcast.
@@ -36,8 +38,9 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Checkpoints have a folder, and Arrow batches are short because one text may be megabytes."""
+    """Checkpoints have a folder, executors the package, and Arrow batches are short because one text may be megabytes."""
     shared_dir(spark)
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
 
 

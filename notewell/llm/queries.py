@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, mixing, sharding, simhash, warc
+from . import ann, bpe, chat, embdedup, mixing, quality, sharding, simhash, toxicity, warc
 from .common import prepare, scratch, table
 
 
@@ -21,6 +21,11 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return ann.search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 50 == 0, 5)
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     warc.write_warc(table(spark, sf_dir, "pages"), path)
@@ -41,6 +46,17 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return embdedup.link_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", 0.93)
+
+
 def vocabulary_path() -> str:
     """The public vocabulary that the registered query encodes with; it is installed on every machine."""
     import public_tokenizers
@@ -59,6 +75,13 @@ def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), sharding.full_tree(24))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_mix_sources, op4_warc, op5_chat, op8_bpe, op9_shard)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_simhash, op2_mix_sources, op3_nearest, op4_warc, op5_chat, op6_quality, op7_embedding_dedup, op8_bpe, op9_shard, op10_toxicity)}
 
 ORACLES = {"op2_mix_sources": mixing.SQL, "op4_warc": warc.SQL, "op5_chat": chat.SQL}
