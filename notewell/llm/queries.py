@@ -84,4 +84,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_simhash, op2_mix_sources, op3_nearest, op4_warc, op5_chat, op6_quality, op7_embedding_dedup, op8_bpe, op9_shard, op10_toxicity)}
 
-ORACLES = {"op2_mix_sources": mixing.SQL, "op4_warc": warc.SQL, "op5_chat": chat.SQL}
+ORACLES = {"op2_mix_sources": mixing.SQL, "op4_warc": warc.SQL, "op5_chat": chat.SQL, "op7_embedding_dedup": embdedup.SQL}

@@ -32,12 +32,13 @@ LEXICON = (
 #: At most so many training documents of the classes 1 and 0 are read.
 LIMITS = {1: 4000, 0: 12_000}
 #: Stems are word beginnings of these lengths; whole words count as well.
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7, 8)
 #: A mined entry stands in so many different toxic documents, is so much likelier there, and has so large a G statistic.
 LEAST, LIFT, G, MINED = 4, 8.0, 26.0, 400
 WORD = re.compile(r"[^\W\d_]+")
-#: The patterns: exclamation marks in a row, and mostly capitals.
-PATTERNS = ("!!", "CAPITALS")
+#: The patterns: exclamation marks in a row, mostly capitals, and entries that stand twice, four times and densely (per 100 characters).
+PATTERNS = ("!!", "CAPITALS", "twice", "four times", "densely")
+DENSE = 0.25
 
 
 def features(text: str) -> set[str]:
@@ -77,6 +78,10 @@ def votes(text: str, automaton: ahocorasick.Automaton, entries: list[str]) -> Co
                 if entries[i][-1] == " " and end + 1 < len(low) and low[end + 1].isalpha():
                     continue
                 found[i] += 1
+    total = found.total()
+    for k, holds in enumerate((total > 1, total > 3, total * 100 > DENSE * len(text))):
+        if holds:
+            found[len(entries) + 2 + k] = 1
     if "!!" in text:
         found[len(entries)] = text.count("!!")
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
@@ -145,7 +150,7 @@ class Scorer:
 
 
 def mine(sample: DataFrame) -> list[str]:
-    """Stems and words that mark toxic documents of the sample, shortest first; at most MINED."""
+    """Stems and words that mark toxic documents of the sample, strongest first; at most MINED."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tallies = (Counter(), Counter())
@@ -170,15 +175,14 @@ def mine(sample: DataFrame) -> list[str]:
     part = lambda k, p: F.when(k > 0, k * F.log(k / (total * p))).otherwise(0.0)
     g = 2 * (part(F.col("toxic"), share) + part(F.col("clean"), 1 - share))
     lift = (F.col("toxic") / n1) / ((F.col("clean") + 0.5) / n0)
-    best = tallies.where((F.col("toxic") >= LEAST) & (lift >= LIFT) & (g >= G)).orderBy(F.desc(g), "entry").limit(4 * MINED)
-    rows = sorted(best.select("entry", "clean", "toxic").collect(), key=lambda r: (len(r["entry"].rstrip()), r["entry"]))
-    kept: dict[str, float] = {}
-    for r in rows:
-        entry, odds = r["entry"], (r["toxic"] + 0.5) / (r["clean"] + 0.5)
-        shorter = [kept[entry[:n]] for n in range(1, len(entry)) if entry[:n] in kept]
-        if not shorter or odds > 2 * max(shorter) and r["clean"] == 0:
-            kept[entry] = odds
-    return list(kept)[:MINED]
+    best = tallies.where((F.col("toxic") >= LEAST) & (lift >= LIFT) & (g >= G)).orderBy(F.desc(g), "entry").limit(8 * MINED)
+    kept: list[str] = []
+    for r in best.select("entry").collect():
+        stem = r["entry"].rstrip()
+        # of a stem and its extensions the one with the strongest statistic votes
+        if not any(stem.startswith(k.rstrip()) or k.startswith(stem) for k in kept):
+            kept.append(r["entry"])
+    return kept[:MINED]
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
@@ -196,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
     sketched = sample.select("doc_id", "y", "text").mapInArrow(sketches, sample.select("doc_id", "y", "text", F.lit(0).cast("long").alias("sketch")).schema)
     sample = sketched.groupBy("sketch").agg(F.min_by(F.struct("y", "text"), F.col("doc_id")).alias("one")).select("one.y", "one.text").checkpoint()
     entries = list(LEXICON)
-    entries += [e for e in mine(sample) if e.rstrip() not in entries and not any(e.startswith(x) for x in entries)]
+    entries += [e for e in mine(sample) if not any(e.startswith(x) or x.startswith(e.rstrip()) for x in LEXICON)]
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = matcher(entries)
@@ -251,9 +255,9 @@ def score(docs: DataFrame, scorer: Scorer, threshold: float = 0.5) -> DataFrame:
 
 def keep_clean(docs: DataFrame, scorer: Scorer, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs``, all columns, that are not predicted toxic. Texts are not shuffled."""
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = docs.columns.index("text")
         for b in batches:
             scores = scorer.score([t or "" for t in b.column(at).to_pylist()])
             yield b.filter(pa.array(scores < threshold))
