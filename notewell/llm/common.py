@@ -48,6 +48,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def compact(df: DataFrame, rows: int, per_task: int = 16_384) -> DataFrame:
+    """``df`` in as few partitions as its ``rows`` fill, for small tables that many rounds go over."""
+    return df.coalesce(max(1, -(-rows // per_task)))
+
+
 def join_measured(left: DataFrame, right: DataFrame, on, how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join, broadcasting ``right`` only when a count shows that it has at most ``rows`` rows.
 
@@ -104,8 +109,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         moved = large.join(small, "u")
         edges = (
             moved.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .union(small.select("u", F.col("m").alias("v"))).distinct().checkpoint()
+            .union(small.select("u", F.col("m").alias("v"))).distinct()
         )
+        edges = compact(edges, 2 * seen["n"]).checkpoint()
     nodes = edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
     return nodes.union(edges.select("v", F.col("v")).distinct())
 

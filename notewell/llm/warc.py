@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import join_measured, prepare
+from .common import compact, join_measured, prepare
 
 MAGIC = "WARC/1.1\r\n"
 CRLF = "\r\n"
@@ -142,17 +142,18 @@ def reachable(candidates: DataFrame) -> DataFrame:
 
     Doubling: in round k, what lies within 2^k steps of the start jumps 2^k steps further.
     """
-    jump = candidates.where("next > off")
-    reach = candidates.where("off = 0").select("file", "off").checkpoint()
-    front = reach
-    jump = jump.join(candidates.select("file", F.col("off").alias("next")), ["file", "next"], "left_semi").select("file", "off", "next").checkpoint()
+    n = candidates.count()
+    kept = lambda df: compact(df, n).checkpoint()
+    known = candidates.select("file", F.col("off").alias("next"))
+    jump = kept(candidates.where("next > off").join(known, ["file", "next"], "left_semi").select("file", "off", "next"))
+    reach = kept(candidates.where("off = 0").select("file", "off"))
     while True:
-        front = reach.join(jump, ["file", "off"]).select("file", F.col("next").alias("off")).checkpoint()
+        front = kept(reach.join(jump, ["file", "off"]).select("file", F.col("next").alias("off")))
         if front.isEmpty():
             return reach
-        reach = reach.union(front).checkpoint()
+        reach = compact(reach.union(front), n)
         then = jump.select("file", F.col("off").alias("next"), F.col("next").alias("far"))
-        jump = jump.join(then, ["file", "next"]).select("file", "off", F.col("far").alias("next")).checkpoint()
+        jump = kept(jump.join(then, ["file", "next"]).select("file", "off", F.col("far").alias("next")))
 
 
 def resolve(records: DataFrame) -> DataFrame:
