@@ -75,10 +75,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
 
 def emit(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents themselves: each row of ``docs``, all its columns, as often as it is taken."""
-    columns = docs.columns
-    mixed = mix(docs, keep=tuple(c for c in columns if c not in ("doc_id", "source")), **options)
-    nth = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
-    return mixed.where("copies > 0").withColumn("_nth", nth).select(*columns)
+    whole = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("_row"))
+    mixed = mix(whole, keep=("_row",), **options).where("copies > 0")
+    return mixed.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
 
 
 SQL = r"""

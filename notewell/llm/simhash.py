@@ -142,11 +142,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     columns = docs.columns
     chosen = members.where("doc_id = component_id").select("doc_id").distinct()
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    kept = docs.join(chosen, "doc_id", "left_semi").withColumn("_nth", nth).where("_nth = 1").select(*columns)
+    kept = docs.join(chosen, "doc_id", "left_semi").withColumn("__nth", nth).where("__nth = 1").select(*columns)
     nameless = members.where("component_id IS NULL").select("fp", "root").distinct()
     if nameless.isEmpty():
         return kept
-    rows = docs.where("doc_id IS NULL").withColumn("_row", F.xxhash64(*columns))
-    marks = fingerprints(rows.select(F.col("_row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "_row")
-    one = marks.join(nameless, "fp").groupBy("root").agg(F.min("_row").alias("_row")).select("_row")
-    return kept.union(rows.join(one, "_row", "left_semi").dropDuplicates(["_row"]).select(*columns))
+    rows = docs.where("doc_id IS NULL").withColumn("__row", F.xxhash64(*columns))
+    marks = fingerprints(rows.select(F.col("__row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "__row")
+    one = marks.join(nameless, "fp").groupBy("root").agg(F.min("__row").alias("__row")).select("__row")
+    return kept.union(rows.join(one, "__row", "left_semi").dropDuplicates(["__row"]).select(*columns))
