@@ -51,7 +51,7 @@ def excerpt(text: Column, n: int = 1200, marker: str = "\n[...truncated]") -> Co
 
 def first_line(text: Column, n: int = 200) -> Column:
     """First line that is neither blank, a heading nor a fence, else the first that is not blank; cut to n characters."""
-    lines = F.transform(F.split(text_or_empty(text), "\n"), F.trim)
+    lines = F.transform(F.split(text_or_empty(text), "\n"), lambda x: F.trim(x))
     full = F.filter(lines, lambda x: x != "")
     usable = F.filter(full, lambda x: ~x.startswith("#") & ~x.startswith("---"))
     return clip(F.coalesce(F.get(usable, F.lit(0)), F.get(full, F.lit(0)), F.lit("")), n)
@@ -67,7 +67,7 @@ def claim(description: Column, body: Column, n: int = 1200) -> Column:
     """What a note claims: its description, its title line, and the paragraph before the first section."""
     lead = F.split(text_or_empty(body), r"\n## ", 2)[0]
     title = F.regexp_extract(lead, r"(?m)^# (.*)$", 1)
-    rest = F.trim(F.regexp_replace(lead, r"(?m)^#.*$", ""))
+    rest = F.regexp_replace(F.regexp_replace(lead, r"(?m)^#.*$", ""), r"^\s+|\s+$", "")
     paragraph = F.split(rest, r"\n\s*\n", 2)[0]
     return clip(F.array_join(F.filter(F.array(text_or_empty(description), title, paragraph), lambda x: x != ""), "\n"), n)
 
@@ -114,7 +114,7 @@ def note_name(name: Column, path: Column) -> Column:
 
 
 def wiki_links(text: Column, most: int = 10) -> Column:
-    return F.slice(F.transform(F.regexp_extract_all(text_or_empty(text), F.lit(LINK), F.lit(1)), F.trim), 1, most)
+    return F.slice(F.transform(F.regexp_extract_all(text_or_empty(text), F.lit(LINK), F.lit(1)), lambda x: F.trim(x)), 1, most)
 
 
 def repoint(text: Column, old: str, new: str) -> Column:
@@ -222,7 +222,7 @@ def front_matter(text: Column) -> Column:
     bare = lambda v: F.regexp_replace(F.trim(v), r"^(['\"])(.*)\1$", "$2")
 
     def values(entry: Column) -> Column:
-        rest = F.trim(F.substr(entry, F.instr(entry, ":") + 1))
+        rest = F.regexp_replace(F.substr(entry, F.instr(entry, ":") + 1), r"^\s+|\s+$", "")
         inline = F.split(F.regexp_replace(rest, r"^\[|\]$", ""), ",")
         below = F.regexp_extract_all(rest, F.lit(r"(?m)^\s*-\s*(.*)$"), F.lit(1))
         chosen = F.when(rest.rlike(r"(?s)^\[.*\]$"), inline).when(rest.rlike(r"^-(\s|$)"), below).otherwise(F.array(rest))

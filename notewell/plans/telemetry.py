@@ -103,3 +103,13 @@ def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = C.run_available(C.session_totals(_stream(spark, sf_dir)), name, _checkpoint(spark, name))
     return done.withColumn("total", F.col("total").cast("double"))
 
+
+
+@add("""SELECT user_id, count(*)::BIGINT AS total, count_if(event_type IN ('purchase', 'signup'))::BIGINT AS hits,
+       arg_max(event_type, (ts, event_id)) AS last_tier, arg_max(event_id, (ts, event_id)) AS last_event FROM events GROUP BY user_id""")
+def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same counters as keyed state of a stream; the last row of each user holds its state."""
+    name = f"stream_state_{uuid.uuid4().hex[:8]}"
+    rows = C.run_available(C.keyed_state(_stream(spark, sf_dir)), name, _checkpoint(spark, name), "update")
+    last = rows.groupBy("user_id").agg(F.max_by(F.struct("total", "hits", "last_tier", "last_event"), "total").alias("s"))
+    return last.select("user_id", "s.*")

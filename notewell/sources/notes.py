@@ -20,7 +20,7 @@ def read_notes(spark: SparkSession, root: str) -> DataFrame:
     the index's date (resolved, else last_update, else opened).
     """
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
-             .select("path", "modificationTime", F.decode("content", "UTF-8").alias("raw"), F.sha1("content").alias("sha")))
+             .select("path", "modificationTime", F.make_valid_utf8(F.col("content").cast("string")).alias("raw"), F.sha1("content").alias("sha")))
     base = root.rstrip("/").removeprefix("file://")
     relative = F.regexp_extract("path", r"\Q" + base + r"\E/(.*)$", 1)
     rows = files.withColumn("path", relative).withColumn("scope", T.scope_of(F.col("path"))).where("scope IS NOT NULL")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -42,3 +45,28 @@ def gated_capture(stream: DataFrame, target: str, checkpoint: str, complete: Cal
         batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def keyed_state(events: DataFrame) -> DataFrame:
+    """(user_id, total, hits, last_tier, last_event) kept as state of each user and sent out when it changes.
+
+    The newest event by (ts, event_id) names the last tier, in whatever order batches arrive.
+    """
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    schema = "user_id long, total long, hits long, last_tier string, last_event long"
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        total, hits, tier, last, ts = state.get if state.exists else (0, 0, "", -1, -1)
+        for rows in batches:
+            total += len(rows)
+            hits += int(rows["event_type"].isin(["purchase", "signup"]).sum())
+            newest = rows.sort_values(["us", "event_id"]).iloc[-1]
+            if (int(newest["us"]), int(newest["event_id"])) > (ts, last):
+                tier, last, ts = newest["event_type"], int(newest["event_id"]), int(newest["us"])
+        state.update((total, hits, tier, last, ts))
+        yield pd.DataFrame({"user_id": [key[0]], "total": [total], "hits": [hits], "last_tier": [tier], "last_event": [last]})
+
+    ship(events.sparkSession)
+    narrow = events.select("user_id", "event_id", "event_type", F.unix_micros("ts").alias("us"))
+    return narrow.groupBy("user_id").applyInPandasWithState(update, schema, "total long, hits long, tier string, last long, ts long", "update", GroupStateTimeout.NoTimeout)
