@@ -2,16 +2,40 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import ship
 
 # Folders that hold no notes.
 SKIPPED = (".git", ".obsidian", ".trash", "node_modules", "__pycache__")
 TITLE_KEYS, MODULE_KEYS = ("title", "título", "titulo"), ("module", "módulo", "modulo")
 
 
+def underscored_files(spark: SparkSession, root: str, suffix: str = ".md") -> DataFrame:
+    """(path, modificationTime, content) of files whose names begin with an underscore, which Spark's readers pass over.
+
+    The driver lists them, as it does for any source; tasks read them. No files: no rows.
+    """
+    ship(spark)
+    store, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+    found = [i for i in store.get_file_info(fs.FileSelector(base, recursive=True)) if i.is_file and i.base_name.startswith("_") and i.base_name.endswith(suffix)]
+    listed = spark.createDataFrame([(i.path, i.mtime) for i in found], "path string, modificationTime timestamp")
+
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source = fs.FileSystem.from_uri(root)[0] if "://" in root else fs.LocalFileSystem()
+        for b in batches:
+            content = [source.open_input_file(p).readall() for p in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(content, pa.binary())], names=["path", "modificationTime", "content"])
+
+    return listed.mapInArrow(load, "path string, modificationTime timestamp, content binary")
+
+
 def read_notes(spark: SparkSession, root: str) -> DataFrame:
     """The notes below ``root``: (path, name, scope, project, title, description, module, tags, status, links, authored, body, mtime, sha).
 
@@ -19,10 +43,11 @@ def read_notes(spark: SparkSession, root: str) -> DataFrame:
     replacement characters. A note without a status takes that of its ticket's index, and a ticket's notes take
     the index's date (resolved, else last_update, else opened).
     """
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
+    files = (files.select("path", "modificationTime", "content").union(underscored_files(spark, root))
              .select("path", "modificationTime", F.make_valid_utf8(F.col("content").cast("string")).alias("raw"), F.sha1("content").alias("sha")))
     base = root.rstrip("/").removeprefix("file://")
-    relative = F.regexp_extract("path", r"\Q" + base + r"\E/(.*)$", 1)
+    relative = F.regexp_extract("path", r"\Q" + base.split("://")[-1] + r"\E/(.*)$", 1)
     rows = files.withColumn("path", relative).withColumn("scope", T.scope_of(F.col("path"))).where("scope IS NOT NULL")
     rows = rows.where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, SKIPPED))))
     rows = rows.withColumn("fm", T.front_matter(F.col("raw"))).withColumn("body", T.note_body(F.col("raw")))
