@@ -54,8 +54,8 @@ def bm25_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, id): the documents that hold a benchmark passage word for word."""
-    items = R.broadcast_if_small(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage")))
-    return table(spark, sf_dir, "documents").join(items, F.contains("text", "passage")).select("query_id", F.col("doc_id").alias("id"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
+    return R.meet(table(spark, sf_dir, "documents"), items, F.contains("text", "passage"), "doc_id").select("query_id", F.col("doc_id").alias("id"))
 
 
 @add(f"""{PASSAGES}, ranked AS ({TOP_5}),
@@ -103,8 +103,10 @@ def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     cosines = R.top_k(neighbours(spark, sf_dir), "score", 10).select("query_id", "id", F.col("score").alias("cos"))
     docs = table(spark, sf_dir, "documents")
     asked = table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").join(docs, F.col("vec_id") == F.col("doc_id")).select("vec_id", T.first_line(F.col("text")).alias("prompt"))
-    lexical = R.bm25(docs, "doc_id", F.col("text"), asked, "vec_id", F.col("prompt")).withColumn("bm25", rounded("bm25"))
     weight = statuses(spark, sf_dir).select("id", R.weight_of(F.col("status"), R.STATUS_WEIGHT).alias("weight"))
+    # the lexical side is weighed before it is ranked, and once more in the fusion
+    lexical = R.bm25(docs, "doc_id", F.col("text"), asked, "vec_id", F.col("prompt")).join(weight, "id")
+    lexical = lexical.select("query_id", "id", rounded(F.round("bm25", 6) * F.col("weight")).alias("bm25")).where("bm25 > 0")
     both = R.fuse(cosines, R.top_k(lexical, "bm25", 10).select("query_id", "id", "bm25"), weight)
     return both.select("query_id", "id", "cos", rounded("bm25_n").alias("bm25_n"), rounded("score").alias("score"), "provenance")
 
@@ -113,7 +115,9 @@ FUSED = f"""WITH {NEIGHBOURS}, docs AS (SELECT doc_id AS id, text FROM documents
 asked AS (SELECT vec_id AS query_id, {first_line_sql('text')} AS text FROM embeddings JOIN documents ON vec_id = doc_id WHERE vec_id % 20 = 0),
 {BM25_SQL}, {STATUS_SQL},
 c AS (SELECT query_id, id, score AS cos FROM near QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10),
-l0 AS (SELECT query_id, id, bm25 FROM bm25 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, id) <= 10),
+lw AS (
+  SELECT query_id, b.id, round(bm25 * CASE status WHEN 'discarded' THEN 0.0 WHEN 'experimental' THEN 0.4 ELSE 1.0 END, 6) AS bm25 FROM bm25 b JOIN status USING (id)),
+l0 AS (SELECT query_id, id, bm25 FROM lw WHERE bm25 > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, id) <= 10),
 l AS (SELECT query_id, id, CASE WHEN max(bm25) OVER (PARTITION BY query_id) > 0 THEN bm25 / max(bm25) OVER (PARTITION BY query_id) ELSE 0.0 END AS bm25_n FROM l0),
 u AS (
   SELECT query_id, id, coalesce(cos, 0.0) AS cos, coalesce(bm25_n, 0.0) AS bm25_n,
