@@ -202,3 +202,15 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(
         run, docs.select("doc_id", F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids"), F.lit("").alias("decoded")).schema)
+
+
+def decode(encoded: DataFrame, path: str) -> DataFrame:
+    """(doc_id, decoded) of (doc_id, ids) rows, ids as ``encode`` gives them; null and empty ids decode to an empty text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = vocabulary(path)
+        for b in batches:
+            texts = [words.decode(map(int, (x or "").split())) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "decoded"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, encoded.select("doc_id", F.lit("").alias("decoded")).schema)

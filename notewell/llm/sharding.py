@@ -91,3 +91,8 @@ def shard(docs: DataFrame, tree: Tree) -> DataFrame:
     first = placed.groupBy("shard").agg(F.min("_at").alias("_first")).checkpoint()
     return join_measured(placed, first, "shard").select(
         "doc_id", "size", "text_crc32", "law", "shard", (F.col("_at") - F.col("_first")).alias("slot"), "grown_shard")
+
+
+def write_shards(docs: DataFrame, tree: Tree, path: str) -> None:
+    """Write the documents, all their columns, into one folder a shard. Nothing is shuffled: each task writes to the shards it holds."""
+    descend(docs.withColumn("__key", F.col("doc_id")), F.col("__key"), tree, "__shard").drop("__key").write.partitionBy("__shard").parquet(path)

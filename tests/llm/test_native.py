@@ -107,6 +107,14 @@ def test_shard_odd_rows(spark):
     assert sharding.shard(odd_docs(spark).limit(0), sharding.full_tree(24)).count() == 0
 
 
+def test_written_shards_hold_every_row(spark):
+    path = scratch(spark, "shards")
+    sharding.write_shards(odd_docs(spark), sharding.full_tree(24), path)
+    back = spark.read.parquet(path)
+    want = {(r.doc_id, r.shard) for r in sharding.shard(odd_docs(spark), sharding.full_tree(24)).collect()}
+    assert back.count() == 7 and {(r.doc_id, r["__shard"]) for r in back.collect()} == want
+
+
 def test_positions_and_components(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("k"), "id")
     placed = with_position(df, [F.col("k"), F.col("id")]).orderBy("position").collect()

@@ -58,6 +58,8 @@ def test_bpe_odd_rows(spark):
     df = spark.createDataFrame([(1, None, 2), (None, "", 2), (2, "a a", 2), (2, "a a", 2)], "doc_id long, text string, ids int")
     got = sorted(map(tuple, bpe.encode(df, PATH).collect()), key=repr)
     assert got == sorted([(1, 0, "", ""), (None, 0, "", ""), (2, 2, "320 320", "a</w> a</w>"), (2, 2, "320 320", "a</w> a</w>")], key=repr)
+    again = bpe.decode(bpe.encode(df, PATH).select("doc_id", "ids"), PATH)
+    assert sorted(map(tuple, again.collect()), key=repr) == sorted([(g[0], g[3]) for g in got], key=repr)
     assert bpe.encode(df.limit(0), PATH).count() == 0
 
 
