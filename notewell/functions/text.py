@@ -175,8 +175,8 @@ def symbols(text: Column, shortest: int = 6, most: int = 6) -> Column:
 
 
 def counts_marker(text: Column) -> Column:
-    """adds, confirms, adjusts and refutes of a ``KB-COUNTS:`` line in any order; null unless all four are there."""
-    line = F.regexp_extract(text_or_empty(text), r"KB-COUNTS:([^\n]*)", 1)
+    """adds, confirms, adjusts and refutes of a line with ``COUNTS:`` in any order; null unless all four are there."""
+    line = F.regexp_extract(text_or_empty(text), r"COUNTS:([^\n]*)", 1)
     number = lambda k: F.nullif(F.regexp_extract(line, rf"\b{k}=(\d+)", 1), F.lit("")).cast("int")
     names = ("adds", "confirms", "adjusts", "refutes")
     complete = F.lit(True)

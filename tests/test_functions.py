@@ -64,7 +64,7 @@ def test_texts(spark):
 
 
 def test_markers(spark):
-    got = table(spark, T.counts_marker, ["x\nKB-COUNTS: refutes=4 adds=1 adjusts=3 confirms=2", "KB-COUNTS: adds=1", None])
+    got = table(spark, T.counts_marker, ["x\nRUN-COUNTS: refutes=4 adds=1 adjusts=3 confirms=2", "RUN-COUNTS: adds=1", None])
     assert tuple(got[0]) == (1, 2, 3, 4) and got[1:] == [None, None]
     assert tuple(table(spark, T.verdict, ["VERDICT: Drop\nCONFIDENCE: HIGH\nREASON: twice"])[0]) == ("drop", "high", "twice")
     fails = ["fatal: Authentication failed for x", "Permission denied (publickey)", "HTTP 403", "terminal prompts disabled"]

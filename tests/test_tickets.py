@@ -49,7 +49,7 @@ def test_folders_and_merges(spark):
 
 
 def test_gates_and_reads(spark):
-    said = spark.createDataFrame([("capture", "KB-COUNTS: adds=0 confirms=2 adjusts=0 refutes=0"), ("finalize", "KB-COUNTS: adds=0 confirms=2 adjusts=0 refutes=0"), ("capture", "none")], "kind string, x string")
+    said = spark.createDataFrame([("capture", "RUN-COUNTS: adds=0 confirms=2 adjusts=0 refutes=0"), ("finalize", "RUN-COUNTS: adds=0 confirms=2 adjusts=0 refutes=0"), ("capture", "none")], "kind string, x string")
     assert [r[0] for r in said.select(K.nothing_new(T.counts_marker(F.col("x")), F.col("kind"))).collect()] == [True, False, False]
     failures = spark.createDataFrame([(1, "https://h/a", "HTTP 403"), (1, "https://h/b", "HTTP 403"), (1, "https://i/a", "timeout"), (2, "https://h/b", "Permission denied (publickey)")], "run int, origin string, message string")
     assert rows(K.first_try_per_host(failures)) == [(1, "h", "https://h/a"), (2, "h", "https://h/b")]
