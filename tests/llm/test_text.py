@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import public_tokenizers
 import pytest
@@ -11,6 +12,7 @@ import corpus_pipeline
 from notewell.llm import bpe, quality, queries, toxicity
 from notewell.llm.common import prepare
 from pyspark.sql import functions as F
+from test_search import components, plain_fingerprint
 
 SF = "/root/testdata/sf0.01"
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -130,3 +132,47 @@ def test_pipeline(spark, library):
     texts = {r.doc_id: r.text for r in docs.collect()}
     for r in last.limit(50).collect():
         assert r.n_tokens == len(library.encode(texts[r.doc_id], add_special_tokens=False).ids)
+
+
+def plain_mix(docs, weights=(5, 2, 1), share=1.5, cap=2.0, seed=17):
+    """How often each (doc_id, text, source) is taken, by plain water filling."""
+    sizes = [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, _ in docs]
+    held = {}
+    for (_, _, s), n in zip(docs, sizes):
+        held[s] = held.get(s, 0) + n
+    w = {s: weights[i % 3] for i, s in enumerate(sorted(held, key=lambda s: (s is None, s or "")))}
+    target, todo, rest = {}, set(held), share * sum(held.values())
+    while True:
+        level = rest / sum(w[s] for s in todo) if todo else 0
+        over = {s for s in todo if level * w[s] > cap * held[s]}
+        if not over:
+            break
+        for s in over:
+            target[s] = cap * held[s]
+            rest -= target[s]
+        todo -= over
+    target |= {s: level * w[s] for s in todo}
+    copies = []
+    for (d, _, s), n in zip(docs, sizes):
+        rate = target[s] / held[s] if held[s] else 0.0
+        draw = int(hashlib.md5(f"mix:{seed}:{d}".encode()).hexdigest()[:13], 16) / 2**52
+        copies.append(int(rate) + (draw < rate - int(rate)))
+    return copies
+
+
+def test_pipeline_against_brute_force(spark, library):
+    small = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    kept = [tuple(r) for r in docs.select("doc_id", "text", "source").collect() if model.score([r.text])[0] < 0.5]
+    second = quality.fit(docs.where(F.col("doc_id").isin([d for d, _, _ in kept])), labels)
+    kept = [r for r in kept if second.score([r[1]])[0] >= 0.3]
+    fps = [plain_fingerprint(t) for _, t, _ in kept]
+    roots = components([d for d, _, _ in kept], lambda i, j: bin(fps[i] ^ fps[j]).count("1") <= 3)
+    kept = [r for r, root in zip(kept, roots) if r[0] == root]
+    want = []
+    for (d, t, _), n in zip(kept, plain_mix(kept)):
+        ids = library.encode(t, add_special_tokens=False).ids
+        sha = [hashlib.sha256(x.encode()).hexdigest() for x in (" ".join(map(str, ids)), library.decode(ids, skip_special_tokens=False))]
+        want += [(d, len(ids), *sha)] * n
+    assert sorted(map(tuple, corpus_pipeline.run(spark, small).collect())) == sorted(want)
