@@ -91,7 +91,7 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.event_stream(spark, f"{sf_dir}/[e]vents.parquet")
 
 
-def _checkpoint(spark: SparkSession, name: str) -> str:
+def _folder(spark: SparkSession, name: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-notewell-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -99,8 +99,7 @@ def _checkpoint(spark: SparkSession, name: str) -> str:
 @add("SELECT user_id, event_type, count(*)::BIGINT AS n, sum(value::DECIMAL(18, 2))::DOUBLE AS total, max(event_id) AS last_event FROM events GROUP BY ALL")
 def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counters as a stream over all that is there: equal to the batch totals."""
-    name = f"stream_counts_{uuid.uuid4().hex[:8]}"
-    done = C.run_available(C.session_totals(_stream(spark, sf_dir)), name, _checkpoint(spark, name))
+    done = C.run_available(C.session_totals(_stream(spark, sf_dir)), _folder(spark, "stream_counts"))
     return done.withColumn("total", F.col("total").cast("double"))
 
 
@@ -109,7 +108,6 @@ def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
        arg_max(event_type, (ts, event_id)) AS last_tier, arg_max(event_id, (ts, event_id)) AS last_event FROM events GROUP BY user_id""")
 def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same counters as keyed state of a stream; the last row of each user holds its state."""
-    name = f"stream_state_{uuid.uuid4().hex[:8]}"
-    rows = C.run_available(C.keyed_state(_stream(spark, sf_dir)), name, _checkpoint(spark, name), "update")
+    rows = C.run_available(C.keyed_state(_stream(spark, sf_dir)), _folder(spark, "stream_state"), "update")
     last = rows.groupBy("user_id").agg(F.max_by(F.struct("total", "hits", "last_tier", "last_event"), "total").alias("s"))
     return last.select("user_id", "s.*")

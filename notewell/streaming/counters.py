@@ -29,11 +29,21 @@ def suppress_repeats(events: DataFrame, keys: list[str], ttl: str = "60 seconds"
     return events.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(keys)
 
 
-def run_available(stream: DataFrame, table: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Run the stream over all that is there, and return the in-memory result table."""
-    query = stream.writeStream.format("memory").queryName(table).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_available(stream: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
+    """Run the stream over all that is there, and read what its batches wrote below ``folder``, which executors share.
+
+    A complete result is that of the last batch; in other modes the batches add up.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch_id={batch_id}")
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(table)
+    rows = stream.sparkSession.read.parquet(f"{folder}/out")
+    if mode == "complete":
+        rows = rows.where(F.col("batch_id") == rows.agg(F.max("batch_id")).first()[0])
+    return rows.drop("batch_id")
 
 
 def gated_capture(stream: DataFrame, target: str, checkpoint: str, complete: Callable[[DataFrame], bool]) -> None:

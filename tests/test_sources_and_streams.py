@@ -62,10 +62,10 @@ def test_streams_equal_batch(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     events.repartition(3).write.parquet(str(tmp_path / "in"))
     stream = lambda: C.event_stream(spark, str(tmp_path / "in"))
-    got = C.run_available(C.session_totals(stream()), "t_counts", str(tmp_path / "c1"))
+    got = C.run_available(C.session_totals(stream()), str(tmp_path / "c1"))
     want = C.session_totals(events)
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
-    state = C.run_available(C.keyed_state(stream()), "t_state", str(tmp_path / "c2"), "update").groupBy("user_id").agg(F.max("total").alias("n"))
+    state = C.run_available(C.keyed_state(stream()), str(tmp_path / "c2"), "update").groupBy("user_id").agg(F.max("total").alias("n"))
     assert {tuple(r) for r in state.collect()} == {tuple(r) for r in events.groupBy("user_id").count().collect()}
 
 
@@ -83,5 +83,5 @@ def test_suppress_repeats(spark, tmp_path):
     rows = spark.createDataFrame([(1, 0), (1, 30), (2, 10)], "k int, s int").withColumn("ts", F.timestamp_seconds("s"))
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    got = C.run_available(C.suppress_repeats(stream, ["k"]), "t_ttl", str(tmp_path / "c"), "append")
+    got = C.run_available(C.suppress_repeats(stream, ["k"]), str(tmp_path / "c"), "append")
     assert got.count() == 2
