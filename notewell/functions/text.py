@@ -28,11 +28,26 @@ def strip_accents(text: Column) -> Column:
     return F.translate(text, MARKED, PLAIN)
 
 
+def words(text: Column) -> Column:
+    """Lower-case runs of SHORTEST letters or digits or more, without marks; stop words are still there."""
+    return F.regexp_extract_all(strip_accents(F.lower(text_or_empty(text))), F.lit(f"[a-z0-9]{{{SHORTEST},}}"), F.lit(0))
+
+
+def is_term(word: Column) -> Column:
+    return ~word.isin(STOP_WORDS)
+
+
 def tokens(text: Column) -> Column:
-    """Lower-case terms without marks, of three characters or more, without stop words; none for null."""
-    plain = strip_accents(F.lower(text_or_empty(text)))
-    words = F.regexp_extract_all(plain, F.lit("[a-z0-9]+"), F.lit(0))
-    return F.filter(words, lambda w: (F.length(w) >= SHORTEST) & ~w.isin(STOP_WORDS))
+    """Lower-case terms without marks, of three characters or more, without stop words; none for null.
+
+    Where terms are exploded anyway, ``words`` and ``is_term`` do it in generated code.
+    """
+    return F.filter(words(text), is_term)
+
+
+def term_set(text: Column) -> Column:
+    """Distinct terms of a text."""
+    return F.array_except(words(text), F.array(*map(F.lit, STOP_WORDS)))
 
 
 def token_estimate(text: Column) -> Column:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.vectors import dot
+from ..session import durable, ship
 
 # Thresholds across folders and inside one, and the cap of a report.
 ACROSS, INSIDE, REPORT = 0.80, 0.72, 25
@@ -16,42 +18,66 @@ def is_twin(score: Column, same: Column, across: float = ACROSS, inside: float =
     return score >= F.when(same, inside).otherwise(across)
 
 
-def vector_twins(rows: DataFrame, across: float = ACROSS, inside: float = INSIDE, block: int = 256) -> DataFrame:
-    """(a, b, same, score) for pairs a < b of (id, folder, v), v a unit vector.
+def vector_twins(rows: DataFrame, across: float = ACROSS, inside: float = INSIDE, block: int = 2048) -> DataFrame:
+    """(a, b, same, score) for pairs a < b of (id, folder, v), v a unit vector; null vectors are left out.
 
-    Exact: rows are dealt into blocks of about ``block`` rows by hash, and each pair of blocks is an equi-join on
-    its number, so that no task holds more than two blocks' pairs.
+    Exact: rows are dealt into blocks of about ``block`` rows by hash, and each pair of blocks is one group, whose
+    scores are one matrix product. Only pairs above their threshold leave it.
     """
-    n = rows.count()
-    blocks = max(1, -(-n // block))
+    ship(rows.sparkSession)
+    rows = durable(rows.where("v IS NOT NULL").select("id", "folder", F.col("v").cast("array<double>").alias("v")))
+    blocks = max(1, -(-rows.count() // block))
     own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    dealt = rows.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    left = dealt.where("_own <= _other").select(F.col("_own").alias("i"), F.col("_other").alias("j"), F.col("id").alias("ida"), F.col("folder").alias("fa"), F.col("v").alias("va"))
-    right = dealt.where("_other <= _own").select(F.col("_other").alias("i"), F.col("_own").alias("j"), F.col("id").alias("idb"), F.col("folder").alias("fb"), F.col("v").alias("vb"))
-    same = F.col("fa").eqNullSafe(F.col("fb"))
-    met = left.join(right, ["i", "j"]).where((F.col("i") < F.col("j")) | (F.col("ida") < F.col("idb")))
-    scored = met.withColumn("score", dot(F.col("va"), F.col("vb"))).where(is_twin(F.col("score"), same, across, inside))
-    return scored.select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b"), same.alias("same"), "score")
+    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    units = dealt.select("id", "folder", "v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("first"))
+    id_type = rows.schema["id"].dataType.simpleString()
+
+    def compare(unit: pa.Table) -> pa.Table:
+        lone = unit.column("i")[0] == unit.column("j")[0]
+        first = unit.column("first").to_numpy(zero_copy_only=False)
+        left, right = (unit, unit) if lone else (unit.filter(pa.array(first)), unit.filter(pa.array(~first)))
+        matrix = lambda t: np.array(t.column("v").to_pylist(), float).reshape(t.num_rows, -1)
+        ids, others, folders, theirs = (np.array(t.column(c).to_pylist(), object) for c in ("id", "folder") for t in (left, right))
+        out = [], [], [], []
+        x, y = matrix(left), matrix(right).T
+        for at in range(0, len(ids), 256) if len(others) else ():
+            score = x[at: at + 256] @ y
+            same = folders[at: at + 256, None] == theirs[None]
+            for p, q in zip(*np.nonzero(score >= np.where(same, inside, across))):
+                a, b = ids[at + p], others[q]
+                if a < b or not lone and a > b:
+                    for column, value in zip(out, (min(a, b), max(a, b), bool(same[p, q]), float(score[p, q]))):
+                        column.append(value)
+        return pa.table({"a": pa.array(out[0], unit.schema.field("id").type), "b": pa.array(out[1], unit.schema.field("id").type), "same": pa.array(out[2], pa.bool_()), "score": pa.array(out[3], pa.float64())})
+
+    return units.groupBy("i", "j").applyInArrow(compare, f"a {id_type}, b {id_type}, same boolean, score double")
 
 
 def set_twins(docs: DataFrame, across: float = ACROSS, inside: float = INSIDE) -> DataFrame:
     """(a, b, same, score) for pairs a < b of (id, folder, terms) by cosine of their term sets.
 
     Documents with one term set and folder are one class, represented by its smallest id; pairs are between
-    representatives. Prefix filter: with terms in order of rising frequency, two sets that are near enough share one of
-    their first n - ceil(t^2 n) + 1 terms, so only those are joined, and lengths that cannot match are cut off. Exact.
+    representatives. Exact, by prefix and position: with terms in order of rising frequency, two sets that are near enough
+    share one of their first n - ceil(t^2 n) + 1 terms, and from the first shared term on enough is left of
+    both. Pairs inside a folder and across folders are sought apart, each with its own threshold.
     """
-    t2 = min(across, inside) ** 2
     sets = docs.select("id", "folder", F.array_sort(F.array_distinct("terms")).alias("terms")).where(F.size("terms") > 0)
-    sets = sets.groupBy("folder", "terms").agg(F.min("id").alias("id")).withColumn("n", F.size("terms"))
-    each = sets.select("id", F.explode("terms").alias("term"))
+    sets = durable(sets.groupBy("folder", "terms").agg(F.min("id").alias("id")))
+    each = sets.select("id", "folder", F.explode("terms").alias("term"))
     rarity = each.groupBy("term").agg(F.count("*").alias("df"))
-    ordered = each.join(rarity, "term").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("o"))
-    heads = ordered.select("id", F.size("o").alias("n"), F.slice("o", F.lit(1), (F.size("o") - F.ceil(F.size("o") * t2 - 1e-9) + 1).cast("int")).alias("o"))
-    heads = heads.select("id", "n", F.explode(F.transform("o", lambda x: x["term"])).alias("term"))
-    a, b = heads.toDF("a", "na", "term"), heads.toDF("b", "nb", "term")
-    near = (F.col("nb") * t2 <= F.col("na") + 1e-9) & (F.col("na") * t2 <= F.col("nb") + 1e-9)
-    pairs = a.join(b, "term").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    ordered = durable(each.join(rarity, "term").groupBy("id", "folder").agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("o")))
+
+    def candidates(t: float, same: bool) -> DataFrame:
+        n = F.size("o")
+        head = F.slice("o", F.lit(1), (n - F.ceil(n * t * t - 1e-9) + 1).cast("int"))
+        heads = ordered.select("id", "folder", n.alias("n"), F.posexplode(F.transform(head, lambda x: x["term"])).alias("p", "term"))
+        a, b = heads.toDF("a", "fa", "na", "pa", "term"), heads.toDF("b", "fb", "nb", "pb", "term")
+        need = F.ceil(t * F.sqrt(F.col("na") * F.col("nb").cast("double")) - 1e-9)
+        left = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+        near = (F.col("a") < F.col("b")) & (left >= need) & (F.col("fa").eqNullSafe(F.col("fb")) if same else ~F.col("fa").eqNullSafe(F.col("fb")))
+        return a.join(b, "term").where(near).select("a", "b")
+
+    pairs = candidates(inside, True).union(candidates(across, False)).distinct()
     left = sets.select(F.col("id").alias("a"), F.col("folder").alias("fa"), F.col("terms").alias("ta"))
     right = sets.select(F.col("id").alias("b"), F.col("folder").alias("fb"), F.col("terms").alias("tb"))
     same = F.col("fa").eqNullSafe(F.col("fb"))

@@ -166,7 +166,7 @@ def twin_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_twins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("folder"), T.tokens(F.col("text")).alias("terms"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("folder"), T.term_set(F.col("text")).alias("terms"))
     return W.set_twins(docs).withColumn("score", rounded("score"))
 
 

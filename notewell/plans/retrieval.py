@@ -17,8 +17,8 @@ add = CATALOGUE.add
 SELECT doc_id, len(t)::BIGINT AS n_terms, len(list_distinct(t))::BIGINT AS n_distinct
 FROM (SELECT doc_id, {tok_sql('text')} AS t FROM documents)""")
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    toks = table(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("t"))
-    return toks.select("doc_id", long(F.size("t")).alias("n_terms"), long(F.size(F.array_distinct("t"))).alias("n_distinct"))
+    toks = table(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("t"), T.term_set(F.col("text")).alias("d"))
+    return toks.select("doc_id", long(F.size("t")).alias("n_terms"), long(F.size("d")).alias("n_distinct"))
 
 
 @add(f"""
