@@ -108,7 +108,7 @@ def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     lexical = R.bm25(docs, "doc_id", F.col("text"), asked, "vec_id", F.col("prompt")).join(weight, "id")
     lexical = lexical.select("query_id", "id", rounded(F.round("bm25", 6) * F.col("weight")).alias("bm25")).where("bm25 > 0")
     both = R.fuse(cosines, R.top_k(lexical, "bm25", 10).select("query_id", "id", "bm25"), weight)
-    return both.select("query_id", "id", "cos", rounded("bm25_n").alias("bm25_n"), rounded("score").alias("score"), "provenance")
+    return both.select("query_id", "id", "cos", rounded("bm25_n").alias("bm25_n"), rounded("score", 9).alias("score"), "provenance")
 
 
 FUSED = f"""WITH {NEIGHBOURS}, docs AS (SELECT doc_id AS id, text FROM documents),
@@ -124,7 +124,7 @@ u AS (
          CASE WHEN cos IS NOT NULL AND bm25_n IS NOT NULL THEN 'both' WHEN cos IS NOT NULL THEN 'cosine' ELSE 'lexical' END AS provenance
   FROM c FULL JOIN l USING (query_id, id)),
 fused AS (
-  SELECT query_id, id, cos, round(bm25_n, 6) AS bm25_n, round((0.7::DOUBLE * cos + 0.3::DOUBLE * bm25_n) * w, 6) AS score, provenance
+  SELECT query_id, id, cos, round(bm25_n, 6) AS bm25_n, round((0.7::DOUBLE * cos + 0.3::DOUBLE * bm25_n) * w, 9) AS score, provenance
   FROM (SELECT u.*, CASE status WHEN 'discarded' THEN 0.0::DOUBLE WHEN 'experimental' THEN 0.4::DOUBLE ELSE 1.0::DOUBLE END AS w FROM u LEFT JOIN status USING (id)) WHERE w > 0)
 """
 
