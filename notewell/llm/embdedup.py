@@ -3,7 +3,7 @@
 Either half of a unit vector has a codebook of its own; pairs of centres form a grid of cells. For a
 vector, a cell's distance is bounded from below by how far the vector's halves lie from the
 bisecting planes between their nearest centres and the cell's. Cells are visited nearest first
-until the bound passes a stop that is fitted for a target recall, and
+until the bound passes the distance of the asked cosine, so that no link is lost, and
 their members are verified by exact cosine.
 """
 
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import common_length, connected_components, join_measured, least_labels, matrix, nearest_means, sound_vector, unit_rows
 
-#: Vectors that the codebooks are fitted on, and share of links that the visited cells are to hold.
-SAMPLE, RECALL = 8192, 0.9999
+#: Vectors that the codebooks are fitted on, and what is added to the stop for rounding.
+SAMPLE, MARGIN = 8192, 1e-6
 #: Rows of either kind that meet in one task.
 BLOCK = 4096
 
@@ -35,23 +35,12 @@ class MultiIndex:
 
     @classmethod
     def fit(cls, x: np.ndarray, k: int, cosine: float) -> MultiIndex:
-        """``x``: unit rows. The stop is the quantile RECALL of the bound between sampled rows and
-        made neighbours at just ``cosine`` in random directions, and never above the exact bound."""
+        """``x``: unit rows. The stop is the squared distance of unit vectors at ``cosine``, and a margin
+        for rounding. As bounds are never above the true distance, no link lies in a cell beyond it."""
         cut = x.shape[1] // 2
         k = min(k, len(x))
         halves = (nearest_means(x[:, :cut], k, seed=1), nearest_means(x[:, cut:], k, seed=2)) if cut else (np.zeros((1, 0)), nearest_means(x, k))
-        self = cls(halves, 2 - 2 * cosine, cut)
-        rng = np.random.default_rng(3)
-        near = np.repeat(x, max(1, 20_000 // len(x)), axis=0)
-        away = rng.normal(size=near.shape)
-        away -= (away * near).sum(1, keepdims=True) * near
-        away /= np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-12)
-        other = cosine * near + np.sqrt(max(0.0, 1 - cosine**2)) * away
-        (i, j), bounds = self.cells(other), self.bounds(near)
-        rows = np.arange(len(near))
-        gap = bounds[0][rows, i] + bounds[1][rows, j]
-        self.stop = min(self.stop, float(np.quantile(gap, RECALL)))
-        return self
+        return cls(halves, 2 - 2 * cosine + MARGIN, cut)
 
     def parts(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return x[:, : self.cut], x[:, self.cut:]
@@ -65,7 +54,8 @@ class MultiIndex:
         for h, c in zip(self.parts(x), self.halves):
             score = (c**2).sum(1) - 2 * h @ c.T
             own = np.argmin(score, axis=1)
-            apart = np.sqrt(np.maximum(((c[:, None] - c[None]) ** 2).sum(-1), 1e-18))[own]
+            # a divisor above the distance of centres that all but coincide keeps rounding below MARGIN, and the bound a bound
+            apart = np.sqrt(np.maximum(((c[:, None] - c[None]) ** 2).sum(-1), 1e-12))[own]
             out.append((np.maximum(score - score[np.arange(len(h)), own][:, None], 0) / (2 * apart)) ** 2)
         return tuple(out)
 

@@ -5,7 +5,7 @@ import pytest
 import xxhash
 
 from notewell.llm import ann, embdedup, queries, simhash
-from notewell.llm.common import prepare
+from notewell.llm.common import least_labels, prepare
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -158,3 +158,13 @@ def test_embedding_dedup_against_brute_force(spark, monkeypatch, block):
     if not missed:
         assert got == want
     assert embdedup.link_vectors(df.limit(0), "vec_id", "embedding", "label", 0.93).count() == 0
+
+
+def test_embedding_dedup_loses_no_link_on_low_rank_vectors(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 4)) @ rng.normal(size=(4, 64))
+    df = spark.createDataFrame([(i, [float(v) for v in row], 1) for i, row in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embdedup.link_vectors(df, "vec_id", "embedding", "label", 0.93).collect()}
+    link = cosines(x) >= 0.93
+    root = least_labels(len(x), *np.nonzero(link))
+    assert got == {i: (int(link[i].sum()) - 1, int(root[i])) for i in range(len(x))}
