@@ -3,8 +3,9 @@
 Unit vectors are cut into short subspaces with sixteen codewords each. Codewords are fitted,
 and codes chosen, under an anisotropic loss: the part of the residual that is parallel to the
 vector, which shifts large inner products most, weighs more than the rest. A search adds up
-four-bit table entries (two codes to a byte) over all codes of a block, and the best by that
-estimate are scored exactly.
+four-bit table entries (two codes to a byte) over all codes of a block. The best by that
+estimate are scored exactly, and then every row whose estimate and error bound reach the k-th
+best exact score so far.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ from .common import common_length, matrix, nearest_means, sound_vector, unit_row
 SAMPLE, WIDTH, WORDS = 4096, 2, 16
 #: The loss counts inner products above this share of a vector's length.
 THRESHOLD = 0.2
-#: Rows and queries that meet in one task; rows of a block that are scored exactly for each query.
+#: Rows and queries that meet in one task; rows that are scored exactly at a time for each query.
 ROWS, QUERIES, RERANK = 8192, 2048, 256
+#: Added to the error bound for the rounding of estimates, which are summed in single precision.
+MARGIN = 1e-5
 
 
 @dataclass
@@ -84,6 +87,26 @@ class Quantiser:
         fitted = np.linalg.solve(left, right).reshape(m, WORDS, w)
         self.books = np.where((used > 0).reshape(m, WORDS, 1), fitted, self.books)
 
+    def residuals(self, x: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the unit rows' residuals the part along the row (signed), and the length of the rest."""
+        rest = (self.cut(x) - self.books[np.arange(len(self.books)), codes]).reshape(len(x), -1)[:, : self.dim]
+        along = (rest * x).sum(1)
+        return along, np.linalg.norm(rest - along[:, None] * x, axis=1)
+
+    @staticmethod
+    def least_estimate(score: np.ndarray, along: np.ndarray, across: np.ndarray) -> np.ndarray:
+        """Below this estimate no row with such a residual has a cosine of ``score`` or more.
+
+        A unit query at cosine s to the row is s times the row and at most sqrt(1 - s^2) of anything
+        else, so its estimate is at least (1 - along) s - across sqrt(1 - s^2). Over all s from
+        ``score`` to 1 that is least at an end, or at the bottom of its one dip.
+        """
+        slope = 1 - along
+        dip = -slope / np.maximum(np.hypot(slope, across), 1e-300)
+        at = lambda s: slope * s - across * np.sqrt(np.maximum(1 - s**2, 0))
+        score = np.clip(score, -1, 1)
+        return np.minimum(at(np.maximum(score, dip)), at(1.0)) - MARGIN
+
     def pack(self, codes: np.ndarray) -> np.ndarray:
         return (codes[:, 0::2] | codes[:, 1::2] << 4).astype(np.uint8)
 
@@ -103,7 +126,8 @@ def search(df: DataFrame, id_col: str, vec_col: str, is_query: Column, k: int) -
     repeat an id count as one, with the smallest of their vectors. Without queries or vectors there are
     no rows. Other columns are ignored.
 
-    Every row is encoded and scanned; codewords come from at most SAMPLE rows, chosen by hash.
+    Every row is encoded and scanned; codewords come from at most SAMPLE rows, chosen by hash. They
+    only decide how many rows are scored exactly, not which are found.
     Rows and queries meet in a grid of bounded blocks. Equal vectors of a block are scanned once, and
     their smallest ids stand for the rest.
     """
@@ -121,9 +145,14 @@ def search(df: DataFrame, id_col: str, vec_col: str, is_query: Column, k: int) -
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            packed = quantiser.pack(quantiser.assign(unit_rows(matrix(b.column(1), dim)))) if b.num_rows else []
+            if not b.num_rows:
+                continue
+            x = unit_rows(matrix(b.column(1), dim))
+            codes = quantiser.assign(x)
+            along, across = quantiser.residuals(x, codes)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([c.tobytes() for c in packed], pa.binary())], names=["id", "v", "code"])
+                [b.column(0), b.column(1), pa.array([c.tobytes() for c in quantiser.pack(codes)], pa.binary()), pa.array(along), pa.array(across)],
+                names=["id", "v", "code", "along", "across"])
 
     def blocks(total: int, size: int) -> int:
         return -(-total // size)
@@ -132,8 +161,8 @@ def search(df: DataFrame, id_col: str, vec_col: str, is_query: Column, k: int) -
     # another hash for queries, so that they do not gather in a few of the rows' blocks
     rb, qb = F.pmod(F.xxhash64("id"), F.lit(row_blocks)), F.pmod(F.xxhash64("id", F.lit("q")), F.lit(query_blocks))
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)).cast("array<bigint>"))
-    coded = rows.select("id", "v").mapInArrow(code, "id long, v array<double>, code binary")
-    coded = coded.select("id", "v", "code", rb.alias("rb"), every(query_blocks).alias("qb"))
+    coded = rows.select("id", "v").mapInArrow(code, "id long, v array<double>, code binary, along double, across double")
+    coded = coded.select("id", "v", "code", "along", "across", rb.alias("rb"), every(query_blocks).alias("qb"))
     queries = rows.where("q").select("id", "v", qb.alias("qb"), every(row_blocks).alias("rb"))
 
     def scan(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -149,27 +178,42 @@ def _scan(rows: pa.Table, queries: pa.Table, quantiser: Quantiser, dim: int, k:
     if rows.num_rows and queries.num_rows:
         ids, v = rows.column("id").to_numpy(), matrix(rows.column("v"), dim)
         codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
+        along, across = rows.column("along").to_numpy(), rows.column("across").to_numpy()
         order = np.argsort(ids, kind="stable")
-        ids, v, codes = ids[order], v[order], codes[order]
+        ids, v, codes, along, across = ids[order], v[order], codes[order], along[order], across[order]
         _, first, own = np.unique(v, axis=0, return_index=True, return_inverse=True)
         members = np.split(np.argsort(own.ravel(), kind="stable"), np.cumsum(np.bincount(own.ravel()))[:-1])
         # smallest ids of each distinct vector: k, and one in case the query is among them
         kept = np.full((len(first), k + 1), -1)
         for g, rows_of in enumerate(members):
             kept[g, : len(rows_of)] = rows_of[: k + 1]
-        v, codes, unit = v[first], codes[first], unit_rows(v[first])
+        v, codes, along, across, unit = v[first], codes[first], along[first], across[first], unit_rows(v[first])
         q_ids, q_all = queries.column("id").to_numpy(), unit_rows(matrix(queries.column("v"), dim))
         for at in range(0, len(q_ids), 64):
             q, qi = q_all[at: at + 64], q_ids[at: at + 64]
             tables, score = quantiser.tables(q), np.zeros((len(q), len(v)), np.float32)
             for byte in range(codes.shape[1]):
                 score += tables[:, byte][:, codes[:, byte]]
-            c = min(RERANK, len(v))
+            c = min(max(RERANK, k + 1), len(v))
             near = np.argpartition(-score, c - 1, axis=1)[:, :c]
             exact = np.einsum("qcd,qd->qc", unit[near], q)
             # k + 1 distinct vectors by score, ties to the smaller first id
             best = np.lexsort((ids[first][near], -exact), axis=1)[:, : k + 1]
+            taken = near
             near, exact = np.take_along_axis(near, best, 1), np.take_along_axis(exact, best, 1)
+            if c < len(v):
+                np.put_along_axis(score, taken, -np.inf, 1)
+                # the (k + 1)-th score of the first batch only rises, so none but these rows can be among the best
+                open_ = score >= Quantiser.least_estimate(exact[:, -1:], along, across)
+                for r in np.nonzero(open_.any(axis=1))[0]:
+                    rest = np.nonzero(open_[r])[0]
+                    rest = rest[np.argsort(-score[r, rest])]
+                    for start in range(0, len(rest), RERANK):
+                        more = rest[start: start + RERANK]
+                        more = more[score[r, more] >= Quantiser.least_estimate(exact[r, -1], along[more], across[more])]
+                        rows_, scores_ = np.r_[near[r], more], np.r_[exact[r], np.einsum("cd,d->c", unit[more], q[r])]
+                        best = np.lexsort((ids[first][rows_], -scores_))[: k + 1]
+                        near[r], exact[r] = rows_[best], scores_[best]
             at_rows = kept[near]
             found = np.where(at_rows >= 0, ids[at_rows], np.iinfo(np.int64).max)
             s = np.where((at_rows >= 0) & (found != qi[:, None, None]), exact[:, :, None], -np.inf)

@@ -168,3 +168,13 @@ def test_embedding_dedup_loses_no_link_on_low_rank_vectors(spark):
     link = cosines(x) >= 0.93
     root = least_labels(len(x), *np.nonzero(link))
     assert got == {i: (int(link[i].sum()) - 1, int(root[i])) for i in range(len(x))}
+
+
+def test_nearest_in_a_large_group_of_near_copies(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(6000, 64))
+    x[:2000] = x[0] / np.linalg.norm(x[0]) + rng.normal(size=(2000, 64)) * 0.018
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = [i for i in range(6000) if i % 100 == 0]
+    got = ann.search(df, "vec_id", "embedding", F.col("vec_id") % 100 == 0, 5).collect()
+    assert {(r.query_id, r["rank"], r.vec_id) for r in got} == brute_nearest(list(range(6000)), x, asked, 5)
