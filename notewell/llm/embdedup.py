@@ -2,9 +2,10 @@
 
 Either half of a unit vector has a codebook of its own; pairs of centres form a grid of cells. For a
 vector, a cell's distance is bounded from below by how far the vector's halves lie from the
-bisecting planes between their nearest centres and the cell's. Cells are visited nearest first
-until the bound passes the distance of the asked cosine, so that no link is lost, and
-their members are verified by exact cosine.
+bisecting planes between their nearest centres and the cell's. A vector walks its two bound lists,
+both nearest first, as far as their sum stays within the distance of the asked cosine, so that no link
+is lost. Each cell has an inverted list of its members; only the lists of visited cells are
+multiplied with the visitor. Vectors are shipped by SPAN cells of the first half at a time.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from .common import common_length, connected_components, join_measured, least_la
 
 #: Vectors that the codebooks are fitted on, and what is added to the stop for rounding.
 SAMPLE, MARGIN = 8192, 1e-6
-#: Rows of either kind that meet in one task.
-BLOCK = 4096
+#: Rows of either kind that meet in one task, and cells of the first half that are shipped together.
+BLOCK, SPAN = 4096, 4
 
 
 @dataclass
@@ -59,17 +60,31 @@ class MultiIndex:
             out.append((np.maximum(score - score[np.arange(len(h)), own][:, None], 0) / (2 * apart)) ** 2)
         return tuple(out)
 
-    def visits(self, x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """(rows, k, k) mask: the cells each row visits, from its own on in cell order.
+    def visits(self, x: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) of all visits, cell (i, j) numbered i * kb + j; of two rows, the one in the earlier cell visits the other's.
 
-        Rows of one half's bounds in rising order are walked against the other half's, as far as their sum stays
-        within the stop. Of two rows, the one in the earlier cell visits the other's.
+        Either half's bounds are sorted. As the walk goes up the first list, the part of the second whose sums
+        stay within the stop only shrinks, so a row takes at most ka + kb steps, and one for each cell it emits.
         """
         a, b = self.bounds(x)
-        near = a[:, :, None] + b[:, None, :] <= self.stop
-        ka, kb = a.shape[1], b.shape[1]
-        cell = np.arange(ka)[:, None] * kb + np.arange(kb)
-        return near & (cell[None] >= (i * kb + j)[:, None, None])
+        up, over = np.argsort(a, axis=1), np.argsort(b, axis=1)
+        a, b = np.take_along_axis(a, up, 1), np.take_along_axis(b, over, 1)
+        kb = b.shape[1]
+        end, out = np.full(len(x), kb), [(np.array([], int),) * 2]
+        live = np.arange(len(x))
+        for s in range(a.shape[1]):
+            live = live[a[live, s] <= self.stop]
+            while (far := live[(end[live] > 0) & (a[live, s] + b[live, end[live] - 1] > self.stop)]).size:
+                end[far] -= 1
+            live = live[end[live] > 0]
+            # cells of an earlier half-cell than the row's own are left to the rows there
+            go = live[up[live, s] >= i[live]]
+            row = np.repeat(go, end[go])
+            rank = np.arange(len(row)) - np.repeat(np.cumsum(end[go]) - end[go], end[go])
+            cell = up[row, s] * kb + over[row, rank]
+            ahead = cell >= i[row] * kb + j[row]
+            out.append((row[ahead], cell[ahead]))
+        return tuple(np.concatenate(z) for z in zip(*out))
 
 
 def link_vectors(df: DataFrame, id_col: str, vec_col: str, label_col: str, cosine: float) -> DataFrame:
@@ -118,31 +133,36 @@ def _compare(nodes: DataFrame, n: int, dim: int, cosine: float) -> DataFrame:
     rows = nodes.select("label", "node", "copies", "v")
 
     def route(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
-        """Each row as a member of its own first-half cell, and as a visitor of each it looks into."""
+        """Each row as a member of its own cell, and as a visitor, once for each span of cells it looks into."""
+        kb = len(index.halves[1])
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 x = unit_rows(matrix(part.column(3), dim))
                 i, j = index.cells(x)
-                mask = index.visits(x, i, j)
-                row, to = np.nonzero(mask.any(axis=2))
-                take = np.r_[np.arange(len(x)), row]
-                names = {"label": part.column(0).take(pa.array(take)), "cell": pa.array(np.r_[i, to], pa.int32()),
-                         "visits": pa.array(np.r_[np.zeros(len(x)), np.ones(len(row))].astype(bool)), "node": part.column(1).take(pa.array(take))}
+                row, cell = index.visits(x, i, j)
+                order = np.lexsort((cell, row))
+                row, cell = row[order], cell[order]
+                span = cell // (SPAN * kb)
+                first = np.nonzero(np.r_[True, (row[1:] != row[:-1]) | (span[1:] != span[:-1])][: len(row)])[0]
+                take = np.r_[np.arange(len(x)), row[first]]
+                names = {"label": part.column(0).take(pa.array(take)), "span": pa.array(np.r_[i // SPAN, span[first]], pa.int32()),
+                         "visits": pa.array(np.r_[np.zeros(len(x)), np.ones(len(first))].astype(bool)), "node": part.column(1).take(pa.array(take))}
                 if whole:
-                    seen = np.packbits(mask[row, to], axis=1)
+                    # a member's one cell, or all cells of the span that a visitor looks into
+                    offsets = np.r_[np.arange(len(x)), len(x) + first, len(x) + len(row)].astype(np.int32)
                     names |= {
                         "copies": part.column(2).take(pa.array(take)), "v": part.column(3).take(pa.array(take)),
-                        "j": pa.array(j[take], pa.int32()), "own": pa.array(np.r_[np.zeros(len(x)), to == i[row]].astype(bool)),
-                        "seen": pa.array([b""] * len(x) + [s.tobytes() for s in seen], pa.binary())}
+                        "own": pa.array((i * kb + j)[take], pa.int32()),
+                        "cells": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.r_[i * kb + j, cell], pa.int32()))}
                 yield pa.RecordBatch.from_pydict(names)
 
-    key = f"label {label}, cell int, visits boolean, node long"
-    sizes = rows.mapInArrow(lambda b: route(b, False), key).groupBy("label", "cell").agg(
+    key = f"label {label}, span int, visits boolean, node long"
+    sizes = rows.mapInArrow(lambda b: route(b, False), key).groupBy("label", "span").agg(
         F.ceil(F.count_if("visits") / BLOCK).cast("int").alias("vb"), F.ceil(F.count_if(~F.col("visits")) / BLOCK).cast("int").alias("mb"))
     sizes = sizes.where("vb > 0 AND mb > 0").checkpoint()
-    routed = rows.mapInArrow(lambda b: route(b, True), f"{key}, copies long, v array<double>, j int, own boolean, seen binary")
-    routed = join_measured(routed, sizes, ["label", "cell"])
+    routed = rows.mapInArrow(lambda b: route(b, True), f"{key}, copies long, v array<double>, own int, cells array<int>")
+    routed = join_measured(routed, sizes, ["label", "span"])
     block = lambda count: F.pmod(F.xxhash64("node"), F.col(count)).cast("int")
     every = lambda count: F.sequence(F.lit(0), F.col(count) - 1)
     routed = routed.withColumn("_v", F.explode(F.when(F.col("visits"), F.array(block("vb"))).otherwise(every("vb"))))
@@ -151,7 +171,7 @@ def _compare(nodes: DataFrame, n: int, dim: int, cosine: float) -> DataFrame:
     def verify(unit: pa.Table) -> pa.Table:
         return _verify(unit, dim, cosine)
 
-    return routed.drop("vb", "mb").groupBy("label", "cell", "_v", "_m").applyInArrow(verify, "node long, links long, root long")
+    return routed.drop("vb", "mb").groupBy("label", "span", "_v", "_m").applyInArrow(verify, "node long, links long, root long")
 
 
 def _verify(unit: pa.Table, dim: int, cosine: float) -> pa.Table:
@@ -164,19 +184,25 @@ def _verify(unit: pa.Table, dim: int, cosine: float) -> pa.Table:
     if len(a) and len(b):
         x, y = unit_rows(matrix(left.column("v"), dim)), unit_rows(matrix(right.column("v"), dim))
         ca, cb = left.column("copies").to_numpy(), right.column("copies").to_numpy()
-        ja, jb = left.column("j").to_numpy(), right.column("j").to_numpy()
-        own = left.column("own").to_numpy()
-        seen = np.unpackbits(np.frombuffer(b"".join(left.column("seen").to_pylist()), np.uint8).reshape(len(a), -1), axis=1).astype(bool)
-        for at in range(0, len(a), 256):
-            s = slice(at, at + 256)
-            hit = (x[s] @ y.T >= cosine) & seen[s][:, jb]
-            # inside its own cell a row meets only those with a larger node
-            hit &= ~((own[s] & True)[:, None] & (ja[s][:, None] == jb[None]) & (a[s][:, None] >= b[None]))
-            p, q = np.nonzero(hit)
-            p += at
-            np.add.at(links, pa_[p], cb[q])
-            np.add.at(links, pb[q], ca[p])
-            pairs.append((pa_[p], pb[q]))
+        own, of = left.column("own").to_numpy(), right.column("own").to_numpy()
+        looks = left.column("cells").combine_chunks()
+        visitor, cell = np.repeat(np.arange(len(a)), np.diff(looks.offsets.to_numpy())), looks.flatten().to_numpy()
+        # both sides by cell: the members' inverted lists, and who looks into each
+        lists, asks = np.argsort(of, kind="stable"), np.argsort(cell, kind="stable")
+        of, visitor, cell = of[lists], visitor[asks], cell[asks]
+        for c in np.unique(of):
+            m = lists[slice(*np.searchsorted(of, (c, c + 1)))]
+            who = visitor[slice(*np.searchsorted(cell, (c, c + 1)))]
+            for at in range(0, len(who), 256):
+                w = who[at: at + 256]
+                hit = x[w] @ y[m].T >= cosine
+                # inside its own cell a row meets only those with a larger node
+                hit &= (own[w] != c)[:, None] | (a[w][:, None] < b[m][None])
+                p, q = np.nonzero(hit)
+                p, q = w[p], m[q]
+                np.add.at(links, pa_[p], cb[q])
+                np.add.at(links, pb[q], ca[p])
+                pairs.append((pa_[p], pb[q]))
     p, q = (np.concatenate(x) for x in zip(*pairs))
     root = nodes[least_labels(len(nodes), p, q)] if len(p) else nodes
     met = links > 0

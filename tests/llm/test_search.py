@@ -1,6 +1,7 @@
 """SimHash, nearest neighbours and embedding dedup against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -178,3 +179,30 @@ def test_nearest_in_a_large_group_of_near_copies(spark):
     asked = [i for i in range(6000) if i % 100 == 0]
     got = ann.search(df, "vec_id", "embedding", F.col("vec_id") % 100 == 0, 5).collect()
     assert {(r.query_id, r["rank"], r.vec_id) for r in got} == brute_nearest(list(range(6000)), x, asked, 5)
+
+
+def test_multi_index_walk_and_inverted_lists(monkeypatch):
+    x = np.random.default_rng(7).normal(size=(2000, 6)) @ np.random.default_rng(8).normal(size=(6, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = embdedup.MultiIndex.fit(x, 12, 0.93)
+    i, j = index.cells(x)
+    a, b = index.bounds(x)
+    within = (a[:, :, None] + b[:, None] <= index.stop).reshape(len(x), -1) & (np.arange(144) >= (i * 12 + j)[:, None])
+    row, cell = index.visits(x, i, j)
+    assert sorted(zip(row.tolist(), cell.tolist())) == [tuple(z) for z in np.argwhere(within).tolist()]
+
+    multiplied = []
+
+    class Counted(np.ndarray):
+        def __matmul__(self, other):
+            multiplied.append(self.shape[0] * other.shape[1])
+            return np.asarray(self) @ np.asarray(other)
+
+    monkeypatch.setattr(embdedup, "unit_rows", lambda m: m.view(Counted))
+    visits = np.arange(560) < 10
+    own, cells = np.where(visits, 3, np.where(np.arange(560) < 60, 4, 5)), [[4] if v else [o] for v, o in zip(visits, np.where(np.arange(560) < 60, 4, 5).tolist())]
+    unit = pa.table({"visits": visits, "node": np.arange(560), "copies": np.ones(560, np.int64), "v": pa.array(x[:560].tolist()), "own": own, "cells": cells})
+    got = {r["node"]: r["links"] for r in embdedup._verify(unit, 32, 0.5).to_pylist()}
+    hit = x[:10] @ x[10:60].T >= 0.5
+    want = np.r_[hit.sum(1), hit.sum(0)]
+    assert got == {n: int(c) for n, c in enumerate(want) if c} and sum(multiplied) == 10 * 50
