@@ -135,14 +135,23 @@ def groups(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each group, with all its columns: that with the smallest doc_id.
 
-    Rows that repeat that doc_id are told apart by their text's hash, and one stays. A group
-    without any doc_id keeps one row as well. Texts move once, by doc_id.
+    Rows of the group that repeat that doc_id are told apart by their text's hash, and one stays; rows of other groups
+    with that doc_id do not count. A group without any doc_id keeps one row as well. Texts move once, by doc_id;
+    only those whose doc_id stands for different fingerprints are fingerprinted again.
     """
     members = groups(docs).checkpoint()
     columns = docs.columns
-    chosen = members.where("doc_id = component_id").select("doc_id").distinct()
+    chosen = members.where("doc_id IS NOT NULL").groupBy("doc_id").agg(
+        F.bool_or(F.col("doc_id") == F.col("component_id")).alias("least"), (F.min("fp") == F.max("fp")).alias("single")).where("least").checkpoint()
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    kept = docs.join(chosen, "doc_id", "left_semi").withColumn("__nth", nth).where("__nth = 1").select(*columns)
+    kept = docs.join(chosen.where("single"), "doc_id", "left_semi").withColumn("__nth", nth).where("__nth = 1").select(*columns)
+    several = chosen.where("NOT single").select("doc_id")
+    if not several.isEmpty():
+        rows = docs.join(several, "doc_id", "left_semi").withColumn("__row", F.xxhash64(*columns)).dropDuplicates(["__row"])
+        marks = fingerprints(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), F.col("fp").alias("__fp"))
+        groups_of = members.where("doc_id = component_id").select("doc_id", F.col("fp").alias("__fp"), F.col("root").alias("__root")).distinct()
+        nth = F.row_number().over(Window.partitionBy("__root").orderBy(F.xxhash64("text"), "__row"))
+        kept = kept.union(rows.join(marks, "__row").join(groups_of, ["doc_id", "__fp"]).withColumn("__nth", nth).where("__nth = 1").select(*columns))
     nameless = members.where("component_id IS NULL").select("fp", "root").distinct()
     if nameless.isEmpty():
         return kept

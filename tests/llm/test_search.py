@@ -206,3 +206,13 @@ def test_multi_index_walk_and_inverted_lists(monkeypatch):
     hit = x[:10] @ x[10:60].T >= 0.5
     want = np.r_[hit.sum(1), hit.sum(0)]
     assert got == {n: int(c) for n, c in enumerate(want) if c} and sum(multiplied) == 10 * 50
+
+
+def test_keep_one_with_repeated_ids(spark):
+    texts = ["red apples fall in autumn", "two ships left the harbour", "seven birds sang all night", "the old mill stands still"]
+    fps = [plain_fingerprint(t) for t in texts]
+    assert all((fps[i] ^ fps[j]).bit_count() > 3 for i in range(4) for j in range(i))
+    # id 5 stands for three texts; the last of them is in id 1's group
+    docs = [(1, texts[2]), (5, texts[0]), (5, texts[1]), (5, texts[2]), (5, texts[1]), (6, texts[0]), (7, texts[3]), (7, texts[3])]
+    kept = simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept)) == sorted([(1, texts[2]), (5, texts[0]), (5, texts[1]), (7, texts[3])])
