@@ -38,9 +38,10 @@ HREF = '<a href="([^"]*)"'
 TITLE = r"<title>([^\s<.,%*&#$!|]+)"
 
 
-def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, pos, target): the first ten links of each page, by the name that they lead to."""
-    found = F.slice(F.regexp_extract_all(T.text_or_empty(F.col("html")), F.lit(HREF), F.lit(1)), 1, 10)
+def page_links(spark: SparkSession, sf_dir: str, first: int | None = 10) -> DataFrame:
+    """(src, pos, target): the first ten links of each page, or all with None, by the name that they lead to."""
+    found = F.regexp_extract_all(T.text_or_empty(F.col("html")), F.lit(HREF), F.lit(1))
+    found = found if first is None else F.slice(found, 1, first)
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("src"), F.posexplode(found).alias("pos", "href"))
     return pages.select("src", "pos", F.lower(F.regexp_replace("href", "^/|[,.]+$", "")).alias("target"))
 
@@ -89,7 +90,7 @@ def graph_1hop(spark: SparkSession, sf_dir: str) -> DataFrame:
 @add(f"WITH {LINKS} SELECT n.id, count(DISTINCT r.src)::BIGINT AS inbound FROM n LEFT JOIN r ON r.dst = n.id AND r.src <> n.id GROUP BY n.id")
 def inbound_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     notes = page_notes(spark, sf_dir)
-    return L.inbound(L.resolve(page_links(spark, sf_dir), notes), notes)
+    return L.inbound(L.resolve(page_links(spark, sf_dir, None), notes), notes)
 
 
 SYMBOL = "[A-Z][a-z]{5,}"

@@ -30,3 +30,13 @@ def test_query_equals_sql(spark, duck, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(catalogue.QUERIES) <= set(__spark_entry__.queries()) and set(catalogue.SQL) <= set(__spark_entry__.oracle_sql())
+
+
+def test_inbound_links_counts_links_after_the_tenth(spark, tmp_path):
+    names = [f"note{i}" for i in range(13)]
+    linked = "".join(f'<a href="/{n}">x</a>' for n in names[1:])
+    pages = [(i, f"http://h/s/{n}", f"<title>{n} t</title>" + linked * (i == 0)) for i, n in enumerate(names)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.id: r.inbound for r in catalogue.QUERIES["inbound_links"](spark, str(tmp_path)).collect()}
+    assert got == {0: 0} | {i: 1 for i in range(1, 13)}
+    assert catalogue.QUERIES["extract_links"](spark, str(tmp_path)).count() == 10
