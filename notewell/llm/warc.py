@@ -100,13 +100,13 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """One row per record: page_id, kind, refers, digest (as the record says), bytes and sha1 (of its own payload).
 
     A record whose payload holds the magic lies in several segments; just those segments are
-    read again and put together.
+    read again and put together. They are known again by file and content, as a later scan may be
+    cut into other partitions than the first: numbers of rows hold inside one scan only.
     """
     prepare(spark)
-    raw = spark.read.option("lineSep", MAGIC).text(path).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"),
-        F.monotonically_increasing_id().alias("nth"))
-    seen = _parse(raw.withColumn("seg", F.octet_length("value").cast("long"))).checkpoint()
+    lines = spark.read.option("lineSep", MAGIC).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.md5("value").alias("mark"), F.col("_metadata.file_block_start").alias("part"))
+    raw = lines.select("*", F.monotonically_increasing_id().alias("nth"), F.octet_length("value").cast("long").alias("seg"))
+    seen = _parse(raw).checkpoint()
 
     # offsets: the segments and the magics between them tile the file
     m = len(MAGIC)
@@ -119,7 +119,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     placed = placed.withColumn("off", F.col("_in") + F.col("_before") - m).where("off >= 0")
     size = F.col("start") + F.col("length") + 4
     placed = placed.withColumn("next", F.col("off") + m + size).withColumn("whole", size == F.col("seg"))
-    placed = placed.drop("_in", "_before", "part").checkpoint()
+    placed = placed.drop("_in", "_before", "part", "nth").checkpoint()
 
     true = reachable(placed.select("file", "off", "next"))
     marked = placed.join(true.withColumn("_true", F.lit(True)), ["file", "off"], "left").withColumn("_true", F.coalesce("_true", F.lit(False))).checkpoint()
@@ -128,11 +128,13 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
     # records in several segments
     owner = F.max(F.when(F.col("_true"), F.struct("off", "whole"))).over(Window.partitionBy("file").orderBy("off"))
-    torn = marked.select("file", "off", "nth", "_true", "whole").withColumn("own", owner).where("own IS NOT NULL AND NOT own.whole")
-    torn = torn.select("nth", F.col("own.off").alias("own"), F.col("off").alias("at")).checkpoint()
+    torn = marked.select("file", "off", "mark", "_true", "whole").withColumn("own", owner).where("own IS NOT NULL AND NOT own.whole")
+    torn = torn.select("file", "mark", F.col("own.off").alias("own"), F.col("off").alias("at")).checkpoint()
     if torn.isEmpty():
         return records
-    bits = join_measured(raw, torn, "nth").groupBy("file", "own").agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("bits"))
+    wanted = torn.select("file", "mark").distinct().checkpoint()
+    texts = join_measured(lines.select("file", "mark", "value"), wanted, ["file", "mark"]).dropDuplicates(["file", "mark"])
+    bits = texts.join(torn, ["file", "mark"]).groupBy("file", "own").agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("bits"))
     whole = bits.select(F.array_join(F.transform("bits", lambda b: b["value"]), MAGIC).alias("value"))
     return records.unionByName(_parse(whole).select(*fields))
 

@@ -174,6 +174,27 @@ def test_warc_round_trip(spark):
     assert re.match(r"WARC/1\.1\r\nWARC-Type: (response|revisit)\r\n", raw) and raw.endswith("\r\n\r\n")
 
 
+def test_warc_read_again_in_another_layout(spark):
+    magic = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:77>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    pages = spark.range(120).select(
+        F.col("id").alias("page_id"), F.lit("u").alias("url"),
+        F.concat(F.lit("p"), F.col("id").cast("string"), F.when(F.col("id") % 3 == 0, magic).otherwise(""), F.repeat(F.lit("z"), (F.col("id") * 7).cast("int"))).alias("html"))
+    path = scratch(spark, "warc")
+    warc.write_warc(pages.repartition(8), path, per_file=10)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.minPartitionNum", "spark.sql.files.openCostInBytes") if spark.conf.get(k, None)}
+    try:
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")
+        records = warc.read_warc(spark, path)
+        spark.conf.set("spark.sql.files.minPartitionNum", "40")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        got = {r.page_id: (r.payload_bytes, r.payload_digest) for r in warc.resolve(records).collect()}
+    finally:
+        for k in ("spark.sql.files.minPartitionNum", "spark.sql.files.openCostInBytes"):
+            spark.conf.set(k, before[k]) if k in before else spark.conf.unset(k)
+    want = {r.page_id: (len(r.html), base64.b32encode(hashlib.sha1(r.html.encode()).digest()).decode()) for r in pages.collect()}
+    assert got == want
+
+
 def test_warc_small_payloads_and_empty(spark):
     pages = spark.createDataFrame([(1, "u", "aa"), (2, "u", "aa"), (3, "u", "bbbb"), (4, "u", "bbbb")], "page_id long, url string, html string")
     path = scratch(spark, "warc")
