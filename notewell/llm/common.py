@@ -19,6 +19,8 @@ from ..session import shared_dir, ship
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows up to which the small side of a join may be broadcast.
 BROADCAST_ROWS = 20_000
+#: A key is hot with more than HOT rows and more than one in SPREAD of all.
+HOT, SPREAD = 1024, 1024
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -74,35 +76,50 @@ def with_position(df: DataFrame, order: list[Column], name: str = "position") ->
     )
 
 
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], weight: str, n: int) -> DataFrame:
+    """Inner join with a ``right`` that has one row a key, whose ``weight`` says how many of the ``n`` rows of ``left`` have it.
+
+    Keys of more than a SPREADth of all rows (and of more than HOT rows) are fewer than SPREAD, so these are broadcast, and
+    their rows stay where they are; the others shuffle, where no key is large. ``right`` should be a checkpoint.
+    """
+    if n <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right.drop(weight)), on)
+    bound = max(HOT, n // SPREAD)
+    hot = right.where(F.col(weight) > bound).drop(weight)
+    if hot.isEmpty():
+        return left.join(right.drop(weight), on)
+    cold = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(right.where(F.col(weight) <= bound).drop(weight), on)
+    return left.join(F.broadcast(hot), on).unionByName(cold)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of ``edges`` (a, b); root is the smallest node that is reachable.
 
-    Alternates large-star and small-star steps until the edges no longer change. Each step is a
-    pre-aggregated minimum and a join, so a hub is split by adaptive skew handling, and each
-    round's edges are checkpointed.
+    Alternates large-star and small-star steps until each node has one edge, and that to a node without a smaller
+    neighbour, which is counted exactly. Each step is a pre-aggregated minimum and a join that does not
+    gather a hub's edges; each round's edges are checkpointed.
     """
     edges = (
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .where("u <> v").distinct().checkpoint()
     )
-    sign = None
     while True:
-        seen = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_003).alias("h")).first()
-        if (seen["n"], seen["h"]) == sign or not seen["n"]:
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+            edges.select("v", F.lit(0), F.lit(1))).groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        seen = ends.agg(F.coalesce(F.sum("up"), F.lit(0)).alias("n"), F.count_if((F.col("up") > 1) | (F.col("up") == 1) & (F.col("down") == 1)).alias("open")).first()
+        if not seen["open"]:
             break
-        sign = (seen["n"], seen["h"])
-        both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(small, "u")
-        edges = (
-            moved.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .union(small.select("u", F.col("m").alias("v"))).distinct()
-        )
-        edges = compact(edges, 2 * seen["n"]).checkpoint()
-    nodes = edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
-    return nodes.union(edges.select("v", F.col("v")).distinct())
+        n = seen["n"]
+        # large star: an edge's larger end moves to the least neighbour of the smaller end, if that is less than the end itself
+        least = edges.select("u", "v").union(edges.select("v", "u")).groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("w"))
+        least = compact(least.where("w > 0").select(F.col("u").alias("v"), F.least("u", "m").alias("m"), "w"), n).checkpoint()
+        large = join_hot(edges, least, ["v"], "w", n).select("u", F.col("m").alias("v")).where("u <> v").distinct()
+        large = compact(large, n).checkpoint()
+        # small star: a node and its smaller neighbours move to the least of these
+        small = compact(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("w")), n).checkpoint()
+        moved = join_hot(large, small, ["u"], "w", n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = compact(moved.union(small.select("u", "m")).distinct(), 2 * n).checkpoint()
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", F.col("v")).distinct())
 
 
 def sound_vector(vector: Column) -> Column:
