@@ -2,10 +2,10 @@
 
 Either half of a unit vector has a codebook of its own; pairs of centres form a grid of cells. For a
 vector, a cell's distance is bounded from below by how far the vector's halves lie from the
-bisecting planes between their nearest centres and the cell's. A vector walks its two bound lists,
-both nearest first, as far as their sum stays within the distance of the asked cosine, so that no link
-is lost. Each cell has an inverted list of its members; only the lists of visited cells are
-multiplied with the visitor. Vectors are shipped by SPAN cells of the first half at a time.
+bisecting planes between their nearest centres and the cell's. A vector's traversal merges the sequences of
+cells that its sorted bounds make, and so visits cells nearest first, until the next one is beyond the distance of the
+asked cosine: that is the stop at which recall is one. Each cell has an inverted list of its members; only the
+lists of visited cells are multiplied with the visitor. Vectors are shipped by SPAN cells of the first half at a time.
 """
 
 from __future__ import annotations
@@ -18,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import common_length, connected_components, join_measured, least_labels, matrix, nearest_means, sound_vector, unit_rows
+from .common import common_length, connected_components, join_hot, join_measured, least_labels, matrix, nearest_means, sound_vector, unit_rows
 
-#: Vectors that the codebooks are fitted on, and what is added to the stop for rounding.
-SAMPLE, MARGIN = 8192, 1e-6
+#: Vectors that the codebooks are fitted on: so many, and so many for each centre; most centres of a half.
+SAMPLE, EACH, CENTRES = 8192, 16, 2048
+#: Members that a cell of the largest label has on average, and what is added to the stop for rounding.
+MEMBERS, MARGIN = 64, 1e-6
 #: Rows of either kind that meet in one task, and cells of the first half that are shipped together.
 BLOCK, SPAN = 4096, 4
 
@@ -61,30 +63,34 @@ class MultiIndex:
         return tuple(out)
 
     def visits(self, x: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, cell) of all visits, cell (i, j) numbered i * kb + j; of two rows, the one in the earlier cell visits the other's.
+        """(row, cell) of all visits, each row's nearest first; cell (i, j) is numbered i * kb + j.
 
-        Either half's bounds are sorted. As the walk goes up the first list, the part of the second whose sums
-        stay within the stop only shrinks, so a row takes at most ka + kb steps, and one for each cell it emits.
+        A row's cells of one first-half centre are a sequence that rises with the second half's sorted bounds.
+        The least head of all sequences is visited next, until it is beyond the stop. Of two rows, the one in the
+        earlier cell visits the other's, so visits to cells before a row's own are not returned.
         """
         a, b = self.bounds(x)
-        up, over = np.argsort(a, axis=1), np.argsort(b, axis=1)
-        a, b = np.take_along_axis(a, up, 1), np.take_along_axis(b, over, 1)
-        kb = b.shape[1]
-        end, out = np.full(len(x), kb), [(np.array([], int),) * 2]
-        live = np.arange(len(x))
-        for s in range(a.shape[1]):
-            live = live[a[live, s] <= self.stop]
-            while (far := live[(end[live] > 0) & (a[live, s] + b[live, end[live] - 1] > self.stop)]).size:
-                end[far] -= 1
-            live = live[end[live] > 0]
-            # cells of an earlier half-cell than the row's own are left to the rows there
-            go = live[up[live, s] >= i[live]]
-            row = np.repeat(go, end[go])
-            rank = np.arange(len(row)) - np.repeat(np.cumsum(end[go]) - end[go], end[go])
-            cell = up[row, s] * kb + over[row, rank]
+        over, ka, kb = np.argsort(b, axis=1), a.shape[1], b.shape[1]
+        # beyond its last cell a sequence has ended
+        b = np.c_[np.take_along_axis(b, over, 1), np.full(len(x), np.inf)]
+        at, heads, live = np.zeros((len(x), ka), int), a + b[:, :1], np.arange(len(x))
+        out = [(np.array([], int),) * 2]
+        while True:
+            nth = np.arange(len(live))
+            first = heads.argmin(axis=1)
+            going = heads[nth, first] <= self.stop
+            if 2 * going.sum() < len(live) or not len(live):
+                if not going.any():
+                    return tuple(np.concatenate(z) for z in zip(*out))
+                live, at, heads, first = live[going], at[going], heads[going], first[going]
+                nth, going = np.arange(len(live)), np.ones(len(live), bool)
+            nth, first = nth[going], first[going]
+            row = live[nth]
+            cell = first * kb + over[row, at[nth, first]]
             ahead = cell >= i[row] * kb + j[row]
             out.append((row[ahead], cell[ahead]))
-        return tuple(np.concatenate(z) for z in zip(*out))
+            at[nth, first] += 1
+            heads[nth, first] = a[row, first] + b[row, at[nth, first]]
 
 
 def link_vectors(df: DataFrame, id_col: str, vec_col: str, label_col: str, cosine: float) -> DataFrame:
@@ -98,71 +104,73 @@ def link_vectors(df: DataFrame, id_col: str, vec_col: str, label_col: str, cosin
     each other. A null vec_id stays null, and is kept only in a component without ids. An empty
     table gives no rows; other columns are ignored.
 
-    Equal vectors of a label are one node with a count, so a large group of copies is never
-    paired. A cell that many vectors fall in is cut into blocks that are compared pairwise; a
+    Equal vectors of a label are one node with a count (two 64-bit hashes of a vector tell them apart), so a large group of
+    copies is never paired. A cell that many vectors fall in is cut into blocks that are compared pairwise; a
     block returns counts and a spanning forest, never its pairs.
     """
-    all_rows = df.select(
-        F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"), F.col(label_col).alias("label"))
+    kind = df.select(vec_col).schema[0].dataType.simpleString()
+    vector = F.col(vec_col).cast(kind if kind in ("array<float>", "array<double>") else "array<double>")
+    all_rows = df.select(F.col(id_col).cast("long").alias("vec_id"), vector.alias("v"), F.col(label_col).alias("label"))
     sound = F.col("label").isNotNull() & sound_vector(F.col("v"))
     dim = common_length(all_rows.where(sound), "v")
     sound = sound & (F.size("v") == dim)
-    nodes = all_rows.where(sound).groupBy("label", "v").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"))
+    # a vector's name: 128 bits of hash, which narrow tables carry in its place
+    named = all_rows.where(sound).select("vec_id", "label", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2"))
+    key = ["label", "h1", "h2"]
+    nodes = named.groupBy(*key).agg(F.first("v").alias("v"), F.count("*").alias("copies"), F.min("vec_id").alias("least"))
     nodes = nodes.withColumn("node", F.monotonically_increasing_id()).checkpoint()
     alone = all_rows.where(~sound).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    n = nodes.count()
+    sizes = nodes.groupBy("label").agg(F.count("*").alias("n"), F.sum("copies").alias("rows")).agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.sum("rows").alias("rows")).first()
+    n = sizes["n"]
     if n:
-        found = _compare(nodes, n, dim, cosine).checkpoint()
+        found = _compare(nodes, sizes["most"], dim, cosine).checkpoint()
         roots = connected_components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
         counts = found.groupBy("node").agg(F.sum("links").alias("links"))
-        placed = nodes.join(counts, "node", "left").join(roots, "node", "left").select(
-            "label", "v", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("root")).checkpoint()
-        least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-        placed = placed.join(least, "root").select("label", "v", "n_links", "component_id")
-        linked = all_rows.where(sound).join(placed, ["label", "v"]).select("vec_id", "n_links", "component_id")
+        placed = nodes.select("node", *key, "least", "copies").join(counts, "node", "left").join(roots, "node", "left").select(
+            *key, "least", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("root")).checkpoint()
+        least = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members")).checkpoint()
+        placed = join_hot(placed, least, ["root"], "members", n).select(*key, "copies", "n_links", "component_id").checkpoint()
+        linked = join_hot(named.drop("v"), placed, key, "copies", sizes["rows"]).select("vec_id", "n_links", "component_id")
         alone = linked.union(alone)
     return alone.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def _compare(nodes: DataFrame, n: int, dim: int, cosine: float) -> DataFrame:
-    """(node, links, root): partial link counts of nodes, and edges of spanning forests."""
-    picked = nodes.orderBy(F.xxhash64("v"), "node").limit(SAMPLE).select("v").toArrow()
-    k = max(4, min(256, int((n / 64) ** 0.5)))
+def _compare(nodes: DataFrame, most: int, dim: int, cosine: float) -> DataFrame:
+    """(node, links, root): partial link counts of nodes, and edges of spanning forests. ``most``: nodes of the largest label."""
+    k = max(4, min(CENTRES, int((most / MEMBERS) ** 0.5)))
+    picked = nodes.orderBy("h1", "node").limit(max(SAMPLE, EACH * k)).select("v").toArrow()
     index = MultiIndex.fit(unit_rows(matrix(picked.column("v"), dim)), k, cosine)
-    label = nodes.schema["label"].dataType.simpleString()
-    rows = nodes.select("label", "node", "copies", "v")
+    width = SPAN * len(index.halves[1])
+    label, vector = (nodes.schema[c].dataType.simpleString() for c in ("label", "v"))
 
-    def route(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
-        """Each row as a member of its own cell, and as a visitor, once for each span of cells it looks into."""
-        kb = len(index.halves[1])
+    def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each node with its own cell, and with the cells that it visits, by span."""
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
+            for start in range(0, b.num_rows, 256):
+                part = b.slice(start, 256)
                 x = unit_rows(matrix(part.column(3), dim))
                 i, j = index.cells(x)
                 row, cell = index.visits(x, i, j)
                 order = np.lexsort((cell, row))
                 row, cell = row[order], cell[order]
-                span = cell // (SPAN * kb)
+                span = cell // width
                 first = np.nonzero(np.r_[True, (row[1:] != row[:-1]) | (span[1:] != span[:-1])][: len(row)])[0]
-                take = np.r_[np.arange(len(x)), row[first]]
-                names = {"label": part.column(0).take(pa.array(take)), "span": pa.array(np.r_[i // SPAN, span[first]], pa.int32()),
-                         "visits": pa.array(np.r_[np.zeros(len(x)), np.ones(len(first))].astype(bool)), "node": part.column(1).take(pa.array(take))}
-                if whole:
-                    # a member's one cell, or all cells of the span that a visitor looks into
-                    offsets = np.r_[np.arange(len(x)), len(x) + first, len(x) + len(row)].astype(np.int32)
-                    names |= {
-                        "copies": part.column(2).take(pa.array(take)), "v": part.column(3).take(pa.array(take)),
-                        "own": pa.array((i * kb + j)[take], pa.int32()),
-                        "cells": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.r_[i * kb + j, cell], pa.int32()))}
-                yield pa.RecordBatch.from_pydict(names)
-
-    key = f"label {label}, span int, visits boolean, node long"
-    sizes = rows.mapInArrow(lambda b: route(b, False), key).groupBy("label", "span").agg(
-        F.ceil(F.count_if("visits") / BLOCK).cast("int").alias("vb"), F.ceil(F.count_if(~F.col("visits")) / BLOCK).cast("int").alias("mb"))
-    sizes = sizes.where("vb > 0 AND mb > 0").checkpoint()
-    routed = rows.mapInArrow(lambda b: route(b, True), f"{key}, copies long, v array<double>, own int, cells array<int>")
-    routed = join_measured(routed, sizes, ["label", "span"])
+                cells = pa.ListArray.from_arrays(pa.array(np.r_[first, len(row)], pa.int32()), pa.array(cell, pa.int32()))
+                looks = pa.StructArray.from_arrays([pa.array(span[first], pa.int32()), cells], ["span", "cells"])
+                ends = pa.array(np.searchsorted(row[first], np.arange(len(x) + 1)), pa.int32())
+                own = pa.array(i * (width // SPAN) + j, pa.int32())
+                yield pa.RecordBatch.from_arrays([*part.columns, own, pa.ListArray.from_arrays(ends, looks)], names=[*part.schema.names, "own", "looks"])
+
+    told = nodes.select("label", "node", "copies", "v").mapInArrow(
+        traverse, f"label {label}, node long, copies long, v {vector}, own int, looks array<struct<span: int, cells: array<int>>>").checkpoint()
+    own_span = F.floor(F.col("own") / width).cast("int")
+    blocks = lambda df, name: df.groupBy("label", "span").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    sizes = blocks(told.select("label", own_span.alias("span")), "mb").join(
+        blocks(told.select("label", F.explode("looks.span").alias("span")), "vb"), ["label", "span"]).checkpoint()
+    members = told.select("label", own_span.alias("span"), F.lit(False).alias("visits"), "node", "copies", "v", "own", F.array().cast("array<int>").alias("cells"))
+    visitors = told.select("label", "node", "copies", "v", "own", F.explode("looks").alias("look")).select(
+        "label", "look.span", F.lit(True).alias("visits"), "node", "copies", "v", "own", "look.cells")
+    routed = join_measured(members.union(visitors), sizes, ["label", "span"])
     block = lambda count: F.pmod(F.xxhash64("node"), F.col(count)).cast("int")
     every = lambda count: F.sequence(F.lit(0), F.col(count) - 1)
     routed = routed.withColumn("_v", F.explode(F.when(F.col("visits"), F.array(block("vb"))).otherwise(every("vb"))))
