@@ -74,18 +74,39 @@ class Quantiser:
                 total = others[:, 0] + along[:, m]
         return codes
 
-    def _refit(self, parts: np.ndarray, codes: np.ndarray) -> None:
-        """Codewords that minimise the loss under fixed codes: one least-squares problem for all."""
+    def _refit(self, parts: np.ndarray, codes: np.ndarray, rounds: int = 40) -> None:
+        """Codewords that minimise the loss under fixed codes: one least-squares problem for all of them.
+
+        Conjugate gradients, which need products with its matrix only: memory is that of the sample and the codewords,
+        however many components there are.
+        """
         n, m, w = parts.shape
-        slot = (np.arange(m) * WORDS + codes)[:, :, None] * w + np.arange(w)
-        z = np.zeros((n, m * WORDS * w), np.float32)
-        np.put_along_axis(z, slot.reshape(n, -1), parts.reshape(n, -1).astype(np.float32), 1)
-        used = np.bincount((np.arange(m) * WORDS + codes).ravel(), minlength=m * WORDS)
-        left = (self.eta - 1) * (z.T @ z).astype(np.float64)
-        left[np.diag_indices_from(left)] += np.repeat(used, w) + 1e-6
-        right = self.eta * z.sum(0, dtype=np.float64)
-        fitted = np.linalg.solve(left, right).reshape(m, WORDS, w)
-        self.books = np.where((used > 0).reshape(m, WORDS, 1), fitted, self.books)
+        slot = (np.arange(m) * WORDS + codes).ravel()
+        used = np.bincount(slot, minlength=m * WORDS).astype(float)
+
+        def spread(y: np.ndarray) -> np.ndarray:
+            """Sum of the parts that have each codeword, a row counting y."""
+            rows = (parts * y[:, None, None]).reshape(-1, w)
+            return np.stack([np.bincount(slot, rows[:, c], minlength=m * WORDS) for c in range(w)], axis=1)
+
+        def product(books: np.ndarray) -> np.ndarray:
+            along = (parts * books[slot].reshape(n, m, w)).sum((1, 2))
+            return (self.eta - 1) * spread(along) + (used[:, None] + 1e-6) * books
+
+        books = self.books.reshape(-1, w).copy()
+        rest = self.eta * spread(np.ones(n)) - product(books)
+        scale = 1 / (used[:, None] + 1)
+        step = scale * rest
+        size = first = (rest * step).sum()
+        for _ in range(rounds):
+            if size <= 1e-12 * max(first, 1e-300):
+                break
+            pushed = product(step)
+            ahead = size / (step * pushed).sum()
+            books, rest = books + ahead * step, rest - ahead * pushed
+            size, before = (rest * scale * rest).sum(), size
+            step = scale * rest + size / before * step
+        self.books = np.where((used > 0).reshape(m, WORDS, 1), books.reshape(m, WORDS, w), self.books)
 
     def residuals(self, x: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of the unit rows' residuals the part along the row (signed), and the length of the rest."""
@@ -128,12 +149,15 @@ def search(df: DataFrame, id_col: str, vec_col: str, is_query: Column, k: int) -
 
     Every row is encoded and scanned; codewords come from at most SAMPLE rows, chosen by hash. They
     only decide how many rows are scored exactly, not which are found.
-    Rows and queries meet in a grid of bounded blocks. Equal vectors of a block are scanned once, and
+    Rows and queries meet in a grid of bounded blocks, vectors as they are stored (half the bytes of doubles where they are floats);
+    they go along with the codes because a row that the bound leaves open is scored where it is met. Equal vectors of a block are scanned once, and
     their smallest ids stand for the rest.
     """
     spark = df.sparkSession
     ids, schema = F.col(id_col).cast("long").alias("id"), "query_id long, vec_id long, score double"
-    vector = F.col(vec_col).cast("array<double>")
+    kind = df.select(vec_col).schema[0].dataType.simpleString()
+    kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
+    vector = F.col(vec_col).cast(kind)
     rows = df.select(ids, vector.alias("v"), is_query.alias("q")).where(F.col("id").isNotNull() & sound_vector(F.col("v")))
     dim = common_length(rows, "v")
     rows = rows.where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q")).checkpoint()
@@ -161,7 +185,7 @@ def search(df: DataFrame, id_col: str, vec_col: str, is_query: Column, k: int) -
     # another hash for queries, so that they do not gather in a few of the rows' blocks
     rb, qb = F.pmod(F.xxhash64("id"), F.lit(row_blocks)), F.pmod(F.xxhash64("id", F.lit("q")), F.lit(query_blocks))
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)).cast("array<bigint>"))
-    coded = rows.select("id", "v").mapInArrow(code, "id long, v array<double>, code binary, along double, across double")
+    coded = rows.select("id", "v").mapInArrow(code, f"id long, v {kind}, code binary, along double, across double")
     coded = coded.select("id", "v", "code", "along", "across", rb.alias("rb"), every(query_blocks).alias("qb"))
     queries = rows.where("q").select("id", "v", qb.alias("qb"), every(row_blocks).alias("rb"))
 

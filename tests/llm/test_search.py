@@ -243,3 +243,18 @@ def test_keep_one_with_repeated_ids(spark):
     docs = [(1, texts[2]), (5, texts[0]), (5, texts[1]), (5, texts[2]), (5, texts[1]), (6, texts[0]), (7, texts[3]), (7, texts[3])]
     kept = simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert sorted(map(tuple, kept)) == sorted([(1, texts[2]), (5, texts[0]), (5, texts[1]), (7, texts[3])])
+
+
+def test_codewords_solve_the_least_squares_problem():
+    x = np.random.default_rng(9).normal(size=(500, 12))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    quantiser = ann.Quantiser.fit(x, rounds=1)
+    codes, parts = quantiser.assign(x), quantiser.cut(x)
+    n, m, w = parts.shape
+    z = np.zeros((n, m, ann.WORDS, w))
+    z[np.arange(n)[:, None], np.arange(m)[None], codes] = parts
+    z = z.reshape(n, -1)
+    used = np.repeat(np.bincount((np.arange(m) * ann.WORDS + codes).ravel(), minlength=m * ann.WORDS), w)
+    want = np.linalg.solve((quantiser.eta - 1) * z.T @ z + np.diag(used + 1e-6), quantiser.eta * z.sum(0))
+    quantiser._refit(parts, codes, rounds=400)
+    assert np.allclose(quantiser.books.ravel()[used > 0], want[used > 0], atol=1e-4)
