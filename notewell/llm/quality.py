@@ -19,8 +19,10 @@ from .learning import held_out, labelled_sample, sigmoid
 
 #: At most so many training documents of the classes 1 and 0 are read.
 LIMITS = {1: 5000, 0: 2500}
-#: Bytes of a passage; a longer text has MOST longer passages instead.
-PASSAGE, MOST = 512, 256
+#: Bytes of a passage; of the slices that longer texts are cut into first (words and repeats do not reach across); and of what is encoded at once.
+PASSAGE, SLICE, AT_ONCE = 512, 131_072, 1 << 20
+#: Passages of a training document that are learnt from, evenly spaced; a score reads all passages of any text.
+TRAINED = 24
 #: Sizes of the encoding and of the attention's hidden layer.
 CODE, HIDDEN = 24, 12
 #: The character classes of single bytes, in this order; then all other ASCII, UTF-8 leads and UTF-8 continuations.
@@ -43,16 +45,14 @@ TABLE = _class_table()
 HASHES = np.random.default_rng(11).integers(1, 1 << 62, 256, dtype=np.uint64)
 
 
-def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Features of the passages of all texts, and the text that each belongs to; an empty text has one empty passage.
+def passages(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Features of the passages of all slices, and the slice that each belongs to; an empty slice has one empty passage.
 
     Frequencies of character classes and of pairs of them, mean word length, and the shares of words that
     repeat the word one to three places back.
     """
-    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     sizes = np.array([len(r) for r in raw], np.int64)
-    length = np.maximum(PASSAGE, -(-sizes // MOST))
-    count = np.maximum(1, -(-sizes // length))
+    count = np.maximum(1, -(-sizes // PASSAGE))
     owner, first = np.repeat(np.arange(len(raw)), count), np.r_[0, np.cumsum(count)[:-1]]
     data = np.frombuffer(b"".join(raw), np.uint8)
     begins = np.r_[0, np.cumsum(sizes)[:-1]]
@@ -61,7 +61,7 @@ def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     if not len(data):
         return x, owner
     doc = np.repeat(np.arange(len(raw)), sizes)
-    where = first[doc] + (np.arange(len(data)) - begins[doc]) // length[doc]
+    where = first[doc] + (np.arange(len(data)) - begins[doc]) // PASSAGE
     kind = TABLE[data].astype(np.int64)
     per = np.bincount(where, minlength=total).clip(1)
     single = np.bincount(where * N + kind, minlength=total * N).reshape(total, N)
@@ -77,15 +77,34 @@ def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         inside = (np.arange(len(data)) - starts[np.maximum(nth, 0)] + 1).astype(np.uint64)
         code = np.add.reduceat(np.where(black, HASHES[data] * inside, np.uint64(0)), starts)
         word_at, word_doc = where[starts], doc[starts]
-        words = np.bincount(word_at, minlength=total).clip(1)
+        words = np.bincount(word_at, minlength=total)
+        x[:, -1] = np.minimum(words, 100) / 100
+        words = words.clip(1)
         x[:, -5] = np.bincount(where[black], minlength=total) / words / 16
         for lag in (1, 2, 3):
             again = (code[lag:] == code[:-lag]) & (word_doc[lag:] == word_doc[:-lag])
             x[:, -5 + lag] = np.bincount(word_at[lag:][again], minlength=total) / words
-        x[:, -1] = np.minimum(words, 100) / 100
     return x, owner
 
 
+def portions(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Features of all passages of the texts and the text that each belongs to, some AT_ONCE bytes at a time, in order."""
+    raw, of, size = [], [], 0
+    for i, text in enumerate(texts):
+        whole = text.encode("utf-8", "surrogatepass")
+        for at in range(0, max(len(whole), 1), SLICE):
+            raw.append(whole[at: at + SLICE])
+            of.append(i)
+            size += len(raw[-1])
+            if size >= AT_ONCE:
+                x, owner = passages(raw)
+                yield x, np.array(of)[owner]
+                raw, of, size = [], [], 0
+    if raw:
+        x, owner = passages(raw)
+        yield x, np.array(of)[owner]
+
+
 @dataclass
 class Attention:
     """Weights of the encoder, the gated attention and the classifier, and the features' scale."""
@@ -94,19 +113,23 @@ class Attention:
     mean: np.ndarray
     sd: np.ndarray
 
-    def forward(self, x: np.ndarray, owner: np.ndarray, bags: int) -> dict[str, np.ndarray]:
+    def encode(self, x: np.ndarray) -> dict[str, np.ndarray]:
+        """Encodings of passages, and the logit ``e`` of each one's attention."""
         p = self.p
         z = np.clip((x - self.mean) / self.sd, -4, 4)
         h = np.tanh(z @ p["w0"] + p["b0"])
         gate, tone = sigmoid(h @ p["u"]), np.tanh(h @ p["v"])
-        e = (gate * tone) @ p["w"]
+        return {"z": z, "h": h, "gate": gate, "tone": tone, "e": (gate * tone) @ p["w"]}
+
+    def forward(self, x: np.ndarray, owner: np.ndarray, bags: int) -> dict[str, np.ndarray]:
+        f = self.encode(x)
         most = np.full(bags, -np.inf)
-        np.maximum.at(most, owner, e)
-        a = np.exp(e - most[owner])
+        np.maximum.at(most, owner, f["e"])
+        a = np.exp(f["e"] - most[owner])
         a /= np.bincount(owner, a, minlength=bags)[owner]
         starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-        mixed = np.add.reduceat(a[:, None] * h, starts)
-        return {"z": z, "h": h, "gate": gate, "tone": tone, "a": a, "starts": starts, "mixed": mixed, "score": sigmoid(mixed @ p["c"] + p["b"])}
+        mixed = np.add.reduceat(a[:, None] * f["h"], starts)
+        return f | {"a": a, "starts": starts, "mixed": mixed, "score": sigmoid(mixed @ self.p["c"] + self.p["b"])}
 
     def gradient(self, f: dict[str, np.ndarray], owner: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
         """``off``: score minus label of each bag, over the number of bags."""
@@ -124,19 +147,21 @@ class Attention:
     def train(cls, bags: list[np.ndarray], y: np.ndarray, epochs: int = 24, batch: int = 128, rate: float = 0.01, shrink: float = 1e-3, seed: int = 5) -> Attention:
         """Adam on the cross entropy, with weight decay and a falling rate."""
         rng = np.random.default_rng(seed)
-        every = np.concatenate(bags)
+        n = sum(map(len, bags))
+        mean = sum(b.sum(0, dtype=np.float64) for b in bags) / n
+        sd = np.sqrt(sum(((b - mean) ** 2).sum(0) for b in bags) / n)
         normal = lambda *s: rng.normal(size=s) / np.sqrt(s[0])
         p = {"w0": normal(WIDTH, CODE), "b0": np.zeros(CODE), "v": normal(CODE, HIDDEN), "u": normal(CODE, HIDDEN), "w": normal(HIDDEN),
              "c": normal(CODE), "b": np.array([np.log((y.sum() + 1) / (len(y) - y.sum() + 1))])}
         p = {k: v.astype(np.float32) for k, v in p.items()}
-        self = cls(p, every.mean(0), every.std(0) + 0.02)
+        self = cls(p, mean.astype(np.float32), (sd + 0.02).astype(np.float32))
         m, s = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
         step, steps = 0, epochs * -(-len(bags) // batch)
         for _ in range(epochs):
             order = rng.permutation(len(bags))
             for at in range(0, len(order), batch):
                 own = order[at: at + batch]
-                x, owner = np.concatenate([bags[i] for i in own]), np.repeat(np.arange(len(own)), [len(bags[i]) for i in own])
+                x, owner = np.concatenate([bags[i] for i in own]).astype(np.float32), np.repeat(np.arange(len(own)), [len(bags[i]) for i in own])
                 f = self.forward(x, owner, len(own))
                 g = self.gradient(f, owner, (f["score"] - y[own]) / len(own))
                 step += 1
@@ -148,29 +173,40 @@ class Attention:
         return self
 
     def score(self, texts: list[str]) -> np.ndarray:
-        if not texts:
-            return np.zeros(0)
-        x, owner = passages(texts)
-        return self.forward(x, owner, len(texts))["score"].astype(np.float64)
+        """Scores of whole texts. The attention's maximum and sums run over portions of passages, so that long texts need no more memory."""
+        n = len(texts)
+        most, total, mixed = np.full(n, -np.inf), np.zeros(n), np.zeros((n, len(self.p["c"])))
+        for x, owner in portions(texts):
+            f = self.encode(x)
+            above = most.copy()
+            np.maximum.at(above, owner, f["e"])
+            known = total > 0
+            shrink = np.where(known, np.exp(np.where(known, most, 0) - np.where(known, above, 0)), 0)
+            a = np.exp(f["e"] - above[owner])
+            total = total * shrink + np.bincount(owner, a, minlength=n)
+            mixed *= shrink[:, None]
+            np.add.at(mixed, owner, a[:, None] * f["h"])
+            most = above
+        return sigmoid(mixed / total[:, None] @ self.p["c"] + self.p["b"]).astype(np.float64)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Attention:
-    """Train on at most LIMITS labelled documents, whose passages workers encode. Without labels every score is one half."""
+    """Train on at most LIMITS labelled documents and TRAINED passages of each, which workers encode. Without labels every score is one half."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 64):
-                part = b.slice(at, 64)
-                x, owner = passages(part.column(2).to_pylist())
-                own = np.split(x, np.flatnonzero(np.diff(owner)) + 1)
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "y": part.column(1), "x": pa.array([o.tobytes() for o in own], pa.binary())})
+            bags = []
+            for text in b.column(2).to_pylist():
+                x = np.concatenate([x for x, _ in portions([text])])
+                bags.append(x[np.linspace(0, len(x) - 1, min(len(x), TRAINED)).astype(int)].astype(np.float16).tobytes())
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "y": b.column(1), "x": pa.array(bags, pa.binary())})
 
     sample = labelled_sample(docs, labels, "quality", LIMITS).select("doc_id", "y", "text")
     told = sample.mapInArrow(encode, sample.select("doc_id", "y", F.lit(b"").alias("x")).schema).toArrow().sort_by("doc_id")
     y = told.column("y").to_numpy().astype(np.float32)
-    bags = [np.frombuffer(x, np.float32).reshape(-1, WIDTH) for x in told.column("x").to_pylist()]
+    bags = [np.frombuffer(x, np.float16).reshape(-1, WIDTH) for x in told.column("x").to_pylist()]
     if not bags:
-        bags, y = [np.zeros((1, WIDTH), np.float32)] * 2, np.array([0.0, 1.0], np.float32)
+        bags, y = [np.zeros((1, WIDTH), np.float16)] * 2, np.array([0.0, 1.0], np.float32)
     return Attention.train(bags, y)
 
 
@@ -183,9 +219,7 @@ def score(docs: DataFrame, model: Attention, threshold: float = 0.3) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 64):
-                part = b.slice(at, 64)
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "score": pa.array(model.score([t or "" for t in part.column(1).to_pylist()]))})
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "score": pa.array(model.score([t or "" for t in b.column(1).to_pylist()]))})
 
     schema = docs.select("doc_id", F.lit(0.0).alias("score")).schema
     return docs.select("doc_id", "text").mapInArrow(run, schema).select(
@@ -193,14 +227,15 @@ def score(docs: DataFrame, model: Attention, threshold: float = 0.3) -> DataFram
 
 
 def keep_good(docs: DataFrame, model: Attention, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, all columns, that are predicted good. Texts are not shuffled."""
+    """The rows of ``docs``, all columns whatever their names, that are predicted good.
+
+    A null or empty text is judged as one empty passage; equal texts are judged alike, so repeated rows stay or go
+    together; an empty table gives no rows. Texts are not shuffled.
+    """
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, 64):
-                part = b.slice(k, 64)
-                scores = model.score([t or "" for t in part.column(at).to_pylist()])
-                yield part.filter(pa.array(scores >= threshold))
+            yield b.filter(pa.array(model.score([t or "" for t in b.column(at).to_pylist()]) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
