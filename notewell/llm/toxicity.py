@@ -1,9 +1,9 @@
 """Toxicity by weak supervision.
 
-Voters are lexicon entries (fixed ones, and word stems mined from training labels) and
-patterns. A generative label model with a hidden class estimates each voter's rates by
-expectation maximisation, and from the votes' correlations inside the classes how much of
-its evidence repeats that of others. A linear classifier is trained on its posterior labels.
+Voters for toxic are lexicon entries (fixed ones, and word stems mined from training labels) and
+patterns; voters for clean are patterns of texts without such words. A generative label model with a hidden
+class estimates each voter's rates by expectation maximisation from the votes alone, and from their correlations inside
+the classes how much of its evidence repeats that of others. A linear classifier is trained on its posterior labels.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import compact
 from .learning import held_out, labelled_sample, sigmoid
 
 # Words and phrases that vote for toxic wherever they stand.
@@ -33,12 +34,16 @@ LEXICON = (
 LIMITS = {1: 4000, 0: 12_000}
 #: Stems are word beginnings of these lengths; whole words count as well.
 STEMS = (4, 5, 6, 7, 8)
-#: A mined entry stands in so many different toxic documents, is so much likelier there, and has so large a G statistic.
-LEAST, LIFT, G, MINED = 4, 8.0, 26.0, 400
+#: A mined entry stands in so many different toxic documents and in such a share of them; at most so many are mined.
+LEAST, SHARE, MINED = 4, 0.01, 400
+#: An entry or pattern that stands in clean training documents is so much likelier in toxic ones.
+LIFT = 8.0
 WORD = re.compile(r"[^\W\d_]+")
-#: The patterns: exclamation marks in a row, mostly capitals, and entries that stand twice, four times and densely (per 100 characters).
-PATTERNS = ("!!", "CAPITALS", "twice", "four times", "densely")
-DENSE = 0.25
+#: The patterns: exclamation marks in a row, mostly capitals, and entries that stand twice, four times and densely (per 100 characters);
+#: for clean: no entry and no exclamation marks in a row, and at most one entry in LONG characters or more.
+PATTERNS = ("!!", "CAPITALS", "twice", "four times", "densely", "none", "sparse")
+CLEAN = 2
+DENSE, LONG = 0.25, 1000
 
 
 def features(text: str) -> set[str]:
@@ -79,7 +84,8 @@ def votes(text: str, automaton: ahocorasick.Automaton, entries: list[str]) -> Co
                     continue
                 found[i] += 1
     total = found.total()
-    for k, holds in enumerate((total > 1, total > 3, total * 100 > DENSE * len(text))):
+    silent = not total and "!!" not in text
+    for k, holds in enumerate((total > 1, total > 3, total * 100 > DENSE * len(text), silent, total < 2 and len(text) >= LONG)):
         if holds:
             found[len(entries) + 2 + k] = 1
     if "!!" in text:
@@ -106,33 +112,43 @@ class LabelModel:
         return self.share * (yes - no), float(np.log(self.prior / (1 - self.prior)) + (self.share * no).sum())
 
     @classmethod
-    def fit(cls, v: np.ndarray, start: np.ndarray, rounds: int = 30) -> LabelModel:
-        """``v``: documents by voters, 0/1. ``start``: first posteriors (the training labels).
+    def fit(cls, v: np.ndarray, clean: int = CLEAN, rounds: int = 40) -> LabelModel:
+        """``v``: documents by voters, 0/1, of which the last ``clean`` voters are for clean. Labels play no part.
 
-        After each round the correlations of the votes inside the classes are estimated; a voter
-        among m that always vote together keeps 1/m of its evidence.
+        Starts from the majority of each document's votes. After each tenth round the correlations of the votes inside the classes
+        are estimated; a voter among m that always vote together keeps 1/m of its evidence.
         """
-        post, n, m = start.astype(float), *v.shape
-        self = cls(np.full(m, 0.5), np.full(m, 0.5), 0.5, np.ones(m))
+        n, m = v.shape
+        side = np.r_[np.ones(m - clean), np.full(clean, -1.0)]
+        post, self = sigmoid(2 * (v @ side)), cls(np.full(m, 0.5), np.full(m, 0.5), 0.5, np.ones(m))
         for r in range(rounds):
             self.prior = float(np.clip((post.sum() + 1) / (n + 2), 0.01, 0.99))
             self.toxic = (post @ v + 0.02) / (post.sum() + 1)
             self.clean = ((1 - post) @ v + 0.02) / ((1 - post).sum() + 1)
+            # a voter never speaks against the side that it votes for
+            wrong = side * (self.toxic - self.clean) < 0
+            mean = (v.sum(0) + 0.02) / (n + 1)
+            self.toxic, self.clean = np.where(wrong, mean, self.toxic).clip(1e-6, 1 - 1e-6), np.where(wrong, mean, self.clean).clip(1e-6, 1 - 1e-6)
             if r % 10 == 9:
                 rest = v - (post[:, None] * self.toxic + (1 - post[:, None]) * self.clean)
                 cov = rest.T @ rest / n
                 sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
                 rho = np.clip(cov / sd[:, None] / sd, 0, 1)
                 self.share = 1 / np.where(rho > 0.3, rho, 0).sum(1).clip(1)
-            weight, base = self.evidence()
-            # the labels stay part of the evidence, as one more voter that is right nine times in ten
-            post = sigmoid(base + v @ weight + np.where(start > 0.5, 1, -1) * np.log(9))
+            post = self.posterior(v)
         return self
 
+    def posterior(self, v: np.ndarray) -> np.ndarray:
+        weight, base = self.evidence()
+        return sigmoid(base + v @ weight)
+
 
 @dataclass
 class Scorer:
+    """Entries, which voters are trusted, the classifier's weights, and the label model's evidence of each vote and of none."""
+
     entries: list[str]
+    live: np.ndarray
     weight: np.ndarray
     evidence: np.ndarray
     base: float
@@ -146,7 +162,7 @@ class Scorer:
         for i, t in enumerate(texts):
             for j in votes(t, automaton, self.entries):
                 v[i, j] = 1
-        return sigmoid(self.design(v) @ self.weight)
+        return sigmoid(self.design(v * self.live) @ self.weight)
 
 
 def mine(sample: DataFrame) -> list[str]:
@@ -175,7 +191,10 @@ def mine(sample: DataFrame) -> list[str]:
     part = lambda k, p: F.when(k > 0, k * F.log(k / (total * p))).otherwise(0.0)
     g = 2 * (part(F.col("toxic"), share) + part(F.col("clean"), 1 - share))
     lift = (F.col("toxic") / n1) / ((F.col("clean") + 0.5) / n0)
-    best = tallies.where((F.col("toxic") >= LEAST) & (lift >= LIFT) & (g >= G)).orderBy(F.desc(g), "entry").limit(8 * MINED)
+    tallies = tallies.where(F.col("toxic") >= max(LEAST, SHARE * n1)).checkpoint()
+    # evidence beyond what chance gives the best of so many entries
+    bar = 2 * np.log(max(tallies.count(), 2))
+    best = tallies.where((lift >= LIFT) & (g >= bar)).orderBy(F.desc(g), "entry").limit(8 * MINED)
     kept: list[str] = []
     for r in best.select("entry").collect():
         stem = r["entry"].rstrip()
@@ -185,6 +204,31 @@ def mine(sample: DataFrame) -> list[str]:
     return kept[:MINED]
 
 
+def trusted(v: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which voters for toxic to keep: those that labelled documents do not belie by making them stand in clean ones nearly as often."""
+    n1, n0 = (y == 1).sum(), (y == 0).sum()
+    if not n1 or not n0:
+        return np.ones(v.shape[1], bool)
+    toxic, clean = v[y == 1].sum(0), v[y == 0].sum(0)
+    return (clean == 0) | (toxic / n1 >= LIFT * clean / n0)
+
+
+def _votes(sample: DataFrame, entries: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Labels, and votes of the sample's documents: workers read the texts, and only the numbers of voters come back."""
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = matcher(entries)
+        for b in batches:
+            cast = [sorted(votes(t, automaton, entries)) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_pydict({"y": b.column(0), "v": pa.array(cast, pa.list_(pa.int32()))})
+
+    told = sample.select("y", "text").mapInArrow(vote, "y int, v array<int>").toArrow()
+    v = np.zeros((told.num_rows, len(entries) + len(PATTERNS)), np.float32)
+    for i, cast in enumerate(told.column("v").to_pylist()):
+        v[i, cast] = 1
+    return told.column("y").to_numpy(), v
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
     """Mine voters, fit the label model and train the classifier, on at most LIMITS labelled documents.
 
@@ -197,30 +241,31 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
         for b in batches:
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "y": b.column(1), "text": b.column(2), "sketch": pa.array([sketch(t) for t in b.column(2).to_pylist()], pa.int64())})
 
-    sketched = sample.select("doc_id", "y", "text").mapInArrow(sketches, sample.select("doc_id", "y", "text", F.lit(0).cast("long").alias("sketch")).schema)
-    sample = sketched.groupBy("sketch").agg(F.min_by(F.struct("y", "text"), F.col("doc_id")).alias("one")).select("one.y", "one.text").checkpoint()
+    # few partitions, so that the partial aggregation leaves few rows of a large group of copies
+    sample = compact(sample.select("doc_id", "y", "text"), sum(LIMITS.values()), 2048)
+    sketched = sample.mapInArrow(sketches, sample.select("doc_id", "y", "text", F.lit(0).cast("long").alias("sketch")).schema)
+    sample = sketched.groupBy("sketch", "y").agg(F.min_by("text", "doc_id").alias("text")).select("y", "text").checkpoint()
     entries = list(LEXICON)
     entries += [e for e in mine(sample) if not any(e.startswith(x) or x.startswith(e.rstrip()) for x in LEXICON)]
 
-    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = matcher(entries)
-        for b in batches:
-            cast = [sorted(votes(t, automaton, entries)) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"y": b.column(0), "v": pa.array(cast, pa.list_(pa.int32()))})
-
-    told = sample.select("y", "text").mapInArrow(vote, "y int, v array<int>").toArrow()
-    y, v = told.column("y").to_numpy().astype(float), np.zeros((told.num_rows, len(entries) + len(PATTERNS)))
-    for i, cast in enumerate(told.column("v").to_pylist()):
-        v[i, cast] = 1
-    order = np.lexsort((*v.T[:8], y))
-    y, v = y[order], v[order]
+    y, v = _votes(sample, entries)
+    good = trusted(v[:, : len(entries)], y)
+    if not good.all():
+        # the patterns count entries, so all votes are cast anew
+        entries = [e for e, keep in zip(entries, good) if keep]
+        y, v = _votes(sample, entries)
+    live = np.r_[trusted(v[:, :-CLEAN], y), np.ones(CLEAN, bool)]
+    v = v[np.lexsort(v.T)] * live
     if not len(y) or y.min() == y.max():
-        v, y = np.r_[v, np.eye(v.shape[1])[: len(LEXICON)], np.zeros((len(LEXICON), v.shape[1]))], np.r_[y, np.ones(len(LEXICON)), np.zeros(len(LEXICON))]
-    model = LabelModel.fit(v, y)
+        # without labels of both kinds: a toxic document for each entry, and as many clean ones
+        made = np.zeros((2 * len(entries), v.shape[1]))
+        made[: len(entries), : len(entries)] = np.eye(len(entries))
+        made[len(entries):, -CLEAN:] = 1
+        v = np.r_[v, made]
+    model = LabelModel.fit(v)
     weight, base = model.evidence()
-    scorer = Scorer(entries, np.zeros(v.shape[1] + 2), weight, base)
-    posterior = sigmoid(base + v @ weight + np.where(y > 0.5, 1, -1) * np.log(9))
-    scorer.weight = _logistic(scorer.design(v), posterior)
+    scorer = Scorer(entries, live, np.zeros(v.shape[1] + 2), weight, base)
+    scorer.weight = _logistic(scorer.design(v), model.posterior(v))
     return scorer
 
 
@@ -254,7 +299,11 @@ def score(docs: DataFrame, scorer: Scorer, threshold: float = 0.5) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, scorer: Scorer, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, that are not predicted toxic. Texts are not shuffled."""
+    """The rows of ``docs``, all columns whatever their names, that are not predicted toxic.
+
+    A null or empty text has no entries, and stays; equal texts are judged alike, so repeated rows stay or go
+    together; an empty table gives no rows. Texts are not shuffled.
+    """
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,12 +1,14 @@
 """The two trained scorers against plain versions of their features, votes and forward passes."""
 
 import math
+from pathlib import Path
 
 import numpy as np
 import pytest
 
-from notewell.llm import quality, queries
+from notewell.llm import quality, queries, toxicity
 from notewell.llm.common import prepare
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 TEXTS = ["", " ", "one", "The cat sat. The cat sat! 12,5% [x] " * 40, "ünïcode ÄÖ € 漢字 " * 200, "a b a b a b a a a\n\t" * 300, "x" * 1500, "tail " * 103 + "\n"]
@@ -89,3 +91,72 @@ def test_scores_do_not_depend_on_portions(monkeypatch):
     whole = model.score(TEXTS)
     monkeypatch.setattr(quality, "AT_ONCE", 700)
     assert np.allclose(model.score(TEXTS), whole) and np.allclose(whole, [plain_score(model, t) for t in TEXTS], atol=1e-5)
+
+
+def plain_votes(text, entries):
+    """Names of the voters that a text has, found position by position."""
+    low, found = text.lower(), {}
+    for e in entries:
+        word = e.rstrip(" ")
+        for at in range(len(low)):
+            if low.startswith(word, at) and not (at and low[at - 1].isalpha()):
+                after = at + len(word)
+                if not (e.endswith(" ") and after < len(low) and low[after].isalpha()):
+                    found[e] = found.get(e, 0) + 1
+    total = sum(found.values())
+    capitals, smalls = sum("A" <= c <= "Z" for c in text), sum("a" <= c <= "z" for c in text)
+    holds = {"!!": "!!" in text, "CAPITALS": capitals > smalls, "twice": total >= 2, "four times": total >= 4, "densely": total * 100 > toxicity.DENSE * len(text),
+             "none": not total and "!!" not in text, "sparse": total <= 1 and len(text) >= toxicity.LONG}
+    return set(found) | {k for k, v in holds.items() if v}
+
+
+def plain_toxicity(scorer, text):
+    names = [*scorer.entries, *toxicity.PATTERNS]
+    cast = plain_votes(text, scorer.entries)
+    trusted = [i for i, name in enumerate(names) if name in cast and scorer.live[i]]
+    evidence = min(sum(scorer.evidence[i] for i in trusted), 12)
+    logit = sum(scorer.weight[i] for i in trusted) + evidence * scorer.weight[-2] + scorer.weight[-1]
+    return 1 / (1 + math.exp(-max(min(logit, 40), -40)))
+
+
+def test_toxicity_query_against_plain_loops(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    scorer = toxicity.fit(docs, labels)
+    got = {r.doc_id: r.score for r in queries.op10_toxicity(spark, SF).collect()}
+    for r in docs.collect():
+        assert abs(got[r.doc_id] - plain_toxicity(scorer, r.text or "")) < 1e-9
+    for text in ("", "IDIOT!! idiots, an idiot", "pre-idiot xidiot", "you people " * 200):
+        assert abs(scorer.score([text])[0] - plain_toxicity(scorer, text)) < 1e-9
+
+
+def test_label_model_posterior_by_bayes():
+    """Rates from made votes alone: the hidden classes come out, and the posterior is that of Bayes' rule."""
+    rng = np.random.default_rng(1)
+    y = rng.random(4000) < 0.2
+    rates = np.array([[0.7, 0.02], [0.5, 0.01], [0.6, 0.05], [0.3, 0.01], [0.1, 0.8], [0.2, 0.7]])
+    v = (rng.random((4000, 6)) < np.where(y[:, None], rates[:, 0], rates[:, 1])).astype(float)
+    model = toxicity.LabelModel.fit(v)
+    assert np.abs(model.toxic - rates[:, 0]).max() < 0.1 and np.abs(model.clean - rates[:, 1]).max() < 0.05 and abs(model.prior - 0.2) < 0.03
+    post = model.posterior(v)
+    assert ((post > 0.5) == y).mean() > 0.95
+    for i in range(20):
+        odds = math.log(model.prior / (1 - model.prior))
+        for j in range(6):
+            a, b = (model.toxic[j], model.clean[j]) if v[i, j] else (1 - model.toxic[j], 1 - model.clean[j])
+            odds += model.share[j] * math.log(a / b)
+        assert abs(post[i] - 1 / (1 + math.exp(-odds))) < 1e-9
+
+
+def test_copied_voters_share_their_evidence():
+    rng = np.random.default_rng(2)
+    v = (rng.random((3000, 4)) < 0.3).astype(float)
+    model = toxicity.LabelModel.fit(np.c_[v[:, :1], v[:, :1], v[:, :1], v[:, 1:]])
+    assert np.allclose(model.share[:3], 1 / 3, atol=0.05) and model.share[3] > 0.9
+
+
+@pytest.mark.skipif(not Path("/root/testdata/check_s").exists(), reason="needs the larger input")
+def test_toxic_recall_on_held_out_documents(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/check_s/{t}.parquet") for t in ("documents", "labels"))
+    told = queries.op10_toxicity(spark, "/root/testdata/check_s").where("held_out").join(labels.where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("y")), "doc_id")
+    n = {(r.y, r.predicted): r["count"] for r in told.groupBy("y", "predicted").count().collect()}
+    assert n[1, 1] >= 0.9 * (n[1, 1] + n.get((1, 0), 0)) and n.get((0, 1), 0) <= 0.01 * n[0, 0]
