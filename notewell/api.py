@@ -35,7 +35,7 @@ class Vault:
         """(query_id, id, score, rank, tier) of (query_id, query) texts, with a vector q where ``vectors`` is given; k from 1 to 25."""
         k = min(max(k, 1), 25)
         scored = R.bm25(self.notes, "path", self.lexical_text(), queries, "query_id", F.col("query"))
-        weighed = scored.join(self.weights(), "id").select("query_id", "id", (F.col("bm25") * F.col("weight")).alias("bm25")).where("bm25 > 0")
+        weighed = scored.join(self.weights(), "id").select("query_id", "id", F.round(F.col("bm25") * F.col("weight"), 6).alias("bm25")).where("bm25 > 0")
         lexical = R.top_k(weighed, "bm25", R.CANDIDATES).select("query_id", "id", "bm25")
         mode = "lexical"
         if self.vectors is None:
@@ -50,10 +50,15 @@ class Vault:
         return top.join(best, "query_id").select("query_id", "id", "score", "rank", "tier")
 
     def links(self) -> DataFrame:
-        """Links between notes with the paths that they lead to."""
+        """The first ten links of each note with the paths that they lead to."""
         edges = self.notes.select(F.col("path").alias("src"), F.posexplode("links").alias("pos", "target"))
         return L.resolve(edges, self.notes.select(F.col("path").alias("id"), "name"))
 
+    def inbound(self) -> DataFrame:
+        """(id, inbound): how many other notes mention each note in any of their links, by its file name."""
+        named = self.notes.select(F.col("path").alias("id"), F.regexp_extract("path", r"([^/]+)\.md$", 1).alias("name"), "body")
+        return L.inbound(L.mentions(named, "body"), named)
+
     def context(self, queries: DataFrame, k: int = R.SHOWN) -> DataFrame:
         """(query_id, block): the text to show with each query, 15,000 bytes at most.
 
@@ -121,15 +126,20 @@ class Vault:
         """The last n runs of (ts, ...) rows."""
         return self.runs.orderBy(F.desc("ts")).limit(n)
 
-    def capture(self, commits: DataFrame, hwm: DataFrame, include_resolved: bool = False, ignore_hwm: bool = False) -> DataFrame:
-        """Commits (branch, sha, ts, ...) to capture now, with ``deferred`` for those above the cap of 25 branches a run.
+    def capture(self, tips: DataFrame, commits: DataFrame, edges: DataFrame, marks: DataFrame, examined: DataFrame, installed: Column, today: Column,
+                include_resolved: bool = False, ignore_marks: bool = False) -> DataFrame:
+        """Commits (origin, branch, sha, day, deferred) to capture now; ``deferred`` for branches above the cap of 25 a run.
 
-        Rows after their branch's mark, of branches whose ticket is not settled.
+        ``tips`` is (origin, branch, tip), ``commits`` (origin, sha, day), ``edges`` (origin, sha, parent), ``marks`` (origin, branch, hwm) and ``examined``
+        (origin, last_examined). New is what a branch reaches and its mark does not, or what its window takes in; branches whose ticket is settled are left out.
         """
-        fresh = commits if ignore_hwm else I.after_mark(commits, hwm, ["branch"], "sha").drop("hwm")
         if not include_resolved:
             settled = self.notes.where((F.col("scope") == "index") & F.col("status").isin("resolved", "experimental", "discarded"))
             settled = settled.select(F.regexp_extract("ticket_dir", r"^[^/]+/[^/]+/(.*)$", 1).alias("branch"))
-            fresh = fresh.join(settled, "branch", "left_anti")
-        branches = I.cap_and_defer(fresh.groupBy("branch").agg(F.max("ts").alias("_last")).withColumn("_run", F.lit(1)), ["_run"], [F.desc("_last"), F.col("branch")], F.lit(25))
-        return fresh.join(branches.select("branch", "deferred"), "branch")
+            tips = tips.join(settled, "branch", "left_anti")
+        reach = I.reachable_from(edges, tips.select("origin", "branch", F.col("tip").alias("sha")), ["branch"])
+        since = I.effective_since(tips, marks.limit(0) if ignore_marks else marks, examined, reach, installed, today)
+        fresh = I.new_commits(reach, commits, since, edges)
+        last = fresh.groupBy("origin", "branch").agg(F.max("day").alias("_last")).withColumn("_run", F.lit(1))
+        branches = I.cap_and_defer(last, ["_run"], [F.desc("_last"), F.col("branch"), F.col("origin")], F.lit(25))
+        return fresh.join(branches.select("origin", "branch", "deferred"), ["origin", "branch"]).select("origin", "branch", "sha", "day", "deferred")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,21 +14,45 @@ de da do das dos o a os as um uma uns umas para por com sem em no na nos nas que
 onde como qual esse essa isso este esta isto aquele aquela aquilo meu minha seu sua nosso nossa
 the and or of to in is at on for with from but not this that these those are was were be been have has
 """.split()
-# Latin letters with marks, and the letters that they lose them to.
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 #: Shortest term that is indexed.
 SHORTEST = 3
 LINK = r"\[\[([^\]|#]+)(?:[|#][^\]]+)?\]\]"
-AUTH_FAILURE = r"(?i)(authentication failed|could not read username|permission denied|invalid credentials|access denied|http 401|http 403|terminal prompts disabled|publickey)"
-
+# What a failed fetch says when it lacks credentials.
+AUTH_FAILURE = "(?i)" + "|".join((
+    "authentication failed", "could not read username", "could not read password", "interactivity has been disabled", "terminal prompts disabled",
+    "invalid credentials", "http basic: access denied", "access denied", r"\b401\b", r"\b403\b"))
+
+
+def _folds() -> tuple[str, str, str, dict[str, str]]:
+    """By Unicode's own decompositions (NFKD without combining marks): characters that become one ASCII letter or digit, what they
+    become, the marks themselves, and characters that become several, of which some are ASCII letters or digits."""
+    one, to, marks, several = [], [], [], {}
+    for code in range(0x80, 0x110000):
+        c = chr(code)
+        if unicodedata.combining(c):
+            marks.append(c)
+        elif unicodedata.decomposition(c):
+            bare = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+            if len(bare) == 1 and bare.isascii() and bare.isalnum():
+                one.append(c)
+                to.append(bare)
+            elif any(x.isascii() and x.isalnum() for x in bare):
+                several[c] = bare
+    return "".join(one), "".join(to), "".join(marks), several
+
+
+MARKED, PLAIN, MARKS, SEVERAL = _folds()
 
 def text_or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
 def strip_accents(text: Column) -> Column:
-    return F.translate(text, MARKED, PLAIN)
+    """Letters and digits without their marks, where ASCII ones remain; ligatures, fractions and the like in full."""
+    bare = F.translate(text, MARKED + MARKS, PLAIN)
+    names = F.from_json(F.lit(json.dumps(SEVERAL)), "map<string,string>")
+    full = F.array_join(F.transform(F.split(bare, ""), lambda c: F.coalesce(names[c], c)), "")
+    return F.when(F.length(F.translate(bare, "".join(SEVERAL), "")) < F.length(bare), full).otherwise(bare)
 
 
 def words(text: Column) -> Column:
@@ -98,11 +125,11 @@ def scope_of(path: Column) -> Column:
     n, name = F.size(parts), F.element_at(parts, -1)
     at = lambda i: F.get(parts, F.lit(i))
     return (
-        F.when(~F.lower(path).endswith(".md"), None)
-        .when((n >= 3) & (at(1) == "Learnings"), "workspace")
-        .when((n >= 4) & (at(2) == "Learnings"), "project")
+        F.when((n < 3) | ~path.endswith(".md"), None)
+        .when(at(1) == "Learnings", "workspace")
+        .when((n == 4) & (at(2) == "Learnings"), "project")
         .when((n >= 4) & (name == "_index.md"), "index")
-        .when((n >= 5) & F.array_contains(F.slice(parts, F.lit(4), F.greatest(n - 3, F.lit(0))), "Learnings"), "ticket"))
+        .when(F.array_contains(F.slice(parts, F.lit(3), F.greatest(n - 3, F.lit(0))), "Learnings"), "ticket"))
 
 
 def ticket_dir(path: Column) -> Column:
@@ -116,12 +143,13 @@ def learnings_dir(path: Column) -> Column:
 
 
 def is_learning(path: Column) -> Column:
-    return path.rlike(r"(?i)/Learnings/.*\.md$") & ~path.rlike(r"(?i)/_index\.md$")
+    return path.contains("/Learnings/") & path.endswith(".md") & ~path.endswith("/_index.md")
 
 
 def stem(path: Column) -> Column:
     """Lower-case file name without .md: the key that citations and reads are matched by."""
-    return F.lower(F.regexp_extract(path, r"([^/]+?)(?:\.md)?$", 1))
+    name = F.trim(F.substring_index(F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), "/+$", ""), "/", -1))
+    return F.lower(F.trim(F.regexp_replace(name, r"(?i)\.md$", "")))
 
 
 def note_name(name: Column, path: Column) -> Column:
@@ -132,9 +160,20 @@ def wiki_links(text: Column, most: int = 10) -> Column:
     return F.slice(F.transform(F.regexp_extract_all(text_or_empty(text), F.lit(LINK), F.lit(1)), lambda x: F.trim(x)), 1, most)
 
 
+def link_key(target: Column) -> Column:
+    """The name that a link is looked up by: its last path segment, without .md."""
+    return F.regexp_replace(F.substring_index(F.trim(target), "/", -1), r"\.md$", "")
+
+
+def mentioned(text: Column) -> Column:
+    """Distinct names that a text's links end in, whatever path is before them and alias after them; all links count."""
+    inner = F.regexp_extract_all(text_or_empty(text), F.lit(r"\[\[([^\]|]*)(?:\||\]\])"), F.lit(1))
+    return F.array_distinct(F.transform(inner, lambda x: F.substring_index(x, "/", -1)))
+
+
 def repoint(text: Column, old: str, new: str) -> Column:
-    """Let links to ``old`` point to ``new``, with their aliases."""
-    return F.regexp_replace(text, r"\[\[\s*\Q" + old + r"\E\s*((?:[|#][^\]]+)?)\]\]", "[[" + new.replace("\\", "\\\\").replace("$", "\\$") + "$1]]")
+    """Let links to ``old``, with or without a path before it, point to ``new``, with their aliases."""
+    return F.regexp_replace(text, r"\[\[(?:[^\]|]*/)?\Q" + old + r"\E(\|[^\]]*)?\]\]", "[[" + new.replace("\\", "\\\\").replace("$", "\\$") + "$1]]")
 
 
 def split_branch(branch: Column) -> Column:
@@ -155,19 +194,17 @@ def pair_label(path: Column) -> Column:
 
 
 def url_normalize(url: Column) -> Column:
-    """Lower case, without scheme, user, trailing slashes and .git; the colon of the scp form is a slash."""
-    u = F.regexp_replace(F.trim(url), "/+$", "")
-    u = F.regexp_replace(u, r"\.git$", "")
-    u = F.regexp_replace(u, r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
-    u = F.regexp_replace(u, r"^[^/@]*@", "")
-    return F.lower(F.regexp_replace(u, r"^([^/:]+):(?!\d+/)", "$1/"))
+    """Owner and name of a repository whatever host mirrors it: lower case, without scheme, host, trailing slashes and .git; null for nothing."""
+    u = F.regexp_replace(F.regexp_replace(url, r"^\s+|\s+$", ""), "/+$", "")
+    u = F.regexp_replace(F.regexp_replace(u, r"\.git$", ""), r"^(git@|https?://)[^/:]+[/:]", "")
+    return F.nullif(F.lower(u), F.lit(""))
 
 
 def url_host(url: Column) -> Column:
     """Host of a URL or scp-form origin, lower case; empty for files, paths and null."""
-    u = text_or_empty(url)
-    by_scheme = F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:]*)", 1)
-    scp = F.regexp_extract(u, r"^(?:[^/@:]+@)([^/:]+):", 1)
+    u = F.trim(text_or_empty(url))
+    by_scheme = F.regexp_extract(u, r"^[A-Za-z+]+://(?:[^/@]+@)?([^/:]+)", 1)
+    scp = F.regexp_extract(u, r"^(?:[^@/]+@)([^:/]+):", 1)
     return F.lower(F.when(by_scheme != "", by_scheme).otherwise(scp))
 
 
@@ -180,19 +217,20 @@ def clean_session_id(value: Column) -> Column:
 
 
 def symbols(text: Column, shortest: int = 6, most: int = 6) -> Column:
-    """Code symbols of a note: back-ticked identifiers (last dotted part too) and camel-case words, longest first."""
-    ticked = F.regexp_extract_all(text_or_empty(text), F.lit(r"`([A-Za-z_][A-Za-z0-9_.]*)(?:\(\))?`"), F.lit(1))
-    last = F.transform(ticked, lambda x: F.substring_index(x, ".", -1))
-    camel = F.regexp_extract_all(text_or_empty(text), F.lit(r"\b([A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+)\b"), F.lit(1))
-    found = F.filter(F.array_distinct(F.concat(ticked, last, camel)), lambda x: F.length(x) >= shortest)
-    keyed = F.array_sort(F.transform(found, lambda x: F.struct((-F.length(x)).alias("k"), x.alias("s"))))
+    """Code symbols of a note: back-ticked identifiers (their last dotted part too) and camel-case words, longest first, then as first seen."""
+    ticked = F.regexp_extract_all(text_or_empty(text), F.lit(r"`([A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*)`"), F.lit(1))
+    ticked = F.flatten(F.transform(ticked, lambda x: F.array(x, F.substring_index(x, ".", -1))))
+    camel = F.regexp_extract_all(text_or_empty(text), F.lit(r"\b([A-Z][a-z0-9]+[A-Z][A-Za-z0-9]{3,})\b"), F.lit(1))
+    found = F.array_distinct(F.concat(F.filter(ticked, lambda x: F.length(x) >= shortest), camel))
+    keyed = F.array_sort(F.transform(found, lambda x, i: F.struct((-F.length(x)).alias("k"), i.alias("i"), x.alias("s"))))
     return F.slice(F.transform(keyed, lambda x: x["s"]), 1, most)
 
 
 def counts_marker(text: Column) -> Column:
-    """adds, confirms, adjusts and refutes of a line with ``COUNTS:`` in any order; null unless all four are there."""
-    line = F.regexp_extract(text_or_empty(text), r"COUNTS:([^\n]*)", 1)
-    number = lambda k: F.nullif(F.regexp_extract(line, rf"\b{k}=(\d+)", 1), F.lit("")).cast("int")
+    """adds, confirms, adjusts and refutes of the first line with ``COUNTS:``, in any order, case and spacing; null unless all four are there."""
+    line = F.regexp_extract(text_or_empty(text), r"(?i)COUNTS:[ \t]*([^\n]+)", 1)
+    # of a repeated name the last number holds
+    number = lambda k: F.nullif(F.regexp_extract(line, rf"(?i)^.*{k}\s*=\s*(\d+)", 1), F.lit("")).cast("long")
     names = ("adds", "confirms", "adjusts", "refutes")
     complete = F.lit(True)
     for k in names:
@@ -200,9 +238,71 @@ def counts_marker(text: Column) -> Column:
     return F.when(complete, F.struct(*(number(k).alias(k) for k in names)))
 
 
+def _between(text: Column, start: str, end: str) -> Column:
+    """What stands between two marker lines, without white space around it; empty where it is missing."""
+    return F.regexp_replace(F.regexp_extract(text, rf"(?s){start}\s*\n(.*?)\n{end}", 1), r"^\s+|\s+$", "")
+
+
 def verdict(text: Column) -> Column:
-    field = lambda k: F.lower(F.regexp_extract(text_or_empty(text), rf"(?im)^\s*{k}:\s*(\S.*?)\s*$", 1))
-    return F.struct(field("VERDICT").alias("verdict"), field("CONFIDENCE").alias("confidence"), field("REASON").alias("reason"))
+    """(verdict, confidence, reason, trimmed) of a judge's answer: KEEP, TRIM or DROP; confidence is low unless it says high.
+
+    Null where there is no such verdict, and for a TRIM without a body between its marker lines; a null counts as KEEP.
+    """
+    t = text_or_empty(text)
+    said = F.upper(F.regexp_extract(t, r"(?mi)^\s*VERDICT:\s*(KEEP|TRIM|DROP)\b", 1))
+    confidence = F.lower(F.regexp_extract(t, r"(?mi)^\s*CONFIDENCE:\s*(high|low)\b", 1))
+    reason = F.substring(F.trim(F.regexp_extract(t, r"(?mi)^\s*REASON:\s*(.+)$", 1)), 1, 300)
+    body = _between(t, "---TRIMMED---", "---END---")
+    trimmed = F.when(said == "TRIM", F.concat(body, F.lit("\n")))
+    usable = (said != "") & ((said != "TRIM") | (body != ""))
+    return F.when(usable, F.struct(
+        said.alias("verdict"), F.when(confidence == "", "low").otherwise(confidence).alias("confidence"), reason.alias("reason"), trimmed.alias("trimmed")))
+
+
+def merge_decision(text: Column) -> Column:
+    """(decision, body) of a resolver's answer: KEEP_BOTH or MERGE; null, which counts as KEEP_BOTH, where it says neither or a MERGE has no body."""
+    t = text_or_empty(text)
+    both = t.rlike(r"(?mi)^\s*DECISION:\s*KEEP_BOTH\b")
+    body = _between(t, "---BODY---", "---END---")
+    merge = t.rlike(r"(?mi)^\s*DECISION:\s*MERGE\b") & (body != "")
+    return F.when(both, F.struct(F.lit("KEEP_BOTH").alias("decision"), F.lit(None).cast("string").alias("body"))).when(
+        merge, F.struct(F.lit("MERGE").alias("decision"), F.concat(body, F.lit("\n")).alias("body")))
+
+
+def fill(template: Column | str, **values: Column) -> Column:
+    """A template with each ``<<NAME>>`` replaced by its value."""
+    out = F.lit(template) if isinstance(template, str) else template
+    for name, value in values.items():
+        out = F.replace(out, F.lit(f"<<{name}>>"), text_or_empty(value))
+    return out
+
+
+def tier_glyph(tier: Column) -> Column:
+    """One letter for each tier, a dash for none."""
+    return F.when(tier == "high", "H").when(tier == "mid", "M").when(tier == "low", "L").otherwise("-")
+
+
+def query_text(branch: Column, subjects: Column, stat: Column) -> Column:
+    """What a branch is searched by: its name, its first ten subjects and the head of its statistics."""
+    return F.concat_ws(" | ", text_or_empty(branch), F.array_join(F.slice(subjects, 1, 10), " | "), F.substring(text_or_empty(stat), 1, 1500))
+
+
+def is_vault_read(path: Column, root: str) -> Column:
+    """Does a read path lie in the vault, whatever its case and slashes?"""
+    plain = F.lower(F.replace(path, F.lit("\\"), F.lit("/")))
+    base = root.replace("\\", "/").rstrip("/").lower()
+    return F.coalesce((plain == base) | plain.startswith(base + "/"), F.lit(False))
+
+
+def project_of(path: Column) -> Column:
+    """The second path segment, or the only one."""
+    parts = F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/")
+    return F.coalesce(F.get(parts, F.lit(1)), F.get(parts, F.lit(0)))
+
+
+def thousands(n: Column) -> Column:
+    """A whole number with separators."""
+    return F.format_number(n, 0)
 
 
 def unix_lines(text: Column) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import durable
+
 
 def snapshot_diff(before: DataFrame, after: DataFrame, key: str, signature: str) -> DataFrame:
     """(key, action): added, updated, removed or skipped, by comparing signatures."""
@@ -30,9 +32,44 @@ def advance(rows: DataFrame, keys: list[str], order: Column, mark: str, name: st
     return rows.groupBy(*keys).agg(F.max_by(F.col(mark), F.struct(order, F.col(mark))).alias(name))
 
 
-def after_mark(rows: DataFrame, marks: DataFrame, keys: list[str], mark: str) -> DataFrame:
-    """Rows whose mark lies after their key's high-water mark, or whose key has none. Dates play no part, so late rows come through."""
-    return rows.join(marks, keys, "left").where(F.col("hwm").isNull() | (F.col(mark) > F.col("hwm")))
+def window_start(installed: Column, today: Column, days: int = 7) -> Column:
+    """A first run looks back no further than the installation, and at most ``days``."""
+    return F.greatest(installed, F.date_sub(today, days))
+
+
+def effective_since(branches: DataFrame, marks: DataFrame, examined: DataFrame, reach: DataFrame, installed: Column, today: Column, days: int = 7) -> DataFrame:
+    """(origin, branch, kind, sha, since, source): from where each branch's commits are new.
+
+    A mark counts if it is among the commits that the branch reaches (``reach``: origin, branch, sha). Otherwise, after a rebase or
+    without a mark, the date of the origin's last complete examination counts, and without that the first run's window.
+    """
+    alive = reach.join(marks.select("origin", "branch", "hwm"), ["origin", "branch"]).where("sha = hwm").select("origin", "branch", "hwm")
+    both = branches.select("origin", "branch").join(alive, ["origin", "branch"], "left").join(examined.select("origin", "last_examined"), "origin", "left")
+    by_mark, dated = F.col("hwm").isNotNull(), F.col("last_examined").isNotNull()
+    start = window_start(installed, today, days)
+    first = F.when(F.date_sub(today, days) > installed, "capped").otherwise("bootstrap")
+    return both.select(
+        "origin", "branch", F.when(by_mark, "commit").otherwise("date").alias("kind"), F.col("hwm").alias("sha"),
+        F.when(~by_mark, F.coalesce("last_examined", start)).alias("since"), F.when(by_mark, "mark").when(dated, "examined").otherwise(first).alias("source"))
+
+
+def new_commits(reach: DataFrame, commits: DataFrame, since: DataFrame, edges: DataFrame) -> DataFrame:
+    """(origin, branch, sha, day, source): what each branch reaches and has not been seen.
+
+    After a mark: what the mark does not reach. By date: what is of that day or later. Identifiers are compared for equality only, as
+    their order says nothing. ``commits`` is (origin, sha, day), ``edges`` (origin, sha, parent).
+    """
+    marked = since.where("kind = 'commit'").select("origin", "branch", "sha")
+    seen = reachable_from(edges, marked, ["branch"])
+    fresh = reach.join(since.select("origin", "branch", "kind", "since", "source"), ["origin", "branch"]).join(seen, ["origin", "branch", "sha"], "left_anti")
+    return fresh.join(commits.select("origin", "sha", "day"), ["origin", "sha"]).where("kind = 'commit' OR day >= since").select("origin", "branch", "sha", "day", "source")
+
+
+def skippable(tips: DataFrame, marks: DataFrame, examined: DataFrame) -> DataFrame:
+    """(origin, branch, skip) of (origin, branch, tip, day): is the tip the mark itself, or older than the origin's last examination?"""
+    both = tips.join(marks, ["origin", "branch"], "left").join(examined, "origin", "left")
+    skip = F.coalesce(F.col("tip") == F.col("hwm"), F.lit(False)) | F.coalesce(F.col("day") < F.col("last_examined"), F.lit(False))
+    return both.select("origin", "branch", skip.alias("skip"))
 
 
 def seal(fetched: DataFrame, incomplete: DataFrame) -> DataFrame:
@@ -79,7 +116,7 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 def merge_method(ancestor: Column, all_patches: Column, combined: Column) -> Column:
     """How a branch was merged: by ancestry, else patch by patch, else as one patch, else not."""
-    return F.when(ancestor, "ancestor").when(all_patches, "cherry").when(combined, "squash").otherwise("none")
+    return F.when(ancestor, "ancestor").when(all_patches, "cherry").when(combined, "patchid").otherwise("none")
 
 
 def branch_state(merged: Column, alive: Column, manual: Column) -> Column:
@@ -87,13 +124,78 @@ def branch_state(merged: Column, alive: Column, manual: Column) -> Column:
     return F.when(merged, "merged").when(alive, "open").when(manual, "manual").otherwise("gone")
 
 
-def reachable_from(edges: DataFrame, starts: DataFrame, rounds: int = 64) -> DataFrame:
-    """(origin, sha) reachable from the starts over (origin, sha, parent) edges; each round is checkpointed."""
-    seen = starts.select("origin", "sha").distinct().checkpoint()
-    front = seen
-    for _ in range(rounds):
-        front = front.join(edges, ["origin", "sha"]).select("origin", F.col("parent").alias("sha")).distinct().join(seen, ["origin", "sha"], "left_anti").checkpoint()
-        if front.isEmpty():
+def reachable_from(edges: DataFrame, starts: DataFrame, group: list[str] = []) -> DataFrame:  # noqa: B006 (never changed)
+    """(origin, group..., sha) reachable from the starts, these included, over (origin, sha, parent) edges.
+
+    One parent of each commit makes a forest, whose ancestors are found by jumps that double, so a history's depth costs
+    its logarithm in rounds. The other parents are entered round by round, as deep as merges are nested.
+    """
+    edges = durable(edges.where("parent IS NOT NULL").select("origin", "sha", "parent").distinct())
+    main = durable(edges.groupBy("origin", "sha").agg(F.min("parent").alias("parent")))
+    side = durable(edges.join(main, ["origin", "sha", "parent"], "left_anti").select("origin", "sha", "parent"))
+    jumps = [main]
+    while True:
+        last = jumps[-1]
+        ahead = durable(last.join(last.select("origin", F.col("sha").alias("parent"), F.col("parent").alias("far")), ["origin", "parent"]).select("origin", "sha", F.col("far").alias("parent")))
+        if ahead.isEmpty():
             break
-        seen = seen.union(front)
-    return seen
+        jumps.append(ahead)
+    keys = ["origin", *group, "sha"]
+
+    def up(rows: DataFrame, by: DataFrame) -> DataFrame:
+        return rows.join(by, ["origin", "sha"]).select("origin", *group, F.col("parent").alias("sha"))
+
+    front, seen = durable(starts.select(*keys).distinct()), None
+    while not front.isEmpty():
+        reached = front
+        for jump in jumps:
+            reached = durable(reached.union(up(reached, jump)).distinct())
+        fresh = reached if seen is None else durable(reached.join(seen, keys, "left_anti"))
+        seen = fresh if seen is None else durable(seen.union(fresh))
+        front = durable(up(fresh, side).distinct().join(seen, keys, "left_anti"))
+    return front if seen is None else seen
+
+
+def is_ancestor(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """(origin, old, tip, ancestor) of (origin, old, tip): does the tip reach the old commit?"""
+    reach = reachable_from(edges, pairs.select("origin", "tip", F.col("tip").alias("sha")), ["tip"]).withColumn("_met", F.lit(True))
+    met = pairs.select("origin", "old", "tip").join(reach.withColumnRenamed("sha", "old"), ["origin", "tip", "old"], "left")
+    return met.select("origin", "old", "tip", F.col("_met").isNotNull().alias("ancestor"))
+
+
+def prefer_ref(refs: DataFrame) -> DataFrame:
+    """(origin, branch, ref) of (origin, ref) rows: of a branch's refs that of the remote (``origin/<branch>``), else the local one."""
+    remote = F.col("ref").startswith("origin/")
+    branch = F.when(remote, F.substr("ref", F.lit(8))).otherwise(F.col("ref"))
+    return refs.groupBy("origin", branch.alias("branch")).agg(F.min_by("ref", F.struct((~remote).alias("local"), F.col("ref"))).alias("ref"))
+
+
+def default_branch(refs: DataFrame, preferred: list[str]) -> DataFrame:
+    """(origin, branch): the first of the preferred branches that an origin has, else its head (``head`` true)."""
+    order = F.array_position(F.array(*map(F.lit, preferred)), F.col("branch"))
+    usable = refs.where((order > 0) | F.col("head"))
+    return usable.groupBy("origin").agg(F.min_by("branch", F.struct(F.when(order > 0, order).otherwise(len(preferred) + 1), F.col("branch"))).alias("branch"))
+
+
+def touched_since(files: DataFrame, start: Column) -> DataFrame:
+    """The notes that a run wrote: changed at its start or later, outside the editor's own folder."""
+    return files.where((F.col("mtime") >= start) & F.col("path").endswith(".md") & ~F.array_contains(F.split("path", "/"), ".obsidian"))
+
+
+def flagged(marks: DataFrame, flag: str) -> DataFrame:
+    """(branch): the branches that some session marked with a flag."""
+    return marks.where(F.col(flag) & (F.col("branch") != "")).select("branch").distinct()
+
+
+def clear_flag(marks: DataFrame, applied: DataFrame, flag: str) -> DataFrame:
+    """The marks with a flag taken back on the branches that it was applied to, so that it works once."""
+    done = applied.select("branch", F.lit(True).alias("_done")).distinct()
+    return marks.join(done, "branch", "left").withColumn(flag, F.when(F.col("_done"), F.lit(False)).otherwise(F.col(flag))).drop("_done").select(*marks.columns)
+
+
+def audit_trace(notes: DataFrame, traces: DataFrame, section: str = "## Audit") -> DataFrame:
+    """Notes with a line of (path, line) appended to a section at their end, which is made where there is none."""
+    said = traces.groupBy("path").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("_lines"))
+    head = F.when(F.contains("body", F.lit(section)), F.lit("\n")).otherwise(F.lit(f"\n\n{section}\n"))
+    return notes.join(said, "path", "left").withColumn("body", F.when(F.col("_lines").isNull(), F.col("body")).otherwise(
+        F.concat(F.regexp_replace("body", r"\s+$", ""), head, F.col("_lines"), F.lit("\n")))).drop("_lines")

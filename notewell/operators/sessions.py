@@ -2,24 +2,36 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import ship
+
 
 def turn_pairs(turns: DataFrame, most: int = 1500) -> DataFrame:
-    """(conv_id, pair, user_chars, assistant_chars, text): each user turn opens a pair, the assistant turns after it belong to it.
+    """(conv_id, pair, user_chars, assistant_chars, text): a user turn closes the pair before it; what an assistant says before any user is a pair too.
 
-    Other roles, and assistant turns before the first user turn, are left out. ``text`` is rendered and cut to ``most`` characters.
+    Other roles are left out, and so are empty texts and pairs without any text; the others are numbered from 0. ``text`` names the
+    sides that speak, without white space around it, cut to ``most`` characters.
     """
     spoken = turns.where(F.col("role").isin("user", "assistant"))
     pair = F.sum((F.col("role") == "user").cast("int")).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0))
-    lines = spoken.withColumn("pair", pair).where("pair > 0").groupBy("conv_id", "pair").agg(
-        F.array_sort(F.collect_list(F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text")))).alias("t"))
+    lines = spoken.withColumn("_pair", pair).where("text <> ''").groupBy("conv_id", "_pair").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
     said = lambda role: F.array_join(F.transform(F.filter("t", lambda x: x["role"] == role), lambda x: x["text"]), "\n")
-    text = F.concat(F.lit("USER: "), said("user"), F.lit("\nASSISTANT: "), said("assistant"))
-    return lines.select("conv_id", (F.col("pair") - 1).cast("long").alias("pair"), F.length(said("user")).cast("long").alias("user_chars"),
-                        F.length(said("assistant")).cast("long").alias("assistant_chars"), F.substring(text, 1, most).alias("text"))
+    lines = lines.select("conv_id", "_pair", said("user").alias("u"), said("assistant").alias("a"))
+    parts = [F.when(F.col(c) != "", F.concat(F.lit(f"{name}:\n"), F.col(c))) for c, name in (("u", "USER"), ("a", "ASSISTANT"))]
+    nth = F.row_number().over(Window.partitionBy("conv_id").orderBy("_pair")) - 1
+    return lines.select(
+        "conv_id", nth.cast("long").alias("pair"), F.length("u").cast("long").alias("user_chars"), F.length("a").cast("long").alias("assistant_chars"),
+        F.substring(F.regexp_replace(F.concat_ws("\n", *parts), r"(?U)^\s+|\s+$", ""), 1, most).alias("text"))
+
+
+def resume_hint(offsets: DataFrame) -> DataFrame:
+    """(conv_id, hint): where reading of a session goes on, of ``offset_ranges`` rows with something new."""
+    return offsets.where("new_lines > 0").select("conv_id", F.format_string("lines %d to %d are new; %d were read before", "from_line", "to_line", F.col("from_line") - 1).alias("hint"))
 
 
 def fill_section(rows: DataFrame, group: str, order: str, is_header: Column, header: Column) -> DataFrame:
@@ -40,11 +52,29 @@ def running_hits(events: DataFrame, session: str, order: list[str], hit: Column)
     return events.withColumn("running_total", F.count("*").over(upto)).withColumn("running_hits", F.count_if(hit).over(upto))
 
 
-def drop_repeats(events: DataFrame, keys: list[str], ts: str, seconds: int, order: list[str]) -> DataFrame:
-    """Rows that follow another of their key within ``seconds`` go; what was dropped still keeps the next one out."""
-    before = F.lag(ts).over(Window.partitionBy(*keys).orderBy(ts, *order))
-    gap = F.col(ts).cast("timestamp").cast("double") - before.cast("timestamp").cast("double")
-    return events.withColumn("_gap", gap).where(F.col("_gap").isNull() | (F.col("_gap") > seconds)).drop("_gap")
+def drop_repeats(events: DataFrame, keys: list[str], ts: str, seconds: int, order: str) -> DataFrame:
+    """Rows less than ``seconds`` after the last *kept* row of their key go, so a steady repeat comes through once in that time.
+
+    A gap of ``seconds`` ends a run, as the row after it is kept whatever was before. Runs are folded apart on (time, ``order``)
+    alone, so a task holds the narrow rows of one run and not those of a key. Rows without a key value count as one key.
+    """
+    ship(events.sparkSession)
+    w = Window.partitionBy(*keys).orderBy(ts, order)
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    fresh = F.coalesce(us - F.lag(us).over(w) >= seconds * 1_000_000, F.lit(True)).cast("long")
+    runs = events.select(*keys, order, ts, us.alias("_us"), fresh.alias("_fresh")).withColumn("_run", F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    schema = events.select(order).schema
+
+    def fold(run: pa.Table) -> pa.Table:
+        run = run.sort_by([("_us", "ascending"), (order, "ascending")])
+        times, kept, at = run.column("_us").to_numpy(), [], 0
+        while at < len(times):
+            kept.append(at)
+            at = int(np.searchsorted(times, times[at] + seconds * 1_000_000))
+        return run.select([order]).take(kept)
+
+    kept = runs.select(*keys, "_run", order, "_us").groupBy(*keys, "_run").applyInArrow(fold, schema)
+    return events.join(kept, order, "left_semi")
 
 
 def sessions_by_gap(events: DataFrame, key: str, ts: str, minutes: int, order: str) -> DataFrame:

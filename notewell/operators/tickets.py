@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from . import incremental as I
 from .retrieval import meet
 
 # Statuses of tickets that still take captures, and of those that do not.
@@ -67,21 +68,38 @@ def merged_by_patch(own: DataFrame, base: DataFrame) -> DataFrame:
         F.count("*").alias("commits"), F.count("_in").alias("found")).withColumn("merged", F.col("commits") == F.col("found"))
 
 
-def landed(commits: DataFrame, marks: DataFrame, today: Column, days: int = 7) -> DataFrame:
-    """Commits after their branch's mark, or, for a branch without one, inside the window."""
-    both = commits.join(marks, "branch", "left")
-    return both.where(F.when(F.col("hwm").isNotNull(), F.col("sha") > F.col("hwm")).otherwise(F.col("day") >= F.date_sub(today, days)))
-
+def nothing_new(counts: Column, kind: Column) -> Column:
+    """Examined without new knowledge: no adds, adjustments or refutations, and a capture that is still under way confirms something."""
+    none = (counts["adds"] + counts["adjusts"] + counts["refutes"]) == 0
+    return F.coalesce(none & ((kind == "finalize") | (counts["confirms"] > 0)), F.lit(False))
 
-def window_start(installed: Column, today: Column, days: int = 7) -> Column:
-    """A first run looks back no further than the installation, and at most ``days``."""
-    return F.greatest(installed, F.date_sub(today, days))
 
+def landed(merged: DataFrame, bases: DataFrame, since: DataFrame, commits: DataFrame, edges: DataFrame) -> DataFrame:
+    """(origin, branch, sha, day) of merged branches (origin, branch, tip) that are still to be captured.
 
-def nothing_new(counts: Column, kind: Column) -> Column:
-    """No adds, adjustments or refutations; a finalised ticket also needs a confirmation to count as news."""
-    none = (counts["adds"] + counts["adjusts"] + counts["refutes"]) == 0
-    return counts.isNotNull() & none & ((kind != "finalize") | (counts["confirms"] == 0))
+    After the branch's mark where it has one. Else what its tip reaches and the merge's first parent (``bases``: origin, branch, sha, where
+    there was a merge commit) does not, from the window's day on.
+    """
+    reach = I.reachable_from(edges, merged.select("origin", "branch", F.col("tip").alias("sha")), ["branch"])
+    dated = since.where("kind = 'date'").select("origin", "branch")
+    trunk = I.reachable_from(edges, bases.join(dated, ["origin", "branch"], "left_semi").select("origin", "branch", "sha"), ["branch"])
+    own = reach.join(trunk, ["origin", "branch", "sha"], "left_anti")
+    return I.new_commits(own, commits, since, edges).drop("source")
+
+
+def nearest_index(notes: DataFrame, indexes: DataFrame, levels: int = 3) -> DataFrame:
+    """(path, index): the index of the nearest folder above a learning's own, ``levels`` folders up at most; null where there is none."""
+    folder = F.regexp_extract("path", r"^(.*)/[^/]+/[^/]+$", 1)
+    parts = F.split(folder, "/")
+    above = notes.select("path", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), lambda k: F.when(F.size(parts) > k, F.array_join(F.slice(parts, F.lit(1), F.size(parts) - k), "/")))).alias("up", "folder"))
+    known = indexes.select(F.regexp_replace("path", "/_index\\.md$", "").alias("folder"), F.col("path").alias("index"))
+    return above.join(known, "folder", "left").groupBy("path").agg(F.min_by("index", F.when(F.col("index").isNotNull(), F.col("up"))).alias("index"))
+
+
+def best_per_neighbour(hits: DataFrame) -> DataFrame:
+    """(path, other, score) of chunk hits (path, other, score): the best chunk of each other learning; a note itself and indexes do not count."""
+    usable = (F.col("path") != F.col("other")) & ~F.col("other").endswith("_index.md") & T.is_learning(F.col("other"))
+    return hits.where(usable).groupBy("path", "other").agg(F.max("score").alias("score"))
 
 
 def first_try_per_host(failures: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import MARKED, PLAIN, SHORTEST, STOP_WORDS
+from ..functions.text import MARKED, MARKS, PLAIN, SHORTEST, STOP_WORDS
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,7 +45,8 @@ STOP_SQL = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
 
 
 def tok_sql(column: str) -> str:
-    return (f"list_filter(regexp_extract_all(translate(lower(coalesce({column}, '')), '{MARKED}', '{PLAIN}'), '[a-z0-9]+'), "
+    """Terms of a text; characters that become several are left to the unit tests."""
+    return (f"list_filter(regexp_extract_all(translate(lower(coalesce({column}, '')), '{MARKED + MARKS}', '{PLAIN}'), '[a-z0-9]+'), "
             f"lambda w: len(w) >= {SHORTEST} AND NOT list_contains({STOP_SQL}, w))")
 
 
@@ -68,6 +69,22 @@ bm25 AS (
   FROM tf JOIN q USING (term) JOIN idf USING (term) GROUP BY query_id, id)
 """
 
+#: Documents as notes: ten to a project, a hundred to a workspace, in every layout that there is; the same in Spark and DuckDB.
+WORKSPACE, PROJECT = "concat('w', CAST((doc_id - doc_id % 100) / 100 AS BIGINT))", "concat('p', CAST((doc_id - doc_id % 10) / 10 AS BIGINT))"
+TICKET = "CAST((doc_id - doc_id % 10) / 10 AS BIGINT)"
+PATH = f"""concat({WORKSPACE}, CASE doc_id % 10 WHEN 0 THEN concat('/Learnings/n', doc_id, '.md') WHEN 1 THEN concat('/', {PROJECT}, '/Learnings/n', doc_id, '.md')
+ WHEN 2 THEN concat('/', {PROJECT}, '/feat/', {TICKET}, '/_index.md') WHEN 3 THEN concat('/', {PROJECT}, '/feat/', {TICKET}, '/Learnings/N', doc_id, '.md')
+ WHEN 4 THEN concat('/', {PROJECT}, '/t', {TICKET}, '/_index.md') WHEN 5 THEN concat('/', {PROJECT}, '/t', {TICKET}, '/Learnings/sub/n', doc_id, '.md')
+ WHEN 6 THEN concat('/', {PROJECT}, '/Learnings/sub/_index.md') WHEN 7 THEN concat('/readme', doc_id, '.md')
+ WHEN 8 THEN concat('/', {PROJECT}, '/feat/', {TICKET}, '/Learnings/n', doc_id, '.md') ELSE concat('/', {PROJECT}, '/feat/', {TICKET}, '/notes', doc_id, '.TXT') END)"""
+PATHS_SQL = f"p AS (SELECT doc_id, text, lang, source, {PATH} AS path FROM documents)"
+
+
+def rendered_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text, lang, source, path): documents with the paths of notes."""
+    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", F.expr(PATH).alias("path"))
+
+
 #: Status of a document by its labels.
 STATUS_SQL = """
 status AS (

@@ -7,26 +7,39 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import links as L
+from ..operators import tickets as K
 from ..operators import twins as W
-from .common import STATUS_SQL, Catalogue, long, rounded, statuses, table, tok_sql
+from .common import PATHS_SQL, STATUS_SQL, Catalogue, rendered_paths, rounded, statuses, table, tok_sql
 
 CATALOGUE = Catalogue()
 add = CATALOGUE.add
 
 
-@add("""
-SELECT page_id, regexp_extract(url, '^https?://[^/]+/([^/?#]*)', 1) AS section,
-       CASE WHEN contains(url, '?') THEN 'query' WHEN contains(url, '#') THEN 'fragment' WHEN ends_with(url, '/') THEN 'folder' ELSE 'page' END AS kind FROM pages""")
+@add(f"""WITH {PATHS_SQL}
+SELECT doc_id, path,
+       CASE WHEN n < 3 OR NOT ends_with(path, '.md') THEN NULL WHEN s[2] = 'Learnings' THEN 'workspace' WHEN n = 4 AND s[3] = 'Learnings' THEN 'project'
+            WHEN s[n] = '_index.md' AND n >= 4 THEN 'index' WHEN list_contains(s[3:n - 1], 'Learnings') THEN 'ticket' END AS scope,
+       CASE WHEN ends_with(path, '/_index.md') THEN substr(path, 1, length(path) - 10) WHEN contains(path, '/Learnings/') THEN split_part(path, '/Learnings/', 1) END AS ticket_dir,
+       CASE WHEN contains(path, '/Learnings/') THEN array_to_string(s[1:n - list_position(list_reverse(s), 'Learnings') + 1], '/') END AS learnings_dir,
+       contains(path, '/Learnings/') AND ends_with(path, '.md') AND NOT ends_with(path, '/_index.md') AS learning,
+       lower(CASE WHEN ends_with(s[n], '.md') THEN substr(s[n], 1, length(s[n]) - 3) ELSE s[n] END) AS stem,
+       array_to_string(s[greatest(n - 1, 1):n], '/') AS label, s[2] AS project
+FROM (SELECT *, string_split(path, '/') AS s, len(string_split(path, '/')) AS n FROM p)""")
 def classify_case(spark: SparkSession, sf_dir: str) -> DataFrame:
-    url = F.col("url")
-    kind = F.when(url.contains("?"), "query").when(url.contains("#"), "fragment").when(url.endswith("/"), "folder").otherwise("page")
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract(url, r"^https?://[^/]+/([^/?#]*)", 1).alias("section"), kind.alias("kind"))
+    """What the paths of rendered notes say of them."""
+    path = F.col("path")
+    return rendered_paths(spark, sf_dir).select(
+        "doc_id", "path", T.scope_of(path).alias("scope"), T.ticket_dir(path).alias("ticket_dir"), T.learnings_dir(path).alias("learnings_dir"),
+        T.is_learning(path).alias("learning"), T.stem(path).alias("stem"), T.pair_label(path).alias("label"), T.project_of(path).alias("project"))
 
 
 @add(r"""
-SELECT page_id, lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(url), '/+$', ''), '\.git$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '^[^/@]*@', '')) AS origin FROM pages""")
+SELECT page_id, nullif(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(origin, '^\s+|\s+$', '', 'g'), '/+$', ''), '\.git$', ''), '^(git@|https?://)[^/:]+[/:]', '')), '') AS origin
+FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN url || '.git' WHEN 2 THEN ' git@' || replace(url, 'http://', '') ELSE upper(url) || '/' END AS origin FROM pages)""")
 def url_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", T.url_normalize(F.col("url")).alias("origin"))
+    """Page addresses in the forms that origins have."""
+    origin = F.expr("CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN url || '.git' WHEN 2 THEN ' git@' || replace(url, 'http://', '') ELSE upper(url) || '/' END")
+    return table(spark, sf_dir, "pages").select("page_id", T.url_normalize(origin).alias("origin"))
 
 
 @add("SELECT lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:]*)', 1)) AS host, count(*)::BIGINT AS n FROM pages GROUP BY 1")
@@ -38,25 +51,23 @@ HREF = '<a href="([^"]*)"'
 TITLE = r"<title>([^\s<.,%*&#$!|]+)"
 
 
-def page_links(spark: SparkSession, sf_dir: str, first: int | None = 10) -> DataFrame:
-    """(src, pos, target): the first ten links of each page, or all with None, by the name that they lead to."""
-    found = F.regexp_extract_all(T.text_or_empty(F.col("html")), F.lit(HREF), F.lit(1))
-    found = found if first is None else F.slice(found, 1, first)
-    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("src"), F.posexplode(found).alias("pos", "href"))
-    return pages.select("src", "pos", F.lower(F.regexp_replace("href", "^/|[,.]+$", "")).alias("target"))
+def page_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as notes (id, name, body, length): named by the first word of their title, their anchors turned into wiki links."""
+    html = T.text_or_empty(F.col("html"))
+    return table(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("id"), F.regexp_extract(html, TITLE, 1).alias("name"), F.regexp_replace(html, HREF, "[[$1]]").alias("body"), F.length("html").alias("length"))
 
 
-def page_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as notes, named by the first word of their title."""
-    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.lower(F.regexp_extract(T.text_or_empty(F.col("html")), TITLE, 1)).alias("name"), F.length("html").alias("length"))
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, pos, target): the first ten links of each page."""
+    return page_notes(spark, sf_dir).select(F.col("id").alias("src"), F.posexplode(T.wiki_links(F.col("body"))).alias("pos", "target"))
 
 
 LINKS = f"""
-e0 AS (SELECT page_id AS src, list_slice(regexp_extract_all(coalesce(html, ''), '{HREF}', 1), 1, 10) AS h FROM pages),
-e1 AS (SELECT src, unnest(h) AS href, unnest(range(0, len(h))) AS pos FROM e0),
-e AS (SELECT src, pos::INT AS pos, lower(regexp_replace(href, '^/|[,.]+$', '', 'g')) AS target FROM e1),
-n AS (SELECT page_id AS id, lower(regexp_extract(coalesce(html, ''), '{TITLE}', 1)) AS name, length(html) AS length FROM pages),
-r AS (SELECT e.*, f.id AS dst FROM e LEFT JOIN (SELECT name, min(id) AS id FROM n GROUP BY name) f ON e.target = f.name)
+n AS (SELECT page_id AS id, regexp_extract(coalesce(html, ''), '{TITLE}', 1) AS name, length(html) AS length, regexp_replace(coalesce(html, ''), '{HREF}', '[[\\1]]', 'g') AS body FROM pages),
+e0 AS (SELECT id AS src, list_transform(list_slice(regexp_extract_all(body, '\\[\\[([^\\]|#]+)(?:[|#][^\\]]+)?\\]\\]', 1), 1, 10), lambda x: trim(x)) AS h FROM n),
+e AS (SELECT src, unnest(h) AS target, unnest(range(0, len(h)))::INT AS pos FROM e0),
+r AS (SELECT e.*, f.id AS dst FROM e LEFT JOIN (SELECT name, min(id) AS id FROM n GROUP BY name) f ON regexp_replace(string_split(e.target, '/')[-1], '\\.md$', '') = f.name)
 """
 
 
@@ -74,8 +85,8 @@ def link_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 ranked AS (
   SELECT regexp_extract(url, '^https?://[^/]+/([^/?#]*)', 1) AS query_id, page_id AS id,
          row_number() OVER (PARTITION BY query_id ORDER BY length(html) DESC, page_id) AS rank FROM pages),
-reached AS (SELECT k.query_id, r.dst, min((k.rank, r.pos)) AS first_at FROM ranked k JOIN r ON k.id = r.src WHERE k.rank <= 2 AND r.pos < 5 AND r.dst IS NOT NULL GROUP BY ALL),
-fresh AS (SELECT * FROM reached x WHERE NOT EXISTS (SELECT 1 FROM ranked k WHERE k.rank <= 8 AND k.query_id = x.query_id AND k.id = x.dst))
+reached AS (SELECT k.query_id, coalesce(r.dst::VARCHAR, r.target) AS dst, min((k.rank, r.pos)) AS first_at FROM ranked k JOIN r ON k.id = r.src WHERE k.rank <= 2 AND r.pos < 5 AND r.target <> '' GROUP BY ALL),
+fresh AS (SELECT * FROM reached x WHERE NOT EXISTS (SELECT 1 FROM ranked k WHERE k.rank <= 8 AND k.query_id = x.query_id AND k.id::VARCHAR = x.dst))
 SELECT query_id, dst, row_number() OVER (PARTITION BY query_id ORDER BY first_at, dst)::INT AS place FROM fresh QUALIFY place <= 5""")
 def graph_1hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The longest pages of each section stand for its ranked list."""
@@ -87,30 +98,49 @@ def graph_1hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.one_hop(top_k(pages, "length", 8), resolved)
 
 
-@add(f"WITH {LINKS} SELECT n.id, count(DISTINCT r.src)::BIGINT AS inbound FROM n LEFT JOIN r ON r.dst = n.id AND r.src <> n.id GROUP BY n.id")
+@add(rf"""WITH {LINKS}, m AS (SELECT DISTINCT id AS src, name AS own, string_split(unnest(regexp_extract_all(body, '\[\[([^\]|]*)(?:\||\]\])', 1)), '/')[-1] AS name FROM n)
+SELECT n.id, count(DISTINCT m.src)::BIGINT AS inbound FROM n LEFT JOIN m ON m.name = n.name AND m.own <> m.name GROUP BY n.id""")
 def inbound_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All links of all pages count."""
     notes = page_notes(spark, sf_dir)
-    return L.inbound(L.resolve(page_links(spark, sf_dir, None), notes), notes)
+    return L.inbound(L.mentions(notes, "body"), notes)
+
 
+@add(f"""WITH {LINKS} SELECT id, md5(regexp_replace(body, '\\[\\[(?:[^\\]|]*/)?la(\\|[^\\]]*)?\\]\\]', '[[los\\1]]', 'g')) AS body FROM n""")
+def repoint_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links to one name, with any path before it, led to another."""
+    return page_notes(spark, sf_dir).select("id", F.md5(T.repoint(F.col("body"), "la", "los")).alias("body"))
 
-SYMBOL = "[A-Z][a-z]{5,}"
+
+#: Text with code in it, made of a document's first words; the same in Spark and DuckDB.
+CODE = """concat('See `', w1, '.', w2, w3, '`, `x`, `', w3, '()` and ', upper(substr(w1, 1, 1)), lower(substr(w1, 2)), upper(substr(w2, 1, 1)), lower(substr(w2, 2)), 'Abc, MyHTTPServer, `', w2, '_', w1, '`')"""
+WORDS = "coalesce(nullif(regexp_extract(text, '([A-Za-z]+)', 1), ''), 'none')"
+SYMBOLS = f"""
+w AS (SELECT doc_id, source, {WORDS} AS w1, source AS w2, lang AS w3 FROM documents),
+c AS (SELECT doc_id, source, {CODE} AS text FROM w),
+k AS (SELECT doc_id, source, regexp_extract_all(text, '`([A-Za-z_][A-Za-z0-9_]*(?:\\.[A-Za-z_][A-Za-z0-9_]*)*)`', 1) AS ticked, regexp_extract_all(text, '\\b([A-Z][a-z0-9]+[A-Z][A-Za-z0-9]{{3,}})\\b', 1) AS camel FROM c),
+o AS (SELECT doc_id, source, list_concat(list_filter(flatten(list_transform(ticked, lambda x: [x, string_split(x, '.')[-1]])), lambda x: length(x) >= 6), camel) AS found FROM k),
+y AS (SELECT doc_id, source, s, min(i) AS i FROM (SELECT doc_id, source, unnest(found) AS s, unnest(range(0, len(found))) AS i FROM o) GROUP BY ALL),
+top AS (SELECT doc_id, source, s AS symbol, row_number() OVER (PARTITION BY doc_id ORDER BY length(s) DESC, i) AS place FROM y QUALIFY place <= 6)
+"""
 
 
-def source_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("source", F.explode(F.regexp_extract_all(T.text_or_empty(F.col("text")), F.lit(SYMBOL), F.lit(0))).alias("symbol")).distinct()
+def coded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, source, symbols): the code symbols of a note about each document."""
+    words = table(spark, sf_dir, "documents").select("doc_id", "source", F.expr(WORDS).alias("w1"), F.col("source").alias("w2"), F.col("lang").alias("w3"))
+    return words.select("doc_id", "source", T.symbols(F.expr(CODE)).alias("symbols"))
 
 
-@add(f"SELECT source, count(DISTINCT symbol)::BIGINT AS n_symbols, max(length(symbol))::BIGINT AS longest FROM (SELECT source, unnest(regexp_extract_all(coalesce(text, ''), '{SYMBOL}')) AS symbol FROM documents) GROUP BY source")
+@add(f"WITH {SYMBOLS} SELECT doc_id, string_agg(symbol, ' ' ORDER BY place) AS symbols FROM top GROUP BY doc_id")
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source_symbols(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n_symbols"), long(F.max(F.length("symbol"))).alias("longest"))
+    return coded(spark, sf_dir).select("doc_id", F.array_join("symbols", " ").alias("symbols"))
 
 
-@add(f"""WITH s AS (SELECT DISTINCT source, unnest(regexp_extract_all(coalesce(text, ''), '{SYMBOL}')) AS symbol FROM documents)
-SELECT symbol FROM s WHERE source = 'src0' AND symbol NOT IN (SELECT symbol FROM s WHERE source <> 'src0' AND symbol IS NOT NULL)""")
+@add(f"WITH {SYMBOLS} SELECT DISTINCT symbol FROM top WHERE source = 'src0' AND symbol NOT IN (SELECT symbol FROM top WHERE source <> 'src0')")
 def stale_symbols_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = source_symbols(spark, sf_dir)
-    return found.where("source = 'src0'").select("symbol").join(found.where("source <> 'src0'").select("symbol"), "symbol", "left_anti")
+    """Symbols of one source's notes that no other source knows."""
+    found = coded(spark, sf_dir).select("source", F.explode("symbols").alias("symbol"))
+    return found.where("source = 'src0'").select("symbol").distinct().join(found.where("source <> 'src0'").select("symbol"), "symbol", "left_anti")
 
 
 @add("SELECT doc_id, md5(text) AS md5, sha256(text) AS sha256, substr(md5(text), 1, 16) AS short FROM documents")
@@ -118,16 +148,49 @@ def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("md5"), F.sha2("text", 256).alias("sha256"), F.substring(F.md5("text"), 1, 16).alias("short"))
 
 
-CLASSIFIER = r"(?i)(password|secret|api[_-]?key|token|licen[sc]e|copyright|@[a-z]+\.|https?://|\b\d{3}-\d{3,4}-\d{4}\b)"
+#: What fetches said, by page; the same in Spark and DuckDB.
+MESSAGE = """CASE page_id % 12 WHEN 0 THEN 'fatal: Authentication failed for x' WHEN 1 THEN 'The requested URL returned error: 403' WHEN 2 THEN 'could not read Password' WHEN 3 THEN 'interactivity has been disabled'
+ WHEN 4 THEN 'Permission denied (publickey)' WHEN 5 THEN 'timeout after 4013 ms' WHEN 6 THEN 'HTTP Basic: Access denied' WHEN 7 THEN 'terminal prompts disabled' WHEN 8 THEN 'http 401' WHEN 9 THEN 'invalid credentials'
+ WHEN 10 THEN 'could not resolve host' ELSE NULL END"""
+FAILED = "regexp_matches(message, '(?i)authentication failed|could not read username|could not read password|interactivity has been disabled|terminal prompts disabled|invalid credentials|access denied|\\b401\\b|\\b403\\b')"
 
 
-@add(f"SELECT source, count_if(regexp_matches(text, '{CLASSIFIER}'))::BIGINT AS flagged, count(*)::BIGINT AS notes FROM documents GROUP BY source")
+@add(f"SELECT page_id, coalesce({FAILED}, false) AS failed FROM (SELECT page_id, {MESSAGE} AS message FROM pages)")
 def regex_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count_if(F.col("text").rlike(CLASSIFIER)).alias("flagged"), F.count("*").alias("notes"))
+    """Which failed fetches lack credentials."""
+    return table(spark, sf_dir, "pages").select("page_id", F.coalesce(F.expr(MESSAGE).rlike(T.AUTH_FAILURE), F.lit(False)).alias("failed"))
+
+
+@add(f"""SELECT run, lower(regexp_extract(url, '^[A-Za-z+]+://(?:[^/@]+@)?([^/:]+)', 1)) AS host, min(url) AS origin FROM (SELECT page_id % 2 AS run, url, {MESSAGE} AS message FROM pages)
+WHERE {FAILED} AND regexp_extract(url, '^[A-Za-z+]+://(?:[^/@]+@)?([^/:]+)', 1) <> '' GROUP BY ALL""")
+def first_try_per_host(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One new login for each host and run."""
+    return K.first_try_per_host(table(spark, sf_dir, "pages").select((F.col("page_id") % 2).alias("run"), F.col("url").alias("origin"), F.expr(MESSAGE).alias("message")))
+
+
+#: Reports of runs, as free text with a line of counts in it; the same in Spark and DuckDB.
+REPORT = """CASE o_orderkey % 5 WHEN 0 THEN concat('done', chr(10), 'RUN-COUNTS: adds=', o_custkey % 3, ' confirms=', o_custkey % 2, ' adjusts=0 refutes=0', chr(10), 'adds=9')
+ WHEN 1 THEN concat('run-counts: CONFIRMS = ', o_custkey % 4, ', refutes =0; Adds= ', o_custkey % 2, ' adjusts=0') WHEN 2 THEN concat('COUNTS: adds=1 confirms=2 refutes=', o_custkey % 3)
+ WHEN 3 THEN concat('COUNTS:adds=7 adds=0 adjusts=', o_custkey % 2, ' refutes=0 confirms=12') ELSE 'nothing said' END"""
+COUNTED = """
+said AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'finalize' ELSE 'capture' END AS kind, o_orderkey % 5 AS form, o_custkey AS c FROM orders),
+counted AS (
+  SELECT o_orderkey, kind, CASE form WHEN 0 THEN c % 3 WHEN 1 THEN c % 2 WHEN 3 THEN 0 END AS adds, CASE form WHEN 0 THEN c % 2 WHEN 1 THEN c % 4 WHEN 3 THEN 12 END AS confirms,
+         CASE form WHEN 0 THEN 0 WHEN 1 THEN 0 WHEN 3 THEN c % 2 END AS adjusts, CASE form WHEN 0 THEN 0 WHEN 1 THEN 0 WHEN 3 THEN 0 END AS refutes FROM said)
+"""
 
 
-@add("SELECT event_type, (json_extract(props, '$.k')::INT)::INT AS k, count(*)::BIGINT AS n FROM events GROUP BY ALL")
+@add(f"""WITH {COUNTED} SELECT o_orderkey, adds::BIGINT AS adds, confirms::BIGINT AS confirms, adjusts::BIGINT AS adjusts, refutes::BIGINT AS refutes,
+       coalesce(adds + adjusts + refutes = 0 AND (kind = 'finalize' OR confirms > 0), false) AS nothing_new FROM counted""")
 def kv_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts that runs report in free text, and which runs found nothing new."""
+    kind = F.when(F.col("o_orderstatus") == "F", "finalize").otherwise("capture")
+    said = table(spark, sf_dir, "orders").select("o_orderkey", kind.alias("kind"), T.counts_marker(F.expr(REPORT)).alias("c"))
+    return said.select("o_orderkey", *(F.col(f"c.{k}").alias(k) for k in ("adds", "confirms", "adjusts", "refutes")), K.nothing_new(F.col("c"), F.col("kind")).alias("nothing_new"))
+
+
+@add("SELECT event_type, (json_extract(props, '$.k')::INT)::INT AS k, count(*)::BIGINT AS n FROM events GROUP BY ALL")
+def json_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type", F.get_json_object("props", "$.k").cast("int").alias("k")).agg(F.count("*").alias("n"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import hooks as H
 from ..operators import incremental as I
 from ..operators import sessions as S
 from .common import Catalogue, table
@@ -69,37 +70,11 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("branch"), F.col("o_orderkey").alias("sha"), F.col("o_orderdate").alias("ts"), "o_orderstatus")
 
 
-def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a run at the cutoff left behind: the largest key of each branch so far."""
-    return I.advance(commits(spark, sf_dir).where(F.col("ts") < F.lit(CUTOFF).cast("timestamp_ntz")), ["branch"], F.col("sha"), "sha")
-
-
-MARKS = f"""
-c AS (SELECT o_custkey AS branch, o_orderkey AS sha, o_orderdate AS ts, o_orderstatus FROM orders),
-m AS (SELECT branch, max(sha) AS hwm FROM c WHERE ts < TIMESTAMP '{CUTOFF}' GROUP BY branch)
-"""
-
-
-@add(f"WITH {MARKS} SELECT branch, sha, strftime(ts, '%Y-%m-%d') AS day FROM c LEFT JOIN m USING (branch) WHERE hwm IS NULL OR sha > hwm")
-def hwm_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.after_mark(commits(spark, sf_dir), marks(spark, sf_dir), ["branch"], "sha").select("branch", "sha", F.date_format("ts", "yyyy-MM-dd").alias("day"))
-
-
 @add("SELECT o_custkey AS branch, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS hwm FROM orders GROUP BY 1")
 def hwm_advance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.advance(commits(spark, sf_dir), ["branch"], F.col("ts"), "sha")
 
 
-@add(f"""WITH {MARKS}, d AS (SELECT branch, arg_max(sha, (ts, sha)) AS hwm FROM c WHERE ts < TIMESTAMP '{CUTOFF}' GROUP BY branch)
-SELECT branch, sha, strftime(ts, '%Y-%m-%d') AS day FROM c LEFT JOIN d USING (branch) WHERE (hwm IS NULL OR sha > hwm) AND ts < TIMESTAMP '{CUTOFF}' - INTERVAL 7 DAY""")
-def late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows after the newest row's key whose date a date watermark would have dropped."""
-    rows, cutoff = commits(spark, sf_dir), F.lit(CUTOFF).cast("timestamp_ntz")
-    newest = I.advance(rows.where(F.col("ts") < cutoff), ["branch"], F.col("ts"), "sha")
-    late = I.after_mark(rows, newest, ["branch"], "sha").where(F.col("ts") < cutoff - F.expr("INTERVAL 7 DAYS"))
-    return late.select("branch", "sha", F.date_format("ts", "yyyy-MM-dd").alias("day"))
-
-
 def branches(spark: SparkSession, sf_dir: str, condition: str) -> DataFrame:
     return table(spark, sf_dir, "orders").where(condition).select(F.col("o_custkey").alias("branch")).distinct()
 
@@ -202,17 +177,17 @@ def offset_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.offset_ranges(count(turns), count(turns.where("role = 'user'")), "conv_id")
 
 
-@add("""WITH t AS (SELECT *, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS pair FROM conversations WHERE role IN ('user', 'assistant')),
-p AS (SELECT conv_id, pair, coalesce(string_agg(coalesce(text, ''), chr(10) ORDER BY turn) FILTER (role = 'user'), '') AS u,
-             coalesce(string_agg(coalesce(text, ''), chr(10) ORDER BY turn) FILTER (role = 'assistant'), '') AS a FROM t WHERE pair > 0 GROUP BY ALL)
-SELECT conv_id, (pair - 1)::BIGINT AS pair, length(u) AS user_chars, length(a) AS assistant_chars, substr('USER: ' || u || chr(10) || 'ASSISTANT: ' || a, 1, 1500) AS text FROM p""")
+@add(r"""WITH t AS (SELECT *, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS pair FROM conversations WHERE role IN ('user', 'assistant')),
+p AS (SELECT conv_id, pair, string_agg(text, chr(10) ORDER BY turn) FILTER (role = 'user') AS u, string_agg(text, chr(10) ORDER BY turn) FILTER (role = 'assistant') AS a FROM t WHERE text <> '' GROUP BY ALL)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY pair) - 1 AS pair, length(coalesce(u, '')) AS user_chars, length(coalesce(a, '')) AS assistant_chars,
+       substr(regexp_replace(concat_ws(chr(10), 'USER:' || chr(10) || u, 'ASSISTANT:' || chr(10) || a), '^\s+|\s+$', '', 'g'), 1, 1500) AS text FROM p""")
 def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.turn_pairs(table(spark, sf_dir, "conversations"))
 
 
-@add("""SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN substr(text, 1, 20) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS section FROM conversations""")
+@add("""SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS section FROM conversations""")
 def section_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.fill_section(table(spark, sf_dir, "conversations"), "conv_id", "turn", F.col("role") == "user", F.substring("text", 1, 20)).select("conv_id", "turn", "section")
+    return S.fill_section(table(spark, sf_dir, "conversations"), "conv_id", "turn", F.col("role") == "user", F.col("text")).select("conv_id", "turn", "section")
 
 
 FLAGS = """
@@ -227,7 +202,7 @@ def order_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").join(lines, "o_orderkey")
 
 
-@add(f"WITH {FLAGS} SELECT o_orderkey AS sha, CASE WHEN closed THEN 'ancestor' WHEN big AND NOT returned THEN 'cherry' WHEN returned THEN 'squash' ELSE 'none' END AS method FROM f")
+@add(f"WITH {FLAGS} SELECT o_orderkey AS sha, CASE WHEN closed THEN 'ancestor' WHEN big AND NOT returned THEN 'cherry' WHEN returned THEN 'patchid' ELSE 'none' END AS method FROM f")
 def merge_method_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     method = I.merge_method(F.col("closed"), F.col("big") & ~F.col("returned"), F.col("returned"))
     return order_flags(spark, sf_dir).select(F.col("o_orderkey").alias("sha"), method.alias("method"))
@@ -239,11 +214,24 @@ def branch_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_flags(spark, sf_dir).groupBy(F.col("o_custkey").alias("branch")).agg(state.alias("state"))
 
 
-@add("""SELECT doc_id, CASE WHEN toxic = 1 AND quality = 0 THEN 'drop' WHEN toxic = 1 THEN 'trim' ELSE 'keep' END AS policy FROM labels""")
+#: Answers of a judge and of a resolver, by order; the same in Spark and DuckDB.
+ANSWER = """CASE o_orderkey % 8 WHEN 0 THEN concat('VERDICT: DROP', chr(10), 'CONFIDENCE: HIGH', chr(10), 'REASON: known ') WHEN 1 THEN concat('verdict: trim', chr(10), 'confidence: high', chr(10), '---TRIMMED---', chr(10), ' body ', o_custkey, ' ', chr(10), '---END---')
+ WHEN 2 THEN concat('VERDICT: TRIM', chr(10), 'CONFIDENCE: high') WHEN 3 THEN concat('  VERDICT: KEEP', chr(10), 'CONFIDENCE: high') WHEN 4 THEN concat('VERDICT: DROP', chr(10), 'CONFIDENCE: maybe') WHEN 5 THEN 'VERDICT: ERASE'
+ WHEN 6 THEN concat('DECISION: MERGE', chr(10), '---BODY---', chr(10), 'both ', o_custkey, chr(10), '---END---') ELSE 'DECISION: MERGE' END"""
+
+
+@add("""SELECT o_orderkey, k[1] AS verdict, k[2] AS confidence, CASE o_orderkey % 8 WHEN 0 THEN 'known' WHEN 1 THEN '' WHEN 3 THEN '' WHEN 4 THEN '' END AS reason,
+       CASE WHEN o_orderkey % 8 = 1 THEN 'body ' || o_custkey || chr(10) END AS trimmed, CASE o_orderkey % 8 WHEN 0 THEN 'drop' WHEN 1 THEN 'trim' ELSE 'keep' END AS policy
+FROM (SELECT *, CASE o_orderkey % 8 WHEN 0 THEN ['DROP', 'high'] WHEN 1 THEN ['TRIM', 'high'] WHEN 3 THEN ['KEEP', 'high'] WHEN 4 THEN ['DROP', 'low'] END AS k FROM orders)""")
 def verdict_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only a verdict of high confidence drops or trims a note; anything else keeps it."""
-    said = T.verdict(F.concat(
-        F.lit("VERDICT: "), F.when(F.col("toxic") == 1, F.when(F.col("quality") == 0, "drop").otherwise("trim")).otherwise("keep"),
-        F.lit("\nCONFIDENCE: "), F.when(F.col("toxic") == 1, "HIGH").otherwise("low"), F.lit("\nREASON: labels")))
-    told = table(spark, sf_dir, "labels").select("doc_id", said.alias("v"))
-    return told.select("doc_id", F.when(F.col("v.confidence") != "high", "keep").otherwise(F.col("v.verdict")).alias("policy"))
+    """Only a verdict of high confidence drops or trims a note, and a trim only with a body; anything else keeps it."""
+    told = table(spark, sf_dir, "orders").select("o_orderkey", T.verdict(F.expr(ANSWER)).alias("v"))
+    return told.select("o_orderkey", "v.verdict", "v.confidence", "v.reason", "v.trimmed", H.ablation_policy(F.col("v.verdict"), F.col("v.confidence")).alias("policy"))
+
+
+@add("""SELECT o_orderkey, CASE WHEN o_orderkey % 8 = 6 THEN 'MERGE' END AS decision, CASE WHEN o_orderkey % 8 = 6 THEN 'both ' || o_custkey || chr(10) END AS body,
+       CASE WHEN o_orderkey % 8 = 6 THEN 'merge' ELSE 'keep_both' END AS policy FROM orders""")
+def merge_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twins are merged only where a resolver says so and gives the body of both."""
+    told = table(spark, sf_dir, "orders").select("o_orderkey", T.merge_decision(F.expr(ANSWER)).alias("d"))
+    return told.select("o_orderkey", "d.decision", "d.body", H.merge_policy(F.col("d.decision")).alias("policy"))

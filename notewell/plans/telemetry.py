@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import sessions as S
+from ..operators import tickets as K
+from ..session import scratch
 from ..streaming import counters as C
 from .common import Catalogue, table
 
@@ -42,27 +42,37 @@ def tokens_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivoted.select("user_id", *(F.round(F.coalesce(k, F.lit(0.0)), 2).alias(k) for k in KINDS))
 
 
-@add("""SELECT user_id, count_if(event_type = 'view')::BIGINT AS reads, round(coalesce(sum(value) FILTER (event_type = 'view'), 0.0), 2) AS read_tokens,
-       count_if(event_type = 'view' AND value > 10)::BIGINT AS cited_reads, round(coalesce(sum(value) FILTER (event_type = 'view' AND value > 10), 0.0), 2) AS cited_tokens FROM events GROUP BY user_id""")
+#: Reads of notes and citations of them, by event; the same in Spark and DuckDB.
+READ, CITED = "concat('V:\\\\Notes/Learnings/Note', event_id % 7, '.md')", "concat('x/note', event_id % 5, '.MD')"
+
+
+@add("""WITH r AS (SELECT user_id, 'note' || (event_id % 7) AS k, (value * 100)::BIGINT AS tokens FROM events WHERE event_type = 'view'),
+c AS (SELECT DISTINCT user_id, 'note' || (event_id % 5) AS k FROM events WHERE event_type = 'click')
+SELECT r.user_id AS session_id, count(*)::BIGINT AS vault_reads, sum(tokens)::BIGINT AS vault_tokens, count(c.k)::BIGINT AS cited_reads, coalesce(sum(CASE WHEN c.k IS NOT NULL THEN tokens END), 0)::BIGINT AS cited_tokens
+FROM r LEFT JOIN c ON r.user_id = c.user_id AND r.k = c.k GROUP BY r.user_id""")
 def conditional_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = F.col("event_type") == "view"
-    cited = read & (F.col("value") > 10)
-    total = lambda c: F.round(F.coalesce(F.sum(F.when(c, F.col("value"))), F.lit(0.0)), 2)
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(
-        F.count_if(read).alias("reads"), total(read).alias("read_tokens"), F.count_if(cited).alias("cited_reads"), total(cited).alias("cited_tokens"))
+    """Reads of notes in each session, and of these the reads of notes that it cited."""
+    events = table(spark, sf_dir, "events").withColumnRenamed("user_id", "session_id")
+    reads = events.where("event_type = 'view'").select("session_id", F.expr(READ).alias("path"), F.round(F.col("value") * 100).cast("long").alias("tokens"))
+    reads = reads.where(T.is_vault_read(F.col("path"), "v:/notes"))
+    cited = events.where("event_type = 'click'").select("session_id", F.expr(CITED).alias("cited"))
+    return K.cited_reads(reads, cited)
 
 
-@add("SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS cited, count(DISTINCT json_extract_string(props, '$.k'))::BIGINT AS n_keys FROM events GROUP BY user_id")
+@add("""SELECT user_id AS session_id, string_agg(DISTINCT 'note' || (event_id % 5), ',' ORDER BY 'note' || (event_id % 5)) AS cited FROM events WHERE event_type = 'click' GROUP BY user_id""")
 def cited_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(
-        F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("cited"), F.countDistinct(F.get_json_object("props", "$.k")).alias("n_keys"))
+    """The distinct keys that each session cites."""
+    cited = table(spark, sf_dir, "events").where("event_type = 'click'").select(F.col("user_id").alias("session_id"), T.stem(F.expr(CITED)).alias("key"))
+    return cited.groupBy("session_id").agg(F.array_join(F.array_sort(F.collect_set("key")), ",").alias("cited"))
 
 
-@add("""SELECT event_id, user_id, event_type FROM events
-QUALIFY coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id)) > 3600000000, true)""")
+@add("""WITH RECURSIVE e AS (SELECT user_id, event_type, ts, min(event_id) AS event_id FROM events GROUP BY ALL),
+n AS (SELECT event_id, first_value(event_id) OVER (PARTITION BY user_id, event_type ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR FOLLOWING AND UNBOUNDED FOLLOWING) AS next_id FROM e),
+a AS (SELECT arg_min(event_id, (ts, event_id)) AS event_id FROM e GROUP BY user_id, event_type UNION ALL SELECT next_id FROM a JOIN n USING (event_id) WHERE next_id IS NOT NULL)
+SELECT event_id, user_id, event_type FROM events WHERE event_id IN (SELECT event_id FROM a)""")
 def ttl_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of one user and type within an hour of the one before are repeats."""
-    return S.drop_repeats(table(spark, sf_dir, "events"), ["user_id", "event_type"], "ts", 3600, ["event_id"]).select("event_id", "user_id", "event_type")
+    """Events of one user and type less than an hour after the last one that was kept are repeats."""
+    return S.drop_repeats(table(spark, sf_dir, "events"), ["user_id", "event_type"], "ts", 3600, "event_id").select("event_id", "user_id", "event_type")
 
 
 @add("SELECT date_trunc('day', ts)::TIMESTAMP AS started, event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL")
@@ -91,15 +101,10 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.event_stream(spark, f"{sf_dir}/[e]vents.parquet")
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-notewell-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @add("SELECT user_id, event_type, count(*)::BIGINT AS n, sum(value::DECIMAL(18, 2))::DOUBLE AS total, max(event_id) AS last_event FROM events GROUP BY ALL")
 def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counters as a stream over all that is there: equal to the batch totals."""
-    done = C.run_available(C.session_totals(_stream(spark, sf_dir)), _folder(spark, "stream_counts"))
+    done = C.run_available(C.session_totals(_stream(spark, sf_dir)), scratch(spark, "stream_counts"))
     return done.withColumn("total", F.col("total").cast("double"))
 
 
@@ -108,6 +113,6 @@ def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
        arg_max(event_type, (ts, event_id)) AS last_tier, arg_max(event_id, (ts, event_id)) AS last_event FROM events GROUP BY user_id""")
 def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same counters as keyed state of a stream; the last row of each user holds its state."""
-    rows = C.run_available(C.keyed_state(_stream(spark, sf_dir)), _folder(spark, "stream_state"), "update")
+    rows = C.run_available(C.keyed_state(_stream(spark, sf_dir)), scratch(spark, "stream_state"), "update")
     last = rows.groupBy("user_id").agg(F.max_by(F.struct("total", "hits", "last_tier", "last_event"), "total").alias("s"))
     return last.select("user_id", "s.*")

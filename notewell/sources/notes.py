@@ -10,45 +10,78 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import ship
+from ..session import durable, ship
 
 # Folders that hold no notes.
 SKIPPED = (".git", ".obsidian", ".trash", "node_modules", "__pycache__")
 TITLE_KEYS, MODULE_KEYS = ("title", "título", "titulo"), ("module", "módulo", "modulo")
 
 
-def underscored_files(spark: SparkSession, root: str, suffix: str = ".md") -> DataFrame:
-    """(path, modificationTime, content) of files whose names begin with an underscore, which Spark's readers pass over.
+def file_system(uri: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of a folder, with Hadoop's names of a scheme taken as Arrow's."""
+    if "://" not in uri:
+        return fs.LocalFileSystem(), uri
+    scheme, rest = uri.split("://", 1)
+    return fs.FileSystem.from_uri(f"{ {'s3a': 's3', 's3n': 's3', 'wasbs': 'abfss', 'wasb': 'abfs'}.get(scheme, scheme)}://{rest}")
 
-    The driver lists them, as it does for any source; tasks read them. No files: no rows.
+
+def underscored_files(spark: SparkSession, root: str, name: str = "_index.md", depth: int = 6) -> DataFrame:
+    """(path, modificationTime, content) of the files ``name``, which Spark's readers pass over as their names begin with an underscore.
+
+    Tasks walk the folders level by level, ``depth`` at most, and read the files; the driver sees none of it. Folders
+    in SKIPPED are not entered. No files: no rows.
     """
     ship(spark)
-    store, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
-    found = [i for i in store.get_file_info(fs.FileSelector(base, recursive=True)) if i.is_file and i.base_name.startswith("_") and i.base_name.endswith(suffix)]
-    listed = spark.createDataFrame([(i.path, i.mtime) for i in found], "path string, modificationTime timestamp")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = file_system(root)
+        for b in batches:
+            found = [i for folder in b.column(0).to_pylist() for i in store.get_file_info(fs.FileSelector(folder))]
+            found = [i for i in found if (i.is_file and i.base_name == name) or (i.type == fs.FileType.Directory and i.base_name not in SKIPPED)]
+            yield pa.RecordBatch.from_pydict({"path": pa.array([i.path for i in found], pa.string()), "file": pa.array([i.is_file for i in found], pa.bool_()),
+                                              "modificationTime": pa.array([i.mtime for i in found], pa.timestamp("us", "UTC"))})
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        source = fs.FileSystem.from_uri(root)[0] if "://" in root else fs.LocalFileSystem()
+        store, _ = file_system(root)
         for b in batches:
-            content = [source.open_input_file(p).readall() for p in b.column(0).to_pylist()]
+            content = [store.open_input_file(p).readall() for p in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(content, pa.binary())], names=["path", "modificationTime", "content"])
 
-    return listed.mapInArrow(load, "path string, modificationTime timestamp, content binary")
+    folders = spark.range(1).select(F.lit(file_system(root)[1]).alias("path"))
+    files = None
+    for _ in range(depth):
+        level = durable(folders.mapInArrow(walk, "path string, file boolean, modificationTime timestamp"))
+        here = level.where("file")
+        files = here if files is None else files.union(here)
+        folders = level.where("NOT file").select("path")
+        if folders.isEmpty():
+            break
+        folders = folders.repartition(F.col("path"))
+    return files.select("path", "modificationTime").mapInArrow(load, "path string, modificationTime timestamp, content binary")
 
 
 def read_notes(spark: SparkSession, root: str) -> DataFrame:
-    """The notes below ``root``: (path, name, scope, project, title, description, module, tags, status, links, authored, body, mtime, sha).
+    """The notes below ``root``, as ``parse_notes`` gives them, with paths relative to it.
 
-    Paths are relative to ``root``. Files that no scope fits are left out; bytes that are not UTF-8 become
-    replacement characters. A note without a status takes that of its ticket's index, and a ticket's notes take
-    the index's date (resolved, else last_update, else opened).
+    ``root`` may be any folder that Spark reads and Arrow knows the scheme of (local, hdfs, s3, gs, abfs). Bytes that are not UTF-8
+    become replacement characters.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
-    files = (files.select("path", "modificationTime", "content").union(underscored_files(spark, root))
-             .select("path", "modificationTime", F.make_valid_utf8(F.col("content").cast("string")).alias("raw"), F.sha1("content").alias("sha")))
-    base = root.rstrip("/").removeprefix("file://")
-    relative = F.regexp_extract("path", r"\Q" + base.split("://")[-1] + r"\E/(.*)$", 1)
-    rows = files.withColumn("path", relative).withColumn("scope", T.scope_of(F.col("path"))).where("scope IS NOT NULL")
+    files = files.select("path", "modificationTime", "content").union(underscored_files(spark, root))
+    base = file_system(root)[1].rstrip("/")
+    return parse_notes(files.select(
+        F.regexp_extract("path", r"\Q" + base + r"\E/(.*)$", 1).alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("raw"),
+        F.col("modificationTime").alias("mtime"), F.sha1("content").alias("sha")))
+
+
+def parse_notes(files: DataFrame) -> DataFrame:
+    """(path, name, scope, workspace, project, ticket_dir, title, description, module, tags, status, links, body, mtime, sha, authored) of (path, raw, mtime, sha).
+
+    Files that no scope fits are left out, and those below a folder in SKIPPED. A note without a status takes that of its ticket's index, and a
+    ticket's notes take the index's date (resolved, else last_update, else opened). ``links`` are the first ten of a note;
+    ``operators.links.mentions`` reads all of them from the body.
+    """
+    rows = files.withColumn("scope", T.scope_of(F.col("path"))).where("scope IS NOT NULL")
     rows = rows.where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, SKIPPED))))
     rows = rows.withColumn("fm", T.front_matter(F.col("raw"))).withColumn("body", T.note_body(F.col("raw")))
     one = lambda *keys: F.coalesce(*(F.nullif(F.get(F.col("fm")[k], F.lit(0)), F.lit("")) for k in keys))
@@ -59,7 +92,7 @@ def read_notes(spark: SparkSession, root: str) -> DataFrame:
         F.when(F.col("scope") != "workspace", F.get(parts, F.lit(1))).alias("project"), T.ticket_dir(F.col("path")).alias("ticket_dir"),
         one(*TITLE_KEYS).alias("title"), T.describe(one("description"), one(*TITLE_KEYS), F.col("body")).alias("description"), one(*MODULE_KEYS).alias("module"),
         F.coalesce(F.col("fm")["tags"], F.array().cast("array<string>")).alias("tags"), one("status").alias("status"), T.wiki_links(F.col("body")).alias("links"),
-        F.coalesce(day("resolved"), day("last_update"), day("opened")).alias("_dated"), "body", F.col("modificationTime").alias("mtime"), "sha")
+        F.coalesce(day("resolved"), day("last_update"), day("opened")).alias("_dated"), "body", "mtime", "sha")
     return inherit(notes)
 
 
@@ -79,11 +112,17 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def record_text(record: F.Column | str = "content", most: int = 400) -> F.Column:
-    """Text of a transcript record's content, in JSON: a string, or blocks of text, tool_use and tool_result (cut to ``most``)."""
+    """Text of a transcript record's content, in JSON: a string, or blocks of text, tool_use and tool_result (cut to ``most``; a string or text blocks)."""
     raw = F.col(record) if isinstance(record, str) else record
     blocks = F.from_json(raw, "array<struct<type:string,text:string,name:string,content:string>>")
-    rendered = F.transform(blocks, lambda b: F.when(b["type"] == "text", b["text"]).when(b["type"] == "tool_use", F.concat(F.lit("[tool "), b["name"], F.lit("]")))
-                           .when(b["type"] == "tool_result", F.substring(b["content"], 1, most)))
+
+    def result(content: F.Column) -> F.Column:
+        parts = F.filter(F.from_json(content, "array<struct<type:string,text:string>>"), lambda x: x["type"] == "text")
+        listed = F.array_join(F.transform(parts, lambda x: F.concat(F.lit("[tool_result]: "), F.substring(x["text"], 1, most))), "\n")
+        return F.when(F.trim(content).startswith("[{"), listed).otherwise(F.concat(F.lit("[tool_result]: "), F.substring(content, 1, most)))
+
+    rendered = F.transform(blocks, lambda b: F.when(b["type"] == "text", b["text"]).when(b["type"] == "tool_use", F.concat(F.lit("[tool_use:"), F.coalesce(b["name"], F.lit("?")), F.lit("]")))
+                           .when(b["type"] == "tool_result", result(b["content"])))
     plain = F.from_json(F.concat(F.lit('{"s":'), raw, F.lit("}")), "s string")["s"]
     return F.when(F.trim(raw).startswith("["), F.array_join(F.filter(rendered, lambda x: x.isNotNull() & (x != "")), "\n")).when(F.trim(raw).startswith('"'), plain).otherwise(raw)
 
