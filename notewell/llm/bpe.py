@@ -205,7 +205,10 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """(doc_id, decoded) of (doc_id, ids) rows, ids as ``encode`` gives them; null and empty ids decode to an empty text."""
+    """(doc_id, decoded) of (doc_id, ids) rows, ids as ``encode`` gives them; null and empty ids decode to an empty text.
+
+    Repeated rows repeat, an empty table gives no rows, other columns (one named ``decoded`` too) are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path)

@@ -5,15 +5,13 @@ connected components.
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import shared_dir, ship
+from ..session import discard, scratch, shared_dir, ship  # noqa: F401 (for the operators)
 
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,11 +21,6 @@ BROADCAST_ROWS = 20_000
 HOT, SPREAD = 1024, 1024
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def prepare(spark: SparkSession) -> None:
     """Checkpoints have a folder, executors the package, and Arrow batches are short because one text may be megabytes."""
     shared_dir(spark)

@@ -10,9 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import WORD, join_measured
+from .common import WORD, join_measured, with_position
 
 
 def word_count(text: Column) -> Column:
@@ -24,22 +23,21 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, cap
     """(source, source_size, target, rate) from (source, size) rows.
 
     Sources in code-point order, null last, take the weights in turn. ``share`` of all words is
-    dealt out; no target exceeds ``cap`` times its source's size. Sorted by how soon it fills up,
-    a source is full as long as the level that the rest would get is above its own. The windows
-    run over one pre-aggregated row per source.
+    dealt out; no target exceeds ``cap`` times its source's size. The level that a unit of weight gets rises round by
+    round, as sources that are full leave the rest to the others, until no more are full. A round is one
+    aggregation, and positions are dealt by range, so that there may be a source to each host.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    nth = (F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))) - 1) % len(weights)
-    weight = F.element_at(F.array(*map(F.lit, weights)), (nth + 1).cast("int"))
-    per = per.withColumn("w", weight.cast("double")).withColumn("full", F.lit(float(cap)) * F.col("source_size"))
-    order = Window.orderBy(F.col("full") / F.col("w"), F.asc_nulls_last("source"))
-    before, everything = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    left = F.lit(float(share)) * F.sum("source_size").over(everything) - F.coalesce(F.sum("full").over(before), F.lit(0.0))
-    open_w = F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0.0))
-    per = per.withColumn("level", left / open_w)
-    fits = F.when(F.col("level") * F.col("w") <= F.col("full"), F.struct(F.col("full") / F.col("w"), "level"))
-    per = per.withColumn("chosen", F.min(fits).over(everything)["level"])
-    target = F.coalesce(F.least("full", F.col("chosen") * F.col("w")), F.col("full"))
+    per = with_position(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), [F.asc_nulls_last("source")], "_nth")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("_nth") % len(weights) + 1).cast("int")).cast("double")
+    per = per.select("source", "source_size", weight.alias("w"), (F.lit(float(cap)) * F.col("source_size")).alias("full")).checkpoint()
+    whole = per.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("words"), F.sum("w").alias("w")).first()
+    words, level, before = share * whole["words"], share * whole["words"] / (whole["w"] or 1), None
+    while level != before:
+        full = F.lit(level) * F.col("w") > F.col("full")
+        r = per.agg(F.coalesce(F.sum(F.when(full, F.col("full"))), F.lit(0.0)).alias("gone"), F.sum(F.when(~full, F.col("w"))).alias("open")).first()
+        # with every source full there is no level left: all targets are at their caps
+        level, before = (words - r["gone"]) / r["open"] if r["open"] else float("inf"), level if r["open"] else float("inf")
+    target = F.least(F.col("full"), F.lit(level) * F.col("w"))
     return per.select("source", "source_size", target.alias("target")).withColumn(
         "rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
 
@@ -74,7 +72,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
 
 
 def emit(docs: DataFrame, **options) -> DataFrame:
-    """The mixed documents themselves: each row of ``docs``, all its columns, as often as it is taken."""
+    """The mixed documents themselves: each row of ``docs``, all its columns whatever their names, as often as it is taken.
+
+    A null text has no words and is taken by its source's rate like any other row; a null source is one of its own; a null doc_id draws by
+    its text. Rows that repeat an id draw alike, so a repeated row is emitted as often again. An empty table gives no rows.
+    """
     whole = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("_row"))
     mixed = mix(whole, keep=("_row",), **options).where("copies > 0")
     return mixed.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")

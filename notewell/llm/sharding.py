@@ -94,5 +94,9 @@ def shard(docs: DataFrame, tree: Tree) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, tree: Tree, path: str) -> None:
-    """Write the documents, all their columns, into one folder a shard. Nothing is shuffled: each task writes to the shards it holds."""
+    """Write the documents, all their columns, into one folder a shard. Nothing is shuffled: each task writes to the shards it holds.
+
+    A null doc_id goes where the empty string does; rows that repeat a doc_id share a shard; null and empty texts are written like any
+    other; an empty table writes no rows. Columns named ``__key`` or ``__shard`` are taken.
+    """
     descend(docs.withColumn("__key", F.col("doc_id")), F.col("__key"), tree, "__shard").drop("__key").write.partitionBy("__shard").parquet(path)

@@ -2,11 +2,13 @@
 
 import base64
 import hashlib
+import math
 import re
 import zlib
 
 import duckdb
 import pytest
+import xxhash
 
 from notewell.llm import chat, mixing, queries, sharding, warc
 from notewell.llm.common import connected_components, prepare, scratch, with_position
@@ -65,6 +67,25 @@ def test_mix_targets_are_met(spark):
     assert len(got) == 8 and all(abs(r.taken / r.target - 1) < 0.15 for r in got)
 
 
+@pytest.mark.parametrize("sizes, weights, share, cap", [([9, 1, 1, 5, 0], (5, 2, 1), 1.5, 2.0), ([1, 1, 1], (3, 1), 1.5, 1.2), ([100, 1, 1, 1, 1, 1, 40], (1, 9, 2), 1.4, 2.0), ([7], (5,), 1.5, 2.0)])
+def test_targets_fill_up_like_water(spark, sizes, weights, share, cap):
+    rows_ = [(f"s{i:02}" if i else None, n) for i, n in enumerate(sizes)]
+    got = {r.source: r.target for r in mixing.source_targets(spark.createDataFrame(rows_, "source string, size long"), weights, share, cap).collect()}
+    order = sorted(rows_, key=lambda r: (r[0] is None, r[0] or ""))
+    w = {s: weights[i % len(weights)] for i, (s, _) in enumerate(order)}
+    target, todo, rest = {}, dict(order), share * sum(sizes)
+    while todo:
+        level = rest / sum(w[s] for s in todo)
+        over = [s for s in todo if level * w[s] > cap * todo[s]]
+        if not over:
+            target |= {s: level * w[s] for s in todo}
+            break
+        for s in over:
+            target[s] = cap * todo.pop(s)
+            rest -= target[s]
+    assert got.keys() == target.keys() and all(abs(got[s] - target[s]) < 1e-9 for s in got)
+
+
 def test_emit_repeats_whole_rows(spark):
     docs = odd_docs(spark)
     taken = {(r.doc_id, r.source): r.copies for r in mixing.mix(docs).collect()}
@@ -204,3 +225,35 @@ def test_warc_small_payloads_and_empty(spark):
     path = scratch(spark, "warc")
     warc.write_warc(pages.limit(0), path)
     assert warc.read_warc(spark, path).count() == 0
+
+
+MASK = (1 << 64) - 1
+
+
+def plain_descend(key, tree):
+    """The shard of a key, level by level, from the hash function itself."""
+    seen = ()
+    for level, name in enumerate(("root", "region {}", "rack {}")):
+        inside = [t for t in tree if t[:level] == seen]
+        children = {}
+        for t in inside:
+            children[t[level]] = children.get(t[level], 0.0) + t[3]
+        path = name.format(seen[-1] if seen else "")
+        draws = []
+        for child, weight in children.items():
+            h = xxhash.xxh64_intdigest(f"{path}/{child}".encode(), xxhash.xxh64_intdigest(key.encode(), 42))
+            draws.append((-math.log(((h >> 11) + 1) / 2**53) / weight, child))
+        seen += (min(draws)[1],)
+    return seen[2]
+
+
+def test_shard_query_against_plain_loops(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    tree = sharding.full_tree(24)
+    want, more = {d: plain_descend(str(d), tree) for d in docs}, sharding.grown(tree)
+    slots = {}
+    for d in sorted(docs):
+        slots[d] = sum(want[e] == want[d] for e in docs if e < d)
+    got = queries.op9_shard(spark, SF).collect()
+    assert sorted((r.doc_id, r.size, r.text_crc32, r.law, r.shard, r.slot, r.grown_shard) for r in got) == sorted(
+        (d, len(t.encode()) + 8, zlib.crc32(t.encode()), "key", want[d], slots[d], plain_descend(str(d), more)) for d, t in docs.items())
