@@ -43,7 +43,7 @@ class Vault:
         else:
             mode = "hybrid"
             rows = self.vectors.select(F.col("path").alias("id"), "v")
-            near = R.top_k(R.vector_scores(rows, queries.select("query_id", "q")), "score", R.CANDIDATES).where(F.col("score") >= R.FLOOR)
+            near = R.nearest(rows, queries.select("query_id", "q"), R.CANDIDATES).where(F.col("score") >= R.FLOOR)
             ranked = R.fuse(near.select("query_id", "id", F.col("score").alias("cos")), lexical, self.weights()).select("query_id", "id", "score")
         top = R.top_k(ranked, "score", k)
         best = top.where("rank = 1").select("query_id", R.tier(F.col("score"), mode).alias("tier"))

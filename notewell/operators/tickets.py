@@ -36,7 +36,7 @@ def marked_transcripts(marks: DataFrame, logs: DataFrame) -> DataFrame:
     """
     fresh = F.col("mtime") >= F.col("marked_at") - F.expr("INTERVAL 1 DAY")
     asked = marks.select("session_id", "mark_token", "marked_at").where("mark_token <> ''")
-    found = meet(logs, asked, F.contains("text", "mark_token") & fresh, "path").groupBy("session_id").agg(F.min("path").alias("path"))
+    found = meet(logs, asked, F.contains("text", "mark_token") & fresh, "path", F.octet_length("mark_token") + 32).groupBy("session_id").agg(F.min("path").alias("path"))
     return marks.select("session_id").join(found, "session_id", "left")
 
 

@@ -38,17 +38,19 @@ def vector_twins(rows: DataFrame, across: float = ACROSS, inside: float = INSIDE
         left, right = (unit, unit) if lone else (unit.filter(pa.array(first)), unit.filter(pa.array(~first)))
         matrix = lambda t: np.array(t.column("v").to_pylist(), float).reshape(t.num_rows, -1)
         ids, others, folders, theirs = (np.array(t.column(c).to_pylist(), object) for c in ("id", "folder") for t in (left, right))
-        out = [], [], [], []
         x, y = matrix(left), matrix(right).T
+        parts = []
         for at in range(0, len(ids), 256) if len(others) else ():
             score = x[at: at + 256] @ y
             same = folders[at: at + 256, None] == theirs[None]
-            for p, q in zip(*np.nonzero(score >= np.where(same, inside, across))):
-                a, b = ids[at + p], others[q]
-                if a < b or not lone and a > b:
-                    for column, value in zip(out, (min(a, b), max(a, b), bool(same[p, q]), float(score[p, q]))):
-                        column.append(value)
-        return pa.table({"a": pa.array(out[0], unit.schema.field("id").type), "b": pa.array(out[1], unit.schema.field("id").type), "same": pa.array(out[2], pa.bool_()), "score": pa.array(out[3], pa.float64())})
+            p, q = np.nonzero(score >= np.where(same, inside, across))
+            a, b = ids[at + p], others[q]
+            once = (a < b) if lone else (a != b)
+            p, q, a, b = p[once], q[once], a[once], b[once]
+            parts.append((np.minimum(a, b), np.maximum(a, b), same[p, q], score[p, q]))
+        a, b, same, score = (np.concatenate(z) for z in zip(*parts)) if parts else ([], [], [], [])
+        kind = unit.schema.field("id").type
+        return pa.table({"a": pa.array(a, kind), "b": pa.array(b, kind), "same": pa.array(same, pa.bool_()), "score": pa.array(score, pa.float64())})
 
     return units.groupBy("i", "j").applyInArrow(compare, f"a {id_type}, b {id_type}, same boolean, score double")
 
@@ -65,12 +67,14 @@ def set_twins(docs: DataFrame, across: float = ACROSS, inside: float = INSIDE) -
     sets = durable(sets.groupBy("folder", "terms").agg(F.min("id").alias("id")))
     each = sets.select("id", "folder", F.explode("terms").alias("term"))
     rarity = each.groupBy("term").agg(F.count("*").alias("df"))
-    ordered = durable(each.join(rarity, "term").groupBy("id", "folder").agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("o")))
+    # terms as numbers that rise with their frequency: sorted ranges, numbered through
+    ranked = durable(rarity.repartitionByRange("df", "term").sortWithinPartitions("df", "term").select("term", F.monotonically_increasing_id().alias("t")))
+    ordered = durable(each.join(ranked, "term").groupBy("id", "folder").agg(F.array_sort(F.collect_list("t")).alias("o")))
 
     def candidates(t: float, same: bool) -> DataFrame:
         n = F.size("o")
         head = F.slice("o", F.lit(1), (n - F.ceil(n * t * t - 1e-9) + 1).cast("int"))
-        heads = ordered.select("id", "folder", n.alias("n"), F.posexplode(F.transform(head, lambda x: x["term"])).alias("p", "term"))
+        heads = ordered.select("id", "folder", n.alias("n"), F.posexplode(head).alias("p", "term"))
         a, b = heads.toDF("a", "fa", "na", "pa", "term"), heads.toDF("b", "fb", "nb", "pb", "term")
         need = F.ceil(t * F.sqrt(F.col("na") * F.col("nb").cast("double")) - 1e-9)
         left = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
@@ -78,8 +82,8 @@ def set_twins(docs: DataFrame, across: float = ACROSS, inside: float = INSIDE) -
         return a.join(b, "term").where(near).select("a", "b")
 
     pairs = candidates(inside, True).union(candidates(across, False)).distinct()
-    left = sets.select(F.col("id").alias("a"), F.col("folder").alias("fa"), F.col("terms").alias("ta"))
-    right = sets.select(F.col("id").alias("b"), F.col("folder").alias("fb"), F.col("terms").alias("tb"))
+    left = ordered.select(F.col("id").alias("a"), F.col("folder").alias("fa"), F.col("o").alias("ta"))
+    right = ordered.select(F.col("id").alias("b"), F.col("folder").alias("fb"), F.col("o").alias("tb"))
     same = F.col("fa").eqNullSafe(F.col("fb"))
     score = F.size(F.array_intersect("ta", "tb")) / F.sqrt(F.size("ta") * F.size("tb").cast("double"))
     return pairs.join(left, "a").join(right, "b").withColumn("score", score).where(is_twin(F.col("score"), same, across, inside)).select(

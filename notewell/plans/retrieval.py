@@ -25,7 +25,7 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT term, count(DISTINCT doc_id)::BIGINT AS df FROM (SELECT doc_id, unnest({tok_sql('text')}) AS term FROM documents)
 GROUP BY term HAVING count(DISTINCT doc_id) >= 2""")
 def doc_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.doc_freq(R.postings(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))).where("df >= 2")
+    return R.doc_freq(table(spark, sf_dir, "documents"), F.col("text")).where("df >= 2")
 
 
 def passages_by_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ def bm25_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, id): the documents that hold a benchmark passage word for word."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    return R.meet(table(spark, sf_dir, "documents"), items, F.contains("text", "passage"), "doc_id").select("query_id", F.col("doc_id").alias("id"))
+    return R.containing(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), items)
 
 
 @add(f"""{PASSAGES}, ranked AS ({TOP_5}),
@@ -72,11 +72,10 @@ def contains_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers(spark, sf_dir)
 
 
-def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of every twentieth vector against all."""
+def neighbours(spark: SparkSession, sf_dir: str, k: int, within: str | None = None) -> DataFrame:
+    """The k nearest of all vectors to every twentieth one, among its label's or all."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
-    queries = rows.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"), F.col("label").alias("query_label"))
-    return R.vector_scores(rows, queries).withColumn("score", rounded("score"))
+    return R.nearest(rows, rows.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"), "label"), k, within)
 
 
 NEIGHBOURS = """
@@ -88,36 +87,35 @@ near AS (
 
 @add(f"WITH {NEIGHBOURS} SELECT query_id, id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM near QUALIFY rank <= 5)")
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.top_k(neighbours(spark, sf_dir), "score", 5).select("query_id", "id", "score", "rank")
+    return neighbours(spark, sf_dir, 5)
 
 
 @add(f"""WITH {NEIGHBOURS} SELECT query_id, id, score, rank::INT AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM near WHERE label = query_label QUALIFY rank <= 5) WHERE score >= 0.25""")
 def topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    admitted = neighbours(spark, sf_dir).where("label = query_label")
-    return R.top_k(admitted, "score", 5).where("score >= 0.25").select("query_id", "id", "score", "rank")
+    return neighbours(spark, sf_dir, 5, "label").where("score >= 0.25")
 
 
 def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten nearest vectors and ten best texts of each query; a query's prompt is its document's first line."""
-    cosines = R.top_k(neighbours(spark, sf_dir), "score", 10).select("query_id", "id", F.col("score").alias("cos"))
+    """The nearest vectors and the best texts of each query, CANDIDATES of either; a query's prompt is its document's first line."""
+    cosines = neighbours(spark, sf_dir, R.CANDIDATES).select("query_id", "id", F.col("score").alias("cos"))
     docs = table(spark, sf_dir, "documents")
     asked = table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").join(docs, F.col("vec_id") == F.col("doc_id")).select("vec_id", T.first_line(F.col("text")).alias("prompt"))
     weight = statuses(spark, sf_dir).select("id", R.weight_of(F.col("status"), R.STATUS_WEIGHT).alias("weight"))
     # the lexical side is weighed before it is ranked, and once more in the fusion
     lexical = R.bm25(docs, "doc_id", F.col("text"), asked, "vec_id", F.col("prompt")).join(weight, "id")
     lexical = lexical.select("query_id", "id", rounded(F.round("bm25", 6) * F.col("weight")).alias("bm25")).where("bm25 > 0")
-    both = R.fuse(cosines, R.top_k(lexical, "bm25", 10).select("query_id", "id", "bm25"), weight)
+    both = R.fuse(cosines, R.top_k(lexical, "bm25", R.CANDIDATES).select("query_id", "id", "bm25"), weight)
     return both.select("query_id", "id", "cos", rounded("bm25_n").alias("bm25_n"), rounded("score", 9).alias("score"), "provenance")
 
 
 FUSED = f"""WITH {NEIGHBOURS}, docs AS (SELECT doc_id AS id, text FROM documents),
 asked AS (SELECT vec_id AS query_id, {first_line_sql('text')} AS text FROM embeddings JOIN documents ON vec_id = doc_id WHERE vec_id % 20 = 0),
 {BM25_SQL}, {STATUS_SQL},
-c AS (SELECT query_id, id, score AS cos FROM near QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10),
+c AS (SELECT query_id, id, score AS cos FROM near QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 40),
 lw AS (
   SELECT query_id, b.id, round(bm25 * CASE status WHEN 'discarded' THEN 0.0 WHEN 'experimental' THEN 0.4 ELSE 1.0 END, 6) AS bm25 FROM bm25 b JOIN status USING (id)),
-l0 AS (SELECT query_id, id, bm25 FROM lw WHERE bm25 > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, id) <= 10),
+l0 AS (SELECT query_id, id, bm25 FROM lw WHERE bm25 > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, id) <= 40),
 l AS (SELECT query_id, id, CASE WHEN max(bm25) OVER (PARTITION BY query_id) > 0 THEN bm25 / max(bm25) OVER (PARTITION BY query_id) ELSE 0.0 END AS bm25_n FROM l0),
 u AS (
   SELECT query_id, id, coalesce(cos, 0.0) AS cos, coalesce(bm25_n, 0.0) AS bm25_n,
