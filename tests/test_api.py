@@ -67,10 +67,16 @@ def test_dashboard(spark, vault):
 
 
 def test_capture(spark, vault):
-    commits = spark.createDataFrame([("feat/7-login", 2, 5), ("feat/8-cache", 1, 1), ("feat/8-cache", 2, 2)], "branch string, sha int, ts int")
-    hwm = spark.createDataFrame([("feat/8-cache", 1)], "branch string, hwm int")
-    assert [(r.branch, r.sha, r.deferred) for r in vault.capture(commits, hwm).collect()] == [("feat/8-cache", 2, False)]
-    assert vault.capture(commits, hwm, include_resolved=True, ignore_hwm=True).count() == 3
+    day = lambda d: datetime.date(2026, 1, d)
+    edges = spark.createDataFrame([("o", "9a", "f0"), ("o", "1c", "9a"), ("o", "77", "f0")], "origin string, sha string, parent string")
+    commits = spark.createDataFrame([("o", s, day(2)) for s in ("f0", "9a", "1c", "77")], "origin string, sha string, day date")
+    tips = spark.createDataFrame([("o", "feat/7-login", "77"), ("o", "feat/8-cache", "1c")], "origin string, branch string, tip string")
+    marks = spark.createDataFrame([("o", "feat/8-cache", "9a")], "origin string, branch string, hwm string")
+    examined = spark.createDataFrame([], "origin string, last_examined date")
+    found = lambda **k: sorted((r.branch, r.sha, r.deferred) for r in vault.capture(tips, commits, edges, marks, examined, F.lit(day(1)), F.lit(day(4)), **k).collect())
+    assert found() == [("feat/8-cache", "1c", False)]
+    assert len(found(include_resolved=True, ignore_marks=True)) == 5
+    assert {r.id.split("/")[-1]: r.inbound for r in vault.inbound().collect()}["rate-limit.md"] == 1
 
 
 def test_hooks(spark):
@@ -81,5 +87,8 @@ def test_hooks(spark):
     assert [r.embedding for r in H.embed(df, "text", lambda: lambda texts: [[float(len(t or ""))] for t in texts]).orderBy("id").collect()] == [[2.0], [0.0], [4.0]]
     judged = H.judge(df, F.col("text"), lambda: lambda p: ["VERDICT: drop\nCONFIDENCE: " + ("high" if x else "low") for x in p])
     assert [r[0] for r in judged.orderBy("id").select(H.ablation_policy(F.col("verdict"), F.col("confidence"))).collect()] == ["drop", "keep", "drop"]
-    done = H.consolidate(df, "grp", "text", "id", lambda texts: [f"<{t}>" for t in texts], lambda texts: [t.upper() for t in texts], chunk=1)
-    assert {(r.grp, r.overall) for r in done.collect()} == {("g", "<<AB>>\n<<ABCD>>"), ("h", "<<AB>>\n<<ABCD>>")} or done.count() == 2
+    done = H.consolidate(df, "grp", "text", "id", lambda texts: [f"<{t}>" for t in texts], lambda texts: [t.upper() for t in texts], chunk=200)
+    assert {(r.grp, r.summary, r.overall) for r in done.collect()} == {("g", "<<ab>>", "<<AB>>\n<<ABCD>>"), ("h", "<<abcd>>", "<<AB>>\n<<ABCD>>")}
+    many = spark.range(50).select("id", (F.col("id") % 9).alias("grp"), F.col("id").cast("string").alias("text"))
+    longest = lambda texts: [str(max(t.count("\n") for t in [x]) + 1) for x in texts]
+    assert all(int(r.overall) <= 4 and int(r.summary) <= 4 for r in H.consolidate(many, "grp", "text", "id", longest, longest, chunk=4).collect())

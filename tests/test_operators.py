@@ -1,5 +1,6 @@
 """Operators on small tables with known answers."""
 
+import datetime as dt
 import itertools
 import math
 import random
@@ -53,8 +54,10 @@ def test_links(spark):
     resolved = L.resolve(edges, notes).cache()
     assert rows(resolved.select("src", "pos", "dst")) == rows(spark.createDataFrame([(1, 0, 2), (1, 1, 4), (1, 2, None), (2, 0, 5), (4, 0, 1), (5, 0, 5)]))
     ranked = spark.createDataFrame([(7, 1, 1), (7, 2, 2), (7, 4, 3)], "query_id int, id int, rank int")
-    assert rows(L.one_hop(ranked, resolved)) == [(7, 5, 1)]
-    assert dict(rows(L.inbound(resolved, notes))) == {1: 1, 2: 1, 3: 0, 4: 1, 5: 1}
+    # a link that leads to no note keeps its own text
+    assert rows(L.one_hop(ranked, resolved)) == [(7, "5", 2), (7, "gone", 1)]
+    texts = spark.createDataFrame([(1, "a", "[[b]] [[x/c|see]] [[b]]" + "[[q]]" * 12 + "[[d]]"), (2, "b", "[[b]] [[d#part]]"), (3, "b", "[[b]]"), (4, "c", "[[dir/b]]"), (5, "d", None)], "id int, name string, body string")
+    assert dict(rows(L.inbound(L.mentions(texts, "body"), texts))) == {1: 0, 2: 2, 3: 2, 4: 1, 5: 1}
     members = spark.createDataFrame([(1, 10, 0, 5), (1, 11, 2, 1), (1, 12, 2, 3), (1, 13, 2, 3)], "group int, id int, inbound int, length int")
     assert rows(L.keepers(members)) == [(1, 12, 4)]
 
@@ -90,11 +93,6 @@ def test_snapshots_and_marks(spark):
     src = spark.createDataFrame([(1, "a", "a"), (2, "b", "b"), (3, "c\r", "c"), (4, "d", "d")], "k int, raw string, unix string")
     dst = spark.createDataFrame([(1, "a", "a"), (3, "c", "c"), (4, "x", "x"), (5, "e", "e")], "k int, raw string, unix string")
     assert rows(I.classify_deploy(src, dst, "k")) == [(1, "same"), (2, "new"), (3, "eol-only"), (4, "changed"), (5, "missing-src")]
-    commits = spark.createDataFrame([("m", 1, 5), ("m", 2, 1), ("m", 3, 2), ("n", 1, 1)], "branch string, sha int, day int")
-    marks = spark.createDataFrame([("m", 1)], "branch string, hwm int")
-    # sha 2 and 3 are old by date and still come through; branch n has no mark yet
-    assert rows(I.after_mark(commits, marks, ["branch"], "sha").select("branch", "sha")) == [("m", 2), ("m", 3), ("n", 1)]
-    assert rows(I.after_mark(commits, I.advance(commits, ["branch"], F.col("sha"), "sha"), ["branch"], "sha")) == []
     one = lambda *x: spark.createDataFrame([(v,) for v in x], "k string")
     assert rows(I.seal(one("A", "B"), one("B", "C"))) == [("A",)]
     assert rows(I.upsert(before, after, "k")) == rows(after.union(before.where("k = 4")))
@@ -115,19 +113,53 @@ def test_caps_canonical_offsets(spark):
 
 def test_merges_and_reachability(spark):
     flags = spark.createDataFrame([(True, True, True), (False, True, True), (False, False, True), (False, False, False)], "a boolean, b boolean, c boolean")
-    assert [r[0] for r in flags.select(I.merge_method(F.col("a"), F.col("b"), F.col("c"))).collect()] == ["ancestor", "cherry", "squash", "none"]
+    assert [r[0] for r in flags.select(I.merge_method(F.col("a"), F.col("b"), F.col("c"))).collect()] == ["ancestor", "cherry", "patchid", "none"]
     assert [r[0] for r in flags.select(I.branch_state(F.col("a"), F.col("b"), F.col("c"))).collect()] == ["merged", "open", "manual", "gone"]
-    edges = spark.createDataFrame([("o", str(i), str(i - 1)) for i in range(1, 9)] + [("o", "8", "20"), ("p", "3", "99")], "origin string, sha string, parent string")
-    got = I.reachable_from(edges, spark.createDataFrame([("o", "8")], "origin string, sha string"))
-    assert {r.sha for r in got.collect()} == {*map(str, range(9)), "20"}
+    edges = spark.createDataFrame([("o", str(i), str(i - 1)) for i in range(1, 90)] + [("o", "88", "200"), ("o", "200", "3"), ("o", "200", "300"), ("p", "3", "99"), ("o", "5", None)], "origin string, sha string, parent string")
+    got = I.reachable_from(edges, spark.createDataFrame([("o", "88")], "origin string, sha string"))
+    assert {r.sha for r in got.collect()} == {*map(str, range(89)), "200", "300"} and got.count() == 91
+    pairs = spark.createDataFrame([("o", "3", "88"), ("o", "89", "88"), ("o", "300", "88"), ("o", "88", "88"), ("o", "99", "88")], "origin string, old string, tip string")
+    assert {r.old: r.ancestor for r in I.is_ancestor(pairs, edges).collect()} == {"3": True, "89": False, "300": True, "88": True, "99": False}
+    assert I.reachable_from(edges, pairs.limit(0).select("origin", F.col("tip").alias("sha"))).count() == 0
+
+
+def test_marks_and_windows(spark):
+    day = lambda d: dt.date(2026, 1, d)
+    # identifiers in no order: branch a is f -> 0 -> e -> 1, branch b was rewritten, branch c is new
+    edges = spark.createDataFrame([("o", "0", "f"), ("o", "e", "0"), ("o", "1", "e"), ("o", "b2", "b1"), ("q", "c2", "c1")], "origin string, sha string, parent string")
+    commits = spark.createDataFrame([("o", "f", day(1)), ("o", "0", day(2)), ("o", "e", day(3)), ("o", "1", day(2)), ("o", "b1", day(3)), ("o", "b2", day(9)), ("q", "c1", day(5)), ("q", "c2", day(15))], "origin string, sha string, day date")
+    tips = spark.createDataFrame([("o", "a", "1"), ("o", "b", "b2"), ("q", "c", "c2")], "origin string, branch string, tip string")
+    marks = spark.createDataFrame([("o", "a", "0"), ("o", "b", "zz")], "origin string, branch string, hwm string")
+    examined = spark.createDataFrame([("o", day(8))], "origin string, last_examined date")
+    reach = I.reachable_from(edges, tips.select("origin", "branch", F.col("tip").alias("sha")), ["branch"])
+    since = I.effective_since(tips, marks, examined, reach, F.lit(day(4)), F.lit(day(20)))
+    assert rows(since.select("branch", "kind", "sha", "since", "source")) == [("a", "commit", "0", None, "mark"), ("b", "date", None, day(8), "examined"), ("c", "date", None, day(13), "capped")]
+    assert rows(I.new_commits(reach, commits, since, edges).select("branch", "sha")) == [("a", "1"), ("a", "e"), ("b", "b2"), ("c", "c2")]
+    days = tips.join(commits.withColumnRenamed("sha", "tip"), ["origin", "tip"])
+    assert rows(I.skippable(days, marks.union(spark.createDataFrame([("q", "c", "c2")], marks.schema)), examined).select("branch", "skip")) == [("a", True), ("b", False), ("c", True)]
+
+
+def test_flags_refs_and_traces(spark):
+    marks = spark.createDataFrame([("s1", "x", True), ("s2", "x", True), ("s3", "y", True), ("s4", "z", None)], "session string, branch string, done boolean")
+    assert rows(I.flagged(marks, "done")) == [("x",), ("y",)]
+    assert rows(I.clear_flag(marks, spark.createDataFrame([("x",)], "branch string"), "done").select("session", "done")) == [("s1", False), ("s2", False), ("s3", True), ("s4", None)]
+    refs = spark.createDataFrame([("o", "a"), ("o", "origin/a"), ("o", "b")], "origin string, ref string")
+    assert rows(I.prefer_ref(refs)) == [("o", "a", "origin/a"), ("o", "b", "b")]
+    heads = spark.createDataFrame([("o", "master", False), ("o", "main", True), ("p", "main", True)], "origin string, branch string, head boolean")
+    assert rows(I.default_branch(heads, ["dev", "master"])) == [("o", "master"), ("p", "main")]
+    notes = spark.createDataFrame([("a", "text\n"), ("b", "t\n\n## Audit\nold\n"), ("c", "t")], "path string, body string")
+    traces = spark.createDataFrame([("a", "l1"), ("b", "l2")], "path string, line string")
+    assert rows(I.audit_trace(notes, traces)) == [("a", "text\n\n## Audit\nl1\n"), ("b", "t\n\n## Audit\nold\nl2\n"), ("c", "t")]
 
 
 def test_sessions(spark):
     turns = [(1, 0, "system", "s"), (1, 1, "assistant", "early"), (1, 2, "user", "u1"), (1, 3, "assistant", "a1"), (1, 4, "assistant", "a2"), (1, 5, "tool", "t"), (1, 6, "user", None)]
-    got = S.turn_pairs(spark.createDataFrame(turns, "conv_id int, turn int, role string, text string"))
-    assert rows(got) == [(1, 0, 2, 5, "USER: u1\nASSISTANT: a1\na2"), (1, 1, 0, 0, "USER: \nASSISTANT: ")]
-    events = spark.createDataFrame([(1, "k", 0), (2, "k", 50), (3, "k", 100), (4, "k", 161), (5, "z", 1)], "id int, key string, s int").withColumn("ts", F.timestamp_seconds("s"))
-    assert [r.id for r in S.drop_repeats(events, ["key"], "ts", 60, ["id"]).orderBy("id").collect()] == [1, 4, 5]
+    got = S.turn_pairs(spark.createDataFrame(turns + [(1, 7, "user", ""), (1, 8, "user", "u3"), (2, 0, "user", None)], "conv_id int, turn int, role string, text string"))
+    assert rows(got) == [(1, 0, 0, 5, "ASSISTANT:\nearly"), (1, 1, 2, 5, "USER:\nu1\nASSISTANT:\na1\na2"), (1, 2, 2, 0, "USER:\nu3")]
+    events = spark.createDataFrame([(i, "k", 50 * i) for i in range(6)] + [(6, "k", 10_000), (7, "z", 1), (8, "z", 1), (9, None, 5)], "id int, key string, s int").withColumn("ts", F.timestamp_seconds("s"))
+    # measured from the last row that was kept, so a steady repeat comes through now and then
+    assert [r.id for r in S.drop_repeats(events, ["key"], "ts", 60, "id").orderBy("id").collect()] == [0, 2, 4, 6, 7, 9]
+    events = events.where("id IN (0, 1, 2, 7)").union(spark.createDataFrame([(4, "k", 161)], "id int, key string, s int").withColumn("ts", F.timestamp_seconds("s")))
     assert rows(S.sessions_by_gap(events, "key", "ts", 1, "id").select("key", "session", "events")) == [("k", 1, 3), ("k", 2, 1), ("z", 1, 1)]
 
 
@@ -137,3 +169,25 @@ def test_budget_and_hits(spark):
     ranked = spark.createDataFrame([(1, 10, 1), (2, 20, 3)], "query_id int, id int, rank int")
     truth = spark.createDataFrame([(1, 10), (1, 11), (2, 20), (3, 30)], "query_id int, id int")
     assert rows(R.hit_at_k(ranked, truth)) == [(3, 1, 2, 2)]
+
+
+def test_containing(spark):
+    texts = spark.createDataFrame([(1, "so it is: one two three four five six, yes"), (2, "xone two three four five sixy"), (3, "one two  three four five six"), (4, "two three four"), (5, None), (6, ""), (1, "again one two three four five six")], "id int, text string")
+    passages = spark.createDataFrame([(7, "one two three four five six"), (8, "three four"), (9, "two\tthree four five six seven"), (10, "e t")], "query_id int, passage string")
+    want = [(q, i) for i, t in texts.collect() for q, p in passages.collect() if t and p in t]
+    assert rows(R.containing(texts, passages)) == sorted(want, key=repr) and len(want) == 13
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(R, "ROWS", 20)
+    monkeypatch.setattr(R, "QUERIES", 3)
+    rng = random.Random(1)
+    v = {i: [rng.choice((0.0, 0.5, 1.0)) for _ in range(4)] for i in range(70)}
+    rows_ = spark.createDataFrame([(i, x, i % 3) for i, x in v.items()] + [(99, None, 1)], "id int, v array<double>, kind int")
+    asked = rows_.where("id % 7 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"), "kind")
+    for within in (None, "kind"):
+        want = []
+        for q in range(0, 70, 7):
+            scores = sorted((-sum(a * b for a, b in zip(v[q], v[i])), i) for i in v if i != q and (within is None or i % 3 == q % 3))[:4]
+            want += [(q, i, -s, n + 1) for n, (s, i) in enumerate(scores)]
+        assert rows(R.nearest(rows_, asked, 4, within)) == sorted(want, key=repr)

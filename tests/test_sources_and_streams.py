@@ -36,6 +36,14 @@ def test_read_notes(spark, tmp_path):
     assert got["ws/gateway/feat/7/_index.md"].title == "Seven" and got["ws/gateway/Learnings/limits.md"].description == "A burst is cut."
 
 
+def test_underscored_files_of_any_scheme(spark, tmp_path):
+    write(tmp_path, {"a/_index.md": "x", "a/b/c/_index.md": "y", "a/b/_other.md": "n", ".git/_index.md": "n"})
+    for root in (str(tmp_path), f"file://{tmp_path}"):
+        assert sorted(bytes(r.content).decode() for r in N.underscored_files(spark, root).collect()) == ["x", "y"]
+        assert [r.name for r in N.read_notes(spark, root).select("name").collect()] == ["_index"]
+    assert N.underscored_files(spark, str(tmp_path / "a/b/c")).count() == 1
+
+
 def test_json_lines_and_transcripts(spark, tmp_path):
     lines = [json.dumps({"timestamp": "1", "item": {"type": "message", "role": "user", "content": c}}) for c in ("plain", [{"type": "text", "text": "a"}, {"type": "tool_use", "name": "grep"}, {"type": "tool_result", "content": "z" * 900}])]
     (tmp_path / "log").mkdir()
@@ -43,7 +51,7 @@ def test_json_lines_and_transcripts(spark, tmp_path):
     with gzip.open(tmp_path / "log/b.jsonl.gz", "wt") as f:
         f.write(lines[0])
     got = sorted(r.text for r in N.read_transcripts(spark, str(tmp_path / "log")).collect())
-    assert got == ["a\n[tool grep]\n" + "z" * 400, "plain", "plain"]
+    assert got == ["a\n[tool_use:grep]\n[tool_result]: " + "z" * 400, "plain", "plain"]
     write(tmp_path, {"marks/1.json": '{"session_id": "s1", "branch": "feat/x"}', "marks/2.json": "{nope"})
     assert [r.branch for r in N.read_marks(spark, str(tmp_path / "marks")).collect()] == ["feat/x"]
     write(tmp_path, {"log.tsv": "abc\t2026-01-01\tfirst: thing\n"})

@@ -41,17 +41,24 @@ def test_folders_and_merges(spark):
     own = spark.createDataFrame([("o", "b1", "p1"), ("o", "b1", "p2"), ("o", "b2", "p1")], "origin string, branch string, patch_id string")
     base = spark.createDataFrame([("o", "p1"), ("o", "p1")], "origin string, patch_id string")
     assert rows(K.merged_by_patch(own, base)) == [("b1", 2, 1, False), ("b2", 1, 1, True)]
-    days = spark.createDataFrame([("a", 1, dt.date(2026, 1, 1)), ("a", 3, dt.date(2026, 1, 1)), ("b", 1, dt.date(2026, 1, 1)), ("b", 2, dt.date(2026, 1, 20))], "branch string, sha int, day date")
-    marks = spark.createDataFrame([("a", 1)], "branch string, hwm int")
-    today = F.lit(dt.date(2026, 1, 21))
-    assert rows(K.landed(days, marks, today).select("branch", "sha")) == [("a", 3), ("b", 2)]
-    assert spark.range(1).select(K.window_start(F.lit(dt.date(2026, 1, 18)), today)).first()[0] == dt.date(2026, 1, 18)
+    day = lambda d: dt.date(2026, 1, d)
+    edges = spark.createDataFrame([("o", "m1", "m0"), ("o", "x1", "m1"), ("o", "x2", "x1"), ("o", "y1", "m0"), ("o", "y2", "y1")], "origin string, sha string, parent string")
+    commits = spark.createDataFrame([("o", s, day(d)) for s, d in (("m0", 1), ("m1", 2), ("x1", 18), ("x2", 19), ("y1", 3), ("y2", 4))], "origin string, sha string, day date")
+    merged = spark.createDataFrame([("o", "x", "x2"), ("o", "y", "y2")], "origin string, branch string, tip string")
+    bases = spark.createDataFrame([("o", "x", "m1")], "origin string, branch string, sha string")
+    since = spark.createDataFrame([("o", "x", "date", None, day(1), "examined"), ("o", "y", "commit", "y1", None, "mark")], "origin string, branch string, kind string, sha string, since date, source string")
+    assert rows(K.landed(merged, bases, since, commits, edges).select("branch", "sha")) == [("x", "x1"), ("x", "x2"), ("y", "y2")]
+    notes = spark.createDataFrame([("w/p/feat/1/Learnings/a.md",), ("w/p/Learnings/b.md",), ("w/p/t/Learnings/sub/c.md",)], "path string")
+    indexes = spark.createDataFrame([("w/p/feat/1/_index.md",), ("w/p/t/_index.md",)], "path string")
+    assert rows(K.nearest_index(notes, indexes)) == [("w/p/Learnings/b.md", None), ("w/p/feat/1/Learnings/a.md", "w/p/feat/1/_index.md"), ("w/p/t/Learnings/sub/c.md", "w/p/t/_index.md")]
+    hits = spark.createDataFrame([("a", "w/p/Learnings/b.md", 0.5), ("a", "w/p/Learnings/b.md", 0.7), ("a", "w/p/t/_index.md", 0.9), ("w/p/Learnings/b.md", "w/p/Learnings/b.md", 1.0)], "path string, other string, score double")
+    assert rows(K.best_per_neighbour(hits)) == [("a", "w/p/Learnings/b.md", 0.7)]
 
 
 def test_gates_and_reads(spark):
-    said = spark.createDataFrame([("capture", "RUN-COUNTS: adds=0 confirms=2 adjusts=0 refutes=0"), ("finalize", "RUN-COUNTS: adds=0 confirms=2 adjusts=0 refutes=0"), ("capture", "none")], "kind string, x string")
-    assert [r[0] for r in said.select(K.nothing_new(T.counts_marker(F.col("x")), F.col("kind"))).collect()] == [True, False, False]
-    failures = spark.createDataFrame([(1, "https://h/a", "HTTP 403"), (1, "https://h/b", "HTTP 403"), (1, "https://i/a", "timeout"), (2, "https://h/b", "Permission denied (publickey)")], "run int, origin string, message string")
+    said = spark.createDataFrame([("capture", "RUN-COUNTS: adds=0 confirms=2 adjusts=0 refutes=0"), ("finalize", "RUN-COUNTS: adds=0 confirms=2 adjusts=0 refutes=0"), ("capture", "none"), ("capture", "COUNTS: adds=0 confirms=0 adjusts=0 refutes=0"), ("finalize", "COUNTS: adds=0 confirms=0 adjusts=0 refutes=0")], "kind string, x string")
+    assert [r[0] for r in said.select(K.nothing_new(T.counts_marker(F.col("x")), F.col("kind"))).collect()] == [True, True, False, False, True]
+    failures = spark.createDataFrame([(1, "https://h/a", "HTTP 403"), (1, "https://h/b", "HTTP 403"), (1, "https://i/a", "timeout"), (2, "https://h/b", "could not read Password"), (2, "https://k/b", "Permission denied (publickey)")], "run int, origin string, message string")
     assert rows(K.first_try_per_host(failures)) == [(1, "h", "https://h/a"), (2, "h", "https://h/b")]
     reads = spark.createDataFrame([("s", "v/Learnings/A.md", 10), ("s", "v/x.md", 5), ("t", "v/a.md", 7)], "session_id string, path string, tokens int")
     cited = spark.createDataFrame([("s", "w/a.md")], "session_id string, cited string")
