@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -22,6 +24,7 @@ class Vault:
     vectors: DataFrame | None = None
     marks: DataFrame | None = None
     runs: DataFrame | None = None
+    _looked: float | None = None
 
     def lexical_text(self) -> Column:
         """What is indexed: name, tags, module, description and project, not the body."""
@@ -83,14 +86,30 @@ class Vault:
         self.marks = clean if self.marks is None else I.upsert(self.marks, clean, "session_id")
         return self.marks
 
-    def reindex(self, indexed: DataFrame, path: str | None = None) -> DataFrame:
-        """(path, action) against an index of (path, sha); the new index is written to ``path`` where one is given."""
-        current = self.notes.where(F.length("body") > 0).select("path", "sha")
-        diff = I.snapshot_diff(indexed, current, "path", "sha")
+    def reindex(self, indexed: DataFrame, path: str | None = None, version: str = "1") -> DataFrame:
+        """(path, action) against an index of (path, sha, version); rows of another version are updated whatever their sha, and an index
+        without that column is of this version. The new index is written to ``path`` where one is given."""
+        current = self.notes.where(F.length("body") > 0).select("path", "sha", F.lit(version).alias("version"))
+        if "version" not in indexed.columns:
+            indexed = indexed.withColumn("version", F.lit(version))
+        signed = lambda df: df.select("path", F.concat_ws(":", "version", "sha").alias("_sign"))
+        diff = I.snapshot_diff(signed(indexed), signed(current), "path", "_sign")
         if path is not None:
             write_table(current, path)
         return diff
 
+    def recheck(self, load: Callable[[], DataFrame], seconds: float = 30.0) -> bool:
+        """Load and cache the notes anew if the last look is ``seconds`` or more ago, or there was none; was it done?
+
+        After an index has changed, ``seconds=0`` lets a long-lived session see it.
+        """
+        now = time.monotonic()
+        if self._looked is not None and now - self._looked < seconds:
+            return False
+        self.notes.unpersist()
+        self.notes, self._looked = load().cache(), now
+        return True
+
     def stats(self) -> DataFrame:
         """Notes by scope, by project and in all."""
         return self.notes.groupingSets([[F.col("scope")], [F.col("project")], []], F.col("scope"), F.col("project")).agg(F.count("*").alias("n"))
@@ -137,9 +156,10 @@ class Vault:
             settled = self.notes.where((F.col("scope") == "index") & F.col("status").isin("resolved", "experimental", "discarded"))
             settled = settled.select(F.regexp_extract("ticket_dir", r"^[^/]+/[^/]+/(.*)$", 1).alias("branch"))
             tips = tips.join(settled, "branch", "left_anti")
-        reach = I.reachable_from(edges, tips.select("origin", "branch", F.col("tip").alias("sha")), ["branch"])
-        since = I.effective_since(tips, marks.limit(0) if ignore_marks else marks, examined, reach, installed, today)
-        fresh = I.new_commits(reach, commits, since, edges)
+        marks = marks.limit(0) if ignore_marks else marks
+        reach, seen = I.reach_and_seen(tips, marks, edges)
+        since = I.effective_since(tips, marks, examined, reach, installed, today)
+        fresh = I.new_commits(reach, seen, commits, since)
         last = fresh.groupBy("origin", "branch").agg(F.max("day").alias("_last")).withColumn("_run", F.lit(1))
         branches = I.cap_and_defer(last, ["_run"], [F.desc("_last"), F.col("branch"), F.col("origin")], F.lit(25))
         return fresh.join(branches.select("origin", "branch", "deferred"), ["origin", "branch"]).select("origin", "branch", "sha", "day", "deferred")

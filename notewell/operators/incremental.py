@@ -53,18 +53,25 @@ def effective_since(branches: DataFrame, marks: DataFrame, examined: DataFrame,
         F.when(~by_mark, F.coalesce("last_examined", start)).alias("since"), F.when(by_mark, "mark").when(dated, "examined").otherwise(first).alias("source"))
 
 
-def new_commits(reach: DataFrame, commits: DataFrame, since: DataFrame, edges: DataFrame) -> DataFrame:
+def new_commits(reach: DataFrame, seen: DataFrame, commits: DataFrame, since: DataFrame) -> DataFrame:
     """(origin, branch, sha, day, source): what each branch reaches and has not been seen.
 
-    After a mark: what the mark does not reach. By date: what is of that day or later. Identifiers are compared for equality only, as
-    their order says nothing. ``commits`` is (origin, sha, day), ``edges`` (origin, sha, parent).
+    After a mark: what the mark does not reach (``seen``, like ``reach``: origin, branch, sha). By date: what is of that day or later. Identifiers
+    are compared for equality only, as their order says nothing. ``commits`` is (origin, sha, day).
     """
-    marked = since.where("kind = 'commit'").select("origin", "branch", "sha")
-    seen = reachable_from(edges, marked, ["branch"])
-    fresh = reach.join(since.select("origin", "branch", "kind", "since", "source"), ["origin", "branch"]).join(seen, ["origin", "branch", "sha"], "left_anti")
+    marked = since.where("kind = 'commit'").select("origin", "branch")
+    known = seen.join(marked, ["origin", "branch"], "left_semi")
+    fresh = reach.join(since.select("origin", "branch", "kind", "since", "source"), ["origin", "branch"]).join(known, ["origin", "branch", "sha"], "left_anti")
     return fresh.join(commits.select("origin", "sha", "day"), ["origin", "sha"]).where("kind = 'commit' OR day >= since").select("origin", "branch", "sha", "day", "source")
 
 
+def reach_and_seen(tips: DataFrame, marks: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(origin, branch, sha) of what the branches' tips (origin, branch, tip) and what their marks (origin, branch, hwm) reach, in one walk."""
+    starts = tips.select("origin", "branch", F.lit("tip").alias("of"), F.col("tip").alias("sha")).union(marks.select("origin", "branch", F.lit("mark"), "hwm"))
+    found = reachable_from(edges, starts, ["branch", "of"])
+    return found.where("of = 'tip'").drop("of"), found.where("of = 'mark'").drop("of")
+
+
 def skippable(tips: DataFrame, marks: DataFrame, examined: DataFrame) -> DataFrame:
     """(origin, branch, skip) of (origin, branch, tip, day): is the tip the mark itself, or older than the origin's last examination?"""
     both = tips.join(marks, ["origin", "branch"], "left").join(examined, "origin", "left")
@@ -133,13 +140,17 @@ def reachable_from(edges: DataFrame, starts: DataFrame, group: list[str] = []) -
     edges = durable(edges.where("parent IS NOT NULL").select("origin", "sha", "parent").distinct())
     main = durable(edges.groupBy("origin", "sha").agg(F.min("parent").alias("parent")))
     side = durable(edges.join(main, ["origin", "sha", "parent"], "left_anti").select("origin", "sha", "parent"))
+    onward = lambda rows, jump: rows.join(jump.select("origin", F.col("sha").alias("parent"), F.col("parent").alias("far")), ["origin", "parent"]).select("origin", "sha", F.col("far").alias("parent"))
     jumps = [main]
-    while True:
-        last = jumps[-1]
-        ahead = durable(last.join(last.select("origin", F.col("sha").alias("parent"), F.col("parent").alias("far")), ["origin", "parent"]).select("origin", "sha", F.col("far").alias("parent")))
-        if ahead.isEmpty():
-            break
+    while not (ahead := durable(onward(jumps[-1], jumps[-1]))).isEmpty():
         jumps.append(ahead)
+    # every length that four jumps make, in one table: a round then takes a quarter of the steps
+    strides = []
+    for at in range(0, len(jumps), 4):
+        reach = main.select("origin", "sha", F.col("sha").alias("parent"))
+        for jump in jumps[at: at + 4]:
+            reach = durable(reach.union(onward(reach, jump)))
+        strides.append(reach.where("sha <> parent"))
     keys = ["origin", *group, "sha"]
 
     def up(rows: DataFrame, by: DataFrame) -> DataFrame:
@@ -148,11 +159,12 @@ def reachable_from(edges: DataFrame, starts: DataFrame, group: list[str] = []) -
     front, seen = durable(starts.select(*keys).distinct()), None
     while not front.isEmpty():
         reached = front
-        for jump in jumps:
-            reached = durable(reached.union(up(reached, jump)).distinct())
-        fresh = reached if seen is None else durable(reached.join(seen, keys, "left_anti"))
+        for stride in strides:
+            reached = durable(reached.union(up(reached, stride)).distinct())
+        fresh = reached if seen is None else reached.join(seen, keys, "left_anti")
+        entered = up(fresh, side).distinct()
         seen = fresh if seen is None else durable(seen.union(fresh))
-        front = durable(up(fresh, side).distinct().join(seen, keys, "left_anti"))
+        front = durable(entered.join(seen, keys, "left_anti"))
     return front if seen is None else seen
 
 

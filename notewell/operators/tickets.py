@@ -74,17 +74,15 @@ def nothing_new(counts: Column, kind: Column) -> Column:
     return F.coalesce(none & ((kind == "finalize") | (counts["confirms"] > 0)), F.lit(False))
 
 
-def landed(merged: DataFrame, bases: DataFrame, since: DataFrame, commits: DataFrame, edges: DataFrame) -> DataFrame:
-    """(origin, branch, sha, day) of merged branches (origin, branch, tip) that are still to be captured.
+def landed(reach: DataFrame, seen: DataFrame, bases: DataFrame, since: DataFrame, commits: DataFrame, edges: DataFrame) -> DataFrame:
+    """(origin, branch, sha, day) of merged branches that are still to be captured; ``reach`` and ``seen`` as for ``new_commits``.
 
     After the branch's mark where it has one. Else what its tip reaches and the merge's first parent (``bases``: origin, branch, sha, where
     there was a merge commit) does not, from the window's day on.
     """
-    reach = I.reachable_from(edges, merged.select("origin", "branch", F.col("tip").alias("sha")), ["branch"])
     dated = since.where("kind = 'date'").select("origin", "branch")
     trunk = I.reachable_from(edges, bases.join(dated, ["origin", "branch"], "left_semi").select("origin", "branch", "sha"), ["branch"])
-    own = reach.join(trunk, ["origin", "branch", "sha"], "left_anti")
-    return I.new_commits(own, commits, since, edges).drop("source")
+    return I.new_commits(reach.join(trunk, ["origin", "branch", "sha"], "left_anti"), seen, commits, since).drop("source")
 
 
 def nearest_index(notes: DataFrame, indexes: DataFrame, levels: int = 3) -> DataFrame:

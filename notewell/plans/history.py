@@ -8,11 +8,13 @@ from pyspark.sql.window import Window
 
 from ..operators import incremental as I
 from ..operators import tickets as K
+from ..session import durable
 from .common import Catalogue, table
 
 CATALOGUE = Catalogue()
 add = CATALOGUE.add
 
+DAY = lambda c: F.date_format(c, "yyyy-MM-dd")
 CUTOFF, INSTALLED, TODAY = "1999-01-01", "1998-12-25", "1999-06-01"
 
 
@@ -56,13 +58,12 @@ def examined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").where("n_nationkey % 3 = 0").select(F.col("n_nationkey").alias("origin"), F.lit("1999-03-01").cast("date").alias("last_examined"))
 
 
-def everything(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """What each branch reaches, from where it is new, and the edges."""
-    graph = edges(spark, sf_dir).checkpoint()
-    ends = tips(spark, sf_dir)
-    reach = I.reachable_from(graph, ends.select("origin", "branch", F.col("tip").alias("sha")), ["branch"])
+def everything(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """What each branch reaches, what its mark reaches, from where it is new, and the edges."""
+    graph, ends, left = durable(edges(spark, sf_dir)), durable(tips(spark, sf_dir)), durable(marks(spark, sf_dir))
+    reach, seen = I.reach_and_seen(ends, left, graph)
     day = lambda d: F.lit(d).cast("date")
-    return reach, I.effective_since(ends, marks(spark, sf_dir), examined(spark, sf_dir), reach, day(INSTALLED), day(TODAY)), graph
+    return reach, seen, I.effective_since(ends, left, examined(spark, sf_dir), reach, day(INSTALLED), day(TODAY)), graph
 
 
 GRAPH = f"""
@@ -104,25 +105,25 @@ def ancestor_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.is_ancestor(pairs, edges(spark, sf_dir)).join(pairs.select("branch", "tip"), "tip").select("branch", "old", "ancestor")
 
 
-@add(f"WITH RECURSIVE {GRAPH} SELECT branch, kind, sha, since, source FROM since")
+@add(f"WITH RECURSIVE {GRAPH} SELECT branch, kind, sha, strftime(since, '%Y-%m-%d') AS since, source FROM since")
 def effective_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From where each branch's commits are new: its mark, the origin's examination, or the first run's window."""
-    return everything(spark, sf_dir)[1].select("branch", "kind", "sha", "since", "source")
+    return everything(spark, sf_dir)[2].select("branch", "kind", "sha", DAY("since").alias("since"), "source")
 
 
-@add(f"WITH RECURSIVE {GRAPH} SELECT branch, sha, day, source FROM fresh")
+@add(f"WITH RECURSIVE {GRAPH} SELECT branch, sha, strftime(day, '%Y-%m-%d') AS day, source FROM fresh")
 def hwm_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each branch reaches and has not been seen."""
-    reach, since, graph = everything(spark, sf_dir)
-    return I.new_commits(reach, orders(spark, sf_dir), since, graph).select("branch", "sha", "day", "source")
+    reach, seen, since, _ = everything(spark, sf_dir)
+    return I.new_commits(reach, seen, orders(spark, sf_dir), since).select("branch", "sha", DAY("day").alias("day"), "source")
 
 
-@add(f"WITH RECURSIVE {GRAPH} SELECT branch, sha, day FROM fresh WHERE source = 'mark' AND day < DATE '{CUTOFF}' - 7")
+@add(f"WITH RECURSIVE {GRAPH} SELECT branch, sha, strftime(day, '%Y-%m-%d') AS day FROM fresh WHERE source = 'mark' AND day < DATE '{CUTOFF}' - 7")
 def late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New commits by mark that are older than any date window would have let through: merged late, written long before."""
-    reach, since, graph = everything(spark, sf_dir)
-    fresh = I.new_commits(reach, orders(spark, sf_dir), since, graph)
-    return fresh.where((F.col("source") == "mark") & (F.col("day") < F.date_sub(F.lit(CUTOFF).cast("date"), 7))).select("branch", "sha", "day")
+    reach, seen, since, _ = everything(spark, sf_dir)
+    fresh = I.new_commits(reach, seen, orders(spark, sf_dir), since)
+    return fresh.where((F.col("source") == "mark") & (F.col("day") < F.date_sub(F.lit(CUTOFF).cast("date"), 7))).select("branch", "sha", DAY("day").alias("day"))
 
 
 @add(f"WITH RECURSIVE {GRAPH} SELECT tip.branch, coalesce(tip = hwm, false) OR coalesce(day < last_examined, false) AS skip FROM tip LEFT JOIN m USING (branch) LEFT JOIN x ON x.origin = tip.origin")
@@ -133,12 +134,12 @@ def branch_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add(f"""WITH RECURSIVE {GRAPH}, base AS (SELECT branch, sha FROM o WHERE nth = 2 AND branch % 2 = 0),
 trunk AS (SELECT b.branch, b.sha FROM base b JOIN since s USING (branch) WHERE s.kind = 'date' UNION SELECT trunk.branch, g.parent FROM trunk JOIN g USING (sha))
-SELECT branch, sha, day FROM fresh f WHERE NOT EXISTS (SELECT 1 FROM trunk t WHERE t.branch = f.branch AND t.sha = f.sha)""")
+SELECT branch, sha, strftime(day, '%Y-%m-%d') AS day FROM fresh f WHERE NOT EXISTS (SELECT 1 FROM trunk t WHERE t.branch = f.branch AND t.sha = f.sha)""")
 def landed_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What merged branches still have to give: after their mark, else beyond the merge's first parent and inside the window."""
-    _, since, graph = everything(spark, sf_dir)
+    reach, seen, since, graph = everything(spark, sf_dir)
     bases = orders(spark, sf_dir).where("nth = 2 AND branch % 2 = 0").select("origin", "branch", "sha")
-    return K.landed(tips(spark, sf_dir), bases, since, orders(spark, sf_dir), graph).select("branch", "sha", "day")
+    return K.landed(reach, seen, bases, since, orders(spark, sf_dir), graph).select("branch", "sha", DAY("day").alias("day"))
 
 
 @add(f"WITH RECURSIVE {GRAPH} SELECT branch, tip AS sha FROM tip WHERE tip IN (SELECT parent FROM mt)")

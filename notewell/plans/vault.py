@@ -49,10 +49,10 @@ n AS (
 """
 
 
-@add(f"WITH {NOTES} SELECT path, name, scope, workspace, project, ticket_dir, 'T ' || doc_id AS title, description, module, lang || ',' || source AS tags, status, authored, md5(body) AS body FROM n")
+@add(f"WITH {NOTES} SELECT path, name, scope, workspace, project, ticket_dir, 'T ' || doc_id AS title, description, module, lang || ',' || source AS tags, status, strftime(authored, '%Y-%m-%d') AS authored, md5(body) AS body FROM n")
 def vault_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes with what their front matter says, and what they take from their ticket's index."""
-    return notes(spark, sf_dir).select("path", "name", "scope", "workspace", "project", "ticket_dir", "title", "description", "module", F.array_join("tags", ",").alias("tags"), "status", "authored", F.md5("body").alias("body"))
+    return notes(spark, sf_dir).select("path", "name", "scope", "workspace", "project", "ticket_dir", "title", "description", "module", F.array_join("tags", ",").alias("tags"), "status", F.date_format("authored", "yyyy-MM-dd").alias("authored"), F.md5("body").alias("body"))
 
 
 LEXICAL = "concat_ws(' ', name, lang || ' ' || source, module, description, project)"
@@ -101,10 +101,10 @@ def vault_inbound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Vault(notes(spark, sf_dir)).inbound()
 
 
-@add(f"WITH {NOTES} SELECT path, description, authored FROM n WHERE scope <> 'index' AND project = 'p1' ORDER BY authored DESC NULLS LAST, path DESC LIMIT 500")
+@add(f"WITH {NOTES} SELECT path, description, strftime(authored, '%Y-%m-%d') AS authored FROM n WHERE scope <> 'index' AND project = 'p1' ORDER BY n.authored DESC NULLS LAST, path DESC LIMIT 500")
 def vault_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One project's learnings, newest first: a page of at most 500."""
-    return Vault(notes(spark, sf_dir)).list(project="p1").select("path", "description", "authored")
+    return Vault(notes(spark, sf_dir)).list(project="p1").select("path", "description", F.date_format("authored", "yyyy-MM-dd").alias("authored"))
 
 
 @add(f"""WITH {NOTES}, l AS (SELECT * FROM n WHERE scope <> 'index'), t AS (SELECT * FROM n WHERE scope = 'index')
@@ -177,7 +177,7 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select("path", F.md5(head).alias("head"), F.substring(cut, 1, 40).alias("claim"))
 
 
-@add("""SELECT c_custkey, '-w-' || c_mktsegment || '-' || c_custkey AS cwd, replace(c_name, '#', '') AS session, [1, (c_custkey % 30)::INT, CASE WHEN c_custkey % 2 = 0 THEN (c_custkey % 7)::INT ELSE 0 END] AS version,
+@add("""SELECT c_custkey, '-w-' || c_mktsegment || '-' || c_custkey AS cwd, replace(c_name, '#', '') AS session, '1.' || (c_custkey % 30) || '.' || CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 7 ELSE 0 END AS version,
        '["0' || (c_custkey % 10) || ':' || lpad((c_custkey % 60)::VARCHAR, 2, '0') || '"]' AS times, '[' || repeat('#', bar) || repeat('-', 18 - bar) || '] ' || printf('%.1f', (c_custkey % 101)::DOUBLE) || '%' AS share,
        'a' || chr(10) || c_custkey || chr(10) || 'b' AS lines, CASE WHEN len(k) > 1 THEN k[1] ELSE '' END AS kind, 'w/' || c_custkey AS pair
 FROM (SELECT *, round((c_custkey % 101) / 100 * 18)::INT AS bar, string_split(CASE WHEN c_custkey % 2 = 0 THEN 'feat/' || c_custkey ELSE 'main' END, '/') AS k FROM customer)""")
@@ -187,7 +187,7 @@ def text_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
     times = T.clock_times(e("array(concat(c_custkey % 10, ':', lpad(CAST(c_custkey % 60 AS STRING), 2, '0')), '24:00', concat('0', c_custkey % 10, ':', lpad(CAST(c_custkey % 60 AS STRING), 2, '0')))"))
     return table(spark, sf_dir, "customer").select(
         "c_custkey", T.encode_cwd(e("concat('/w/', c_mktsegment, '_', c_custkey)")).alias("cwd"), T.clean_session_id(F.col("c_name")).alias("session"),
-        T.version_triple(e("concat('v1.', c_custkey % 30, CASE WHEN c_custkey % 2 = 0 THEN concat('.', c_custkey % 7) ELSE '' END)")).alias("version"), F.to_json(times).alias("times"),
+        F.array_join(T.version_triple(e("concat('v1.', c_custkey % 30, CASE WHEN c_custkey % 2 = 0 THEN concat('.', c_custkey % 7) ELSE '' END)")).cast("array<string>"), ".").alias("version"), F.to_json(times).alias("times"),
         T.percent_bar(e("CAST(c_custkey % 101 AS DOUBLE) / 100")).alias("share"), T.unix_lines(e("concat('a', chr(13), chr(10), c_custkey, chr(13), 'b')")).alias("lines"),
         T.split_branch(e("CASE WHEN c_custkey % 2 = 0 THEN concat('feat/', c_custkey) ELSE 'main' END"))["type"].alias("kind"), T.pair_label(e("concat('v/w/', c_custkey)")).alias("pair"))
 

@@ -55,6 +55,15 @@ def test_read_mark_reindex(spark, vault):
     assert actions["gone.md"] == "removed" and actions["ws/Learnings/commit-style.md"] == "updated" and actions["ws/gateway/Learnings/rate-limit.md"] == "added"
 
 
+def test_index_version_and_recheck(spark, vault):
+    index = vault.notes.where(F.length("body") > 0).select("path", "sha", F.lit("1").alias("version"))
+    assert {r.action for r in vault.reindex(index).collect()} == {"skipped"}
+    assert {r.action for r in vault.reindex(index, version="2").collect()} == {"updated"}
+    mine, asked = Vault(vault.notes.limit(1)), []
+    load = lambda: asked.append(1) or vault.notes.limit(len(asked))
+    assert mine.recheck(load) and not mine.recheck(load) and mine.recheck(load, 0) and len(asked) == 2 and mine.notes.count() == 2
+
+
 def test_dashboard(spark, vault):
     got = {(r.kind, r.key): r.n for r in vault.overview().collect()}
     assert got["learnings", ""] == 4 and got["tickets", ""] == 3 and got["status", "resolved"] == 1 and got["project", "gateway"] == 3

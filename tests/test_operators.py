@@ -131,10 +131,10 @@ def test_marks_and_windows(spark):
     tips = spark.createDataFrame([("o", "a", "1"), ("o", "b", "b2"), ("q", "c", "c2")], "origin string, branch string, tip string")
     marks = spark.createDataFrame([("o", "a", "0"), ("o", "b", "zz")], "origin string, branch string, hwm string")
     examined = spark.createDataFrame([("o", day(8))], "origin string, last_examined date")
-    reach = I.reachable_from(edges, tips.select("origin", "branch", F.col("tip").alias("sha")), ["branch"])
+    reach, seen = I.reach_and_seen(tips, marks, edges)
     since = I.effective_since(tips, marks, examined, reach, F.lit(day(4)), F.lit(day(20)))
     assert rows(since.select("branch", "kind", "sha", "since", "source")) == [("a", "commit", "0", None, "mark"), ("b", "date", None, day(8), "examined"), ("c", "date", None, day(13), "capped")]
-    assert rows(I.new_commits(reach, commits, since, edges).select("branch", "sha")) == [("a", "1"), ("a", "e"), ("b", "b2"), ("c", "c2")]
+    assert rows(I.new_commits(reach, seen, commits, since).select("branch", "sha")) == [("a", "1"), ("a", "e"), ("b", "b2"), ("c", "c2")]
     days = tips.join(commits.withColumnRenamed("sha", "tip"), ["origin", "tip"])
     assert rows(I.skippable(days, marks.union(spark.createDataFrame([("q", "c", "c2")], marks.schema)), examined).select("branch", "skip")) == [("a", True), ("b", False), ("c", True)]
 

@@ -2,6 +2,7 @@
 
 import gzip
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -44,6 +45,13 @@ def test_underscored_files_of_any_scheme(spark, tmp_path):
     assert N.underscored_files(spark, str(tmp_path / "a/b/c")).count() == 1
 
 
+def test_readme_example(spark, tmp_path, capsys):
+    write(tmp_path, {"ws/Learnings/tokens.md": "---\ndescription: expiry of refresh tokens\n---\n", "ws/p/Learnings/other.md": "---\ndescription: colours of the lamp\n---\n"})
+    code = (Path(__file__).parents[1] / "README.md").read_text().split("```python\n")[1].split("```")[0]
+    exec(code.replace("file:///data/vault", f"file://{tmp_path}"), {})
+    assert "ws/Learnings/tokens.md" in capsys.readouterr().out
+
+
 def test_json_lines_and_transcripts(spark, tmp_path):
     lines = [json.dumps({"timestamp": "1", "item": {"type": "message", "role": "user", "content": c}}) for c in ("plain", [{"type": "text", "text": "a"}, {"type": "tool_use", "name": "grep"}, {"type": "tool_result", "content": "z" * 900}])]
     (tmp_path / "log").mkdir()
