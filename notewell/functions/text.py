@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,6 +44,20 @@ def _folds() -> tuple[str, str, str, dict[str, str]]:
 
 MARKED, PLAIN, MARKS, SEVERAL = _folds()
 
+
+def _around(characters: Iterable[str], gap: int = 16) -> str:
+    """A pattern of few ranges that hold all the characters, and others near them: quick to rule most texts out by."""
+    ranges: list[list[int]] = []
+    for code in sorted(map(ord, characters)):
+        if ranges and code - ranges[-1][1] <= gap:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in ranges) + "]"
+
+
+NEAR_SEVERAL = _around(SEVERAL)
+
 def text_or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
@@ -52,7 +67,8 @@ def strip_accents(text: Column) -> Column:
     bare = F.translate(text, MARKED + MARKS, PLAIN)
     names = F.from_json(F.lit(json.dumps(SEVERAL)), "map<string,string>")
     full = F.array_join(F.transform(F.split(bare, ""), lambda c: F.coalesce(names[c], c)), "")
-    return F.when(F.length(F.translate(bare, "".join(SEVERAL), "")) < F.length(bare), full).otherwise(bare)
+    some = text.rlike(NEAR_SEVERAL) & (F.length(F.translate(text, "".join(SEVERAL), "")) < F.length(text))
+    return F.when(some, full).otherwise(bare)
 
 
 def words(text: Column) -> Column:

@@ -148,9 +148,10 @@ def reachable_from(edges: DataFrame, starts: DataFrame, group: list[str] = []) -
     strides = []
     for at in range(0, len(jumps), 4):
         reach = main.select("origin", "sha", F.col("sha").alias("parent"))
-        for jump in jumps[at: at + 4]:
-            reach = durable(reach.union(onward(reach, jump)))
-        strides.append(reach.where("sha <> parent"))
+        for k, jump in enumerate(jumps[at: at + 4]):
+            reach = reach.union(onward(reach, jump))
+            reach = durable(reach) if k % 2 else reach
+        strides.append(durable(reach.where("sha <> parent")))
     keys = ["origin", *group, "sha"]
 
     def up(rows: DataFrame, by: DataFrame) -> DataFrame:
@@ -159,8 +160,10 @@ def reachable_from(edges: DataFrame, starts: DataFrame, group: list[str] = []) -
     front, seen = durable(starts.select(*keys).distinct()), None
     while not front.isEmpty():
         reached = front
-        for stride in strides:
-            reached = durable(reached.union(up(reached, stride)).distinct())
+        for k, stride in enumerate(strides):
+            reached = reached.union(up(reached, stride)).distinct()
+            # two strides make one plan; more of them would repeat its beginning too often
+            reached = durable(reached) if k % 2 or stride is strides[-1] else reached
         fresh = reached if seen is None else reached.join(seen, keys, "left_anti")
         entered = up(fresh, side).distinct()
         seen = fresh if seen is None else durable(seen.union(fresh))

