@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, embdedup, mixing, quality, sharding, simhash, toxicity, warc
+from . import ann, bpe, chat, embdedup, mixing, quality, sharding, simhash, toxicity, warc, winnowing
 from .common import discard, prepare, scratch, table
 
 
@@ -83,7 +83,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = winnowing.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_simhash, op2_mix_sources, op3_nearest, op4_warc, op5_chat, op6_quality, op7_embedding_dedup, op8_bpe, op9_shard, op10_toxicity)}
+    op1_simhash, op2_mix_sources, op3_nearest, op4_warc, op5_chat, op6_quality, op7_embedding_dedup, op8_bpe, op9_shard, op10_toxicity, op11_decontaminate)}
 
-ORACLES = {"op2_mix_sources": mixing.SQL, "op4_warc": warc.SQL, "op5_chat": chat.SQL, "op7_embedding_dedup": embdedup.SQL}
+ORACLES = {"op2_mix_sources": mixing.SQL, "op4_warc": warc.SQL, "op5_chat": chat.SQL, "op7_embedding_dedup": embdedup.SQL, "op11_decontaminate": winnowing.SQL}
