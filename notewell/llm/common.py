@@ -5,6 +5,8 @@ connected components.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,15 +50,15 @@ def join_measured(left: DataFrame, right: DataFrame, on, how: str = "inner", row
     return left.join(right, on, how)
 
 
-def with_position(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
+def with_position(df: DataFrame, order: list[Column], name: str = "position", keep: Callable[[DataFrame], DataFrame] = DataFrame.checkpoint) -> DataFrame:
     """Number all rows from 0 without gaps, in the order of ``order``.
 
     Rows are dealt by range and sorted inside partitions; only one count per partition
-    is ranked in one place. The result is checkpointed, so numbers stay as they are.
+    is ranked in one place. The result is checkpointed, or written and read again by ``keep``, so numbers stay as they are.
     Give ``order`` a last column that tells equal rows apart, so that a hot value is split.
     """
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = placed.withColumn("_row", F.monotonically_increasing_id()).checkpoint()
+    placed = keep(placed.withColumn("_row", F.monotonically_increasing_id()))
     part = F.shiftright("_row", 33)
     counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

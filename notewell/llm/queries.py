@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, embdedup, mixing, quality, sharding, simhash, spelling, toxicity, warc, winnowing
+from . import ann, bpe, chat, embdedup, mixing, quality, repair, sharding, simhash, spelling, toxicity, warc, winnowing
 from .common import discard, prepare, scratch, table
 
 
@@ -88,11 +88,16 @@ def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.repair(repair.damage(rows), rows)
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_simhash, op2_mix_sources, op3_nearest, op4_warc, op5_chat, op6_quality, op7_embedding_dedup, op8_bpe, op9_shard, op10_toxicity, op11_decontaminate, op13_spelling)}
+    op1_simhash, op2_mix_sources, op3_nearest, op4_warc, op5_chat, op6_quality, op7_embedding_dedup, op8_bpe, op9_shard, op10_toxicity, op11_decontaminate, op12_repair, op13_spelling)}
 
-ORACLES = {"op2_mix_sources": mixing.SQL, "op4_warc": warc.SQL, "op5_chat": chat.SQL, "op7_embedding_dedup": embdedup.SQL, "op11_decontaminate": winnowing.SQL, "op13_spelling": spelling.SQL}
+ORACLES = {"op2_mix_sources": mixing.SQL, "op4_warc": warc.SQL, "op5_chat": chat.SQL, "op7_embedding_dedup": embdedup.SQL, "op11_decontaminate": winnowing.SQL, "op12_repair": repair.SQL, "op13_spelling": spelling.SQL}
