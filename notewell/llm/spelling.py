@@ -129,15 +129,15 @@ def filter_size(words: int) -> int:
     return 1 << max(0, (words * BITS // 64 - 1).bit_length())
 
 
-def passes(sizes: dict[int, int]) -> list[list[tuple[int, int]]]:
-    """Parts (length, number) of filters, of BLOCKS each at most, grouped so that AT_ONCE bytes are broadcast at a time."""
+def passes(sizes: dict[int, int], blocks_each: int, at_once: int) -> list[list[tuple[int, int]]]:
+    """Parts (length, number) of filters, of ``blocks_each`` at most, grouped so that ``at_once`` bytes are broadcast at a time."""
     groups: list[list[tuple[int, int]]] = [[]]
     held = 0
     for length in sorted(sizes):
         total = filter_size(sizes[length])
-        for part in range(-(-total // BLOCKS)):
-            size = 8 * min(total, BLOCKS)
-            if groups[-1] and held + size > AT_ONCE:
+        for part in range(-(-total // blocks_each)):
+            size = 8 * min(total, blocks_each)
+            if groups[-1] and held + size > at_once:
                 groups.append([])
                 held = 0
             groups[-1].append((length, part))
@@ -171,7 +171,7 @@ def edits(word: str) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]
         yield n, mix(h[row, column]), place[row], LETTERS[column]
 
 
-def positives(vocab: DataFrame, filters: Broadcast, sizes: dict[int, int]) -> DataFrame:
+def positives(vocab: DataFrame, filters: Broadcast, sizes: dict[int, int], blocks_each: int) -> DataFrame:
     """(word, n, other): the edits of words that the broadcast parts of filters, {(length, part): bits}, do not rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,14 +184,14 @@ def positives(vocab: DataFrame, filters: Broadcast, sizes: dict[int, int]) -> Da
                         continue
                     size = filter_size(sizes[length])
                     block, mask = blocks(h, np.uint64(size)), masks(h)
-                    part = block // np.uint64(BLOCKS)
-                    for k in range(-(-size // BLOCKS)):
+                    part = block // np.uint64(blocks_each)
+                    for k in range(-(-size // blocks_each)):
                         bits = held.get((length, k))
                         if bits is None:
                             continue
                         mine = np.flatnonzero(part == k)
                         m = mask[mine]
-                        for i in mine[(bits[block[mine] % np.uint64(BLOCKS)] & m) == m]:
+                        for i in mine[(bits[block[mine] % np.uint64(blocks_each)] & m) == m]:
                             at = place[i]
                             words.append(word)
                             counts.append(n)
@@ -201,7 +201,7 @@ def positives(vocab: DataFrame, filters: Broadcast, sizes: dict[int, int]) -> Da
     return vocab.select("word", "n").mapInArrow(run, "word string, n long, other string")
 
 
-def near_pairs(vocab: DataFrame) -> DataFrame:
+def near_pairs(vocab: DataFrame, blocks_each: int = BLOCKS, at_once: int = AT_ONCE) -> DataFrame:
     """(word, n, other, m): each pair of words of the vocabulary at one edit, once, with both frequencies; checkpointed.
 
     The filters take 4 to 8 bytes a word; they are built by Spark and broadcast in bounded parts, one pass over the vocabulary for each.
@@ -211,16 +211,16 @@ def near_pairs(vocab: DataFrame) -> DataFrame:
     table = filter_blocks(vocab, sizes)
     # edits are much work for few bytes, so words are dealt out by their number
     spread = vocab.repartition(max(spark.sparkContext.defaultParallelism, sum(sizes.values()) // WORDS), "word")
-    name = F.concat_ws(":", "length", F.expr(f"block DIV {BLOCKS}"))
+    name = F.concat_ws(":", "length", F.expr(f"block DIV {blocks_each}"))
     found = None
-    for group in passes(sizes):
-        held = {(length, part): np.zeros(min(filter_size(sizes[length]), BLOCKS), np.uint64) for length, part in group}
+    for group in passes(sizes, blocks_each, at_once):
+        held = {(length, part): np.zeros(min(filter_size(sizes[length]), blocks_each), np.uint64) for length, part in group}
         told = table.where(name.isin(*(f"{length}:{part}" for length, part in group))).toArrow()
         length, block, bits = (told.column(c).to_numpy() for c in ("length", "block", "bits"))
         for (at, part), filled in held.items():
-            mine = (length == at) & (block // BLOCKS == part)
-            filled[block[mine] % BLOCKS] = bits[mine].view(np.uint64)
-        met = positives(spread, spark.sparkContext.broadcast(held), sizes)
+            mine = (length == at) & (block // blocks_each == part)
+            filled[block[mine] % blocks_each] = bits[mine].view(np.uint64)
+        met = positives(spread, spark.sparkContext.broadcast(held), sizes, blocks_each)
         met = met.join(vocab.select(F.col("word").alias("other"), F.col("n").alias("m")), "other").select("word", "n", "other", "m").checkpoint()
         found = met if found is None else found.union(met)
     return found
