@@ -7,6 +7,7 @@ weighted mean of their encodings gives the score.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,12 +18,10 @@ from pyspark.sql import functions as F
 
 from .learning import held_out, labelled_sample, sigmoid
 
-#: At most so many training documents of the classes 1 and 0 are read.
-LIMITS = {1: 5000, 0: 2500}
-#: Bytes of a passage; of the slices that longer texts are cut into first (words and repeats do not reach across); and of what is encoded at once.
-PASSAGE, SLICE, AT_ONCE = 512, 131_072, 1 << 20
-#: Passages of a training document that are learnt from, evenly spaced; a score reads all passages of any text.
-TRAINED = 24
+#: At most so many training documents of the classes 1 and 0 are read, and so many bytes of text in all; each is learnt from as a whole.
+LIMITS, BYTES = {1: 5000, 0: 2500}, {1: 32 << 20, 0: 16 << 20}
+#: Bytes of a passage, and of what is encoded at once.
+PASSAGE, AT_ONCE = 512, 1 << 20
 #: Sizes of the encoding and of the attention's hidden layer.
 CODE, HIDDEN = 24, 12
 #: The character classes of single bytes, in this order; then all other ASCII, UTF-8 leads and UTF-8 continuations.
@@ -43,48 +42,66 @@ def _class_table() -> np.ndarray:
 TABLE = _class_table()
 #: Fixed random numbers, one for each byte, to hash words by.
 HASHES = np.random.default_rng(11).integers(1, 1 << 62, 256, dtype=np.uint64)
+NO_CODES = np.zeros(0, np.uint64)
+WHITE = re.compile(b"[ \t\n\r\x0b\x0c]")
 
 
-def passages(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Features of the passages of all slices, and the slice that each belongs to; an empty slice has one empty passage.
+def passages(raw: list[bytes], inside_word: bool = False, ahead: int = 0, before: np.ndarray = NO_CODES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of the passages of all texts, the text that each belongs to, and codes of the last three words; an empty text has one empty passage.
 
     Frequencies of character classes and of pairs of them, mean word length, and the shares of words that
-    repeat the word one to three places back.
+    repeat the word one to three places back. A part of a longer text says whether it begins inside a word, how many bytes at its
+    end only complete its last word, and what codes the three words before it had.
     """
     sizes = np.array([len(r) for r in raw], np.int64)
+    sizes[-1] -= ahead
     count = np.maximum(1, -(-sizes // PASSAGE))
     owner, first = np.repeat(np.arange(len(raw)), count), np.r_[0, np.cumsum(count)[:-1]]
     data = np.frombuffer(b"".join(raw), np.uint8)
     begins = np.r_[0, np.cumsum(sizes)[:-1]]
-    total = int(count.sum())
+    total, body = int(count.sum()), len(data) - ahead
     x = np.zeros((total, WIDTH), np.float32)
-    if not len(data):
-        return x, owner
+    if not body:
+        return x, owner, before
     doc = np.repeat(np.arange(len(raw)), sizes)
-    where = first[doc] + (np.arange(len(data)) - begins[doc]) // PASSAGE
+    where = first[doc] + (np.arange(body) - begins[doc]) // PASSAGE
     kind = TABLE[data].astype(np.int64)
     per = np.bincount(where, minlength=total).clip(1)
-    single = np.bincount(where * N + kind, minlength=total * N).reshape(total, N)
+    single = np.bincount(where * N + kind[:body], minlength=total * N).reshape(total, N)
     same = where[1:] == where[:-1]
-    pair = np.bincount((where[:-1] * N * N + kind[:-1] * N + kind[1:])[same], minlength=total * N * N).reshape(total, N * N)
+    pair = np.bincount((where[:-1] * N * N + kind[: body - 1] * N + kind[1:body])[same], minlength=total * N * N).reshape(total, N * N)
     x[:, :N], x[:, N: N + N * N] = np.sqrt(single / per[:, None]), np.sqrt(pair / per[:, None])
     # words: runs outside the two classes of white space
     black = kind > 1
-    edge = black & ~np.r_[False, black[:-1] & (doc[1:] == doc[:-1])]
+    edge = black[:body] & ~np.r_[inside_word, black[: body - 1] & (doc[1:] == doc[:-1])]
     starts = np.flatnonzero(edge)
+    words = np.bincount(where[starts], minlength=total)
+    x[:, -1] = np.minimum(words, 100) / 100
+    words = words.clip(1)
+    x[:, -5] = np.bincount(where[black[:body]], minlength=total) / words / 16
     if len(starts):
-        nth = np.cumsum(edge) - 1
+        nth = np.cumsum(np.r_[edge, np.zeros(ahead, bool)]) - 1
         inside = (np.arange(len(data)) - starts[np.maximum(nth, 0)] + 1).astype(np.uint64)
-        code = np.add.reduceat(np.where(black, HASHES[data] * inside, np.uint64(0)), starts)
-        word_at, word_doc = where[starts], doc[starts]
-        words = np.bincount(word_at, minlength=total)
-        x[:, -1] = np.minimum(words, 100) / 100
-        words = words.clip(1)
-        x[:, -5] = np.bincount(where[black], minlength=total) / words / 16
+        own = np.add.reduceat(np.where(black, HASHES[data] * inside, np.uint64(0)), starts)
+        code, word_doc, k = np.r_[before, own], np.r_[np.zeros(len(before), np.int64), doc[starts]], len(before)
+        word_at = np.r_[np.zeros(k, np.int64), where[starts]]
         for lag in (1, 2, 3):
-            again = (code[lag:] == code[:-lag]) & (word_doc[lag:] == word_doc[:-lag])
+            again = (code[lag:] == code[:-lag]) & (word_doc[lag:] == word_doc[:-lag]) & (np.arange(lag, len(code)) >= k)
             x[:, -5 + lag] = np.bincount(word_at[lag:][again], minlength=total) / words
-    return x, owner
+        before = code[-3:]
+    return x, owner, before
+
+
+def parts(whole: bytes) -> Iterator[np.ndarray]:
+    """Features of a long text's passages, part by part; they are those of the whole text."""
+    step, before = max(1, AT_ONCE // PASSAGE) * PASSAGE, NO_CODES
+    for at in range(0, len(whole), step):
+        end = min(at + step, len(whole))
+        # the last word is read to its end
+        white = WHITE.search(whole, end) if TABLE[whole[end - 1]] > 1 else None
+        stop = end if TABLE[whole[end - 1]] <= 1 else white.start() if white else len(whole)
+        x, _, before = passages([whole[at:stop]], at > 0 and TABLE[whole[at - 1]] > 1, stop - end, before)
+        yield x
 
 
 def portions(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -92,16 +109,19 @@ def portions(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     raw, of, size = [], [], 0
     for i, text in enumerate(texts):
         whole = text.encode("utf-8", "surrogatepass")
-        for at in range(0, max(len(whole), 1), SLICE):
-            raw.append(whole[at: at + SLICE])
+        if raw and size + len(whole) > AT_ONCE:
+            x, owner, _ = passages(raw)
+            yield x, np.array(of)[owner]
+            raw, of, size = [], [], 0
+        if len(whole) > AT_ONCE:
+            for x in parts(whole):
+                yield x, np.full(len(x), i)
+        else:
+            raw.append(whole)
             of.append(i)
-            size += len(raw[-1])
-            if size >= AT_ONCE:
-                x, owner = passages(raw)
-                yield x, np.array(of)[owner]
-                raw, of, size = [], [], 0
+            size += len(whole)
     if raw:
-        x, owner = passages(raw)
+        x, owner, _ = passages(raw)
         yield x, np.array(of)[owner]
 
 
@@ -191,17 +211,16 @@ class Attention:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Attention:
-    """Train on at most LIMITS labelled documents and TRAINED passages of each, which workers encode. Without labels every score is one half."""
+    """Train on labelled documents, at most LIMITS of them and BYTES of text, with all their passages, which workers encode. Without labels every score is one half."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             bags = []
             for text in b.column(2).to_pylist():
-                x = np.concatenate([x for x, _ in portions([text])])
-                bags.append(x[np.linspace(0, len(x) - 1, min(len(x), TRAINED)).astype(int)].astype(np.float16).tobytes())
+                bags.append(np.concatenate([x for x, _ in portions([text])]).astype(np.float16).tobytes())
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "y": b.column(1), "x": pa.array(bags, pa.binary())})
 
-    sample = labelled_sample(docs, labels, "quality", LIMITS).select("doc_id", "y", "text")
+    sample = labelled_sample(docs, labels, "quality", LIMITS, BYTES).select("doc_id", "y", "text")
     told = sample.mapInArrow(encode, sample.select("doc_id", "y", F.lit(b"").alias("x")).schema).toArrow().sort_by("doc_id")
     y = told.column("y").to_numpy().astype(np.float32)
     bags = [np.frombuffer(x, np.float16).reshape(-1, WIDTH) for x in told.column("x").to_pylist()]

@@ -6,7 +6,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 
-from notewell.llm import quality, queries, toxicity
+from notewell.llm import learning, quality, queries, toxicity
 from notewell.llm.common import prepare
 from pyspark.sql import functions as F
 
@@ -26,34 +26,32 @@ def byte_class(b):
 
 
 def plain_passages(text):
-    """One feature list for each passage, byte by byte."""
+    """One feature list for each passage of the whole text, byte by byte."""
     n, out = quality.N, []
     raw = text.encode("utf-8")
-    for start in range(0, max(len(raw), 1), quality.SLICE):
-        part = raw[start: start + quality.SLICE]
-        kinds = [byte_class(b) for b in part]
-        words, at = [], 0
-        while at < len(part):
-            if kinds[at] > 1:
-                end = at
-                while end < len(part) and kinds[end] > 1:
-                    end += 1
-                words.append((at, part[at:end]))
-                at = end
-            else:
-                at += 1
-        for p in range(0, max(len(part), 1), quality.PASSAGE):
-            inside = kinds[p: p + quality.PASSAGE]
-            size = max(len(inside), 1)
-            single, pair = [0.0] * n, [0.0] * (n * n)
-            for k in inside:
-                single[k] += 1
-            for a, b in zip(inside, inside[1:]):
-                pair[a * n + b] += 1
-            mine = [i for i, (w, _) in enumerate(words) if p <= w < p + quality.PASSAGE]
-            count = max(len(mine), 1)
-            again = [sum(i >= lag and words[i][1] == words[i - lag][1] for i in mine) / count for lag in (1, 2, 3)]
-            out.append([math.sqrt(x / size) for x in single + pair] + [sum(k > 1 for k in inside) / count / 16, *again, min(len(mine), 100) / 100])
+    kinds = [byte_class(b) for b in raw]
+    words, at = [], 0
+    while at < len(raw):
+        if kinds[at] > 1:
+            end = at
+            while end < len(raw) and kinds[end] > 1:
+                end += 1
+            words.append((at, raw[at:end]))
+            at = end
+        else:
+            at += 1
+    for p in range(0, max(len(raw), 1), quality.PASSAGE):
+        inside = kinds[p: p + quality.PASSAGE]
+        size = max(len(inside), 1)
+        single, pair = [0.0] * n, [0.0] * (n * n)
+        for k in inside:
+            single[k] += 1
+        for a, b in zip(inside, inside[1:]):
+            pair[a * n + b] += 1
+        mine = [i for i, (w, _) in enumerate(words) if p <= w < p + quality.PASSAGE]
+        count = max(len(mine), 1)
+        again = [sum(i >= lag and words[i][1] == words[i - lag][1] for i in mine) / count for lag in (1, 2, 3)]
+        out.append([math.sqrt(x / size) for x in single + pair] + [sum(k > 1 for k in inside) / count / 16, *again, min(len(mine), 100) / 100])
     return out
 
 
@@ -67,10 +65,10 @@ def plain_score(model, text):
     return 1 / (1 + math.exp(-float(mixed / total @ p["c"] + p["b"][0])))
 
 
-@pytest.mark.parametrize("piece", [131_072, 1024])
+@pytest.mark.parametrize("piece", [1 << 20, 3000, 512])
 def test_passages_against_plain_loops(monkeypatch, piece):
-    monkeypatch.setattr(quality, "SLICE", piece)
-    monkeypatch.setattr(quality, "AT_ONCE", 3000)
+    """Features do not depend on how texts are cut for the memory's sake."""
+    monkeypatch.setattr(quality, "AT_ONCE", piece)
     want = [x for t in TEXTS for x in plain_passages(t)]
     x, owner = (np.concatenate(z) for z in zip(*quality.portions(TEXTS)))
     assert np.allclose(x, want, atol=1e-5)
@@ -85,6 +83,22 @@ def test_quality_query_against_plain_loops(spark):
         assert abs(got[r.doc_id] - plain_score(model, r.text or "")) < 1e-4
 
 
+def test_long_documents_are_learnt_from_to_their_end(spark):
+    """What tells good from poor stands behind the first 40,000 bytes only."""
+    filler = "plain words stand here. " * 1700
+    rows = [(i, filler + ("All is well, and the day was calm. " if i % 2 else "#$%& @@ ~~ ^^ == ++ ** ") * 30) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = quality.fit(docs, spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int"))
+    assert all((s >= 0.5) == (i % 2) for (i, _), s in zip(rows, model.score([t for _, t in rows])))
+
+
+def test_bytes_bound_the_sample_by_whole_documents(spark):
+    docs = spark.createDataFrame([(i, "w" * (100 if i else 5000)) for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(200)], "doc_id long, quality int")
+    told = learning.labelled_sample(docs, labels, "quality", {1: 1000, 0: 1000}, {1: 5000, 0: 5000}).collect()
+    assert len(told) == 50 and all(len(r.text) == 100 for r in told)
+
+
 def test_scores_do_not_depend_on_portions(monkeypatch):
     rng = np.random.default_rng(0)
     model = quality.Attention.train([rng.random((3, quality.WIDTH)).astype(np.float32) for _ in range(8)], np.arange(8) % 2, epochs=2)
