@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import compact
+from .common import compact, join_measured
 from .learning import held_out, labelled_sample, sigmoid
 
 # Words and phrases that vote for toxic wherever they stand.
@@ -34,8 +34,8 @@ LEXICON = (
 LIMITS = {1: 4000, 0: 12_000}
 #: Stems are word beginnings of these lengths; whole words count as well.
 STEMS = (4, 5, 6, 7, 8)
-#: A mined entry stands in so many different toxic documents and in such a share of them; at most so many are mined.
-LEAST, SHARE, MINED = 4, 0.01, 400
+#: A mined entry stands in so many different toxic documents and in such a share of them, which together with the bar on evidence bounds their number.
+LEAST, SHARE = 4, 0.01
 #: An entry or pattern that stands in clean training documents is so much likelier in toxic ones.
 LIFT = 8.0
 WORD = re.compile(r"[^\W\d_]+")
@@ -112,26 +112,28 @@ class LabelModel:
         return self.share * (yes - no), float(np.log(self.prior / (1 - self.prior)) + (self.share * no).sum())
 
     @classmethod
-    def fit(cls, v: np.ndarray, clean: int = CLEAN, rounds: int = 40) -> LabelModel:
-        """``v``: documents by voters, 0/1, of which the last ``clean`` voters are for clean. Labels play no part.
+    def fit(cls, v: np.ndarray, clean: int = CLEAN, rounds: int = 40, weights: np.ndarray | None = None) -> LabelModel:
+        """``v``: documents by voters, 0/1, of which the last ``clean`` voters are for clean; a document counts by its weight. Labels play no part.
 
         Starts from the majority of each document's votes. After each tenth round the correlations of the votes inside the classes
         are estimated; a voter among m that always vote together keeps 1/m of its evidence.
         """
-        n, m = v.shape
+        w = np.ones(len(v)) if weights is None else weights
+        n, m = w.sum(), v.shape[1]
         side = np.r_[np.ones(m - clean), np.full(clean, -1.0)]
         post, self = sigmoid(2 * (v @ side)), cls(np.full(m, 0.5), np.full(m, 0.5), 0.5, np.ones(m))
         for r in range(rounds):
-            self.prior = float(np.clip((post.sum() + 1) / (n + 2), 0.01, 0.99))
-            self.toxic = (post @ v + 0.02) / (post.sum() + 1)
-            self.clean = ((1 - post) @ v + 0.02) / ((1 - post).sum() + 1)
+            one, none = w * post, w * (1 - post)
+            self.prior = float(np.clip((one.sum() + 1) / (n + 2), 0.01, 0.99))
+            self.toxic = (one @ v + 0.02) / (one.sum() + 1)
+            self.clean = (none @ v + 0.02) / (none.sum() + 1)
             # a voter never speaks against the side that it votes for
             wrong = side * (self.toxic - self.clean) < 0
-            mean = (v.sum(0) + 0.02) / (n + 1)
+            mean = (w @ v + 0.02) / (n + 1)
             self.toxic, self.clean = np.where(wrong, mean, self.toxic).clip(1e-6, 1 - 1e-6), np.where(wrong, mean, self.clean).clip(1e-6, 1 - 1e-6)
             if r % 10 == 9:
                 rest = v - (post[:, None] * self.toxic + (1 - post[:, None]) * self.clean)
-                cov = rest.T @ rest / n
+                cov = rest.T @ (w[:, None] * rest) / n
                 sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
                 rho = np.clip(cov / sd[:, None] / sd, 0, 1)
                 self.share = 1 / np.where(rho > 0.3, rho, 0).sum(1).clip(1)
@@ -166,26 +168,27 @@ class Scorer:
 
 
 def mine(sample: DataFrame) -> list[str]:
-    """Stems and words that mark toxic documents of the sample, strongest first; at most MINED."""
+    """Stems and words that mark toxic documents of the sample (y, weight, text), strongest first; a document counts by its weight."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tallies = (Counter(), Counter())
         for b in batches:
-            for y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                tallies[y].update(features(text))
-        names = list(tallies[1])
-        yield pa.RecordBatch.from_pydict({
-            "entry": pa.array(names, pa.string()), "clean": pa.array([0] * len(names), pa.int64()), "toxic": pa.array([tallies[1][x] for x in names], pa.int64())})
-        names = list(tallies[0])
-        yield pa.RecordBatch.from_pydict({
-            "entry": pa.array(names, pa.string()), "clean": pa.array([tallies[0][x] for x in names], pa.int64()), "toxic": pa.array([0] * len(names), pa.int64())})
-
-    sizes = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
+            for y, weight, text in zip(*(c.to_pylist() for c in b.columns)):
+                tally = tallies[y]
+                for x in features(text):
+                    tally[x] += weight
+        for y in (1, 0):
+            names = list(tallies[y])
+            told, none = pa.array([tallies[y][x] for x in names], pa.float64()), pa.array(np.zeros(len(names)))
+            yield pa.RecordBatch.from_pydict({"entry": pa.array(names, pa.string()), "clean": none if y else told, "toxic": told if y else none})
+
+    sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.round(F.sum("weight"), 6).alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
         return []
-    tallies = sample.select("y", "text").mapInArrow(count, "entry string, clean long, toxic long").groupBy("entry").agg(
-        F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    # rounded, so that the order of summation does not matter
+    tallies = sample.select("y", "weight", "text").mapInArrow(count, "entry string, clean double, toxic double").groupBy("entry").agg(
+        F.round(F.sum("clean"), 6).alias("clean"), F.round(F.sum("toxic"), 6).alias("toxic"))
     share = F.lit(n1 / (n1 + n0))
     total = F.col("clean") + F.col("toxic")
     part = lambda k, p: F.when(k > 0, k * F.log(k / (total * p))).otherwise(0.0)
@@ -194,45 +197,46 @@ def mine(sample: DataFrame) -> list[str]:
     tallies = tallies.where(F.col("toxic") >= max(LEAST, SHARE * n1)).checkpoint()
     # evidence beyond what chance gives the best of so many entries
     bar = 2 * np.log(max(tallies.count(), 2))
-    best = tallies.where((lift >= LIFT) & (g >= bar)).orderBy(F.desc(g), "entry").limit(8 * MINED)
+    best = tallies.where((lift >= LIFT) & (g >= bar)).orderBy(F.desc(g), "entry")
     kept: list[str] = []
     for r in best.select("entry").collect():
         stem = r["entry"].rstrip()
         # of a stem and its extensions the one with the strongest statistic votes
         if not any(stem.startswith(k.rstrip()) or k.startswith(stem) for k in kept):
             kept.append(r["entry"])
-    return kept[:MINED]
+    return kept
 
 
-def trusted(v: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Which voters for toxic to keep: those that labelled documents do not belie by making them stand in clean ones nearly as often."""
-    n1, n0 = (y == 1).sum(), (y == 0).sum()
+def trusted(v: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Which voters for toxic to keep: those that labelled documents (of weights ``w``) do not belie by making them stand in clean ones nearly as often."""
+    n1, n0 = w[y == 1].sum(), w[y == 0].sum()
     if not n1 or not n0:
         return np.ones(v.shape[1], bool)
-    toxic, clean = v[y == 1].sum(0), v[y == 0].sum(0)
+    toxic, clean = w[y == 1] @ v[y == 1], w[y == 0] @ v[y == 0]
     return (clean == 0) | (toxic / n1 >= LIFT * clean / n0)
 
 
-def _votes(sample: DataFrame, entries: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Labels, and votes of the sample's documents: workers read the texts, and only the numbers of voters come back."""
+def _votes(sample: DataFrame, entries: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Labels, weights and votes of the sample's documents: workers read the texts, and only the numbers of voters come back."""
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = matcher(entries)
         for b in batches:
-            cast = [sorted(votes(t, automaton, entries)) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"y": b.column(0), "v": pa.array(cast, pa.list_(pa.int32()))})
+            cast = [sorted(votes(t, automaton, entries)) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_pydict({"y": b.column(0), "weight": b.column(1), "v": pa.array(cast, pa.list_(pa.int32()))})
 
-    told = sample.select("y", "text").mapInArrow(vote, "y int, v array<int>").toArrow()
+    told = sample.select("y", "weight", "text").mapInArrow(vote, "y int, weight double, v array<int>").toArrow()
     v = np.zeros((told.num_rows, len(entries) + len(PATTERNS)), np.float32)
     for i, cast in enumerate(told.column("v").to_pylist()):
         v[i, cast] = 1
-    return told.column("y").to_numpy(), v
+    return told.column("y").to_numpy(), told.column("weight").to_numpy(), v
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
     """Mine voters, fit the label model and train the classifier, on at most LIMITS labelled documents.
 
-    Near copies among these count once, as their common words would otherwise pass for signs.
+    All of them are learnt from; those of one label whose texts share their least shingle hash weigh one document together, as the words that near
+    copies have in common would otherwise pass for signs.
     Without labels the fixed lexicon votes with default rates.
     """
     sample = labelled_sample(docs, labels, "toxic", LIMITS)
@@ -244,38 +248,41 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
     # few partitions, so that the partial aggregation leaves few rows of a large group of copies
     sample = compact(sample.select("doc_id", "y", "text"), sum(LIMITS.values()), 2048)
     sketched = sample.mapInArrow(sketches, sample.select("doc_id", "y", "text", F.lit(0).cast("long").alias("sketch")).schema)
-    sample = sketched.groupBy("sketch", "y").agg(F.min_by("text", "doc_id").alias("text")).select("y", "text").checkpoint()
+    sketched = sketched.checkpoint()
+    groups = sketched.groupBy("sketch", "y").agg((1 / F.count("*")).alias("weight"))
+    sample = join_measured(sketched, groups.checkpoint(), ["sketch", "y"]).select("y", "weight", "text").checkpoint()
     entries = list(LEXICON)
     entries += [e for e in mine(sample) if not any(e.startswith(x) or x.startswith(e.rstrip()) for x in LEXICON)]
 
-    y, v = _votes(sample, entries)
-    good = trusted(v[:, : len(entries)], y)
+    y, w, v = _votes(sample, entries)
+    good = trusted(v[:, : len(entries)], y, w)
     if not good.all():
         # the patterns count entries, so all votes are cast anew
         entries = [e for e, keep in zip(entries, good) if keep]
-        y, v = _votes(sample, entries)
-    live = np.r_[trusted(v[:, :-CLEAN], y), np.ones(CLEAN, bool)]
-    v = v[np.lexsort(v.T)] * live
+        y, w, v = _votes(sample, entries)
+    live = np.r_[trusted(v[:, :-CLEAN], y, w), np.ones(CLEAN, bool)]
+    order = np.lexsort([w, *v.T])
+    v, w = v[order] * live, w[order]
     if not len(y) or y.min() == y.max():
         # without labels of both kinds: a toxic document for each entry, and as many clean ones
         made = np.zeros((2 * len(entries), v.shape[1]))
         made[: len(entries), : len(entries)] = np.eye(len(entries))
         made[len(entries):, -CLEAN:] = 1
-        v = np.r_[v, made]
-    model = LabelModel.fit(v)
+        v, w = np.r_[v, made], np.r_[w, np.ones(len(made))]
+    model = LabelModel.fit(v, weights=w)
     weight, base = model.evidence()
     scorer = Scorer(entries, live, np.zeros(v.shape[1] + 2), weight, base)
-    scorer.weight = _logistic(scorer.design(v), model.posterior(v))
+    scorer.weight = _logistic(scorer.design(v), model.posterior(v), w)
     return scorer
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 25) -> np.ndarray:
-    """Newton's method on soft labels; the constant is not shrunk."""
+def _logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray, ridge: float = 0.3, rounds: int = 25) -> np.ndarray:
+    """Newton's method on soft labels of weighted rows; the constant is not shrunk."""
     w, shrink = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
     shrink[-1] = 1e-6
     for _ in range(rounds):
         p = sigmoid(x @ w)
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(shrink), x.T @ (y - p) - shrink * w)
+        step = np.linalg.solve((x * (weights * (p * (1 - p) + 1e-6))[:, None]).T @ x + np.diag(shrink), x.T @ (weights * (y - p)) - shrink * w)
         w += np.clip(step, -3, 3)
         if np.abs(step).max() < 1e-4:
             break
