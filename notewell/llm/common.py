@@ -71,19 +71,19 @@ def with_position(df: DataFrame, order: list[Column], name: str = "position", ke
     )
 
 
-def join_hot(left: DataFrame, right: DataFrame, on: list[str], weight: str, n: int) -> DataFrame:
-    """Inner join with a ``right`` that has one row a key, whose ``weight`` says how many of the ``n`` rows of ``left`` have it.
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], weight: str, n: int, how: str = "inner") -> DataFrame:
+    """Inner or left join with a ``right`` that has one row a key, whose ``weight`` says how many of the ``n`` rows of ``left`` have it.
 
     Keys of more than a SPREADth of all rows (and of more than HOT rows) are fewer than SPREAD, so these are broadcast, and
     their rows stay where they are; the others shuffle, where no key is large. ``right`` should be a checkpoint.
     """
     if n <= BROADCAST_ROWS:
-        return left.join(F.broadcast(right.drop(weight)), on)
+        return left.join(F.broadcast(right.drop(weight)), on, how)
     bound = max(HOT, n // SPREAD)
     hot = right.where(F.col(weight) > bound).drop(weight)
     if hot.isEmpty():
-        return left.join(right.drop(weight), on)
-    cold = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(right.where(F.col(weight) <= bound).drop(weight), on)
+        return left.join(right.drop(weight), on, how)
+    cold = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(right.where(F.col(weight) <= bound).drop(weight), on, how)
     return left.join(F.broadcast(hot), on).unionByName(cold)
 
 

@@ -12,11 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import compact, join_measured, prepare
+from .common import BROADCAST_ROWS, compact, join_hot, join_measured, prepare
 
 MAGIC = "WARC/1.1\r\n"
 CRLF = "\r\n"
 GAP = CRLF + CRLF
+#: Bytes of one file, about.
+FILE_BYTES = 256 << 20
 #: The digits of base32 (RFC 4648).
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -38,8 +40,8 @@ def plan_records(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).cast("long").alias("bytes")).checkpoint()
 
 
-def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", per_file: int = 1024) -> None:
-    """Write a record per row of (page_id, url, html) to ``path``.
+def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", per_file: int | None = None) -> None:
+    """Write a record per row of (page_id, url, html) to ``path``, ``per_file`` of them or as many as have some FILE_BYTES.
 
     Of the rows with one payload (of ``min_bytes`` or more), that with the smallest page_id is
     the response and the others revisit it; a null id comes last. Rows that repeat that smallest id
@@ -51,12 +53,16 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "202
     small = plan_records(pages)
     again = (
         small.where(F.col("bytes") >= min_bytes).groupBy("digest", "bytes")
-        .agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL").drop("n").checkpoint()
+        .agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL").checkpoint()
     )
+    n, total = small.agg(F.count("*"), F.sum(F.col("bytes") + 512)).first()
+    per_file = per_file or max(1, n * FILE_BYTES // (total or 1))
     payload = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", payload.alias("payload"), F.sha1(payload.cast("binary")).alias("digest"),
                         F.octet_length(payload).cast("long").alias("bytes"))
-    rows = join_measured(rows, again, ["digest", "bytes"], "left")
+    few = again.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    # a payload of many pages stays where it is; the others may be shuffled
+    rows = rows.join(F.broadcast(again.drop("n")), ["digest", "bytes"], "left") if few else join_hot(rows, again, ["digest", "bytes"], "n", n, "left")
     revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
     url = F.regexp_replace(F.coalesce("url", F.lit("about:blank")), r"[\x00-\x20\x7f]", "%20")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("bytes"), F.lit(GAP))
@@ -159,15 +165,18 @@ def reachable(candidates: DataFrame) -> DataFrame:
 
 
 def resolve(records: DataFrame) -> DataFrame:
-    """One row per record with the figures of the full payload: a revisit has those of the response it refers to."""
+    """One row per record with the figures of the full payload: a revisit has those of the response whose id and digest it refers to.
+
+    Where responses repeat an id with other payloads, the digest tells which one is meant. A revisit without its response has no figures.
+    """
     records = records.withColumn("digest_read", base32_of_hex(F.col("sha1"))).checkpoint()
-    responses = records.where("kind = 'response' AND page_id <> ''").groupBy(F.col("page_id").alias("refers")).agg(
-        F.min(F.struct("bytes", "digest_read")).alias("full"))
     own = F.struct("bytes", "digest_read")
-    revisit = F.col("kind") == "revisit"
-    found = records.where(revisit).join(responses, "refers", "left")
+    revisits = records.where(F.col("kind") == "revisit")
+    responses = records.where("kind = 'response' AND page_id <> ''").groupBy(F.col("page_id").alias("refers"), "digest").agg(F.min(own).alias("full"))
+    wanted = revisits.groupBy("refers", "digest").agg(F.count("*").alias("n")).join(responses, ["refers", "digest"], "left").checkpoint()
+    found = join_hot(revisits, wanted, ["refers", "digest"], "n", revisits.count())
     rows = found.select("page_id", "kind", "refers", "full").unionByName(
-        records.where(~revisit).select("page_id", "kind", "refers", own.alias("full")))
+        records.where(F.col("kind") != "revisit").select("page_id", "kind", "refers", own.alias("full")))
     number = lambda c: F.expr(f"try_cast({c} AS BIGINT)")
     return rows.select(
         number("page_id").alias("page_id"), F.col("full.bytes").alias("payload_bytes"), F.col("full.digest_read").alias("payload_digest"),

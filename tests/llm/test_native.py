@@ -216,6 +216,17 @@ def test_warc_read_again_in_another_layout(spark):
     assert got == want
 
 
+def test_warc_ids_with_several_payloads(spark):
+    """A revisit means the payload of its digest, not any payload of the id that it refers to."""
+    data = [(1, "AAAA"), (1, "BBBBBB"), (2, "BBBBBB"), (3, "AAAA"), (3, "BBBBBB"), (1, "AAAA")]
+    pages = spark.createDataFrame([(i, "http://h/", t) for i, t in data], "page_id long, url string, html string")
+    path = scratch(spark, "warc")
+    warc.write_warc(pages, path)
+    digest = lambda t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
+    want = [(i, len(t), digest(t), "response" if i == 1 else "revisit", None if i == 1 else 1) for i, t in data]
+    assert rows(warc.resolve(warc.read_warc(spark, path))) == sorted(want, key=repr)
+
+
 def test_warc_small_payloads_and_empty(spark):
     pages = spark.createDataFrame([(1, "u", "aa"), (2, "u", "aa"), (3, "u", "bbbb"), (4, "u", "bbbb")], "page_id long, url string, html string")
     path = scratch(spark, "warc")
