@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,32 +42,25 @@ def _folds() -> tuple[str, str, str, dict[str, str]]:
 
 
 MARKED, PLAIN, MARKS, SEVERAL = _folds()
+#: Stands for the characters that become several; a text that holds it is only looked at once more.
+ONE_OF_SEVERAL = "\ufffe"
 
 
-def _around(characters: Iterable[str], gap: int = 16) -> str:
-    """A pattern of few ranges that hold all the characters, and others near them: quick to rule most texts out by."""
-    ranges: list[list[int]] = []
-    for code in sorted(map(ord, characters)):
-        if ranges and code - ranges[-1][1] <= gap:
-            ranges[-1][1] = code
-        else:
-            ranges.append([code, code])
-    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in ranges) + "]"
-
-
-NEAR_SEVERAL = _around(SEVERAL)
-
 def text_or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
 def strip_accents(text: Column) -> Column:
-    """Letters and digits without their marks, where ASCII ones remain; ligatures, fractions and the like in full."""
-    bare = F.translate(text, MARKED + MARKS, PLAIN)
+    """Letters and digits without their marks, where ASCII ones remain; ligatures, fractions and the like in full.
+
+    Texts of ASCII alone are passed through. Of the others one pass also tells whether any character becomes several.
+    """
+    bare = F.translate(text, MARKED + "".join(SEVERAL) + MARKS, PLAIN + ONE_OF_SEVERAL * len(SEVERAL))
     names = F.from_json(F.lit(json.dumps(SEVERAL)), "map<string,string>")
-    full = F.array_join(F.transform(F.split(bare, ""), lambda c: F.coalesce(names[c], c)), "")
-    some = text.rlike(NEAR_SEVERAL) & (F.length(F.translate(text, "".join(SEVERAL), "")) < F.length(text))
-    return F.when(some, full).otherwise(bare)
+    full = F.array_join(F.transform(F.split(F.translate(text, MARKED + MARKS, PLAIN), ""), lambda c: F.coalesce(names[c], c)), "")
+    # inside a function of one element, so that the text is translated once
+    told = F.transform(F.array(bare), lambda b: F.when(F.contains(b, F.lit(ONE_OF_SEVERAL)), full).otherwise(b))
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(told[0])
 
 
 def words(text: Column) -> Column:
