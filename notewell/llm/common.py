@@ -50,7 +50,7 @@ def join_measured(left: DataFrame, right: DataFrame, on, how: str = "inner", row
     return left.join(right, on, how)
 
 
-def with_position(df: DataFrame, order: list[Column], name: str = "position", keep: Callable[[DataFrame], DataFrame] = DataFrame.checkpoint) -> DataFrame:
+def with_position(df: DataFrame, order: list[Column], name: str = "position", keep: Callable[[DataFrame], DataFrame] = lambda df: df.checkpoint()) -> DataFrame:
     """Number all rows from 0 without gaps, in the order of ``order``.
 
     Rows are dealt by range and sorted inside partitions; only one count per partition
