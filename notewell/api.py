@@ -13,7 +13,8 @@ from .functions import text as T
 from .operators import incremental as I
 from .operators import links as L
 from .operators import retrieval as R
-from .sources.notes import context_block, write_table
+from .sources.notes import context_block
+from .sources.versions import write_table
 
 
 @dataclass

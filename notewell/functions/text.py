@@ -55,12 +55,18 @@ def strip_accents(text: Column) -> Column:
 
     Texts of ASCII alone are passed through. Of the others one pass also tells whether any character becomes several.
     """
-    bare = F.translate(text, MARKED + "".join(SEVERAL) + MARKS, PLAIN + ONE_OF_SEVERAL * len(SEVERAL))
     names = F.from_json(F.lit(json.dumps(SEVERAL)), "map<string,string>")
-    full = F.array_join(F.transform(F.split(F.translate(text, MARKED + MARKS, PLAIN), ""), lambda c: F.coalesce(names[c], c)), "")
-    # inside a function of one element, so that the text is translated once
-    told = F.transform(F.array(bare), lambda b: F.when(F.contains(b, F.lit(ONE_OF_SEVERAL)), full).otherwise(b))
-    return F.when(F.octet_length(text) == F.length(text), text).otherwise(told[0])
+
+    def in_full(t: Column) -> Column:
+        return F.array_join(F.transform(F.split(F.translate(t, MARKED + MARKS, PLAIN), ""), lambda c: F.coalesce(names[c], c)), "")
+
+    def folded(t: Column) -> Column:
+        bare = F.array(F.translate(t, MARKED + "".join(SEVERAL) + MARKS, PLAIN + ONE_OF_SEVERAL * len(SEVERAL)))
+        told = F.transform(bare, lambda b: F.when(F.contains(b, F.lit(ONE_OF_SEVERAL)), in_full(t)).otherwise(b))
+        return F.when(F.octet_length(t) == F.length(t), t).otherwise(told[0])
+
+    # functions over one element work each text out once, however it was made
+    return F.transform(F.array(text), folded)[0]
 
 
 def words(text: Column) -> Column:

@@ -144,11 +144,6 @@ def read_commits(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("sep", "\t").schema("sha string, day string, subject string").csv(path).where("sha IS NOT NULL")
 
 
-def write_table(df: DataFrame, path: str) -> None:
-    """One atomic overwrite of a Parquet table, instead of several files that must agree."""
-    df.write.mode("overwrite").parquet(path)
-
-
 def set_status(notes: DataFrame, statuses: DataFrame) -> DataFrame:
     """Statuses (path, status) written into notes, inserted where a note has none."""
     new = statuses.select("path", F.col("status").alias("_new"))
