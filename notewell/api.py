@@ -13,6 +13,7 @@ from .functions import text as T
 from .operators import incremental as I
 from .operators import links as L
 from .operators import retrieval as R
+from .operators.history import History
 from .sources.notes import context_block
 from .sources.versions import write_table
 
@@ -158,9 +159,10 @@ class Vault:
             settled = settled.select(F.regexp_extract("ticket_dir", r"^[^/]+/[^/]+/(.*)$", 1).alias("branch"))
             tips = tips.join(settled, "branch", "left_anti")
         marks = marks.limit(0) if ignore_marks else marks
-        reach, seen = I.reach_and_seen(tips, marks, edges)
-        since = I.effective_since(tips, marks, examined, reach, installed, today)
-        fresh = I.new_commits(reach, seen, commits, since)
+        history = History.of(edges, tips.select("origin", F.col("tip").alias("sha")))
+        reach, seen = I.reach_and_seen(history, tips, marks)
+        since = I.effective_since(tips, marks, examined, history, reach, installed, today)
+        fresh = I.new_commits(history, reach, seen, commits, since)
         last = fresh.groupBy("origin", "branch").agg(F.max("day").alias("_last")).withColumn("_run", F.lit(1))
         branches = I.cap_and_defer(last, ["_run"], [F.desc("_last"), F.col("branch"), F.col("origin")], F.lit(25))
         return fresh.join(branches.select("origin", "branch", "deferred"), ["origin", "branch"]).select("origin", "branch", "sha", "day", "deferred")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import durable
+from .history import History
 
 
 def snapshot_diff(before: DataFrame, after: DataFrame, key: str, signature: str) -> DataFrame:
@@ -37,13 +37,13 @@ def window_start(installed: Column, today: Column, days: int = 7) -> Column:
     return F.greatest(installed, F.date_sub(today, days))
 
 
-def effective_since(branches: DataFrame, marks: DataFrame, examined: DataFrame, reach: DataFrame, installed: Column, today: Column, days: int = 7) -> DataFrame:
+def effective_since(branches: DataFrame, marks: DataFrame, examined: DataFrame, history: History, reach: DataFrame, installed: Column, today: Column, days: int = 7) -> DataFrame:
     """(origin, branch, kind, sha, since, source): from where each branch's commits are new.
 
-    A mark counts if it is among the commits that the branch reaches (``reach``: origin, branch, sha). Otherwise, after a rebase or
+    A mark counts if it is among the commits that the branch reaches (``reach``: origin, branch, chain, upto). Otherwise, after a rebase or
     without a mark, the date of the origin's last complete examination counts, and without that the first run's window.
     """
-    alive = reach.join(marks.select("origin", "branch", "hwm"), ["origin", "branch"]).where("sha = hwm").select("origin", "branch", "hwm")
+    alive = history.holds(reach, marks.select("origin", "branch", F.col("hwm").alias("sha")), ["branch"]).where("held").select("origin", "branch", F.col("sha").alias("hwm"))
     both = branches.select("origin", "branch").join(alive, ["origin", "branch"], "left").join(examined.select("origin", "last_examined"), "origin", "left")
     by_mark, dated = F.col("hwm").isNotNull(), F.col("last_examined").isNotNull()
     start = window_start(installed, today, days)
@@ -53,22 +53,29 @@ def effective_since(branches: DataFrame, marks: DataFrame, examined: DataFrame,
         F.when(~by_mark, F.coalesce("last_examined", start)).alias("since"), F.when(by_mark, "mark").when(dated, "examined").otherwise(first).alias("source"))
 
 
-def new_commits(reach: DataFrame, seen: DataFrame, commits: DataFrame, since: DataFrame) -> DataFrame:
+def new_commits(history: History, reach: DataFrame, seen: DataFrame, commits: DataFrame, since: DataFrame, trunk: DataFrame | None = None) -> DataFrame:
     """(origin, branch, sha, day, source): what each branch reaches and has not been seen.
 
-    After a mark: what the mark does not reach (``seen``, like ``reach``: origin, branch, sha). By date: what is of that day or later. Identifiers
-    are compared for equality only, as their order says nothing. ``commits`` is (origin, sha, day).
+    After a mark: what the mark does not reach (``seen``, like ``reach``: origin, branch, chain, upto); only the new commits are written out. By date: what is of that day
+    or later, and not in ``trunk`` where one is given. Identifiers are compared for equality only, as their order says nothing. ``commits`` is (origin, sha, day).
     """
-    marked = since.where("kind = 'commit'").select("origin", "branch")
-    known = seen.join(marked, ["origin", "branch"], "left_semi")
-    fresh = reach.join(since.select("origin", "branch", "kind", "since", "source"), ["origin", "branch"]).join(known, ["origin", "branch", "sha"], "left_anti")
-    return fresh.join(commits.select("origin", "sha", "day"), ["origin", "sha"]).where("kind = 'commit' OR day >= since").select("origin", "branch", "sha", "day", "source")
-
-
-def reach_and_seen(tips: DataFrame, marks: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(origin, branch, sha) of what the branches' tips (origin, branch, tip) and what their marks (origin, branch, hwm) reach, in one walk."""
+    keys = ["origin", "branch"]
+    marked, dated = (since.where(f"kind = '{kind}'").select(*keys, "since", "source") for kind in ("commit", "date"))
+    of = lambda rows, which: rows.join(which.select(*keys), keys, "left_semi")
+    days = commits.select("origin", "sha", "day")
+    by_mark = history.beyond(of(reach, marked), of(seen, marked), ["branch"]).join(days, ["origin", "sha"]).join(marked, keys)
+    # the earliest window is one value
+    earliest = dated.agg(F.min("since")).first()[0]
+    recent = days.where(F.col("day") >= F.lit(earliest)) if earliest is not None else days.limit(0)
+    by_date = history.among(of(reach, dated), reach.limit(0) if trunk is None else of(trunk, dated), ["branch"], recent).join(dated, keys).where("day >= since")
+    rows = [x.select("origin", "branch", "sha", "day", "source") for x in (by_mark, by_date)]
+    return rows[0].union(rows[1])
+
+
+def reach_and_seen(history: History, tips: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(origin, branch, chain, upto) of what the branches' tips (origin, branch, tip) and what their marks (origin, branch, hwm) reach, in one walk."""
     starts = tips.select("origin", "branch", F.lit("tip").alias("of"), F.col("tip").alias("sha")).union(marks.select("origin", "branch", F.lit("mark"), "hwm"))
-    found = reachable_from(edges, starts, ["branch", "of"])
+    found = history.reach(starts, ["branch", "of"])
     return found.where("of = 'tip'").drop("of"), found.where("of = 'mark'").drop("of")
 
 
@@ -131,53 +138,6 @@ def branch_state(merged: Column, alive: Column, manual: Column) -> Column:
     return F.when(merged, "merged").when(alive, "open").when(manual, "manual").otherwise("gone")
 
 
-def reachable_from(edges: DataFrame, starts: DataFrame, group: list[str] = []) -> DataFrame:  # noqa: B006 (never changed)
-    """(origin, group..., sha) reachable from the starts, these included, over (origin, sha, parent) edges.
-
-    One parent of each commit makes a forest, whose ancestors are found by jumps that double, so a history's depth costs
-    its logarithm in rounds. The other parents are entered round by round, as deep as merges are nested.
-    """
-    edges = durable(edges.where("parent IS NOT NULL").select("origin", "sha", "parent").distinct())
-    main = durable(edges.groupBy("origin", "sha").agg(F.min("parent").alias("parent")))
-    side = durable(edges.join(main, ["origin", "sha", "parent"], "left_anti").select("origin", "sha", "parent"))
-    onward = lambda rows, jump: rows.join(jump.select("origin", F.col("sha").alias("parent"), F.col("parent").alias("far")), ["origin", "parent"]).select("origin", "sha", F.col("far").alias("parent"))
-    jumps = [main]
-    while not (ahead := durable(onward(jumps[-1], jumps[-1]))).isEmpty():
-        jumps.append(ahead)
-    # every length that four jumps make, in one table: a round then takes a quarter of the steps
-    strides = []
-    for at in range(0, len(jumps), 4):
-        reach = main.select("origin", "sha", F.col("sha").alias("parent"))
-        for k, jump in enumerate(jumps[at: at + 4]):
-            reach = reach.union(onward(reach, jump))
-            reach = durable(reach) if k % 2 else reach
-        strides.append(durable(reach.where("sha <> parent")))
-    keys = ["origin", *group, "sha"]
-
-    def up(rows: DataFrame, by: DataFrame) -> DataFrame:
-        return rows.join(by, ["origin", "sha"]).select("origin", *group, F.col("parent").alias("sha"))
-
-    front, seen = durable(starts.select(*keys).distinct()), None
-    while not front.isEmpty():
-        reached = front
-        for k, stride in enumerate(strides):
-            reached = reached.union(up(reached, stride)).distinct()
-            # two strides make one plan; more of them would repeat its beginning too often
-            reached = durable(reached) if k % 2 or stride is strides[-1] else reached
-        fresh = reached if seen is None else reached.join(seen, keys, "left_anti")
-        entered = up(fresh, side).distinct()
-        seen = fresh if seen is None else durable(seen.union(fresh))
-        front = durable(entered.join(seen, keys, "left_anti"))
-    return front if seen is None else seen
-
-
-def is_ancestor(pairs: DataFrame, edges: DataFrame) -> DataFrame:
-    """(origin, old, tip, ancestor) of (origin, old, tip): does the tip reach the old commit?"""
-    reach = reachable_from(edges, pairs.select("origin", "tip", F.col("tip").alias("sha")), ["tip"]).withColumn("_met", F.lit(True))
-    met = pairs.select("origin", "old", "tip").join(reach.withColumnRenamed("sha", "old"), ["origin", "tip", "old"], "left")
-    return met.select("origin", "old", "tip", F.col("_met").isNotNull().alias("ancestor"))
-
-
 def prefer_ref(refs: DataFrame) -> DataFrame:
     """(origin, branch, ref) of (origin, ref) rows: of a branch's refs that of the remote (``origin/<branch>``), else the local one."""
     remote = F.col("ref").startswith("origin/")

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from . import incremental as I
+from .history import History
 from .retrieval import meet
 
 # Statuses of tickets that still take captures, and of those that do not.
@@ -74,15 +75,15 @@ def nothing_new(counts: Column, kind: Column) -> Column:
     return F.coalesce(none & ((kind == "finalize") | (counts["confirms"] > 0)), F.lit(False))
 
 
-def landed(reach: DataFrame, seen: DataFrame, bases: DataFrame, since: DataFrame, commits: DataFrame, edges: DataFrame) -> DataFrame:
+def landed(history: History, reach: DataFrame, seen: DataFrame, bases: DataFrame, since: DataFrame, commits: DataFrame) -> DataFrame:
     """(origin, branch, sha, day) of merged branches that are still to be captured; ``reach`` and ``seen`` as for ``new_commits``.
 
     After the branch's mark where it has one. Else what its tip reaches and the merge's first parent (``bases``: origin, branch, sha, where
     there was a merge commit) does not, from the window's day on.
     """
     dated = since.where("kind = 'date'").select("origin", "branch")
-    trunk = I.reachable_from(edges, bases.join(dated, ["origin", "branch"], "left_semi").select("origin", "branch", "sha"), ["branch"])
-    return I.new_commits(reach.join(trunk, ["origin", "branch", "sha"], "left_anti"), seen, commits, since).drop("source")
+    trunk = history.reach(bases.join(dated, ["origin", "branch"], "left_semi").select("origin", "branch", "sha"), ["branch"])
+    return I.new_commits(history, reach, seen, commits, since, trunk).drop("source")
 
 
 def nearest_index(notes: DataFrame, indexes: DataFrame, levels: int = 3) -> DataFrame:

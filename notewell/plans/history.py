@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..operators import incremental as I
 from ..operators import tickets as K
+from ..operators.history import History, is_ancestor
 from ..session import durable
 from .common import Catalogue, table
 
@@ -39,7 +40,8 @@ def merged_tips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(origin, sha, parent): to the commit before, and to what was merged."""
-    return orders(spark, sf_dir).where("parent IS NOT NULL").select("origin", "sha", "parent").union(merged_tips(spark, sf_dir))
+    own = orders(spark, sf_dir).where("parent IS NOT NULL").select("origin", "sha", "parent", F.lit(0).alias("nth"))
+    return own.union(merged_tips(spark, sf_dir).withColumn("nth", F.lit(1)))
 
 
 def tips(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,12 +60,13 @@ def examined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").where("n_nationkey % 3 = 0").select(F.col("n_nationkey").alias("origin"), F.lit("1999-03-01").cast("date").alias("last_examined"))
 
 
-def everything(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """What each branch reaches, what its mark reaches, from where it is new, and the edges."""
-    graph, ends, left = durable(edges(spark, sf_dir)), durable(tips(spark, sf_dir)), durable(marks(spark, sf_dir))
-    reach, seen = I.reach_and_seen(ends, left, graph)
+def everything(spark: SparkSession, sf_dir: str) -> tuple[History, DataFrame, DataFrame, DataFrame]:
+    """The history, what each branch reaches, what its mark reaches, and from where it is new."""
+    ends, left = durable(tips(spark, sf_dir)), durable(marks(spark, sf_dir))
+    history = History.of(edges(spark, sf_dir), ends.select("origin", F.col("tip").alias("sha")))
+    reach, seen = I.reach_and_seen(history, ends, left)
     day = lambda d: F.lit(d).cast("date")
-    return reach, seen, I.effective_since(ends, left, examined(spark, sf_dir), reach, day(INSTALLED), day(TODAY)), graph
+    return history, reach, seen, I.effective_since(ends, left, examined(spark, sf_dir), history, reach, day(INSTALLED), day(TODAY))
 
 
 GRAPH = f"""
@@ -94,35 +97,36 @@ fresh AS (
 @add(f"WITH RECURSIVE {GRAPH} SELECT branch, count(*)::BIGINT AS commits, min(sha) AS first_sha FROM reach GROUP BY branch")
 def commit_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many commits each branch reaches, merged ones too."""
-    ends = tips(spark, sf_dir).select("origin", "branch", F.col("tip").alias("sha"))
-    return I.reachable_from(edges(spark, sf_dir), ends, ["branch"]).groupBy("branch").agg(F.count("*").alias("commits"), F.min("sha").alias("first_sha"))
+    ends = durable(tips(spark, sf_dir).select("origin", "branch", F.col("tip").alias("sha")))
+    history = History.of(edges(spark, sf_dir), ends)
+    return history.summary(history.reach(ends, ["branch"]), ["branch"]).select("branch", "commits", "first_sha")
 
 
 @add(f"""WITH RECURSIVE {GRAPH} SELECT m.branch, m.hwm AS old, EXISTS (SELECT 1 FROM reach WHERE reach.branch = m.branch AND reach.sha = m.hwm) AS ancestor FROM m""")
 def ancestor_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Is each branch's mark still an ancestor of its tip?"""
     pairs = marks(spark, sf_dir).join(tips(spark, sf_dir).select("branch", "tip"), "branch").select("origin", "branch", F.col("hwm").alias("old"), "tip")
-    return I.is_ancestor(pairs, edges(spark, sf_dir)).join(pairs.select("branch", "tip"), "tip").select("branch", "old", "ancestor")
+    return is_ancestor(pairs, edges(spark, sf_dir)).join(pairs.select("branch", "tip"), "tip").select("branch", "old", "ancestor")
 
 
 @add(f"WITH RECURSIVE {GRAPH} SELECT branch, kind, sha, strftime(since, '%Y-%m-%d') AS since, source FROM since")
 def effective_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From where each branch's commits are new: its mark, the origin's examination, or the first run's window."""
-    return everything(spark, sf_dir)[2].select("branch", "kind", "sha", DAY("since").alias("since"), "source")
+    return everything(spark, sf_dir)[3].select("branch", "kind", "sha", DAY("since").alias("since"), "source")
 
 
 @add(f"WITH RECURSIVE {GRAPH} SELECT branch, sha, strftime(day, '%Y-%m-%d') AS day, source FROM fresh")
 def hwm_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each branch reaches and has not been seen."""
-    reach, seen, since, _ = everything(spark, sf_dir)
-    return I.new_commits(reach, seen, orders(spark, sf_dir), since).select("branch", "sha", DAY("day").alias("day"), "source")
+    history, reach, seen, since = everything(spark, sf_dir)
+    return I.new_commits(history, reach, seen, orders(spark, sf_dir), since).select("branch", "sha", DAY("day").alias("day"), "source")
 
 
 @add(f"WITH RECURSIVE {GRAPH} SELECT branch, sha, strftime(day, '%Y-%m-%d') AS day FROM fresh WHERE source = 'mark' AND day < DATE '{CUTOFF}' - 7")
 def late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New commits by mark that are older than any date window would have let through: merged late, written long before."""
-    reach, seen, since, _ = everything(spark, sf_dir)
-    fresh = I.new_commits(reach, seen, orders(spark, sf_dir), since)
+    history, reach, seen, since = everything(spark, sf_dir)
+    fresh = I.new_commits(history, reach, seen, orders(spark, sf_dir), since)
     return fresh.where((F.col("source") == "mark") & (F.col("day") < F.date_sub(F.lit(CUTOFF).cast("date"), 7))).select("branch", "sha", DAY("day").alias("day"))
 
 
@@ -137,9 +141,9 @@ trunk AS (SELECT b.branch, b.sha FROM base b JOIN since s USING (branch) WHERE s
 SELECT branch, sha, strftime(day, '%Y-%m-%d') AS day FROM fresh f WHERE NOT EXISTS (SELECT 1 FROM trunk t WHERE t.branch = f.branch AND t.sha = f.sha)""")
 def landed_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What merged branches still have to give: after their mark, else beyond the merge's first parent and inside the window."""
-    reach, seen, since, graph = everything(spark, sf_dir)
+    history, reach, seen, since = everything(spark, sf_dir)
     bases = orders(spark, sf_dir).where("nth = 2 AND branch % 2 = 0").select("origin", "branch", "sha")
-    return K.landed(reach, seen, bases, since, orders(spark, sf_dir), graph).select("branch", "sha", DAY("day").alias("day"))
+    return K.landed(history, reach, seen, bases, since, orders(spark, sf_dir)).select("branch", "sha", DAY("day").alias("day"))
 
 
 @add(f"WITH RECURSIVE {GRAPH} SELECT branch, tip AS sha FROM tip WHERE tip IN (SELECT parent FROM mt)")

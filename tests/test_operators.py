@@ -8,6 +8,7 @@ import random
 from pyspark.sql import functions as F
 
 from notewell.operators import incremental as I
+from notewell.operators.history import History, is_ancestor, reachable_from
 from notewell.operators import links as L
 from notewell.operators import retrieval as R
 from notewell.operators import sessions as S
@@ -116,11 +117,11 @@ def test_merges_and_reachability(spark):
     assert [r[0] for r in flags.select(I.merge_method(F.col("a"), F.col("b"), F.col("c"))).collect()] == ["ancestor", "cherry", "patchid", "none"]
     assert [r[0] for r in flags.select(I.branch_state(F.col("a"), F.col("b"), F.col("c"))).collect()] == ["merged", "open", "manual", "gone"]
     edges = spark.createDataFrame([("o", str(i), str(i - 1)) for i in range(1, 90)] + [("o", "88", "200"), ("o", "200", "3"), ("o", "200", "300"), ("p", "3", "99"), ("o", "5", None)], "origin string, sha string, parent string")
-    got = I.reachable_from(edges, spark.createDataFrame([("o", "88")], "origin string, sha string"))
+    got = reachable_from(edges, spark.createDataFrame([("o", "88")], "origin string, sha string"))
     assert {r.sha for r in got.collect()} == {*map(str, range(89)), "200", "300"} and got.count() == 91
     pairs = spark.createDataFrame([("o", "3", "88"), ("o", "89", "88"), ("o", "300", "88"), ("o", "88", "88"), ("o", "99", "88")], "origin string, old string, tip string")
-    assert {r.old: r.ancestor for r in I.is_ancestor(pairs, edges).collect()} == {"3": True, "89": False, "300": True, "88": True, "99": False}
-    assert I.reachable_from(edges, pairs.limit(0).select("origin", F.col("tip").alias("sha"))).count() == 0
+    assert {r.old: r.ancestor for r in is_ancestor(pairs, edges).collect()} == {"3": True, "89": False, "300": True, "88": True, "99": False}
+    assert reachable_from(edges, pairs.limit(0).select("origin", F.col("tip").alias("sha"))).count() == 0
 
 
 def test_marks_and_windows(spark):
@@ -131,10 +132,11 @@ def test_marks_and_windows(spark):
     tips = spark.createDataFrame([("o", "a", "1"), ("o", "b", "b2"), ("q", "c", "c2")], "origin string, branch string, tip string")
     marks = spark.createDataFrame([("o", "a", "0"), ("o", "b", "zz")], "origin string, branch string, hwm string")
     examined = spark.createDataFrame([("o", day(8))], "origin string, last_examined date")
-    reach, seen = I.reach_and_seen(tips, marks, edges)
-    since = I.effective_since(tips, marks, examined, reach, F.lit(day(4)), F.lit(day(20)))
+    history = History.of(edges, tips.select("origin", F.col("tip").alias("sha")))
+    reach, seen = I.reach_and_seen(history, tips, marks)
+    since = I.effective_since(tips, marks, examined, history, reach, F.lit(day(4)), F.lit(day(20)))
     assert rows(since.select("branch", "kind", "sha", "since", "source")) == [("a", "commit", "0", None, "mark"), ("b", "date", None, day(8), "examined"), ("c", "date", None, day(13), "capped")]
-    assert rows(I.new_commits(reach, seen, commits, since).select("branch", "sha")) == [("a", "1"), ("a", "e"), ("b", "b2"), ("c", "c2")]
+    assert rows(I.new_commits(history, reach, seen, commits, since).select("branch", "sha")) == [("a", "1"), ("a", "e"), ("b", "b2"), ("c", "c2")]
     days = tips.join(commits.withColumnRenamed("sha", "tip"), ["origin", "tip"])
     assert rows(I.skippable(days, marks.union(spark.createDataFrame([("q", "c", "c2")], marks.schema)), examined).select("branch", "skip")) == [("a", True), ("b", False), ("c", True)]
 

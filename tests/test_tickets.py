@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from notewell.functions import text as T
 from notewell.operators import incremental as I
 from notewell.operators import tickets as K
+from notewell.operators.history import History
 
 
 def rows(df):
@@ -48,8 +49,9 @@ def test_folders_and_merges(spark):
     merged = spark.createDataFrame([("o", "x", "x2"), ("o", "y", "y2")], "origin string, branch string, tip string")
     bases = spark.createDataFrame([("o", "x", "m1")], "origin string, branch string, sha string")
     since = spark.createDataFrame([("o", "x", "date", None, day(1), "examined"), ("o", "y", "commit", "y1", None, "mark")], "origin string, branch string, kind string, sha string, since date, source string")
-    reach, seen = I.reach_and_seen(merged, since.where("sha IS NOT NULL").select("origin", "branch", F.col("sha").alias("hwm")), edges)
-    assert rows(K.landed(reach, seen, bases, since, commits, edges).select("branch", "sha")) == [("x", "x1"), ("x", "x2"), ("y", "y2")]
+    history = History.of(edges)
+    reach, seen = I.reach_and_seen(history, merged, since.where("sha IS NOT NULL").select("origin", "branch", F.col("sha").alias("hwm")))
+    assert rows(K.landed(history, reach, seen, bases, since, commits).select("branch", "sha")) == [("x", "x1"), ("x", "x2"), ("y", "y2")]
     notes = spark.createDataFrame([("w/p/feat/1/Learnings/a.md",), ("w/p/Learnings/b.md",), ("w/p/t/Learnings/sub/c.md",)], "path string")
     indexes = spark.createDataFrame([("w/p/feat/1/_index.md",), ("w/p/t/_index.md",)], "path string")
     assert rows(K.nearest_index(notes, indexes)) == [("w/p/Learnings/b.md", None), ("w/p/feat/1/Learnings/a.md", "w/p/feat/1/_index.md"), ("w/p/t/Learnings/sub/c.md", "w/p/t/_index.md")]
