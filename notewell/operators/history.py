@@ -6,30 +6,38 @@ chains are walked. Sets of commits are written out only where they are asked for
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import durable
+from ..session import durable, ship
 
-#: Places of a chain that are looked through at once.
-BLOCK = 4096
+#: Places of a chain that are looked through at once; and edges between chains, narrow rows, up to which every task holds them.
+BLOCK, HELD = 4096, 200_000
 
 
 def place(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(origin, sha, chain, pos) of commits (origin, sha) on the paths that (origin, sha, parent) links make; a chain is named by its root.
 
-    Jumps double. What still moves in a round is equally far from where it jumps to, so no two rows of a path meet the same row.
+    Jumps get three times as long with each round. What still moves is equally far from where it jumps to, so no two rows of a path meet the same row.
     """
     known = nodes.join(links, ["origin", "sha"], "left").select(
         "origin", "sha", F.coalesce("parent", "sha").alias("to"), F.col("parent").isNotNull().cast("long").alias("pos"), F.col("parent").isNull().alias("last"))
     known = durable(known)
+
+    def jumped(rows: DataFrame, by: DataFrame) -> DataFrame:
+        ahead = by.select("origin", F.col("sha").alias("to"), F.col("to").alias("_to"), F.col("pos").alias("_pos"), F.col("last").alias("_last"))
+        moved = rows.where("NOT last").join(ahead, ["origin", "to"]).select("origin", "sha", F.col("_to").alias("to"), (F.col("pos") + F.col("_pos")).alias("pos"), F.col("_last").alias("last"))
+        return rows.where("last").union(moved)
+
     while True:
-        ahead = known.select("origin", F.col("sha").alias("to"), F.col("to").alias("_to"), F.col("pos").alias("_pos"), F.col("last").alias("_last"))
-        moved = known.where("NOT last").join(ahead, ["origin", "to"]).select("origin", "sha", F.col("_to").alias("to"), (F.col("pos") + F.col("_pos")).alias("pos"), F.col("_last").alias("last"))
-        known = durable(known.where("last").union(moved))
+        # two steps over what one round has written make three times its length
+        known = durable(jumped(jumped(known, known), known))
         if known.where("NOT last").isEmpty():
             return known.select("origin", "sha", F.col("to").alias("chain"), "pos")
 
@@ -56,15 +64,53 @@ class History:
         crossing = crossing.join(there, ["origin", "parent"]).groupBy("origin", "chain", "pos", "to_chain").agg(F.max("to_pos").alias("to_pos"))
         return cls(placed, durable(crossing))
 
-    def reach(self, starts: DataFrame, group: list[str]) -> DataFrame:
+    def reach(self, starts: DataFrame, group: list[str], held: int = HELD) -> DataFrame:
         """(origin, group..., chain, upto): the highest place on each chain that the starts (origin, group..., sha) reach, these included.
 
-        A round follows the edges that leave what the round before has covered anew, so there are as many rounds as chains are changed on the way. A start that is
-        no known commit reaches nothing.
+        Where the edges between chains are no more than ``held``, every task has them and follows each group's to the end. Beyond that a round joins the edges that leave
+        what the round before has covered anew, so there are as many rounds as chains are changed on the way. A start that is no known commit reaches nothing.
         """
         keys = ["origin", *group, "chain"]
-        front = starts.join(self.commits, ["origin", "sha"]).groupBy(*keys).agg(F.max("pos").alias("upto")).withColumn("low", F.lit(-1).cast("long"))
-        front = durable(front)
+        front = starts.join(self.commits, ["origin", "sha"]).groupBy(*keys).agg(F.max("pos").alias("upto"))
+        if self.crossing.limit(held + 1).count() <= held:
+            return durable(self._followed(front, group))
+        return self._joined(durable(front.withColumn("low", F.lit(-1).cast("long"))), group)
+
+    def _followed(self, front: DataFrame, group: list[str]) -> DataFrame:
+        """The edges of a chain, sorted by place, are a list in every task. What is still to be covered of a chain is taken highest place first."""
+        ship(front.sparkSession)
+        edges: dict[tuple, tuple[list, list]] = {}
+        for r in self.crossing.orderBy("origin", "chain", "pos").toLocalIterator():
+            places, ends = edges.setdefault((r["origin"], r["chain"]), ([], []))
+            places.append(r["pos"])
+            ends.append((r["to_chain"], r["to_pos"]))
+        told = front.sparkSession.sparkContext.broadcast(edges)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            leaving = told.value
+            for b in batches:
+                of, chains, uptos = [], [], []
+                for i, (origin, starts) in enumerate(zip(b.column("origin").to_pylist(), b.column("starts").to_pylist())):
+                    upto, todo = {}, [(s["chain"], s["upto"]) for s in starts]
+                    while todo:
+                        chain, top = todo.pop()
+                        low = upto.get(chain, -1)
+                        if top <= low:
+                            continue
+                        upto[chain] = top
+                        places, ends = leaving.get((origin, chain), ((), ()))
+                        todo.extend(ends[bisect_right(places, low): bisect_right(places, top)])
+                    of += [i] * len(upto)
+                    chains += upto
+                    uptos += upto.values()
+                rows = b.select(["origin", *group]).take(pa.array(of, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(chains, pa.string()), pa.array(uptos, pa.int64())], ["origin", *group, "chain", "upto"])
+
+        starts = front.groupBy("origin", *group).agg(F.collect_list(F.struct("chain", "upto")).alias("starts"))
+        return starts.mapInArrow(run, front.schema)
+
+    def _joined(self, front: DataFrame, group: list[str]) -> DataFrame:
+        keys = ["origin", *group, "chain"]
         seen = front.drop("low")
         edges = self.crossing.withColumnRenamed("chain", "_chain").withColumnRenamed("origin", "_origin")
         while True:

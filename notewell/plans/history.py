@@ -29,28 +29,27 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.to_date("o_orderdate").alias("day"), F.col("o_orderdate").alias("ts"), (F.col("o_orderpriority") == "1-URGENT").alias("urgent"))
 
 
-def merged_tips(spark: SparkSession, sf_dir: str) -> DataFrame:
+def merged_tips(rows: DataFrame) -> DataFrame:
     """(origin, sha, parent): every fourth commit of a branch, if urgent, merges the last earlier one of its origin's next branch."""
-    rows = orders(spark, sf_dir)
     after = rows.select("origin", "branch").distinct().withColumn("other", F.lead("branch").over(Window.partitionBy("origin").orderBy("branch"))).where("other IS NOT NULL")
     merges = rows.where("urgent AND nth % 4 = 0").join(after, ["origin", "branch"]).select("origin", "sha", "ts", "other")
     theirs = rows.select("origin", F.col("branch").alias("other"), F.col("ts").alias("their_ts"), F.col("nth").alias("their_nth"), F.col("sha").alias("theirs"))
     return merges.join(theirs, ["origin", "other"]).where("their_ts < ts").groupBy("origin", "sha").agg(F.max_by("theirs", "their_nth").alias("parent"))
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(origin, sha, parent): to the commit before, and to what was merged."""
-    own = orders(spark, sf_dir).where("parent IS NOT NULL").select("origin", "sha", "parent", F.lit(0).alias("nth"))
-    return own.union(merged_tips(spark, sf_dir).withColumn("nth", F.lit(1)))
+def edges(rows: DataFrame) -> DataFrame:
+    """(origin, sha, parent, nth): to the commit before, and to what was merged."""
+    own = rows.where("parent IS NOT NULL").select("origin", "sha", "parent", F.lit(0).alias("nth"))
+    return own.union(merged_tips(rows).withColumn("nth", F.lit(1)))
 
 
-def tips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orders(spark, sf_dir).groupBy("origin", "branch").agg(F.max_by("sha", "nth").alias("tip"), F.max("day").alias("day"))
+def tips(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("origin", "branch").agg(F.max_by("sha", "nth").alias("tip"), F.max("day").alias("day"))
 
 
-def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def marks(rows: DataFrame) -> DataFrame:
     """What a run at the cutoff left behind; a fifth of the branches were rewritten since, so their marks are gone."""
-    last = I.advance(orders(spark, sf_dir).where(F.col("ts") < F.lit(CUTOFF).cast("timestamp_ntz")), ["origin", "branch"], F.col("nth"), "sha")
+    last = I.advance(rows.where(F.col("ts") < F.lit(CUTOFF).cast("timestamp_ntz")), ["origin", "branch"], F.col("nth"), "sha")
     lost = F.sha1(F.concat(F.lit("lost"), F.col("branch").cast("string")))
     return last.withColumn("hwm", F.when(F.col("branch") % 5 == 0, lost).otherwise(F.col("hwm")))
 
@@ -60,13 +59,14 @@ def examined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").where("n_nationkey % 3 = 0").select(F.col("n_nationkey").alias("origin"), F.lit("1999-03-01").cast("date").alias("last_examined"))
 
 
-def everything(spark: SparkSession, sf_dir: str) -> tuple[History, DataFrame, DataFrame, DataFrame]:
-    """The history, what each branch reaches, what its mark reaches, and from where it is new."""
-    ends, left = durable(tips(spark, sf_dir)), durable(marks(spark, sf_dir))
-    history = History.of(edges(spark, sf_dir), ends.select("origin", F.col("tip").alias("sha")))
+def everything(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, History, DataFrame, DataFrame, DataFrame]:
+    """The commits, their history, what each branch reaches, what its mark reaches, and from where it is new."""
+    rows = durable(orders(spark, sf_dir))
+    ends, left = durable(tips(rows)), durable(marks(rows))
+    history = History.of(edges(rows), ends.select("origin", F.col("tip").alias("sha")))
     reach, seen = I.reach_and_seen(history, ends, left)
     day = lambda d: F.lit(d).cast("date")
-    return history, reach, seen, I.effective_since(ends, left, examined(spark, sf_dir), history, reach, day(INSTALLED), day(TODAY))
+    return rows, history, reach, seen, I.effective_since(ends, left, examined(spark, sf_dir), history, reach, day(INSTALLED), day(TODAY))
 
 
 GRAPH = f"""
@@ -97,43 +97,46 @@ fresh AS (
 @add(f"WITH RECURSIVE {GRAPH} SELECT branch, count(*)::BIGINT AS commits, min(sha) AS first_sha FROM reach GROUP BY branch")
 def commit_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many commits each branch reaches, merged ones too."""
-    ends = durable(tips(spark, sf_dir).select("origin", "branch", F.col("tip").alias("sha")))
-    history = History.of(edges(spark, sf_dir), ends)
+    rows = durable(orders(spark, sf_dir))
+    ends = durable(tips(rows).select("origin", "branch", F.col("tip").alias("sha")))
+    history = History.of(edges(rows), ends)
     return history.summary(history.reach(ends, ["branch"]), ["branch"]).select("branch", "commits", "first_sha")
 
 
 @add(f"""WITH RECURSIVE {GRAPH} SELECT m.branch, m.hwm AS old, EXISTS (SELECT 1 FROM reach WHERE reach.branch = m.branch AND reach.sha = m.hwm) AS ancestor FROM m""")
 def ancestor_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Is each branch's mark still an ancestor of its tip?"""
-    pairs = marks(spark, sf_dir).join(tips(spark, sf_dir).select("branch", "tip"), "branch").select("origin", "branch", F.col("hwm").alias("old"), "tip")
-    return is_ancestor(pairs, edges(spark, sf_dir)).join(pairs.select("branch", "tip"), "tip").select("branch", "old", "ancestor")
+    rows = durable(orders(spark, sf_dir))
+    pairs = durable(marks(rows).join(tips(rows).select("branch", "tip"), "branch").select("origin", "branch", F.col("hwm").alias("old"), "tip"))
+    return is_ancestor(pairs, edges(rows)).join(pairs.select("branch", "tip"), "tip").select("branch", "old", "ancestor")
 
 
 @add(f"WITH RECURSIVE {GRAPH} SELECT branch, kind, sha, strftime(since, '%Y-%m-%d') AS since, source FROM since")
 def effective_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From where each branch's commits are new: its mark, the origin's examination, or the first run's window."""
-    return everything(spark, sf_dir)[3].select("branch", "kind", "sha", DAY("since").alias("since"), "source")
+    return everything(spark, sf_dir)[4].select("branch", "kind", "sha", DAY("since").alias("since"), "source")
 
 
 @add(f"WITH RECURSIVE {GRAPH} SELECT branch, sha, strftime(day, '%Y-%m-%d') AS day, source FROM fresh")
 def hwm_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each branch reaches and has not been seen."""
-    history, reach, seen, since = everything(spark, sf_dir)
-    return I.new_commits(history, reach, seen, orders(spark, sf_dir), since).select("branch", "sha", DAY("day").alias("day"), "source")
+    rows, history, reach, seen, since = everything(spark, sf_dir)
+    return I.new_commits(history, reach, seen, rows, since).select("branch", "sha", DAY("day").alias("day"), "source")
 
 
 @add(f"WITH RECURSIVE {GRAPH} SELECT branch, sha, strftime(day, '%Y-%m-%d') AS day FROM fresh WHERE source = 'mark' AND day < DATE '{CUTOFF}' - 7")
 def late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New commits by mark that are older than any date window would have let through: merged late, written long before."""
-    history, reach, seen, since = everything(spark, sf_dir)
-    fresh = I.new_commits(history, reach, seen, orders(spark, sf_dir), since)
+    rows, history, reach, seen, since = everything(spark, sf_dir)
+    fresh = I.new_commits(history, reach, seen, rows, since)
     return fresh.where((F.col("source") == "mark") & (F.col("day") < F.date_sub(F.lit(CUTOFF).cast("date"), 7))).select("branch", "sha", DAY("day").alias("day"))
 
 
 @add(f"WITH RECURSIVE {GRAPH} SELECT tip.branch, coalesce(tip = hwm, false) OR coalesce(day < last_examined, false) AS skip FROM tip LEFT JOIN m USING (branch) LEFT JOIN x ON x.origin = tip.origin")
 def branch_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Branches with nothing new by either mark."""
-    return I.skippable(tips(spark, sf_dir), marks(spark, sf_dir), examined(spark, sf_dir)).select("branch", "skip")
+    rows = durable(orders(spark, sf_dir))
+    return I.skippable(tips(rows), marks(rows), examined(spark, sf_dir)).select("branch", "skip")
 
 
 @add(f"""WITH RECURSIVE {GRAPH}, base AS (SELECT branch, sha FROM o WHERE nth = 2 AND branch % 2 = 0),
@@ -141,18 +144,19 @@ trunk AS (SELECT b.branch, b.sha FROM base b JOIN since s USING (branch) WHERE s
 SELECT branch, sha, strftime(day, '%Y-%m-%d') AS day FROM fresh f WHERE NOT EXISTS (SELECT 1 FROM trunk t WHERE t.branch = f.branch AND t.sha = f.sha)""")
 def landed_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What merged branches still have to give: after their mark, else beyond the merge's first parent and inside the window."""
-    history, reach, seen, since = everything(spark, sf_dir)
-    bases = orders(spark, sf_dir).where("nth = 2 AND branch % 2 = 0").select("origin", "branch", "sha")
-    return K.landed(history, reach, seen, bases, since, orders(spark, sf_dir)).select("branch", "sha", DAY("day").alias("day"))
+    rows, history, reach, seen, since = everything(spark, sf_dir)
+    bases = rows.where("nth = 2 AND branch % 2 = 0").select("origin", "branch", "sha")
+    return K.landed(history, reach, seen, bases, since, rows).select("branch", "sha", DAY("day").alias("day"))
 
 
 @add(f"WITH RECURSIVE {GRAPH} SELECT branch, tip AS sha FROM tip WHERE tip IN (SELECT parent FROM mt)")
 def merged_by_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Branches whose tip is a later parent of a merge."""
-    own = orders(spark, sf_dir).select("origin", "sha", "parent")
-    merges = merged_tips(spark, sf_dir).withColumnRenamed("parent", "second").join(own, ["origin", "sha"])
+    rows = durable(orders(spark, sf_dir))
+    own = rows.select("origin", "sha", "parent")
+    merges = merged_tips(rows).withColumnRenamed("parent", "second").join(own, ["origin", "sha"])
     merges = merges.select("origin", F.array(F.coalesce("parent", F.lit("")), "second").alias("parents"))
-    return K.merged_by_parent(tips(spark, sf_dir).select("origin", "branch", F.col("tip").alias("sha")), merges).select("branch", "sha")
+    return K.merged_by_parent(tips(rows).select("origin", "branch", F.col("tip").alias("sha")), merges).select("branch", "sha")
 
 
 @add("""WITH own AS (SELECT o_custkey AS branch, floor(o_totalprice)::BIGINT % 50 AS patch FROM orders WHERE o_orderstatus <> 'F'), base AS (SELECT DISTINCT floor(o_totalprice)::BIGINT % 50 AS patch FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 50 < 2)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import retrieval as R
 from ..operators.index import TextIndex
-from ..session import discard, durable, scratch
+from ..session import discard, durable, scratch, spread
 from .common import BM25_SQL, STATUS_SQL, Catalogue, first_line_sql, long, rounded, statuses, table, tok_sql
 
 CATALOGUE = Catalogue()
@@ -19,7 +19,7 @@ add = CATALOGUE.add
 SELECT doc_id, len(t)::BIGINT AS n_terms, len(list_distinct(t))::BIGINT AS n_distinct
 FROM (SELECT doc_id, {tok_sql('text')} AS t FROM documents)""")
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    toks = table(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("t"), T.term_set(F.col("text")).alias("d"))
+    toks = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.tokens(F.col("text")).alias("t"), T.term_set(F.col("text")).alias("d"))
     return toks.select("doc_id", long(F.size("t")).alias("n_terms"), long(F.size("d")).alias("n_distinct"))
 
 

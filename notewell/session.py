@@ -60,6 +60,13 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame, most: int = 64 << 20) -> DataFrame:
+    """Rows of a small table (``most`` bytes by Spark's estimate) dealt out to all cores; one file with one group of rows is else read by a single task."""
+    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > most:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def ship(spark: SparkSession) -> None:
     """Give the package to the executors, once an application, for the functions that run in Python."""
     context = spark.sparkContext

@@ -51,6 +51,7 @@ def test_reach_equals_a_plain_walk(spark, monkeypatch, seed, n, width, block):
     per = history.commits.groupBy("origin", "chain").agg(F.count("*").alias("n"), F.max("pos").alias("top"), F.countDistinct("pos").alias("d"))
     assert per.where("n <> top + 1 OR d <> n").count() == 0
     reach = history.reach(asked, ["g"])
+    assert sorted(map(tuple, history.reach(asked, ["g"], held=0).collect())) == sorted(map(tuple, reach.collect()))
     want = {k: {name[x] for x in reached(edges, i)} for k, i in starts.items()} | {"both": {name[x] for x in reached(edges, n - 1) | reached(edges, n // 2)}}
     got = defaultdict(set)
     for r in history.beyond(reach, reach.limit(0), ["g"]).collect():
