@@ -365,3 +365,32 @@ def front_matter(text: Column) -> Column:
 
 def note_body(text: Column) -> Column:
     return F.trim(F.regexp_replace(unix_lines(text_or_empty(text)), r"(?s)\A---\n.*?\n---(?:\n|\z)", ""))
+
+
+# How the sections of a shown text begin, line by line; before the first of them is the header.
+SECTIONS = (("## Top matches", "matches"), ("## No strong match", "matches"), ("### Body excerpt", "body_excerpt"), ("## Related (GraphRAG", "graphrag"),
+            ("## Current ticket:", "ticket"), ("Read body:", "footer"), ("</vault-context>", "footer"))
+
+
+def section_tokens(output: Column) -> Column:
+    """Token estimates of a shown text by section, for the sections that it has."""
+    lines = F.split(F.regexp_replace(output, r"(?s)(\n)(?=.)", "$1\u0000"), "\u0000")
+
+    def step(acc: Column, line: Column) -> Column:
+        bare = F.ltrim(line)
+        head = F.lit(None).cast("string")
+        for begin, name in reversed(SECTIONS):
+            head = F.when(bare.startswith(begin), F.lit(name)).otherwise(head)
+        now = F.coalesce(head, acc["now"])
+        return F.struct(now.alias("now"), F.concat(acc["said"], F.array(F.struct(now.alias("section"), F.octet_length(line).cast("long").alias("bytes")))).alias("said"))
+
+    start = F.struct(F.lit("header").alias("now"), F.array().cast("array<struct<section:string,bytes:bigint>>").alias("said"))
+    said = F.aggregate(F.filter(lines, lambda x: x != ""), start, step)["said"]
+    names = F.array_distinct(F.transform(said, lambda x: x["section"]))
+    total = lambda n: F.aggregate(F.filter(said, lambda x: x["section"] == n), F.lit(0).cast("long"), lambda a, x: a + x["bytes"])
+    return F.map_from_entries(F.transform(names, lambda n: F.struct(n, F.greatest(F.lit(1).cast("long"), F.floor(total(n) / 4)))))
+
+
+def cited_keys(output: Column) -> Column:
+    """Names of the notes that a text links to, as ``stem`` gives them, each once."""
+    return F.array_distinct(F.filter(F.transform(F.regexp_extract_all(output, F.lit(r"\[\[([^\]|#]+)"), F.lit(1)), lambda x: stem(F.trim(x))), lambda x: x != ""))

@@ -7,17 +7,22 @@ exact, however little of the index is read. Changes go into a segment of their o
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import tokens
-from ..session import discard, durable, scratch
+from ..functions.text import STOP_WORDS, tokens, words
+from ..session import discard, durable, scratch, ship, spread
 from ..sources import versions
 from .incremental import snapshot_diff
-from .retrieval import B, K1, broadcast_if_small, term_counts, top_k
+from .retrieval import B, K1, broadcast_if_small, top_k
 
 #: Documents of a range, folders that terms are dealt into, and ranges that are scored first for each query.
 RANGE, BUCKETS, FIRST = 1024, 64, 4
@@ -25,6 +30,51 @@ RANGE, BUCKETS, FIRST = 1024, 64, 4
 DEAD_SHARE, SEGMENTS = 0.25, 8
 
 
+def blocks_of(docs: DataFrame, base: int, size: int) -> DataFrame:
+    """(term, range, n, max_tf, min_length, postings, signatures) of (id, text, signature) rows: a row for each term of each range, and one without a term that lists the range's documents.
+
+    ``size`` documents that are read one after another make a range, so its blocks are made where it is read. Range numbers begin at ``base`` and are not repeated.
+    """
+    ship(docs.sparkSession)
+
+    def gather(lists: pa.ListArray, ids: pa.Array, signatures: pa.Array, nth: int) -> pa.RecordBatch:
+        n, flat = len(lists), lists.flatten().dictionary_encode()
+        row = np.repeat(np.arange(n), lists.value_lengths().to_numpy(zero_copy_only=False))
+        code = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        kept = pc.invert(pc.is_in(flat.dictionary, pa.array(STOP_WORDS))).to_numpy(zero_copy_only=False)[code]
+        row, code = row[kept], code[kept]
+        # by term, then by document
+        both, tf = np.unique(code * n + row, return_counts=True)
+        length = np.bincount(row, minlength=n)
+        term, doc = both // n, both % n
+        first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.zeros(0, np.int64)
+        at = np.r_[doc, np.arange(n)]
+        postings = pa.StructArray.from_arrays([ids.take(pa.array(at)), pa.array(np.r_[tf, length]), pa.array(length[at])], ["id", "tf", "length"])
+        offsets = pa.array(np.r_[first, len(term), len(term) + n].astype(np.int32))
+        most, least = (f.reduceat(x, first) if len(first) else np.zeros(0, np.int64) for f, x in ((np.maximum, tf), (np.minimum, length[doc])))
+        told = pa.ListArray.from_arrays(pa.array(np.r_[np.zeros(len(first) + 1), n].astype(np.int32)), signatures)
+        return pa.RecordBatch.from_arrays([
+            pa.concat_arrays([flat.dictionary.take(pa.array(term[first])), pa.nulls(1, pa.string())]), pa.array(np.full(len(first) + 1, nth)), pa.array(np.diff(offsets.to_numpy()).astype(np.int64)),
+            pa.array(np.r_[most, 0].astype(np.int64)), pa.array(np.r_[least, 0].astype(np.int64)), pa.ListArray.from_arrays(offsets, postings), told],
+            ["term", "range", "n", "max_tf", "min_length", "postings", "signatures"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nth, held = base + (TaskContext.get().partitionId() << 28), None
+        for b in batches:
+            held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            while held.num_rows >= size:
+                ids, signatures, lists = (c.combine_chunks() for c in held.slice(0, size).columns)
+                yield gather(lists, ids, signatures, nth)
+                held, nth = held.slice(size), nth + 1
+        if held is not None and held.num_rows:
+            ids, signatures, lists = (c.combine_chunks() for c in held.columns)
+            yield gather(lists, ids, signatures, nth)
+
+    rows = spread(docs.select("id", F.col("signature").cast("string").alias("signature"), "text")).select("id", "signature", words(F.col("text")).alias("terms"))
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"term string, range long, n long, max_tf long, min_length long, postings array<struct<id: {kind}, tf: long, length: long>>, signatures array<string>")
+
+
 def part(tf: Column, length: Column, mean: float) -> Column:
     """What a term's frequency adds to a score, before its rarity; it rises with ``tf`` and falls with ``length``, whatever the mean length is."""
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(mean)))
@@ -40,6 +90,7 @@ class TextIndex:
 
     spark: SparkSession
     root: str
+    _buckets: int = BUCKETS
 
     def _state(self) -> dict:
         number, state = versions.latest(self.spark, self.root)
@@ -56,69 +107,65 @@ class TextIndex:
         writer.parquet(folder)
         return folder.rsplit("/", 1)[1]
 
-    def _segment(self, counts: DataFrame, n: int, base: int, size: int, buckets: int) -> tuple[str, int]:
-        """Write the blocks of (id, term, tf, length, range) rows; their folder, and the first range after theirs."""
-        blocks = counts.groupBy("term", "range").agg(
-            F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("length").alias("min_length"), F.sort_array(F.collect_list(F.struct("id", "tf", "length"))).alias("postings"))
-        blocks = blocks.withColumn("bucket", bucket(F.col("term"), buckets)).repartitionByRange("bucket", "term", "range").sortWithinPartitions("bucket", "term", "range")
-        return self._write(blocks, "segment=s", "bucket"), base + max(1, -(-n // size))
-
-    def _counted(self, docs: DataFrame, base: int, size: int, folder: str) -> tuple[DataFrame, int]:
-        """Term counts of (id, text, signature) rows, each with its document's range, written to ``folder``; and how many documents there are."""
-        n = docs.count()
-        counts = term_counts(docs, "id", F.col("text"), F.col("signature"))
-        counts.withColumn("range", base + F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // size)))).cast("long")).write.parquet(folder)
-        return self.spark.read.parquet(folder), n
-
-    def _commit(self, segments: list[str], documents: str, dead: str | None, ranges: int, size: int, buckets: int) -> None:
+    def _segment(self, blocks: DataFrame) -> str:
+        """Write blocks by folder and term; the folder of them all."""
+        placed = blocks.withColumn("bucket", bucket(F.col("term"), self._buckets)).repartitionByRange("bucket", "term", "range").sortWithinPartitions("bucket", "term", "range")
+        return self._write(placed, "segment=s", "bucket")
+
+    def _counted(self, docs: DataFrame, base: int, size: int, folder: str) -> tuple[DataFrame, DataFrame]:
+        """Blocks and documents of (id, text, signature) rows; both come from what one pass has written to ``folder``."""
+        blocks_of(docs, base, size).write.parquet(folder)
+        rows = self.spark.read.parquet(folder)
+        told = rows.where("term IS NULL").select("range", F.explode(F.arrays_zip("postings", "signatures")).alias("d"))
+        return rows.where("term IS NOT NULL").drop("signatures"), told.select("d.postings.id", F.col("d.signatures").alias("signature"), "d.postings.length", "range")
+
+    def _commit(self, segments: list[str], documents: str, dead: str | None, size: int, buckets: int) -> None:
         told = self._read(documents).agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
         number, _ = versions.latest(self.spark, self.root)
-        versions.commit(self.spark, self.root, number + 1, {"segments": segments, "documents": documents, "dead": dead, "ranges": ranges, "size": size, "buckets": buckets,
+        versions.commit(self.spark, self.root, number + 1, {"segments": segments, "documents": documents, "dead": dead, "size": size, "buckets": buckets,
                                                             "n": told[0], "total": told[1]})
         versions.vacuum(self.spark, self.root, 2)
 
     def build(self, docs: DataFrame, size: int = RANGE, buckets: int = BUCKETS) -> None:
         """Index all of (id, text, signature), with ``size`` documents a range and terms in ``buckets`` folders. Ids are not null and not repeated."""
-        at = scratch(self.spark, "counts")
-        counts, n = self._counted(docs, 0, size, at)
-        documents = self._write(counts.where("term IS NULL").select("id", "signature", "length", "range"), "documents")
-        folder, ranges = self._segment(counts.where("term IS NOT NULL").drop("signature"), n, 0, size, buckets)
-        self._commit([folder], documents, None, ranges, size, buckets)
+        at, self._buckets = scratch(self.spark, "blocks"), buckets
+        number, _ = versions.latest(self.spark, self.root)
+        blocks, told = self._counted(docs, number << 56, size, at)
+        self._commit([self._segment(blocks)], self._write(told, "documents"), None, size, buckets)
         discard(self.spark, at)
 
     def update(self, docs: DataFrame) -> DataFrame:
         """(id, action) against (id, text, signature): what was added, updated, removed or skipped. Only the texts of the first two are read into terms."""
-        state = self._state()
+        state, at = self._state(), scratch(self.spark, "blocks")
+        number, _ = versions.latest(self.spark, self.root)
         known = self._read(state["documents"])
         diff = durable(snapshot_diff(known, docs, "id", "signature"))
         fresh = docs.join(broadcast_if_small(diff.where("action IN ('added', 'updated')").select("id")), "id", "left_semi")
-        at = scratch(self.spark, "counts")
-        counts, n = self._counted(fresh, state["ranges"], state["size"], at)
+        blocks, told = self._counted(fresh, number << 56, state["size"], at)
         kept = known.join(diff.where("action = 'skipped'").select("id"), "id", "left_semi")
-        documents = self._write(kept.unionByName(counts.where("term IS NULL").select("id", "signature", "length", "range")), "documents")
+        documents = self._write(kept.unionByName(told), "documents")
         gone = known.join(diff.where("action IN ('updated', 'removed')").select("id"), "id", "left_semi").select("id", "range")
         dead = self._write(gone if state["dead"] is None else gone.unionByName(self._read(state["dead"])), "dead")
-        segments, ranges = state["segments"], state["ranges"]
-        if n:
-            folder, ranges = self._segment(counts.where("term IS NOT NULL").drop("signature"), n, ranges, state["size"], state["buckets"])
-            segments = [*segments, folder]
-        self._commit(segments, documents, dead, ranges, state["size"], state["buckets"])
+        segments, self._buckets = state["segments"], state["buckets"]
+        if not blocks.isEmpty():
+            segments = [*segments, self._segment(blocks)]
+        self._commit(segments, documents, dead, state["size"], state["buckets"])
         discard(self.spark, at)
         if len(segments) > SEGMENTS or self._read(dead).count() > DEAD_SHARE * max(1, state["n"]):
             self.compact()
         return diff
 
     def compact(self) -> None:
-        """Put all segments together and leave dead documents out. Texts are not needed."""
+        """Put all segments together and leave dead documents out of their blocks. Texts are not needed, and ranges stay as they are."""
         state = self._state()
-        postings = self._blocks(state).select("term", F.explode("postings").alias("p"), "range").select("term", "p.*", "range")
+        blocks, self._buckets = self._blocks(state).drop("bucket"), state["buckets"]
         if state["dead"] is not None:
-            postings = postings.join(broadcast_if_small(self._read(state["dead"])), ["id", "range"], "left_anti")
-        n = state["n"]
-        place = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // state["size"])))).cast("long")
-        documents = self._write(self._read(state["documents"]).withColumn("range", place), "documents")
-        folder, ranges = self._segment(postings.withColumn("range", place), n, 0, state["size"], state["buckets"])
-        self._commit([folder], documents, None, ranges, state["size"], state["buckets"])
+            dead = self._read(state["dead"]).groupBy("range").agg(F.collect_set("id").alias("_dead"))
+            alive = F.filter("postings", lambda p: F.coalesce(~F.array_contains("_dead", p["id"]), F.lit(True)))
+            blocks = blocks.join(broadcast_if_small(dead), "range", "left").withColumn("postings", alive).where(F.size("postings") > 0).select(
+                "term", "range", F.size("postings").cast("long").alias("n"), F.array_max(F.transform("postings", lambda p: p["tf"])).alias("max_tf"),
+                F.array_min(F.transform("postings", lambda p: p["length"])).alias("min_length"), "postings")
+        self._commit([self._segment(blocks)], state["documents"], None, state["size"], state["buckets"])
 
     def documents(self) -> DataFrame:
         """(id, signature, length, range) of the documents that are indexed."""

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import sessions as S
 from ..operators import tickets as K
-from ..session import scratch
+from ..session import discard, durable, scratch
 from ..streaming import counters as C
+from ..streaming import state
 from .common import Catalogue, table
 
 CATALOGUE = Catalogue()
@@ -104,7 +105,9 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 @add("SELECT user_id, event_type, count(*)::BIGINT AS n, sum(value::DECIMAL(18, 2))::DOUBLE AS total, max(event_id) AS last_event FROM events GROUP BY ALL")
 def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counters as a stream over all that is there: equal to the batch totals."""
-    done = C.run_available(C.session_totals(_stream(spark, sf_dir)), scratch(spark, "stream_counts"))
+    folder = scratch(spark, "stream_counts")
+    done = durable(C.run_available(C.session_totals(_stream(spark, sf_dir)), folder))
+    discard(spark, folder)
     return done.withColumn("total", F.col("total").cast("double"))
 
 
@@ -113,6 +116,66 @@ def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
        arg_max(event_type, (ts, event_id)) AS last_tier, arg_max(event_id, (ts, event_id)) AS last_event FROM events GROUP BY user_id""")
 def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same counters as keyed state of a stream; the last row of each user holds its state."""
-    rows = C.run_available(C.keyed_state(_stream(spark, sf_dir)), scratch(spark, "stream_state"), "update")
+    folder = scratch(spark, "stream_state")
+    rows = durable(C.run_available(C.keyed_state(_stream(spark, sf_dir)), folder, "update"))
+    discard(spark, folder)
     last = rows.groupBy("user_id").agg(F.max_by(F.struct("total", "hits", "last_tier", "last_event"), "total").alias("s"))
     return last.select("user_id", "s.*")
+
+
+def in_batches(spark: SparkSession, events: DataFrame, path: str, n: int = 4) -> DataFrame:
+    """Events written as ``n`` files in order of time, and read as a stream of one file a batch."""
+    cuts = events.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [k / n for k in range(1, n)], 10_000)).first()[0]
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    for k in range(n):
+        part = events.where((us > cuts[k - 1]) if k == n - 1 else (us <= cuts[k]) if k == 0 else (us > cuts[k - 1]) & (us <= cuts[k]))
+        part.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def stream_result(stream: DataFrame, folder: str, mode: str) -> DataFrame:
+    """All that the stream's batches wrote, kept beyond the folder."""
+    with state.rocks(stream.sparkSession):
+        return durable(C.run_available(stream, folder, mode))
+
+
+@add("""WITH RECURSIVE e AS (SELECT user_id, event_type, ts, min(event_id) AS event_id FROM events GROUP BY ALL),
+n AS (SELECT event_id, first_value(event_id) OVER (PARTITION BY user_id, event_type ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR FOLLOWING AND UNBOUNDED FOLLOWING) AS next_id FROM e),
+a AS (SELECT arg_min(event_id, (ts, event_id)) AS event_id FROM e GROUP BY user_id, event_type UNION ALL SELECT next_id FROM a JOIN n USING (event_id) WHERE next_id IS NOT NULL)
+SELECT event_id, user_id FROM events WHERE event_id IN (SELECT event_id FROM a)""")
+def stream_ttl_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeats suppressed in a stream of four batches: what the batch operator keeps."""
+    folder = scratch(spark, "stream_ttl")
+    stream = in_batches(spark, table(spark, sf_dir, "events"), f"{folder}/in")
+    kept = stream_result(state.suppress_repeats(stream, "user_id", "event_type", "event_id", 3600, 36_000), folder, "append")
+    discard(spark, folder)
+    return kept.select("event_id", "user_id")
+
+
+#: What an event's session was shown, the same in Spark and DuckDB.
+SHOWN = """concat('<vault-context>', chr(10), CASE WHEN event_id % 4 = 0 THEN '## No strong match' ELSE '## Top matches (3)' END, chr(10), '- [[x/note', event_id % 5, '.MD]] ', repeat('m', CAST(event_id % 90 AS INT)), chr(10),
+ CASE WHEN event_id % 3 = 0 THEN concat('### Body excerpt', chr(10), repeat('b', CAST(event_id % 37 AS INT)), chr(10)) ELSE '' END, '  Read body: [[n', event_id % 2, '#part]]', chr(10), '</vault-context>')"""
+
+
+@add(f"""WITH o AS (SELECT *, {SHOWN} AS output FROM events),
+p AS (
+  SELECT user_id, ts, event_id, event_type, greatest(1, strlen(output) // 4) AS tokens, 16 // 4 AS header,
+         greatest(1, (strlen(CASE WHEN event_id % 4 = 0 THEN '## No strong match' ELSE '## Top matches (3)' END) + 1 + strlen('- [[x/note0.MD]] ') + event_id % 90 + 1) // 4) AS matches,
+         CASE WHEN event_id % 3 = 0 THEN (strlen('### Body excerpt') + 1 + event_id % 37 + 1) // 4 END AS body, (strlen('  Read body: [[n0#part]]') + 1 + strlen('</vault-context>')) // 4 AS footer FROM o),
+k AS (SELECT user_id, string_agg(DISTINCT key, ',' ORDER BY key) AS cited FROM (SELECT user_id, unnest(['note' || (event_id % 5), 'n' || (event_id % 2)]) AS key FROM events) GROUP BY user_id),
+t AS (SELECT user_id, '{{' || string_agg('"' || event_type || '":' || n, ',' ORDER BY event_type) || '}}' AS by_tier FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY user_id),
+r AS (SELECT user_id, string_agg(tokens::VARCHAR, ',' ORDER BY ts, event_id) AS recent FROM (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 5) GROUP BY user_id)
+SELECT p.user_id AS session, count(*)::BIGINT AS prompts, sum(tokens)::BIGINT AS total, any_value(by_tier) AS by_tier, any_value(cited) AS cited, any_value(recent) AS recent, arg_max(event_type, (ts, event_id)) AS last_tier,
+       '{{' || CASE WHEN count(body) > 0 THEN '"body_excerpt":' || sum(body)::BIGINT || ',' ELSE '' END || '"footer":' || sum(footer)::BIGINT || ',"header":' || sum(header)::BIGINT || ',"matches":' || sum(matches)::BIGINT || '}}' AS by_section,
+       epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us
+FROM p JOIN k USING (user_id) JOIN t USING (user_id) JOIN r USING (user_id) GROUP BY p.user_id""")
+def stream_token_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each session was shown, kept as state over four batches; the last row that each session sent out."""
+    folder = scratch(spark, "stream_tokens")
+    stream = in_batches(spark, table(spark, sf_dir, "events"), f"{folder}/in")
+    prompts = stream.select(F.col("user_id").alias("session"), "ts", F.col("event_id").alias("ord"), F.col("event_type").alias("tier"), F.expr(SHOWN).alias("output"))
+    rows = stream_result(state.session_state(prompts), folder, "update")
+    discard(spark, folder)
+    names = [c for c in rows.columns if c != "session"]
+    return rows.groupBy("session").agg(F.max_by(F.struct(*names), "prompts").alias("s")).select("session", "s.*")

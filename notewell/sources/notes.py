@@ -25,11 +25,11 @@ def file_system(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(f"{ {'s3a': 's3', 's3n': 's3', 'wasbs': 'abfss', 'wasb': 'abfs'}.get(scheme, scheme)}://{rest}")
 
 
-def underscored_files(spark: SparkSession, root: str, name: str = "_index.md", depth: int = 6) -> DataFrame:
+def underscored_files(spark: SparkSession, root: str, name: str = "_index.md") -> DataFrame:
     """(path, modificationTime, content) of the files ``name``, which Spark's readers pass over as their names begin with an underscore.
 
-    Tasks walk the folders level by level, ``depth`` at most, and read the files; the driver sees none of it. Folders
-    in SKIPPED are not entered. No files: no rows.
+    Tasks walk the folders level by level until none is left, and read the files; the driver sees none of it. Folders
+    in SKIPPED are not entered, and links to folders are not followed where the file system tells them apart. No files: no rows.
     """
     ship(spark)
 
@@ -49,7 +49,7 @@ def underscored_files(spark: SparkSession, root: str, name: str = "_index.md", d
 
     folders = spark.range(1).select(F.lit(file_system(root)[1]).alias("path"))
     files = None
-    for _ in range(depth):
+    while True:
         level = durable(folders.mapInArrow(walk, "path string, file boolean, modificationTime timestamp"))
         here = level.where("file")
         files = here if files is None else files.union(here)

@@ -24,11 +24,6 @@ def session_totals(events: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.round(F.sum(F.col("value").cast("decimal(18,2)")), 2).alias("total"), F.max("event_id").alias("last_event"))
 
 
-def suppress_repeats(events: DataFrame, keys: list[str], ttl: str = "60 seconds") -> DataFrame:
-    """Rows whose key came less than ``ttl`` before are dropped; state older than that goes."""
-    return events.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(keys)
-
-
 def run_available(stream: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
     """Run the stream over all that is there, and read what its batches wrote below ``folder``, which executors share.
 

@@ -7,8 +7,11 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from notewell.functions import text as T
+from notewell.operators import sessions as S
 from notewell.sources import notes as N
 from notewell.streaming import counters as C
+from notewell.streaming import state
 
 
 def write(root, files):
@@ -45,6 +48,13 @@ def test_underscored_files_of_any_scheme(spark, tmp_path):
     assert N.underscored_files(spark, str(tmp_path / "a/b/c")).count() == 1
 
 
+def test_index_at_any_depth(spark, tmp_path):
+    """A ticket's index counts however deep it lies, and its notes take its status."""
+    folder = "ws/p/" + "/".join(f"d{i}" for i in range(9))
+    write(tmp_path, {f"{folder}/_index.md": "---\nstatus: resolved\n---\n", f"{folder}/Learnings/a.md": "text"})
+    assert {r.name: r.status for r in N.read_notes(spark, str(tmp_path)).collect()} == {"_index": "resolved", "a": "resolved"}
+
+
 def test_readme_example(spark, tmp_path, capsys):
     write(tmp_path, {"ws/Learnings/tokens.md": "---\ndescription: expiry of refresh tokens\n---\n", "ws/p/Learnings/other.md": "---\ndescription: colours of the lamp\n---\n"})
     code = (Path(__file__).parents[1] / "README.md").read_text().split("```python\n")[1].split("```")[0]
@@ -95,9 +105,65 @@ def test_gate_repeats_incomplete_batches(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1000
 
 
-def test_suppress_repeats(spark, tmp_path):
-    rows = spark.createDataFrame([(1, 0), (1, 30), (2, 10)], "k int, s int").withColumn("ts", F.timestamp_seconds("s"))
-    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    got = C.run_available(C.suppress_repeats(stream, ["k"]), str(tmp_path / "c"), "append")
-    assert got.count() == 2
+@pytest.mark.parametrize("batches", [1, 4])
+def test_suppress_repeats(spark, tmp_path, batches):
+    """A repeat is less than the time to live after the last row that was kept, however the stream is cut."""
+    data = [("a", s) for s in (0, 30, 59, 61, 100, 3600, 7200, 7259)] + [("b", 10), (None, 20), (None, 70), (None, 81)]
+    rows = spark.createDataFrame([(1, k, s, i) for i, (k, s) in enumerate(data)], "session int, k string, s int, n long").withColumn("ts", F.timestamp_seconds(F.col("s") + 1_000_000))
+    for part in range(batches):
+        lo, hi = (part * 8000 // batches, (part + 1) * 8000 // batches)
+        rows.where((F.col("s") >= lo) & (F.col("s") < hi)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    with state.rocks(spark):
+        got = C.run_available(state.suppress_repeats(stream, "session", "k", "n"), str(tmp_path / "c"), "append").collect()
+    want = S.drop_repeats(rows, ["session", "k"], "ts", 60, "n").collect()
+    assert sorted(r.n for r in got) == sorted(r.n for r in want) == [0, 3, 5, 6, 8, 9, 11]
+    assert spark.conf.get(state.STORE, None) != state.ROCKS
+
+
+def test_silent_keys_are_forgotten():
+    """A timer drops what has been silent for the purge time, and nothing younger."""
+    import pandas as pd
+
+    class Map(dict):
+        def iterator(self):
+            return iter(list(self.items()))
+
+        def updateValue(self, k, v):  # noqa: N802
+            self[k] = v
+
+        removeKey = dict.pop  # noqa: N815
+
+    class Handle:
+        def __init__(self):
+            self.timers, self.map = [], Map()
+
+        def getMapState(self, *_):  # noqa: N802
+            return self.map
+
+        def registerTimer(self, at):  # noqa: N802
+            self.timers.append(at)
+
+    class Now:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return self.ms
+
+    handle, repeats = Handle(), state.Repeats(60_000_000, 600_000)
+    repeats.init(handle)
+    frame = pd.DataFrame({"session": [1, 1], "ts": [0, 0], "key_": ["a", "b"], "us_": [0, 400_000_000], "order_": [1, 2]})
+    assert len(next(repeats.handleInputRows((1,), iter([frame]), None))) == 2 and handle.timers == [1_000_000]
+    list(repeats.handleExpiredTimer((1,), Now(700_000), None))
+    assert set(handle.map) == {("b",)}
+    assert list(repeats.handleInputRows((1,), iter([frame.iloc[:0]]), None)) == []
+
+
+def test_sections_and_citations(spark):
+    text = "<vault-context>\n## Top matches (2)\n- [[w/Note-A.md|x]]\n  ### Body excerpt of\nabc\n\n## Top matches again\nRead body: [[note-a#p]] [[ ]]\n</vault-context>"
+    got = spark.createDataFrame([(1, text), (2, ""), (3, "plain")], "i int, t string").select("i", T.section_tokens(F.col("t")).alias("s"), T.cited_keys(F.col("t")).alias("c")).orderBy("i").collect()
+    size = lambda *lines: max(1, len("".join(lines).encode()) // 4)
+    assert got[0].s == {"header": size("<vault-context>\n"), "matches": size("## Top matches (2)\n- [[w/Note-A.md|x]]\n", "## Top matches again\n"),
+                        "body_excerpt": size("  ### Body excerpt of\nabc\n\n"), "footer": size("Read body: [[note-a#p]] [[ ]]\n</vault-context>")}
+    assert got[0].c == ["note-a"] and got[1].s == {} and got[2].s == {"header": 1}
