@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..session import durable
 from . import incremental as I
 from .history import History
-from .retrieval import meet
+from .retrieval import tokens_within
 
 # Statuses of tickets that still take captures, and of those that do not.
 OPEN, SETTLED = ("open", "in-progress", "experimental", ""), ("resolved", "experimental", "discarded")
@@ -33,11 +34,13 @@ def shallowest(files: DataFrame, key: str) -> DataFrame:
 def marked_transcripts(marks: DataFrame, logs: DataFrame) -> DataFrame:
     """(session_id, path): the first log that holds a mark's token and was changed no more than a day before the mark; null where none does.
 
-    ``marks`` has session_id, mark_token and marked_at; ``logs`` path, text and mtime.
+    ``marks`` has session_id, mark_token and marked_at; ``logs`` path, text and mtime. Logs are read once for all tokens, and only paths and times leave them. A null or empty token
+    stands in no log.
     """
+    asked = marks.select("session_id", F.col("mark_token").alias("token"), "marked_at")
+    met = durable(tokens_within(logs.select(F.struct("path", "mtime").alias("id"), "text"), asked.select("token")).select("id.path", "id.mtime", "token"))
     fresh = F.col("mtime") >= F.col("marked_at") - F.expr("INTERVAL 1 DAY")
-    asked = marks.select("session_id", "mark_token", "marked_at").where("mark_token <> ''")
-    found = meet(logs, asked, F.contains("text", "mark_token") & fresh, "path", F.octet_length("mark_token") + 32).groupBy("session_id").agg(F.min("path").alias("path"))
+    found = met.join(asked, "token").where(fresh).groupBy("session_id").agg(F.min("path").alias("path"))
     return marks.select("session_id").join(found, "session_id", "left")
 
 

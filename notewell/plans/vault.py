@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +15,11 @@ from ..functions import vectors as V
 from ..operators import incremental as I
 from ..operators import sessions as S
 from ..operators import tickets as K
-from ..session import durable, scratch
+from ..session import discard, durable, scratch, ship, spread
 from ..sources import notes as N
+from ..sources.growing import follow_lines
+from ..sources.notes import file_system
+from ..streaming import counters as C
 from .common import BM25_SQL, PATH, PATHS_SQL, Catalogue, rendered_paths, table
 
 CATALOGUE = Catalogue()
@@ -203,7 +210,7 @@ def prompt_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add("""SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations WHERE text IS NOT NULL""")
 def transcript_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations written as compressed JSON lines, with broken and blank lines among them, and read back."""
+    """Conversations written as JSON lines, a third each plain, .gz and .zst, with broken and blank lines among them, and read back."""
     path = scratch(spark, "transcripts")
     rows = table(spark, sf_dir, "conversations").where("text IS NOT NULL")
     blocks = F.to_json(F.array(F.struct(F.lit("text").alias("type"), "text")))
@@ -213,10 +220,23 @@ def transcript_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     stamp = F.concat_ws(":", "conv_id", "turn")
     line = F.concat(F.lit('{"timestamp":"'), stamp, F.lit('","item":{"type":"message","role":"'), F.col("role"), F.lit('","content":'), said, F.lit("}}"))
     broken = F.when(F.col("turn") == 0, F.array(line, F.lit("{nope"), F.lit(""))).otherwise(F.array(line))
-    rows.select(F.explode(broken).alias("value")).write.option("compression", "gzip").text(path)
-    read = N.read_transcripts(spark, path)
+    lines = rows.select("conv_id", F.explode(broken).alias("value"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = file_system(f"{path}/zst")
+        store.create_dir(folder)
+        for n, b in enumerate(batches):
+            with store.open_output_stream(f"{folder}/{TaskContext.get().partitionId()}-{n}.jsonl.zst", compression="zstd") as out:
+                out.write("".join(f"{x}\n" for x in b.column(1).to_pylist()).encode())
+            yield b.select(["conv_id"])
+
+    lines.where("conv_id % 3 = 0").select("value").write.option("compression", "gzip").text(f"{path}/gz")
+    lines.where("conv_id % 3 = 1").select("value").write.text(f"{path}/plain")
+    lines.where("conv_id % 3 = 2").mapInArrow(write, "conv_id long").count()
     at = F.split("timestamp", ":")
-    return read.select(at[0].cast("long").alias("conv_id"), at[1].cast("long").alias("turn"), "role", "text")
+    read = durable(N.read_transcripts(spark, path).select(at[0].cast("long").alias("conv_id"), at[1].cast("long").alias("turn"), "role", "text"))
+    discard(spark, path)
+    return read
 
 
 @add("SELECT sha1(o_orderkey::VARCHAR) AS sha, strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderpriority AS subject FROM orders")
@@ -225,7 +245,9 @@ def commit_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "commits")
     line = F.concat_ws("\t", F.sha1(F.col("o_orderkey").cast("string")), F.date_format("o_orderdate", "yyyy-MM-dd"), "o_orderpriority")
     table(spark, sf_dir, "orders").select(line.alias("value")).write.text(path)
-    return N.read_commits(spark, path)
+    read = durable(N.read_commits(spark, path))
+    discard(spark, path)
+    return read
 
 
 @add("""SELECT c_custkey AS session_id, CASE WHEN c_custkey % 3 = 0 THEN 'id' || c_custkey WHEN c_nationkey % 2 = 0 THEN 'cwd' || c_nationkey END AS path FROM customer""")
@@ -238,6 +260,22 @@ def session_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.session_transcripts(sessions, by_id, by_cwd)
 
 
+#: Every third document's session left a mark, a piece of its text; logs are the documents, changed over thirty days.
+MARKED = "substr(text, 9, CAST(24 + doc_id % 9 AS INT))"
+
+
+@add(f"""WITH m AS (SELECT doc_id AS session_id, {MARKED} AS token, doc_id % 31 AS day FROM documents WHERE doc_id % 3 = 0),
+l AS (SELECT 'd' || doc_id AS path, text, doc_id * 7 % 30 AS day FROM documents)
+SELECT session_id, min(path) AS path FROM m LEFT JOIN l ON token <> '' AND contains(l.text, token) AND l.day >= m.day - 1 GROUP BY session_id""")
+def marked_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first log that holds each session's mark and was changed no more than a day before it."""
+    docs = table(spark, sf_dir, "documents")
+    day = lambda c: F.timestamp_seconds(F.expr(c) * 86_400)
+    marks = docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("session_id"), F.expr(MARKED).alias("mark_token"), day("doc_id % 31").alias("marked_at"))
+    logs = spread(docs.select("doc_id", "text")).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), "text", day("doc_id * 7 % 30").alias("mtime"))
+    return K.marked_transcripts(marks, logs)
+
+
 @add("""SELECT branch, arg_min(path, (other, path)) AS path FROM (SELECT p_name AS branch, 'w/' || p_brand || '/' || p_partkey AS path, CASE WHEN p_brand = 'Brand#1' THEN 0 ELSE 1 END AS other FROM part) GROUP BY branch""")
 def folder_of_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A branch's folder: in the project of the working folder, else the first."""
@@ -301,3 +339,46 @@ def audit_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines appended to the audit section of some notes."""
     traces = rendered_paths(spark, sf_dir).where("doc_id % 5 = 0").select("path", F.concat(F.lit("kept "), F.col("doc_id").cast("string")).alias("line"))
     return I.audit_trace(notes(spark, sf_dir), traces).select("path", F.md5("body").alias("body"))
+
+
+#: A turn as a line of its session's log; fifty conversations make a session. The same in Spark and DuckDB.
+TURN_LINE = """concat('{"conv":', conv_id, ',"turn":', turn, ',"role":"', role, '","text":"', md5(coalesce(text, '')), '"}')"""
+
+
+def write_sessions(lines: DataFrame, root: str, share: float, closed: bool) -> None:
+    """Write each session's log, or the first ``share`` of its bytes, as tasks of a recording tool would; a third each is plain, .gz and .zst, and only plain ones are written early."""
+    ship(lines.sparkSession)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = file_system(root)
+        store.create_dir(folder)
+        for b in batches:
+            for session, text in zip(*(c.to_pylist() for c in b.columns)):
+                raw, codec = text.encode(), (None, "gzip", "zstd")[session % 3]
+                if codec and share < 1:
+                    continue
+                if closed and session % 4 == 0:
+                    store.open_output_stream(f"{folder}/{session}.closed").close()
+                    continue
+                path = f"{folder}/{session}.jsonl" + {None: "", "gzip": ".gz", "zstd": ".zst"}[codec]
+                with store.open_output_stream(path, compression=codec) as out:
+                    out.write(raw[: int(len(raw) * share)])
+            yield b.select(["session"])
+
+    whole = lines.groupBy("session").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("conv_id", "turn", "line"))), lambda x: F.concat(x["line"], F.lit("\n"))), "").alias("text"))
+    whole.mapInArrow(write, "session long").count()
+
+
+@add(f"""WITH l AS (SELECT conv_id, turn, conv_id // 50 AS session, {TURN_LINE} AS line FROM conversations),
+p AS (SELECT *, sum(strlen(line) + 1) OVER (PARTITION BY session ORDER BY conv_id, turn) AS ends, sum(strlen(line) + 1) OVER (PARTITION BY session) AS total FROM l)
+SELECT session, (ends - strlen(line) - 1)::BIGINT AS at, line FROM p WHERE session % 4 <> 0 OR session % 3 = 0 AND ends <= floor(total * 0.6)""")
+def stream_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs that were read up to the middle of a line, grew, and were read on by a second run; some sessions were closed in between, and compressed logs came later."""
+    folder = scratch(spark, "growing")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr("conv_id DIV 50").alias("session"), F.expr(TURN_LINE).alias("line"))
+    for share, closed in ((0.6, False), (1.0, True)):
+        write_sessions(rows, f"{folder}/logs", share, closed)
+        read = C.run_available(follow_lines(spark, f"{folder}/logs"), folder, "append")
+    read = durable(read.select(F.col("session").cast("long").alias("session"), "at", "line"))
+    discard(spark, folder)
+    return read

@@ -104,9 +104,15 @@ def inherit(notes: DataFrame) -> DataFrame:
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of JSON-line files, plain or compressed; blank and broken lines are left out."""
+    """Rows of JSON-line files, plain or compressed; blank and broken lines are left out.
+
+    Spark reads what its codecs know; ``.zst`` files are unpacked as they are read, and of a torn one the whole lines count.
+    """
+    from .growing import read_lines
+
     parsed = F.from_json("value", schema)
-    lines = spark.read.option("recursiveFileLookup", True).text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select("value", F.col("_metadata.file_path").alias("file")).where(~F.col("file").endswith(".zst"))
+    lines = lines.union(read_lines(spark, path, "", ".zst").select("line", "file"))
     rows = lines.where(F.trim("value").startswith("{") & F.expr("try_parse_json(value) IS NOT NULL")).select("file", parsed.alias("row"))
     return rows.select("file", "row.*")
 
