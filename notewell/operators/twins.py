@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -12,47 +15,174 @@ from ..session import durable, ship
 
 # Thresholds across folders and inside one, and the cap of a report.
 ACROSS, INSIDE, REPORT = 0.80, 0.72, 25
+#: Vectors that centres are taken from, centres at most, vectors of a centre, and what rounding may take from an angle.
+SAMPLE, BALLS, PER_BALL, MARGIN = 4096, 512, 32, 1e-6
+#: Angles (radians) between the shells around a centre, so that a few far members do not widen what the others are met by.
+SHELLS = np.array([0.2, 0.45, 0.7, 1.0])
 
 
 def is_twin(score: Column, same: Column, across: float = ACROSS, inside: float = INSIDE) -> Column:
     return score >= F.when(same, inside).otherwise(across)
 
 
+@dataclass
+class Balls:
+    """Centres that vectors are dealt to. A cell is a shell around a centre: the least and largest angle of its members, and into how many blocks these and their visitors are cut."""
+
+    centres: np.ndarray
+    reach: float
+    low: np.ndarray
+    high: np.ndarray
+    members: np.ndarray
+    visitors: np.ndarray
+
+    def angles(self, x: np.ndarray) -> np.ndarray:
+        return np.arccos(np.clip(x @ self.centres.T, -1, 1))
+
+    def cell(self, angle: np.ndarray) -> np.ndarray:
+        """The cell of each row, of the nearest centre."""
+        own = angle.argmin(axis=1)
+        return own * (len(SHELLS) + 1) + np.searchsorted(SHELLS, angle[np.arange(len(own)), own])
+
+    def visits(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Own cell of each row, and which later cells may hold vectors within reach: by the triangle inequality, members of the others are further away."""
+        angle = self.angles(x)
+        own, wide = self.cell(angle), np.repeat(angle, len(SHELLS) + 1, axis=1)
+        near = (wide <= self.high + self.reach + MARGIN) & (wide >= self.low - self.reach - MARGIN)
+        return own, near & (np.arange(wide.shape[1]) > own[:, None])
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _centres(x: np.ndarray, k: int, rounds: int = 5) -> np.ndarray:
+    """Directions of k groups of a sample's vectors, each moved to its group's mean a few times."""
+    centres = x[np.linspace(0, len(x) - 1, k).astype(int)]
+    for _ in range(rounds):
+        own = (x @ centres.T).argmax(axis=1)
+        total = np.zeros_like(centres)
+        np.add.at(total, own, x)
+        size = np.linalg.norm(total, axis=1, keepdims=True)
+        centres = np.where(size > 0, total / np.where(size > 0, size, 1), centres)
+    return centres
+
+
+def fit_balls(rows: DataFrame, least: float, block: int) -> Balls:
+    """Balls for unit vectors (id, v): centres from at most SAMPLE of them, everything else counted over all rows."""
+    n = rows.count()
+    sample = rows.orderBy(F.xxhash64("id")).select("v").limit(SAMPLE).toArrow().column("v")
+    k = int(min(BALLS, max(1, n // PER_BALL), max(1, len(sample))))
+    cells, one = k * (len(SHELLS) + 1), np.ones(k * (len(SHELLS) + 1), int)
+    balls = Balls(_centres(_matrix(sample), k) if n else np.ones((1, 1)), float(np.arccos(np.clip(least, -1, 1))), np.full(cells, 9.0), np.full(cells, -9.0), one, one)
+
+    def gathered(count) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        told = rows.select("v").mapInArrow(count, "cell int, n long, low double, high double").groupBy("cell").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).toArrow()
+        at, n, low, high = told.column("cell").to_numpy(), np.zeros(cells, int), np.full(cells, 9.0), np.full(cells, -9.0)
+        for of, c in ((n, "n"), (low, "low"), (high, "high")):
+            of[at] = told.column(c).to_numpy()
+        return n, low, high
+
+    def owns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            angle = balls.angles(_matrix(b.column(0)))
+            own, near = balls.cell(angle), pa.array(angle.min(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(np.ones(len(own), np.int64)), near, near], ["cell", "n", "low", "high"])
+
+    found, balls.low, balls.high = gathered(owns)
+    balls.members = np.maximum(1, -(-found // block))
+
+    def comes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = balls.visits(_matrix(b.column(0)))[1].sum(axis=0)
+            none = pa.array(np.zeros(cells))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(cells, dtype=np.int32)), pa.array(n.astype(np.int64)), none, none], ["cell", "n", "low", "high"])
+
+    # members of a cell's other blocks visit as well
+    balls.visitors = np.maximum(1, -(-(gathered(comes)[0] + np.where(balls.members > 1, found, 0)) // block))
+    return balls
+
+
 def vector_twins(rows: DataFrame, across: float = ACROSS, inside: float = INSIDE, block: int = 2048) -> DataFrame:
     """(a, b, same, score) for pairs a < b of (id, folder, v), v a unit vector; null vectors are left out.
 
-    Exact: rows are dealt into blocks of about ``block`` rows by hash, and each pair of blocks is one group, whose
-    scores are one matrix product. Only pairs above their threshold leave it.
+    Exact. Vectors are dealt to shells around centres; one meets the members of its own shell and of those later ones that can hold vectors within the angle of the lower threshold.
+    A shell's members and visitors are cut into blocks of about ``block`` rows, so that near copies of any number are many bounded units; each is one matrix product, and
+    only pairs above their threshold leave it.
     """
+    return _met(rows, across, inside, block).where("a IS NOT NULL").drop("pairs")
+
+
+def pair_share(rows: DataFrame, least: float, block: int = 2048) -> float:
+    """Pairs that ``vector_twins`` multiplies for a lower threshold, of all pairs."""
+    n = rows.where("v IS NOT NULL").count()
+    multiplied = _met(rows, 2.0, least, block).where("a IS NULL").agg(F.sum("pairs")).first()[0] or 0
+    return multiplied / max(1, n * (n - 1) / 2)
+
+
+def _met(rows: DataFrame, across: float, inside: float, block: int) -> DataFrame:
+    """Twins, and for each unit a row without ids that says how many pairs were multiplied."""
     ship(rows.sparkSession)
     rows = durable(rows.where("v IS NOT NULL").select("id", "folder", F.col("v").cast("array<double>").alias("v")))
-    blocks = max(1, -(-rows.count() // block))
-    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    units = dealt.select("id", "folder", "v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("first"))
-    id_type = rows.schema["id"].dataType.simpleString()
+    balls = fit_balls(rows, min(across, inside), block)
+    schema = rows.schema
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own, later = balls.visits(_matrix(b.column("v")))
+            h = b.column("h").to_numpy()
+            row, ball, part, visit, member = [], [], [], [], []
+
+            def add(r: int, j: int, p: int, v: int, is_member: bool) -> None:
+                row.append(r)
+                ball.append(j)
+                part.append(p)
+                visit.append(v)
+                member.append(is_member)
+
+            for r, i in enumerate(own):
+                q = h[r] % balls.members[i]
+                for v in range(balls.visitors[i]):
+                    add(r, i, q, v, True)
+                for p in range(q + 1, balls.members[i]):
+                    add(r, i, p, h[r] % balls.visitors[i], False)
+                for j in np.flatnonzero(later[r]):
+                    for p in range(balls.members[j]):
+                        add(r, j, p, h[r] % balls.visitors[j], False)
+            moved = b.select(["id", "folder", "v"]).take(pa.array(row, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [*moved.columns, pa.array(ball, pa.int32()), pa.array(part, pa.int32()), pa.array(visit, pa.int32()), pa.array(member, pa.bool_())],
+                ["id", "folder", "v", "ball", "part", "visit", "member"])
 
     def compare(unit: pa.Table) -> pa.Table:
-        lone = unit.column("i")[0] == unit.column("j")[0]
-        first = unit.column("first").to_numpy(zero_copy_only=False)
-        left, right = (unit, unit) if lone else (unit.filter(pa.array(first)), unit.filter(pa.array(~first)))
-        matrix = lambda t: np.array(t.column("v").to_pylist(), float).reshape(t.num_rows, -1)
-        ids, others, folders, theirs = (np.array(t.column(c).to_pylist(), object) for c in ("id", "folder") for t in (left, right))
-        x, y = matrix(left), matrix(right).T
-        parts = []
-        for at in range(0, len(ids), 256) if len(others) else ():
-            score = x[at: at + 256] @ y
-            same = folders[at: at + 256, None] == theirs[None]
-            p, q = np.nonzero(score >= np.where(same, inside, across))
-            a, b = ids[at + p], others[q]
-            once = (a < b) if lone else (a != b)
-            p, q, a, b = p[once], q[once], a[once], b[once]
-            parts.append((np.minimum(a, b), np.maximum(a, b), same[p, q], score[p, q]))
-        a, b, same, score = (np.concatenate(z) for z in zip(*parts)) if parts else ([], [], [], [])
+        mine = unit.column("member").to_numpy(zero_copy_only=False)
+        members, visitors = unit.filter(pa.array(mine)), unit.filter(pa.array(~mine))
         kind = unit.schema.field("id").type
-        return pa.table({"a": pa.array(a, kind), "b": pa.array(b, kind), "same": pa.array(same, pa.bool_()), "score": pa.array(score, pa.float64())})
+        parts, pairs = [], 0
+        sides = [(members, visitors, False)] + ([(members, members, True)] if unit.column("visit")[0].as_py() == 0 else [])
+        for left, right, lone in sides:
+            if not left.num_rows or not right.num_rows:
+                continue
+            ids, others, folders, theirs = (np.array(t.column(c).to_pylist(), object) for c in ("id", "folder") for t in (left, right))
+            x, y = _matrix(left.column("v")), _matrix(right.column("v")).T
+            pairs += len(ids) * (len(ids) - 1) // 2 if lone else len(ids) * len(others)
+            for at in range(0, len(ids), 256):
+                score = x[at: at + 256] @ y
+                same = folders[at: at + 256, None] == theirs[None]
+                p, q = np.nonzero(score >= np.where(same, inside, across))
+                a, b = ids[at + p], others[q]
+                once = (a < b) if lone else (a != b)
+                p, q, a, b = p[once], q[once], a[once], b[once]
+                parts.append((np.minimum(a, b), np.maximum(a, b), same[p, q], score[p, q]))
+        a, b, same, score = (np.concatenate(z) for z in zip(*parts)) if parts else ([], [], [], [])
+        return pa.table({"a": pa.array([*a, None], kind), "b": pa.array([*b, None], kind), "same": pa.array([*same, None], pa.bool_()), "score": pa.array([*score, None], pa.float64()),
+                         "pairs": pa.array([0] * len(a) + [pairs], pa.int64())})
 
-    return units.groupBy("i", "j").applyInArrow(compare, f"a {id_type}, b {id_type}, same boolean, score double")
+    names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
+    units = rows.withColumn("h", F.pmod(F.xxhash64("id"), F.lit(1 << 40))).mapInArrow(deal, f"{names}, ball int, part int, visit int, member boolean")
+    id_type = schema["id"].dataType.simpleString()
+    return units.groupBy("ball", "part", "visit").applyInArrow(compare, f"a {id_type}, b {id_type}, same boolean, score double, pairs long")
 
 
 def set_twins(docs: DataFrame, across: float = ACROSS, inside: float = INSIDE) -> DataFrame:

@@ -5,6 +5,9 @@ import itertools
 import math
 import random
 
+import numpy as np
+import pytest
+
 from pyspark.sql import functions as F
 
 from notewell.operators import incremental as I
@@ -193,3 +196,20 @@ def test_nearest_in_blocks(spark, monkeypatch):
             scores = sorted((-sum(a * b for a, b in zip(v[q], v[i])), i) for i in v if i != q and (within is None or i % 3 == q % 3))[:4]
             want += [(q, i, -s, n + 1) for n, (s, i) in enumerate(scores)]
         assert rows(R.nearest(rows_, asked, 4, within)) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("block", [16, 4096])
+def test_vector_twins_of_clusters(spark, block):
+    """Clusters, a large group of near copies, a line and noise: nothing is lost, and most pairs never meet."""
+    rng = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    around = unit(rng.normal(size=(12, 16)))
+    v = np.r_[*(unit(c + rng.normal(size=(40, 16)) * 0.08) for c in around), unit(around[0] + rng.normal(size=(150, 16)) * 0.001), unit(rng.normal(size=(40, 16))), around[:1], around[:1]]
+    folder = rng.integers(0, 3, len(v))
+    df = spark.createDataFrame([(i, int(f), [float(c) for c in x]) for i, (f, x) in enumerate(zip(folder, v))] + [(9999, 0, None)], "id long, folder int, v array<double>")
+    got = {(r.a, r.b): r.same for r in W.vector_twins(df, block=block).collect()}
+    score = v @ v.T
+    want = {(i, j): bool(folder[i] == folder[j]) for i in range(len(v)) for j in range(i + 1, len(v)) if abs(score[i, j] - (t := 0.72 if folder[i] == folder[j] else 0.80)) > 1e-9 and score[i, j] >= t}
+    assert got == want
+    assert W.vector_twins(df, block=block).count() == len(want)
+    assert W.pair_share(df, 0.72, block) < 0.35 and W.vector_twins(df.limit(0)).count() == 0
