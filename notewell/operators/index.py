@@ -25,7 +25,9 @@ from .incremental import snapshot_diff
 from .retrieval import B, K1, broadcast_if_small, top_k
 
 #: Documents of a range, folders that terms are dealt into, and ranges that are scored first for each query.
-RANGE, BUCKETS, FIRST = 1024, 64, 4
+RANGE, BUCKETS, FIRST = 4096, 64, 4
+#: Bytes of query texts that are searched for at once.
+QUERY_BYTES = 8 << 20
 #: Dead documents among all, and segments, beyond which an update compacts the index.
 DEAD_SHARE, SEGMENTS = 0.25, 8
 
@@ -192,14 +194,57 @@ class TextIndex:
         idf = df.select("term", F.ln((F.lit(state["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
         return durable(asked.join(idf, "term")), blocks
 
-    def _scores(self, state: dict, pairs: DataFrame, asked: DataFrame, blocks: DataFrame, mean: float, weights: DataFrame | None) -> DataFrame:
-        """(query_id, id, score) of all documents in the ranges of (query_id, range)."""
-        wanted = pairs.join(asked, "query_id").select("query_id", "range", "term", (F.col("qtf") * F.col("idf")).alias("w"))
-        met = blocks.select("term", "range", "postings").join(broadcast_if_small(durable(wanted)), ["term", "range"])
-        rows = met.select("query_id", "range", "w", F.explode("postings").alias("p")).select("query_id", "range", "p.id", (F.col("w") * part(F.col("p.tf"), F.col("p.length"), mean)).alias("s"))
+    def _scores(self, state: dict, pairs: DataFrame, asked: DataFrame, blocks: DataFrame, mean: float, k: int | None) -> DataFrame:
+        """(query_id, id, score) of the documents in the ranges of (query_id, range), of each range a query's ``k`` best and what comes close to them, or all.
+
+        A range's blocks of all asked terms come together once, however many queries ask for it, and are scored as arrays; a range is bounded, and so is its result.
+        """
+        ship(self.spark)
+        weights: dict[str, list] = {}
+        kinds = pairs.schema["query_id"].dataType
+        for r in asked.select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w")).toLocalIterator():
+            weights.setdefault(r["term"], []).append((r["query_id"], r["w"]))
+        told = self.spark.sparkContext.broadcast(weights)
+
+        def score(left: pa.Table, right: pa.Table) -> pa.Table:
+            wanted = set(right.column("query_id").drop_null().to_pylist())
+            postings = left.column("postings").combine_chunks() if left.num_rows else pa.array([], left.schema.field("postings").type)
+            flat = postings.flatten()
+            ids, doc = np.unique(flat.field("id").to_numpy(zero_copy_only=False), return_inverse=True) if len(flat) else (np.zeros(0), np.zeros(0, int))
+            tf, length = (flat.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("tf", "length"))
+            part_of = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+            ends = np.cumsum(postings.value_lengths().to_numpy(zero_copy_only=False)) if len(postings) else np.zeros(0, int)
+            dead = np.isin(ids, right.column("dead").drop_null().to_numpy()) if len(ids) else np.zeros(0, bool)
+            total: dict = {}
+            for at, term in enumerate(left.column("term").to_pylist()):
+                own = slice(ends[at - 1] if at else 0, ends[at])
+                for query, w in told.value.get(term, ()):
+                    if query in wanted:
+                        # a document stands once in a block
+                        total.setdefault(query, np.zeros(len(ids)))[doc[own]] += w * part_of[own]
+            queries, found, scores = [], [], []
+            for query, s in total.items():
+                s[dead] = 0
+                best = np.flatnonzero(s > 0)
+                if k is not None and len(best) > k:
+                    best = best[s[best] >= np.partition(s[best], len(best) - k)[len(best) - k] - 0.00001]
+                queries += [query] * len(best)
+                found.append(ids[best])
+                scores.append(s[best])
+            of = right.schema.field("query_id").type
+            kept = pa.array(np.concatenate(found), left.schema.field("postings").type.value_type.field("id").type) if found else pa.array([], left.schema.field("postings").type.value_type.field("id").type)
+            return pa.table({"query_id": pa.array(queries, of), "id": kept, "score": pa.array(np.concatenate(scores) if scores else [], pa.float64())})
+
+        id_type = self._read(state["documents"]).schema["id"].dataType
+        none = lambda kind: F.lit(None).cast(kind)
+        sides = pairs.select("range", "query_id", none(id_type).alias("dead"))
         if state["dead"] is not None:
-            rows = rows.join(broadcast_if_small(self._read(state["dead"])), ["id", "range"], "left_anti")
-        scored = rows.groupBy("query_id", "id").agg(F.sum("s").alias("score"))
+            sides = sides.union(self._read(state["dead"]).join(F.broadcast(pairs.select("range").distinct()), "range", "left_semi").select("range", none(kinds), "id"))
+        open_blocks = blocks.join(broadcast_if_small(durable(pairs.select("range").distinct())), "range", "left_semi").select("range", "term", "postings")
+        scored = open_blocks.groupBy("range").cogroup(sides.groupBy("range")).applyInArrow(score, f"query_id {kinds.simpleString()}, id {id_type.simpleString()}, score double")
+        return scored
+
+    def _weighed(self, scored: DataFrame, weights: DataFrame | None) -> DataFrame:
         if weights is not None:
             scored = scored.join(broadcast_if_small(weights), "id", "left").select("query_id", "id", (F.round("score", 6) * F.coalesce("weight", F.lit(1.0))).alias("score"))
         return scored.select("query_id", "id", F.round("score", 6).alias("score")).where("score > 0")
@@ -216,14 +261,25 @@ class TextIndex:
         With ``weights`` (id, weight), scores are multiplied before they are ranked, and what has none left is out.
         """
         state = self._state()
+        n = queries.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        # query terms are held by every task, so queries of more text than that are searched in parts
+        parts, found = max(1, -(-n // QUERY_BYTES)), None
+        for part_no in range(parts):
+            mine = queries if parts == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part_no)
+            one = self._search(state, mine, k, weights)
+            found = one if found is None else found.union(one)
+        return found
+
+    def _search(self, state: dict, queries: DataFrame, k: int, weights: DataFrame | None) -> DataFrame:
         mean = max(1.0, state["total"] / max(1, state["n"]))
         most = 1.0 if weights is None else float(max(1.0, weights.agg(F.max("weight")).first()[0] or 1.0))
+        cut = k if weights is None else None
         asked, blocks = self._asked(state, queries)
         bounds = durable(self.bounds(state, asked, blocks, mean, most))
         nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "range"))
         ranked = durable(bounds.withColumn("nth", nth))
-        first = durable(self._scores(state, ranked.where(F.col("nth") <= FIRST).select("query_id", "range"), asked, blocks, mean, weights))
+        first = durable(self._weighed(self._scores(state, ranked.where(F.col("nth") <= FIRST).select("query_id", "range"), asked, blocks, mean, cut), weights))
         least = top_k(first, "score", k).where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
         # a bound that comes within the rounding of the k-th score is still looked into
-        open_ranges = ranked.where(F.col("nth") > FIRST).join(least, "query_id", "left").where("least IS NULL OR bound >= least - 0.00001").select("query_id", "range")
-        return top_k(first.union(self._scores(state, open_ranges, asked, blocks, mean, weights)), "score", k)
+        open_ranges = durable(ranked.where(F.col("nth") > FIRST).join(least, "query_id", "left").where("least IS NULL OR bound >= least - 0.00001").select("query_id", "range"))
+        return top_k(first.union(self._weighed(self._scores(state, open_ranges, asked, blocks, mean, cut), weights)), "score", k)

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from notewell.operators import index as X
 from notewell.operators import retrieval as R
 from notewell.operators.index import TextIndex
 from notewell.sources import versions
@@ -52,7 +53,7 @@ def test_index_through_changes(spark, tmp_path):
     assert found(index, queries, 5) == []
 
 
-def test_index_weights_and_odd_rows(spark, tmp_path):
+def test_index_weights_and_odd_rows(spark, tmp_path, monkeypatch):
     docs, queries = corpus(spark, range(200), 3), asked(spark)
     index = TextIndex(spark, str(tmp_path / "index"))
     index.build(docs.withColumn("term", F.lit("clash")), size=8, buckets=4)
@@ -61,6 +62,9 @@ def test_index_weights_and_odd_rows(spark, tmp_path):
     scored = scored.select("query_id", "id", F.round(F.round("bm25", 6) * F.coalesce("weight", F.lit(1.0)), 6).alias("score")).where("score > 0")
     assert found(index, queries, 6, weights=weights) == sorted(map(tuple, R.top_k(scored, "score", 6).collect()))
     assert found(index, queries.limit(0), 6) == []
+    # queries of more text than is held at once
+    monkeypatch.setattr(X, "QUERY_BYTES", 40)
+    assert found(index, queries, 6) == plain(docs, queries, 6)
 
 
 def test_search_opens_only_folders_of_its_terms(spark, tmp_path):
@@ -75,7 +79,7 @@ def test_search_opens_only_folders_of_its_terms(spark, tmp_path):
     state = index._state()
     asked_terms, blocks = index._asked(state, asked(spark))
     mean = state["total"] / state["n"]
-    bounds = index.bounds(state, asked_terms, blocks, mean)
+    bounds = index.bounds(state, asked_terms, blocks, mean).checkpoint()
     scores = index._scores(state, bounds.select("query_id", "range"), asked_terms, blocks, mean, None).join(index.documents().select("id", "range"), "id")
     assert scores.join(bounds, ["query_id", "range"]).where("score > bound + 0.000001").count() == 0
 
