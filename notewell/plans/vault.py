@@ -239,6 +239,25 @@ def transcript_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read
 
 
+@add("""WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations),
+r AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN [text] WHEN 1 THEN [text, '[tool_use:grep]', '[tool_use:?]'] WHEN 2 THEN ['[tool_result]: ' || substr(text, 1, 400), text]
+  ELSE ['[tool_result]: ' || substr(text, 1, 400) || chr(10) || '[tool_result]: turn ' || turn] END AS parts FROM t)
+SELECT conv_id, turn, md5(coalesce(array_to_string(list_filter(parts, lambda x: x <> ''), chr(10)), '')) AS text FROM r""")
+def transcript_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as strings, text blocks, tool calls, and tool results of a string or a list, rendered from their JSON."""
+    text = F.coalesce("text", F.lit(""))
+    said = F.struct(F.lit("text").alias("type"), text.alias("text"))
+    js = lambda *parts: F.concat(F.lit("["), F.array_join(F.array(*(F.to_json(p) for p in parts)), ", "), F.lit("]"))
+    call = F.struct(F.lit("tool_use").alias("type"), F.lit("grep").alias("name"), F.struct(F.lit("x").alias("pattern")).alias("input"))
+    listed = F.concat(F.lit('[{"type":"tool_result","id":7,"content":['), F.to_json(said), F.lit(',{"type":"image","text":"no"},{"type":"text","text":"turn '), F.col("turn").cast("string"), F.lit('"}]}]'))
+    # the value alone of {"s":value}
+    plain = F.regexp_replace(F.to_json(F.struct(text.alias("s"))), r'^\{"s":|\}$', "")
+    kind = F.col("turn") % 4
+    content = (F.when(kind == 0, plain).when(kind == 1, js(said, call, F.struct(F.lit("tool_use").alias("type")), F.struct(F.lit("thinking").alias("type"))))
+               .when(kind == 2, js(F.struct(F.lit("tool_result").alias("type"), text.alias("content")), said)).otherwise(listed))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", content.alias("content")).select("conv_id", "turn", F.md5(N.record_text("content")).alias("text"))
+
+
 @add("SELECT sha1(o_orderkey::VARCHAR) AS sha, strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderpriority AS subject FROM orders")
 def commit_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders written as a tab-separated log, and read back."""

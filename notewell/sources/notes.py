@@ -118,19 +118,28 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def record_text(record: F.Column | str = "content", most: int = 400) -> F.Column:
-    """Text of a transcript record's content, in JSON: a string, or blocks of text, tool_use and tool_result (cut to ``most``; a string or text blocks)."""
+    """Text of a transcript record's content, in JSON: a string, or blocks of text, tool_use and tool_result (cut to ``most``; a string or text blocks).
+
+    The record is parsed once, as a variant. Other blocks and empty ones are left out; what is no JSON, or neither a string nor a list, is its own text.
+    """
     raw = F.col(record) if isinstance(record, str) else record
-    blocks = F.from_json(raw, "array<struct<type:string,text:string,name:string,content:string>>")
+    get = lambda v, path, kind: F.try_variant_get(v, path, kind)
+
+    def result(block: F.Column) -> F.Column:
+        parts = F.filter(get(block, "$.content", "array<variant>"), lambda x: get(x, "$.type", "string") == "text")
+        listed = F.array_join(F.transform(parts, lambda x: F.concat(F.lit("[tool_result]: "), F.substring(get(x, "$.text", "string"), 1, most))), "\n")
+        return F.coalesce(listed, F.concat(F.lit("[tool_result]: "), F.substring(get(block, "$.content", "string"), 1, most)))
+
+    def rendered(block: F.Column) -> F.Column:
+        kind = get(block, "$.type", "string")
+        return (F.when(kind == "text", get(block, "$.text", "string")).when(kind == "tool_use", F.concat(F.lit("[tool_use:"), F.coalesce(get(block, "$.name", "string"), F.lit("?")), F.lit("]")))
+                .when(kind == "tool_result", result(block)))
 
-    def result(content: F.Column) -> F.Column:
-        parts = F.filter(F.from_json(content, "array<struct<type:string,text:string>>"), lambda x: x["type"] == "text")
-        listed = F.array_join(F.transform(parts, lambda x: F.concat(F.lit("[tool_result]: "), F.substring(x["text"], 1, most))), "\n")
-        return F.when(F.trim(content).startswith("[{"), listed).otherwise(F.concat(F.lit("[tool_result]: "), F.substring(content, 1, most)))
+    def text(v: F.Column) -> F.Column:
+        blocks = F.transform(get(v, "$", "array<variant>"), rendered)
+        return F.coalesce(F.array_join(F.filter(blocks, lambda x: x.isNotNull() & (x != "")), "\n"), F.when(F.ltrim(raw).startswith('"'), get(v, "$", "string")), raw)
 
-    rendered = F.transform(blocks, lambda b: F.when(b["type"] == "text", b["text"]).when(b["type"] == "tool_use", F.concat(F.lit("[tool_use:"), F.coalesce(b["name"], F.lit("?")), F.lit("]")))
-                           .when(b["type"] == "tool_result", result(b["content"])))
-    plain = F.from_json(F.concat(F.lit('{"s":'), raw, F.lit("}")), "s string")["s"]
-    return F.when(F.trim(raw).startswith("["), F.array_join(F.filter(rendered, lambda x: x.isNotNull() & (x != "")), "\n")).when(F.trim(raw).startswith('"'), plain).otherwise(raw)
+    return F.transform(F.array(F.try_parse_json(raw)), text)[0]
 
 
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
