@@ -169,8 +169,9 @@ class Once(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         return bundles({}, sizes(self.root, self.suffix, self.only))
 
-    def read(self, partition: Pieces) -> Iterator[pa.RecordBatch]:
-        yield from read_pieces(self.root, self.suffix, partition.pieces, True)
+    def read(self, partition: Pieces | None) -> Iterator[pa.RecordBatch]:
+        # without any file Spark asks once, for nothing
+        yield from read_pieces(self.root, self.suffix, partition.pieces if partition else [], True)
 
 
 class Following(DataSourceStreamReader):
@@ -186,8 +187,8 @@ class Following(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         return bundles(start["read"], end["read"])
 
-    def read(self, partition: Pieces) -> Iterator[pa.RecordBatch]:
-        yield from read_pieces(self.root, self.suffix, partition.pieces, False)
+    def read(self, partition: Pieces | None) -> Iterator[pa.RecordBatch]:
+        yield from read_pieces(self.root, self.suffix, partition.pieces if partition else [], False)
 
 
 def read_lines(spark: SparkSession, path: str, suffix: str = ".jsonl", only: str = "") -> DataFrame:

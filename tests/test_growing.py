@@ -49,6 +49,11 @@ def test_compressed_files(spark, tmp_path):
     assert {r.line for r in G.read_lines(spark, str(tmp_path)).where("session = 'bad'").collect()} == {'{"i": 7}', '{"i": 8}', '{"i": 9}'}
 
 
+def test_folders_without_files(spark, tmp_path):
+    assert G.read_lines(spark, str(tmp_path)).count() == 0 and G.read_lines(spark, str(tmp_path / "none")).count() == 0
+    assert C.run_available(G.follow_lines(spark, str(tmp_path / "none")), str(tmp_path / "s"), "append").count() == 0
+
+
 def test_stream_reads_on(spark, tmp_path):
     logs = tmp_path / "logs"
     logs.mkdir()
