@@ -37,10 +37,16 @@ def marked_transcripts(marks: DataFrame, logs: DataFrame) -> DataFrame:
     ``marks`` has session_id, mark_token and marked_at; ``logs`` path, text and mtime. Logs are read once for all tokens, and only paths and times leave them. A null or empty token
     stands in no log.
     """
-    asked = marks.select("session_id", F.col("mark_token").alias("token"), "marked_at")
-    met = durable(tokens_within(logs.select(F.struct("path", "mtime").alias("id"), "text"), asked.select("token")).select("id.path", "id.mtime", "token"))
-    fresh = F.col("mtime") >= F.col("marked_at") - F.expr("INTERVAL 1 DAY")
-    found = met.join(asked, "token").where(fresh).groupBy("session_id").agg(F.min("path").alias("path"))
+    asked = durable(marks.select("session_id", F.col("mark_token").alias("token"), (F.col("marked_at") - F.expr("INTERVAL 1 DAY")).alias("at")))
+    met = tokens_within(logs.select(F.struct("path", "mtime").alias("id"), "text"), asked.select("token"))
+    # of a token and a time one log, and one mark; then the least path from a time on, by day and inside the day, and never mark by log
+    first = met.groupBy("token", F.col("id.mtime").alias("at")).agg(F.min("id.path").alias("path"))
+    times = durable(first.unionByName(asked.where("token <> ''").select("token", "at").distinct(), allowMissingColumns=True).withColumn("day", F.to_date("at")))
+    inside = Window.partitionBy("token", "day").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = Window.partitionBy("token").orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)
+    days = times.groupBy("token", "day").agg(F.min("path").alias("_day")).select("token", "day", F.min("_day").over(ahead).alias("later"))
+    least = times.select("token", "at", "day", F.min("path").over(inside).alias("path")).join(days, ["token", "day"]).groupBy("token", "at").agg(F.min(F.least("path", "later")).alias("path"))
+    found = asked.join(least, ["token", "at"]).where("path IS NOT NULL").groupBy("session_id").agg(F.min("path").alias("path"))
     return marks.select("session_id").join(found, "session_id", "left")
 
 
