@@ -394,3 +394,14 @@ def section_tokens(output: Column) -> Column:
 def cited_keys(output: Column) -> Column:
     """Names of the notes that a text links to, as ``stem`` gives them, each once."""
     return F.array_distinct(F.filter(F.transform(F.regexp_extract_all(output, F.lit(r"\[\[([^\]|#]+)"), F.lit(1)), lambda x: stem(F.trim(x))), lambda x: x != ""))
+
+
+def patch_status(raw: Column, status: Column) -> Column:
+    """A note's text with ``status:`` set in its front matter, the first such line or a new last one; null where the text has no front matter."""
+    end = F.instr(F.substr(raw, F.lit(4)), F.lit("\n---")) + 3
+    head, rest = F.substr(raw, F.lit(1), end - 1), F.substr(raw, end)
+    # of the lines the first that sets it, with what stands before and after
+    before = F.regexp_extract(head, r"(?s)\A(.*?)(?<![^\n])status:[^\n]*", 1)
+    after = F.regexp_extract(head, r"(?s)\A.*?(?<![^\n])status:[^\n]*(.*)\z", 1)
+    patched = F.when(head.rlike(r"(?<![^\n])status:"), F.concat(before, F.lit("status: "), status, after)).otherwise(F.concat(F.rtrim(head, F.lit("\n")), F.lit("\nstatus: "), status, F.lit("\n")))
+    return F.when(raw.startswith("---") & (end > 3), F.concat(patched, rest))

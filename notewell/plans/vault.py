@@ -172,6 +172,16 @@ def set_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.set_status(before, new)
 
 
+@add(f"""WITH {PATHS_SQL}, r AS (SELECT path, {RAW} AS raw, doc_id FROM p)
+SELECT path, md5(CASE WHEN doc_id % 3 = 2 THEN replace(raw, '-11' || chr(10) || CASE WHEN doc_id % 5 = 2 THEN 'resolved: 2026-1' || (doc_id % 3) || '-05' || chr(10) ELSE '' END || '---',
+    '-11' || CASE WHEN doc_id % 5 = 2 THEN chr(10) || 'resolved: 2026-1' || (doc_id % 3) || '-05' ELSE '' END || chr(10) || 'status: closed' || chr(10) || chr(10) || '---')
+  ELSE regexp_replace(raw, 'status: [a-z]+', 'status: closed') END) AS note FROM r""")
+def patched_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes' own texts with a status written into them, in place of the old one or as a last line of the front matter."""
+    files = rendered_paths(spark, sf_dir).select("path", F.expr(RAW).alias("raw"))
+    return files.select("path", F.md5(T.patch_status(F.col("raw"), F.lit("closed"))).alias("note"))
+
+
 @add(f"""WITH {NOTES} SELECT path, md5('---' || chr(10) || 'title: "T ' || doc_id || '"' || chr(10) || 'module: m' || (doc_id % 4) || chr(10)) AS head, substr(description || chr(10) || 'Head ' || doc_id, 1, 40) AS claim FROM n""")
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A note's head without its tags, and what it claims."""

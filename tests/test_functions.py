@@ -106,3 +106,9 @@ def test_vectors(spark):
     df = spark.createDataFrame([([3.0, 4.0], [1.0, 0.0]), ([0.0, 0.0], [1.0, 0.0])], "a array<double>, b array<double>")
     got = df.select(V.dot("a", "b"), V.norm(F.col("a")), V.normalize(F.col("a")), V.cosine(F.col("a"), F.col("b"))).collect()
     assert [tuple(r) for r in got] == [(3.0, 5.0, [0.6, 0.8], 0.6), (0.0, 0.0, [0.0, 0.0], None)]
+
+
+def test_patch_status(spark):
+    data = ["---\nstatus: open\nx: 1\nstatus: b\n---\nbody\n---\n", "---\nx: 1\n---\nbody status: no\n", "---\nmy status: a\n\n---", "no front matter\nstatus: x", "---\nnever closed", None]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(data)], "i int, t string").orderBy("i").select(T.patch_status(F.col("t"), F.lit("done"))).collect()]
+    assert got == ["---\nstatus: done\nx: 1\nstatus: b\n---\nbody\n---\n", "---\nx: 1\nstatus: done\n\n---\nbody status: no\n", "---\nmy status: a\nstatus: done\n\n---", None, None, None]
