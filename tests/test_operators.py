@@ -213,3 +213,18 @@ def test_vector_twins_of_clusters(spark, block):
     assert got == want
     assert W.vector_twins(df, block=block).count() == len(want)
     assert W.pair_share(df, 0.72, block) < 0.35 and W.vector_twins(df.limit(0)).count() == 0
+
+
+def test_vector_twins_of_a_wide_angle_are_sent_to_shelves(spark):
+    """Without structure and at a low threshold nearly all pairs meet: a vector goes once to each shelf, not to each cell, and the pairs are those of brute force."""
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(1500, 12))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, None if i % 3 else "f", [float(c) for c in x]) for i, x in enumerate(v)], "id long, folder string, v array<double>")
+    balls, block = W.fit_balls(df, 0.35, 200)
+    row = balls.shelves(v, np.arange(len(v)))[1]
+    assert block == 200 and len(balls.visitors) < len(balls.low) / 10 and np.bincount(row).max() < len(balls.visitors) <= 2 * len(v) / block + 1
+    score, kind = v @ v.T, np.arange(len(v)) % 3 == 0
+    want = np.triu(score >= np.where(kind[:, None] == kind[None], 0.45, 0.5), 1)
+    got = W.vector_twins(df, 0.5, 0.45, 200).select("a", "b").collect()
+    assert {tuple(r) for r in got} == set(zip(*map(np.ndarray.tolist, np.nonzero(want)))) and len(got) == want.sum() > 1000
