@@ -13,6 +13,7 @@ from ..api import Vault
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import incremental as I
+from ..operators import retrieval as R
 from ..operators import sessions as S
 from ..operators import tickets as K
 from ..session import discard, durable, scratch, ship, spread
@@ -333,10 +334,10 @@ def ticket_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
      "FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id) WHERE label <> b GROUP BY ALL")
 def best_per_neighbour(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of all chunk pairs of one label the best for each pair of notes."""
-    rows = table(spark, sf_dir, "embeddings")
-    a, b = rows.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x"), "label"), rows.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"), "label")
-    note = lambda c: F.concat(F.lit("w/Learnings/"), c.cast("string"), F.lit(".md"))
-    hits = a.join(b, "label").where("a < b").select(note(F.col("a") % 7).alias("path"), note(F.col("label")).alias("other"), F.round(V.dot("x", "y"), 6).alias("score"))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label", (F.col("vec_id") % 7).alias("chunk"))
+    note = lambda c: F.concat(F.lit("w/Learnings/"), F.col(c).cast("string"), F.lit(".md"))
+    # of a note's chunks only the best one of each label is a hit that can count
+    hits = R.best_within(rows, "label", "chunk").select(note("chunk").alias("path"), note("label").alias("other"), F.round("score", 6).alias("score"))
     return K.best_per_neighbour(hits)
 
 

@@ -228,3 +228,16 @@ def test_vector_twins_of_a_wide_angle_are_sent_to_shelves(spark):
     want = np.triu(score >= np.where(kind[:, None] == kind[None], 0.45, 0.5), 1)
     got = W.vector_twins(df, 0.5, 0.45, 200).select("a", "b").collect()
     assert {tuple(r) for r in got} == set(zip(*map(np.ndarray.tolist, np.nonzero(want)))) and len(got) == want.sum() > 1000
+
+
+@pytest.mark.parametrize("block", [7, 100])
+def test_best_within_blocks(spark, block):
+    rng = random.Random(2)
+    data = [(i, rng.choice(("a", "b", None)), i % 3, None if i % 11 == 0 else [rng.uniform(-1, 1) for _ in range(4)]) for i in range(60)] + [(100, "lone", 1, [1.0] * 4), (101, "dark", 1, None), (102, "dark", 2, [1.0] * 4)]
+    want = {}
+    for (i, w, k, v), (j, u, _, x) in itertools.permutations(data, 2):
+        if w is not None and w == u and i < j:
+            score = None if v is None or x is None else sum(a * b for a, b in zip(v, x))
+            want[w, k] = max((s for s in (want.get((w, k)), score) if s is not None), default=None)
+    got = {(r.w, r.k): r.score for r in R.best_within(spark.createDataFrame(data, "id long, w string, k int, v array<double>"), "w", "k", block).collect()}
+    assert got.keys() == want.keys() and got["dark", 1] is None and all(got[x] == pytest.approx(want[x]) for x in want)
