@@ -167,3 +167,49 @@ def test_sections_and_citations(spark):
     assert got[0].s == {"header": size("<vault-context>\n"), "matches": size("## Top matches (2)\n- [[w/Note-A.md|x]]\n", "## Top matches again\n"),
                         "body_excerpt": size("  ### Body excerpt of\nabc\n\n"), "footer": size("Read body: [[note-a#p]] [[ ]]\n</vault-context>")}
     assert got[0].c == ["note-a"] and got[1].s == {} and got[2].s == {"header": 1}
+
+
+class Store:
+    """A handle of one key's state that counts how often the store is asked."""
+
+    def __init__(self):
+        self.asked, self.value = 0, None
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    getMapState = getListState = getValueState  # noqa: N815
+
+    def registerTimer(self, at):  # noqa: N802
+        pass
+
+    def __getattr__(self, name):
+        def access(*value):
+            self.asked += 1
+            if name == "update":
+                self.value = value[0]
+            return {"get": self.value, "exists": self.value is not None}.get(name, [])
+
+        return access
+
+
+def test_state_is_one_read_and_one_write_a_batch():
+    """However many keys, tiers and sections a session has."""
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    seen = pd.DataFrame({"us": range(40), "ord": range(40), "tier": [f"t{i % 8}" for i in range(40)], "tokens": [2] * 40, "sections": [{f"s{i}": 1} for i in range(40)], "cited": [[f"k{i}"] for i in range(40)]})
+    shown, store = state.Shown(), Store()
+    shown.init(store)
+    for nth in (1, 2):
+        last = list(shown.handleInputRows(("s",), iter([seen]), None))[-1]
+        assert store.asked == 2 * nth and last["prompts"][0] == 40 * nth and last["total"][0] == 80 * nth
+    assert len(last["cited"][0].split(",")) == 40 and last["recent"][0] == "2,2,2,2,2"
+    rows = pd.DataFrame({"session": ["s"] * 30, "ts": pd.Timestamp(0), "key_": [f"k{i}" for i in range(30)], "us_": range(30), "order_": range(30)})
+    repeats, store = state.Repeats(1_000_000, 2000), Store()
+    repeats.init(store)
+    assert [len(list(repeats.handleInputRows(("s",), iter([rows]), None))[0]) for _ in range(2)] == [30, 0] and store.asked == 3
+    now = SimpleNamespace(getCurrentWatermarkInMs=lambda: 10_000)
+    list(repeats.handleExpiredTimer(("s",), now, None))
+    assert store.asked == 5
