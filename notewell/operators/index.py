@@ -77,6 +77,40 @@ def blocks_of(docs: DataFrame, base: int, size: int) -> DataFrame:
     return rows.mapInArrow(run, f"term string, range long, n long, max_tf long, min_length long, postings array<struct<id: {kind}, tf: long, length: long>>, signatures array<string>")
 
 
+def alive(blocks: DataFrame, dead: DataFrame) -> DataFrame:
+    """(term, range, n, max_tf, min_length, postings) without the postings of dead (id, range) documents, and without blocks that are left empty.
+
+    Blocks of ranges that lost no document stay where they are. A range's other blocks come together with its dead documents once, and each batch of them is looked through as one array, so the
+    work is that of its postings and not of postings times dead documents.
+    """
+    ship(blocks.sparkSession)
+    names = ["term", "range", "n", "max_tf", "min_length", "postings"]
+    blocks, hurt = blocks.select(*names), broadcast_if_small(dead.select("range").distinct())
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in blocks.schema)
+
+    def drop(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return left
+        gone, parts = right.column("id").combine_chunks(), []
+        for b in left.combine_chunks().to_batches(4096):
+            lists = b.column(5)
+            flat, sizes = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(lists)), sizes)
+            kept = pc.invert(pc.is_in(flat.field("id"), gone))
+            flat, row = flat.filter(kept), row[kept.to_numpy(zero_copy_only=False)]
+            n = np.bincount(row, minlength=len(lists))
+            some = np.flatnonzero(n)
+            ends = np.r_[0, np.cumsum(n[some])]
+            most, least = (f.reduceat(flat.field(c).to_numpy(zero_copy_only=False), ends[:-1]) if len(some) else np.zeros(0, np.int64) for f, c in ((np.maximum, "tf"), (np.minimum, "length")))
+            term, of = (b.column(k).take(pa.array(some)) for k in (0, 1))
+            parts.append(pa.RecordBatch.from_arrays([term, of, pa.array(n[some].astype(np.int64)), pa.array(most), pa.array(least), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), flat)], names))
+        return pa.Table.from_batches(parts)
+
+    left = blocks.join(hurt, "range", "left_semi").select(*names).toDF(*names)
+    kept = left.groupBy("range").cogroup(dead.select("range", "id").groupBy("range")).applyInArrow(drop, schema)
+    return blocks.join(hurt, "range", "left_anti").select(*names).union(kept)
+
+
 def part(tf: Column, length: Column, mean: float) -> Column:
     """What a term's frequency adds to a score, before its rarity; it rises with ``tf`` and falls with ``length``, whatever the mean length is."""
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(mean)))
@@ -162,11 +196,7 @@ class TextIndex:
         state = self._state()
         blocks, self._buckets = self._blocks(state).drop("bucket"), state["buckets"]
         if state["dead"] is not None:
-            dead = self._read(state["dead"]).groupBy("range").agg(F.collect_set("id").alias("_dead"))
-            alive = F.filter("postings", lambda p: F.coalesce(~F.array_contains("_dead", p["id"]), F.lit(True)))
-            blocks = blocks.join(broadcast_if_small(dead), "range", "left").withColumn("postings", alive).where(F.size("postings") > 0).select(
-                "term", "range", F.size("postings").cast("long").alias("n"), F.array_max(F.transform("postings", lambda p: p["tf"])).alias("max_tf"),
-                F.array_min(F.transform("postings", lambda p: p["length"])).alias("min_length"), "postings")
+            blocks = alive(blocks, self._read(state["dead"]))
         self._commit([self._segment(blocks)], state["documents"], None, state["size"], state["buckets"])
 
     def documents(self) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from notewell.operators import index as X
 from notewell.operators import retrieval as R
-from notewell.operators.index import TextIndex
+from notewell.operators.index import TextIndex, alive
 from notewell.sources import versions
 
 WORDS = "amber basin cedar delta ember fjord grove heath islet jetty knoll ledge marsh north ocean plaza quay ridge shore tower".split()
@@ -104,3 +104,14 @@ def test_tables_are_replaced_as_a_whole(spark, tmp_path):
     versions.write_table(spark.range(5), root)
     versions.write_table(spark.range(6), root)
     assert versions.read_table(spark, root).count() == 6 and len(list((tmp_path / "t/data").iterdir())) == 2
+
+
+def test_alive_drops_dead_postings(spark):
+    """Dead documents leave the blocks of their range alone, bounds are those of what is left, and empty blocks go."""
+    post = lambda *x: [(i, tf, 10 * tf) for i, tf in x]
+    blocks = spark.createDataFrame(
+        [("a", 0, 3, 5, 20, post((1, 5), (2, 2), (3, 3))), ("b", 0, 1, 1, 10, post((1, 1))), ("a", 1, 2, 4, 10, post((1, 1), (5, 4)))],
+        "term string, range long, n long, max_tf long, min_length long, postings array<struct<id: long, tf: long, length: long>>")
+    dead = spark.createDataFrame([(1, 0), (9, 0), (7, 2)], "id long, range long")
+    got = {(r.term, r.range): (r.n, r.max_tf, r.min_length, [p.id for p in r.postings]) for r in alive(blocks, dead).collect()}
+    assert got == {("a", 0): (2, 3, 20, [2, 3]), ("a", 1): (2, 4, 10, [1, 5])}
