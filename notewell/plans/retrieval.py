@@ -137,9 +137,8 @@ def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").join(docs, F.col("vec_id") == F.col("doc_id")).select("vec_id", T.first_line(F.col("text")).alias("prompt"))
     weight = statuses(spark, sf_dir).select("id", R.weight_of(F.col("status"), R.STATUS_WEIGHT).alias("weight"))
     # the lexical side is weighed before it is ranked, and once more in the fusion
-    lexical = R.bm25(docs, "doc_id", F.col("text"), asked, "vec_id", F.col("prompt")).join(weight, "id")
-    lexical = lexical.select("query_id", "id", rounded(F.round("bm25", 6) * F.col("weight")).alias("bm25")).where("bm25 > 0")
-    both = R.fuse(cosines, R.top_k(lexical, "bm25", R.CANDIDATES).select("query_id", "id", "bm25"), weight)
+    lexical = R.bm25_top(docs.select(F.col("doc_id").alias("id"), "text"), weight, asked.select(F.col("vec_id").alias("query_id"), F.col("prompt").alias("text")), R.CANDIDATES)
+    both = R.fuse(cosines, lexical, weight)
     return both.select("query_id", "id", "cos", rounded("bm25_n").alias("bm25_n"), rounded("score", 9).alias("score"), "provenance")
 
 

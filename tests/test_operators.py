@@ -252,3 +252,19 @@ def test_pieces_hold_few_words():
     for part in (b, b.slice(2)):
         got = list(R.pieces(part, 1, 8))
         assert pa.Table.from_batches(got) == pa.Table.from_batches([part]) and all(x.num_rows == 1 or len(x.column(1).flatten()) <= 8 for x in got)
+
+
+def test_bm25_top_equals_ranking_all_pairs(spark, monkeypatch):
+    """Scored piece by piece with bounded lists: copies tie to the smaller id, weights count, and a weight of 0 is out."""
+    monkeypatch.setattr(R, "SCORED", 60)
+    rng = random.Random(4)
+    vocabulary = [f"word{i}" for i in range(30)]
+    texts = [" ".join(rng.choices(vocabulary, k=rng.randrange(1, 12))) for _ in range(60)] + ["word1 word2 the word3"] * 25 + [None, "the of"]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame([(i, t, (1.0, 0.4, 0.0)[i % 3]) for i, t in enumerate(texts)], "id long, text string, weight double")
+    asked = spark.createDataFrame([(1, "word1 word2 word1"), (2, "word7 word8 nothing"), (3, "nothing"), (4, None), (5, " ".join(vocabulary))], "query_id long, text string")
+    every = R.bm25(docs, "id", F.col("text"), asked, "query_id", F.col("text")).join(docs.select("id", "weight"), "id")
+    every = every.select("query_id", "id", F.round(F.round("bm25", 6) * F.col("weight"), 6).alias("bm25")).where("bm25 > 0")
+    for k in (4, 40):
+        want = rows(R.top_k(every, "bm25", k).select("query_id", "id", "bm25"))
+        assert rows(R.bm25_top(docs.select("id", "text"), docs.select("id", "weight"), asked, k)) == want and len(want) > 2 * k
