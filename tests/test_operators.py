@@ -82,6 +82,29 @@ def test_set_twins_are_exact(spark):
     assert got == want and len(want) > 20
 
 
+@pytest.mark.parametrize("block, named, counts", [(25, 7, 40), (300, 0, 1 << 22), (None, 1 << 18, 1 << 22)])
+def test_set_twins_by_blocks(spark, monkeypatch, block, named, counts):
+    """Sets of any size share frequent terms; blocks of any size find the same twins, and no join writes out the others."""
+    monkeypatch.setattr(W, "NAMED", named)
+    monkeypatch.setattr(W, "COUNTS", counts)
+    rng = random.Random(8)
+    base = [{f"t{int(rng.paretovariate(0.6)) % 90}" for _ in range(rng.choice((2, 9, 40, 120)))} for _ in range(25)]
+    data = [(i, rng.choice(("x", "y", None)), sorted(t for t in base[i % 25] if rng.random() > 0.08)) for i in range(150)]
+    first = {}
+    for i, f, t in data:
+        if t:
+            first.setdefault((f, frozenset(t)), i)
+    want = {}
+    for ((fa, ta), a), ((fb, tb), b) in itertools.combinations(first.items(), 2):
+        score = len(ta & tb) / math.sqrt(len(ta) * len(tb))
+        if score >= (0.72 if fa == fb else 0.80):
+            want[min(a, b), max(a, b)] = (fa == fb, round(score, 9))
+    found = W.set_twins(spark.createDataFrame(data, "id int, folder string, terms array<string>"), block=block)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    got = [((r.a, r.b), (r.same, round(r.score, 9))) for r in found.collect()]
+    assert len(got) == len(want) > 100 and dict(got) == want
+
+
 def test_vector_twins_thresholds(spark):
     unit = lambda a: [math.cos(a), math.sin(a)]
     data = [(1, "x", unit(0)), (2, "x", unit(math.acos(0.73))), (3, "y", unit(-math.acos(0.79))), (4, "y", unit(-math.acos(0.81)))]
