@@ -9,18 +9,24 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import durable, ship
+from ..session import durable, settled, ship
 
 #: Places of a chain that are looked through at once; and edges between chains, narrow rows, up to which every task holds them.
 BLOCK, HELD = 4096, 200_000
 
 
+def _kept(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt out by keys and written, so that joins by them do not shuffle it again."""
+    return settled(df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys))
+
+
 def place(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(origin, sha, chain, pos) of commits (origin, sha) on the paths that (origin, sha, parent) links make; a chain is named by its root.
 
@@ -64,6 +70,28 @@ class History:
         crossing = crossing.join(there, ["origin", "parent"]).groupBy("origin", "chain", "pos", "to_chain").agg(F.max("to_pos").alias("to_pos"))
         return cls(placed, durable(crossing))
 
+    @classmethod
+    def of_lines(cls, lines: DataFrame, merged: DataFrame, others: DataFrame | None = None) -> History:
+        """From commits as their source lists them, (origin, line, at, sha, parent), each once and with its first parent; edges (origin, sha, parent) to further parents; and commits that may be in neither.
+
+        A commit that follows its first parent in a line is on that one's chain, so places come from one window over the lines instead of jumps over all commits. Where a line
+        does not go on with an heir, another chain begins, with an edge to the parent: lines that say little make more chains, not other results.
+        """
+        w = Window.partitionBy("origin", "line").orderBy("at")
+        rows = lines.withColumn("_heir", F.coalesce(F.col("parent") == F.lag("sha").over(w), F.lit(False))).withColumn("_nth", F.row_number().over(w))
+        upto = w.rowsBetween(Window.unboundedPreceding, 0)
+        root = F.max(F.when(~F.col("_heir"), F.struct("_nth", "sha"))).over(upto)
+        placed = rows.withColumn("_root", root).select("origin", "sha", F.col("_root.sha").alias("chain"), (F.col("_nth") - F.col("_root._nth")).cast("long").alias("pos"))
+        placed = _kept(placed, "origin", "sha")
+        leaving = durable(rows.where("NOT _heir AND parent IS NOT NULL").select("origin", "sha", "parent").union(merged.where("parent IS NOT NULL").select("origin", "sha", "parent")).distinct())
+        named = [leaving.select("origin", "sha"), leaving.select("origin", F.col("parent").alias("sha"))] + ([] if others is None else [others.select("origin", "sha").where("sha IS NOT NULL")])
+        alone = durable(reduce(DataFrame.union, named).distinct().join(placed, ["origin", "sha"], "left_anti"))
+        if not alone.isEmpty():
+            placed = _kept(placed.union(alone.select("origin", "sha", F.col("sha").alias("chain"), F.lit(0).cast("long").alias("pos"))), "origin", "sha")
+        there = placed.select("origin", F.col("sha").alias("parent"), F.col("chain").alias("to_chain"), F.col("pos").alias("to_pos"))
+        crossing = leaving.join(placed, ["origin", "sha"]).join(there, ["origin", "parent"]).groupBy("origin", "chain", "pos", "to_chain").agg(F.max("to_pos").alias("to_pos"))
+        return cls(placed, _kept(crossing, "origin", "chain"))
+
     def reach(self, starts: DataFrame, group: list[str], held: int = HELD) -> DataFrame:
         """(origin, group..., chain, upto): the highest place on each chain that the starts (origin, group..., sha) reach, these included.
 
@@ -110,17 +138,21 @@ class History:
         return starts.mapInArrow(run, front.schema)
 
     def _joined(self, front: DataFrame, group: list[str]) -> DataFrame:
-        keys = ["origin", *group, "chain"]
-        seen = front.drop("low")
+        """Groups that a round adds nothing to are done: they are written once more, and not read or written again by later rounds."""
+        whose = ["origin", *group]
+        keys = [*whose, "chain"]
+        seen, done = front.drop("low"), []
         edges = self.crossing.withColumnRenamed("chain", "_chain").withColumnRenamed("origin", "_origin")
         while True:
             left = front.join(edges, (F.col("origin") == F.col("_origin")) & (F.col("chain") == F.col("_chain")) & (F.col("pos") > F.col("low")) & (F.col("pos") <= F.col("upto")))
-            met = left.groupBy("origin", *group, F.col("to_chain").alias("chain")).agg(F.max("to_pos").alias("to_pos"))
+            met = left.groupBy(*whose, F.col("to_chain").alias("chain")).agg(F.max("to_pos").alias("to_pos"))
             better = met.join(seen, keys, "left").where("upto IS NULL OR to_pos > upto").select(*keys, F.col("to_pos").alias("upto"), F.coalesce("upto", F.lit(-1).cast("long")).alias("low"))
             front = durable(better)
             if front.isEmpty():
-                return seen
-            seen = durable(seen.union(front.drop("low")).groupBy(*keys).agg(F.max("upto").alias("upto")))
+                return reduce(DataFrame.union, [*done, seen])
+            moving = durable(front.select(*whose).distinct())
+            done.append(durable(seen.join(moving, whose, "left_anti").select(*keys, "upto")))
+            seen = durable(seen.join(moving, whose, "left_semi").select(*keys, "upto").union(front.drop("low")).groupBy(*keys).agg(F.max("upto").alias("upto")))
 
     def holds(self, reach: DataFrame, asked: DataFrame, group: list[str]) -> DataFrame:
         """``asked`` (origin, group..., sha, ...) with ``held``: does the group's reach take the commit in? Not so for commits that nobody knows."""
@@ -142,13 +174,16 @@ class History:
 
     def summary(self, reach: DataFrame, group: list[str]) -> DataFrame:
         """(origin, group..., commits, first_sha): how many commits a group reaches, and the least of them, from blocks of places and never commit by commit."""
-        rows = self.commits.withColumn("block", F.expr(f"pos DIV {BLOCK}"))
-        upto = F.min("sha").over(Window.partitionBy("origin", "chain", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-        inside = rows.select("origin", "chain", F.col("pos").alias("upto"), upto.alias("least"))
-        blocks = rows.groupBy("origin", "chain", "block").agg(F.min("sha").alias("least"))
+        # commits and the places that are asked for in one window: the least up to each place of a block, and at a whole block's end that of the block
+        asked = reach.select("origin", "chain", F.col("upto").alias("pos"), F.lit(None).cast("string").alias("sha"), F.lit(1).alias("_asked"), *group)
+        rows = self.commits.select("origin", "chain", "pos", "sha", F.lit(0).alias("_asked"), *(F.lit(None).cast(reach.schema[g].dataType).alias(g) for g in group)).union(asked)
+        rows = rows.withColumn("block", F.expr(f"pos DIV {BLOCK}"))
+        upto = F.min("sha").over(Window.partitionBy("origin", "chain", "block").orderBy("pos", "_asked").rowsBetween(Window.unboundedPreceding, 0))
+        rows = rows.withColumn("least", upto)
+        blocks = rows.where(f"_asked = 0 AND pos % {BLOCK} = {BLOCK - 1}").select("origin", "chain", "block", "least")
         ends = reach.withColumn("_end", F.expr(f"upto DIV {BLOCK}"))
         whole = ends.where("_end > 0").join(blocks, ["origin", "chain"]).where("block < _end").select("origin", *group, F.lit(0).cast("long").alias("n"), "least")
-        tops = reach.join(inside, ["origin", "chain", "upto"]).select("origin", *group, (F.col("upto") + 1).alias("n"), "least")
+        tops = rows.where("_asked = 1").select("origin", *group, (F.col("pos") + 1).alias("n"), "least")
         return whole.union(tops).groupBy("origin", *group).agg(F.sum("n").alias("commits"), F.min("least").alias("first_sha"))
 
 
@@ -159,9 +194,9 @@ def reachable_from(edges: DataFrame, starts: DataFrame, group: list[str] = []) -
     return history.beyond(reach, reach.limit(0), group)
 
 
-def is_ancestor(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+def is_ancestor(pairs: DataFrame, edges: DataFrame | History) -> DataFrame:
     """(origin, old, tip, ancestor) of (origin, old, tip): does the tip reach the old commit?"""
-    history = History.of(edges, pairs.select("origin", F.col("tip").alias("sha")))
+    history = edges if isinstance(edges, History) else History.of(edges, pairs.select("origin", F.col("tip").alias("sha")))
     reach = history.reach(pairs.select("origin", "tip", F.col("tip").alias("sha")).distinct(), ["tip"])
     held = history.holds(reach, pairs.select("origin", "tip", F.col("old").alias("sha")), ["tip"])
     return held.select("origin", F.col("sha").alias("old"), "tip", F.col("held").alias("ancestor"))

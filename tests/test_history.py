@@ -75,3 +75,29 @@ def test_history_of_nothing(spark):
     reach = history.reach(spark.createDataFrame([("o", "g", "a"), ("o", "h", "b")], "origin string, g string, sha string"), ["g"])
     assert [tuple(r) for r in reach.collect()] == [("o", "g", "a", 0)]
     assert history.summary(reach, ["g"]).first().commits == 1
+
+
+@pytest.mark.parametrize("held", [0, 200_000])
+def test_lines_give_the_same_history(spark, held):
+    """Lines of any quality place all commits in one window; what is reached is that of the edges. Whole lines are never shuffled for a join by commit again."""
+    rng = random.Random(7)
+    name, edges = random_graph(7, 160, 12)
+    main = {a: b for a, b, k in edges if k == 0}
+    # lines that jump between branches, and a merged parent that no line lists
+    lines = spark.createDataFrame([("o", i % 3 if rng.random() < 0.4 else 9, i, name[i], name[main[i]] if i in main else None) for i in range(160)], "origin string, line int, at int, sha string, parent string")
+    merged = spark.createDataFrame([("o", name[a], name[b]) for a, b, k in edges if k] + [("o", name[159], "elsewhere"), ("o", name[3], None)], "origin string, sha string, parent string")
+    starts = {f"s{i}": i for i in (0, 50, 120, 158, 159)}
+    asked = spark.createDataFrame([("o", k, name[i]) for k, i in starts.items()] + [("o", "alone", "alone"), ("o", "none", "unknown")], "origin string, g string, sha string")
+    history = H.History.of_lines(lines, merged, spark.createDataFrame([("o", "alone"), ("o", None)], "origin string, sha string"))
+    assert history.commits.count() == 162 == history.commits.select("chain", "pos").distinct().count()
+    reach = history.reach(asked, ["g"], held=held)
+    want = {k: {name[x] for x in reached(edges, i)} for k, i in starts.items()} | {"alone": {"alone"}}
+    want["s159"].add("elsewhere")
+    got = defaultdict(set)
+    for r in history.beyond(reach, reach.limit(0), ["g"]).collect():
+        assert r.sha not in got[r.g]
+        got[r.g].add(r.sha)
+    assert got == want
+    assert {(r.g, r.commits, r.first_sha) for r in history.summary(reach, ["g"]).collect()} == {(k, len(v), min(v)) for k, v in want.items()}
+    plan = asked.join(history.commits.hint("merge"), ["origin", "sha"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
