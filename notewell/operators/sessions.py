@@ -55,14 +55,16 @@ def running_hits(events: DataFrame, session: str, order: list[str], hit: Column)
 def drop_repeats(events: DataFrame, keys: list[str], ts: str, seconds: int, order: str) -> DataFrame:
     """Rows less than ``seconds`` after the last *kept* row of their key go, so a steady repeat comes through once in that time.
 
-    A gap of ``seconds`` ends a run, as the row after it is kept whatever was before. Runs are folded apart on (time, ``order``)
-    alone, so a task holds the narrow rows of one run and not those of a key. Rows without a key value count as one key.
+    A gap of ``seconds`` ends a run, as the row after it is kept whatever was before, and so are rows less than ``seconds`` after the first of their run gone. Only the later rows of long runs
+    are folded, apart on (time, ``order``) alone, so a task holds the narrow rows of one run and not those of a key. Rows without a key value count as one key.
     """
     ship(events.sparkSession)
     w = Window.partitionBy(*keys).orderBy(ts, order)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
     us = F.unix_micros(F.col(ts).cast("timestamp"))
-    fresh = F.coalesce(us - F.lag(us).over(w) >= seconds * 1_000_000, F.lit(True)).cast("long")
-    runs = events.select(*keys, order, ts, us.alias("_us"), fresh.alias("_fresh")).withColumn("_run", F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    fresh = F.coalesce(us - F.lag(us).over(w) >= seconds * 1_000_000, F.lit(True))
+    runs = events.select(*keys, order, ts, us.alias("_us"), fresh.alias("_fresh"))
+    runs = runs.withColumn("_run", F.count_if("_fresh").over(upto)).withColumn("_first", F.last(F.when(F.col("_fresh"), F.col("_us")), ignorenulls=True).over(upto))
     schema = events.select(order).schema
 
     def fold(run: pa.Table) -> pa.Table:
@@ -73,7 +75,9 @@ def drop_repeats(events: DataFrame, keys: list[str], ts: str, seconds: int, orde
             at = int(np.searchsorted(times, times[at] + seconds * 1_000_000))
         return run.select([order]).take(kept)
 
-    kept = runs.select(*keys, "_run", order, "_us").groupBy(*keys, "_run").applyInArrow(fold, schema)
+    # the first row that is late for its run's first one is kept, as that was the last kept one before it
+    late = runs.where(~F.col("_fresh") & (F.col("_us") - F.col("_first") >= seconds * 1_000_000))
+    kept = runs.where("_fresh").select(order).union(late.select(*keys, "_run", order, "_us").groupBy(*keys, "_run").applyInArrow(fold, schema))
     return events.join(kept, order, "left_semi")
 
 

@@ -113,6 +113,24 @@ def test_vector_twins_thresholds(spark):
         assert {(r.a, r.b, r.same) for r in W.vector_twins(df, block=block).collect()} == {(1, 2, True), (1, 4, False), (3, 4, True)}
 
 
+def test_only_late_rows_of_long_runs_are_folded(spark, monkeypatch):
+    """Rows far apart and short runs are told apart by Spark alone; before, each run went through Python."""
+    at = lambda s: dt.datetime(2026, 1, 1) + dt.timedelta(seconds=s)
+    near = [(i, "k", at(i // 2 * 200 + i % 2 * 59)) for i in range(20)] + [(20, None, at(0)), (21, "k", None), (22, "k", None)]
+    events = spark.createDataFrame(near, "id int, key string, ts timestamp")
+    with monkeypatch.context() as m:
+        m.setattr(S, "np", None)
+        assert sorted(r.id for r in S.drop_repeats(events, ["key"], "ts", 60, "id").collect() if r.ts) == [*range(0, 20, 2), 20]
+    rng = random.Random(4)
+    rows = [(i, rng.choice("ab"), at(rng.choice((rng.randrange(900), 5000 + rng.randrange(400), 9000)))) for i in range(300)]
+    want, last = [], {}
+    for i, k, ts in sorted(rows, key=lambda r: (r[2], r[0])):
+        if k not in last or (ts - last[k]).total_seconds() >= 60:
+            last[k] = ts
+            want.append(i)
+    assert sorted(r.id for r in S.drop_repeats(spark.createDataFrame(rows, events.schema), ["key"], "ts", 60, "id").collect()) == sorted(want)
+
+
 def test_snapshots_and_marks(spark):
     before = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, "d")], "k int, s string")
     after = spark.createDataFrame([(1, "a"), (2, "x"), (3, None), (5, "e")], "k int, s string")
