@@ -33,10 +33,11 @@ RAW = """concat('---', chr(10), 'title: "T ', doc_id, '"', chr(10), 'tags: [', l
  '---', chr(10), '# Head ', doc_id, chr(10), coalesce(text, ''), chr(10), '[[n', doc_id + 1, ']] [[x/n', doc_id + 3, '|see]] [[nowhere]]')"""
 
 
-def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The manifest of all notes, parsed once and written."""
+def notes(spark: SparkSession, sf_dir: str, once: bool = False) -> DataFrame:
+    """The manifest of all notes, parsed once and written; or, for what reads it ``once``, parsed where it is read, and only what is asked of it."""
     files = rendered_paths(spark, sf_dir).select("path", F.expr(RAW).alias("raw"), F.lit("2026-01-01").cast("timestamp").alias("mtime"), F.md5(F.col("doc_id").cast("string")).alias("sha"))
-    return durable(N.parse_notes(files))
+    found = N.parse_notes(files)
+    return found if once else durable(found)
 
 
 #: What a vault holds of each note, straight from how it was rendered.
@@ -106,7 +107,7 @@ def vault_context(spark: SparkSession, sf_dir: str) -> DataFrame:
      "k AS (SELECT path, replace(string_split(path, '/')[-1], '.md', '') AS name FROM n) SELECT k.path AS id, count(DISTINCT m.path)::BIGINT AS inbound FROM k LEFT JOIN m ON m.target = k.name AND m.name <> k.name GROUP BY k.path")
 def vault_inbound(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many other notes mention each note, besides what their documents' own texts link to (nothing)."""
-    return Vault(notes(spark, sf_dir)).inbound()
+    return Vault(notes(spark, sf_dir, once=True)).inbound()
 
 
 @add(f"WITH {NOTES} SELECT path, description, strftime(authored, '%Y-%m-%d') AS authored FROM n WHERE scope <> 'index' AND project = 'p1' ORDER BY n.authored DESC NULLS LAST, path DESC LIMIT 500")
@@ -133,7 +134,7 @@ def vault_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vault_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes that are asked for by path; paths that are none give nothing."""
     wanted = rendered_paths(spark, sf_dir).where("doc_id % 4 = 1").select("path").union(spark.sql("SELECT '../../etc/passwd' AS path"))
-    read = Vault(notes(spark, sf_dir)).read(wanted)
+    read = Vault(notes(spark, sf_dir, once=True)).read(wanted)
     return read.select("path", "name", "status", (F.octet_length("body") >= 63_997).alias("long"))
 
 

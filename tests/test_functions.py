@@ -112,3 +112,10 @@ def test_patch_status(spark):
     data = ["---\nstatus: open\nx: 1\nstatus: b\n---\nbody\n---\n", "---\nx: 1\n---\nbody status: no\n", "---\nmy status: a\n\n---", "no front matter\nstatus: x", "---\nnever closed", None]
     got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(data)], "i int, t string").orderBy("i").select(T.patch_status(F.col("t"), F.lit("done"))).collect()]
     assert got == ["---\nstatus: done\nx: 1\nstatus: b\n---\nbody\n---\n", "---\nx: 1\nstatus: done\n\n---\nbody status: no\n", "---\nmy status: a\nstatus: done\n\n---", None, None, None]
+
+
+def test_front_matter_parses_a_text_once(spark):
+    """The text is named once in the plan, not again for each pair; and of a repeated key the last value holds."""
+    df = spark.createDataFrame([("---\na: 1\nb: [x, 'y']\nA: 2\n---\nbody",), (None,)], "raw string").select(T.front_matter(F.col("raw")).alias("fm"))
+    assert [r.fm for r in df.collect()] == [{"a": ["2"], "b": ["x", "y"]}, {}]
+    assert df._jdf.queryExecution().analyzed().toString().count("(?s)\\A---") == 1
