@@ -20,6 +20,8 @@ from ..session import durable, settled, ship
 
 #: Places of a chain that are looked through at once; and edges between chains, narrow rows, up to which every task holds them.
 BLOCK, HELD = 4096, 200_000
+#: How names of chains begin that are one commit which no line lists; those of others begin with a number.
+ALONE = "="
 
 
 def _kept(df: DataFrame, *keys: str) -> DataFrame:
@@ -50,7 +52,7 @@ def place(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 @dataclass
 class History:
-    """Places of all commits (origin, sha, chain, pos), and the edges that lead from one chain to another (origin, chain, pos, to_chain, to_pos)."""
+    """Places of all commits (origin, sha, chain, pos, ...), and the edges that lead from one chain to another (origin, chain, pos, to_chain, to_pos)."""
 
     commits: DataFrame
     crossing: DataFrame
@@ -75,19 +77,23 @@ class History:
         """From commits as their source lists them, (origin, line, at, sha, parent), each once and with its first parent; edges (origin, sha, parent) to further parents; and commits that may be in neither.
 
         A commit that follows its first parent in a line is on that one's chain, so places come from one window over the lines instead of jumps over all commits. Where a line
-        does not go on with an heir, another chain begins, with an edge to the parent: lines that say little make more chains, not other results.
+        does not go on with an heir, another chain begins, with an edge to the parent: lines that say little make more chains, not other results. A chain is named by the number of
+        its root in a line, which is shorter than a commit's name. Further columns of the lines stay with the places and are null for commits that no line lists.
         """
+        also = [c for c in lines.columns if c not in ("origin", "line", "at", "sha", "parent")]
         w = Window.partitionBy("origin", "line").orderBy("at")
         rows = lines.withColumn("_heir", F.coalesce(F.col("parent") == F.lag("sha").over(w), F.lit(False))).withColumn("_nth", F.row_number().over(w))
-        upto = w.rowsBetween(Window.unboundedPreceding, 0)
-        root = F.max(F.when(~F.col("_heir"), F.struct("_nth", "sha"))).over(upto)
-        placed = rows.withColumn("_root", root).select("origin", "sha", F.col("_root.sha").alias("chain"), (F.col("_nth") - F.col("_root._nth")).cast("long").alias("pos"))
+        root = F.max(F.when(~F.col("_heir"), F.col("_nth"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+        line = F.coalesce(F.concat(F.lit(":"), F.col("line").cast("string")), F.lit(""))
+        placed = rows.withColumn("_root", root).select("origin", "sha", F.concat(F.col("_root").cast("string"), line).alias("chain"), (F.col("_nth") - F.col("_root")).cast("long").alias("pos"), *also)
         placed = _kept(placed, "origin", "sha")
         leaving = durable(rows.where("NOT _heir AND parent IS NOT NULL").select("origin", "sha", "parent").union(merged.where("parent IS NOT NULL").select("origin", "sha", "parent")).distinct())
         named = [leaving.select("origin", "sha"), leaving.select("origin", F.col("parent").alias("sha"))] + ([] if others is None else [others.select("origin", "sha").where("sha IS NOT NULL")])
         alone = durable(reduce(DataFrame.union, named).distinct().join(placed, ["origin", "sha"], "left_anti"))
         if not alone.isEmpty():
-            placed = _kept(placed.union(alone.select("origin", "sha", F.col("sha").alias("chain"), F.lit(0).cast("long").alias("pos"))), "origin", "sha")
+            bare = [F.lit(None).cast(placed.schema[c].dataType).alias(c) for c in also]
+            alone = alone.select("origin", "sha", F.concat(F.lit(ALONE), F.hex("sha")).alias("chain"), F.lit(0).cast("long").alias("pos"), *bare)
+            placed = _kept(placed.union(alone), "origin", "sha")
         there = placed.select("origin", F.col("sha").alias("parent"), F.col("chain").alias("to_chain"), F.col("pos").alias("to_pos"))
         crossing = leaving.join(placed, ["origin", "sha"]).join(there, ["origin", "parent"]).groupBy("origin", "chain", "pos", "to_chain").agg(F.max("to_pos").alias("to_pos"))
         return cls(placed, _kept(crossing, "origin", "chain"))
@@ -102,7 +108,7 @@ class History:
         front = starts.join(self.commits, ["origin", "sha"]).groupBy(*keys).agg(F.max("pos").alias("upto"))
         if self.crossing.limit(held + 1).count() <= held:
             return durable(self._followed(front, group))
-        return self._joined(durable(front.withColumn("low", F.lit(-1).cast("long"))), group)
+        return self._joined(front, group)
 
     def _followed(self, front: DataFrame, group: list[str]) -> DataFrame:
         """The edges of a chain, sorted by place, are a list in every task. What is still to be covered of a chain is taken highest place first."""
@@ -132,55 +138,62 @@ class History:
                     chains += upto
                     uptos += upto.values()
                 rows = b.select(["origin", *group]).take(pa.array(of, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(chains, pa.string()), pa.array(uptos, pa.int64())], ["origin", *group, "chain", "upto"])
+                named = b.schema.field("starts").type.value_type.field("chain").type
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(chains, named), pa.array(uptos, pa.int64())], ["origin", *group, "chain", "upto"])
 
         starts = front.groupBy("origin", *group).agg(F.collect_list(F.struct("chain", "upto")).alias("starts"))
         return starts.mapInArrow(run, front.schema)
 
     def _joined(self, front: DataFrame, group: list[str]) -> DataFrame:
-        """Groups that a round adds nothing to are done: they are written once more, and not read or written again by later rounds."""
-        whose = ["origin", *group]
-        keys = [*whose, "chain"]
-        seen, done = front.drop("low"), []
+        """Rows stay dealt out by group. A round sends the edges that leave what is new there, and adds what they meet; groups that a round adds nothing to are left where they were written."""
+        whose, n = ["origin", *group], int(front.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         edges = self.crossing.withColumnRenamed("chain", "_chain").withColumnRenamed("origin", "_origin")
-        while True:
-            left = front.join(edges, (F.col("origin") == F.col("_origin")) & (F.col("chain") == F.col("_chain")) & (F.col("pos") > F.col("low")) & (F.col("pos") <= F.col("upto")))
-            met = left.groupBy(*whose, F.col("to_chain").alias("chain")).agg(F.max("to_pos").alias("to_pos"))
-            better = met.join(seen, keys, "left").where("upto IS NULL OR to_pos > upto").select(*keys, F.col("to_pos").alias("upto"), F.coalesce("upto", F.lit(-1).cast("long")).alias("low"))
-            front = durable(better)
-            if front.isEmpty():
-                return reduce(DataFrame.union, [*done, seen])
-            moving = durable(front.select(*whose).distinct())
-            done.append(durable(seen.join(moving, whose, "left_anti").select(*keys, "upto")))
-            seen = durable(seen.join(moving, whose, "left_semi").select(*keys, "upto").union(front.drop("low")).groupBy(*keys).agg(F.max("upto").alias("upto")))
+        # places up to low are followed already
+        moves = F.max(F.col("upto") > F.col("low")).over(Window.partitionBy(*whose))
+        seen = settled(front.repartition(n, *whose).withColumn("low", F.lit(-1).cast("long")).withColumn("moves", moves))
+        done = []
+        while not (moving := seen.where("moves")).isEmpty():
+            done.append(seen.where("NOT moves"))
+            left = moving.where("upto > low").join(edges, (F.col("origin") == F.col("_origin")) & (F.col("chain") == F.col("_chain")) & (F.col("pos") > F.col("low")) & (F.col("pos") <= F.col("upto")))
+            met = left.groupBy(*whose, "chain", "to_chain").agg(F.max("to_pos").alias("upto")).select(*whose, F.col("to_chain").alias("chain"), "upto", F.lit(-1).cast("long").alias("low"))
+            both = moving.select(*whose, "chain", "upto", F.col("upto").alias("low")).union(met.repartition(n, *whose))
+            seen = settled(both.groupBy(*whose, "chain").agg(F.max("upto").alias("upto"), F.max("low").alias("low")).withColumn("moves", moves))
+        return reduce(DataFrame.union, [x.select(*whose, "chain", "upto") for x in (*done, seen)])
 
     def holds(self, reach: DataFrame, asked: DataFrame, group: list[str]) -> DataFrame:
         """``asked`` (origin, group..., sha, ...) with ``held``: does the group's reach take the commit in? Not so for commits that nobody knows."""
         placed = asked.join(self.commits, ["origin", "sha"], "left").join(reach, ["origin", *group, "chain"], "left")
         return placed.withColumn("held", F.coalesce(F.col("pos") <= F.col("upto"), F.lit(False))).select(*asked.columns, "held")
 
+    def _spans(self, reach: DataFrame, known: DataFrame, group: list[str]) -> tuple[DataFrame, list[str]]:
+        """``reach`` with the place ``low`` up to which ``known`` has each chain, and the further columns of ``reach``."""
+        spans = reach.join(known.select("origin", *group, "chain", F.col("upto").alias("low")), ["origin", *group, "chain"], "left")
+        return spans.withColumn("low", F.coalesce("low", F.lit(-1).cast("long"))).where("upto > low"), [c for c in reach.columns if c not in ("origin", *group, "chain", "upto")]
+
     def beyond(self, reach: DataFrame, known: DataFrame, group: list[str]) -> DataFrame:
-        """(origin, group..., sha): what ``reach`` takes in and ``known`` does not, written out place by place."""
-        below = known.withColumnRenamed("upto", "low")
-        spans = reach.join(below, ["origin", *group, "chain"], "left").withColumn("low", F.coalesce("low", F.lit(-1).cast("long"))).where("upto > low")
-        places = spans.select("origin", *group, "chain", F.explode(F.sequence(F.col("low") + 1, F.col("upto"))).alias("pos"))
-        return places.join(self.commits, ["origin", "chain", "pos"]).select("origin", *group, "sha")
+        """(origin, group..., sha, ...): what ``reach`` takes in and ``known`` does not, written out place by place, with further columns of ``reach`` and of the places, of which commits that no line lists have none."""
+        spans, further = self._spans(reach, known, group)
+        places = spans.select("origin", *group, "chain", *further, F.explode(F.sequence(F.col("low") + 1, F.col("upto"))).alias("pos"))
+        return places.join(self.commits, ["origin", "chain", "pos"]).drop("chain", "pos")
 
     def among(self, reach: DataFrame, known: DataFrame, group: list[str], commits: DataFrame) -> DataFrame:
-        """The rows of ``commits`` (origin, sha, ...) that ``reach`` takes in and ``known`` does not, by group: for few commits and long histories."""
-        spans = reach.join(known.withColumnRenamed("upto", "low"), ["origin", *group, "chain"], "left").withColumn("low", F.coalesce("low", F.lit(-1).cast("long")))
-        met = commits.join(self.commits, ["origin", "sha"]).join(spans, ["origin", "chain"]).where("pos > low AND pos <= upto")
-        return met.select(*group, *commits.columns)
+        """The rows of ``commits`` (origin, sha, ...) that ``reach`` takes in and ``known`` does not, by group and with further columns of ``reach``: for few commits and long histories. They may have their places with them."""
+        spans, further = self._spans(reach, known, group)
+        placed = commits if "chain" in commits.columns else commits.join(self.commits.select("origin", "sha", "chain", "pos"), ["origin", "sha"])
+        met = placed.join(spans, ["origin", "chain"]).where("pos > low AND pos <= upto")
+        return met.select(*group, *further, *commits.columns)
 
     def summary(self, reach: DataFrame, group: list[str]) -> DataFrame:
         """(origin, group..., commits, first_sha): how many commits a group reaches, and the least of them, from blocks of places and never commit by commit."""
         # commits and the places that are asked for in one window: the least up to each place of a block, and at a whole block's end that of the block
-        asked = reach.select("origin", "chain", F.col("upto").alias("pos"), F.lit(None).cast("string").alias("sha"), F.lit(1).alias("_asked"), *group)
+        sha = self.commits.schema["sha"].dataType
+        asked = reach.select("origin", "chain", F.col("upto").alias("pos"), F.lit(None).cast(sha).alias("sha"), F.lit(1).alias("_asked"), *group)
         rows = self.commits.select("origin", "chain", "pos", "sha", F.lit(0).alias("_asked"), *(F.lit(None).cast(reach.schema[g].dataType).alias(g) for g in group)).union(asked)
         rows = rows.withColumn("block", F.expr(f"pos DIV {BLOCK}"))
         upto = F.min("sha").over(Window.partitionBy("origin", "chain", "block").orderBy("pos", "_asked").rowsBetween(Window.unboundedPreceding, 0))
-        rows = rows.withColumn("least", upto)
-        blocks = rows.where(f"_asked = 0 AND pos % {BLOCK} = {BLOCK - 1}").select("origin", "chain", "block", "least")
+        # the window is over all commits, so it is taken once for both that read it
+        rows = durable(rows.withColumn("least", upto).where(f"_asked = 1 OR pos % {BLOCK} = {BLOCK - 1}").drop("sha"))
+        blocks = rows.where("_asked = 0").select("origin", "chain", "block", "least")
         ends = reach.withColumn("_end", F.expr(f"upto DIV {BLOCK}"))
         whole = ends.where("_end > 0").join(blocks, ["origin", "chain"]).where("block < _end").select("origin", *group, F.lit(0).cast("long").alias("n"), "least")
         tops = rows.where("_asked = 1").select("origin", *group, (F.col("pos") + 1).alias("n"), "least")

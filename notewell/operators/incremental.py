@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .history import History
+from .history import ALONE, History
 
 
 def snapshot_diff(before: DataFrame, after: DataFrame, key: str, signature: str) -> DataFrame:
@@ -53,30 +53,37 @@ def effective_since(branches: DataFrame, marks: DataFrame, examined: DataFrame,
         F.when(~by_mark, F.coalesce("last_examined", start)).alias("since"), F.when(by_mark, "mark").when(dated, "examined").otherwise(first).alias("source"))
 
 
-def new_commits(history: History, reach: DataFrame, seen: DataFrame, commits: DataFrame, since: DataFrame, trunk: DataFrame | None = None) -> DataFrame:
+def new_commits(history: History, reach: DataFrame, seen: DataFrame, commits: DataFrame | None, since: DataFrame, trunk: DataFrame | None = None) -> DataFrame:
     """(origin, branch, sha, day, source): what each branch reaches and has not been seen.
 
     After a mark: what the mark does not reach (``seen``, like ``reach``: origin, branch, chain, upto); only the new commits are written out. By date: what is of that day
-    or later, and not in ``trunk`` where one is given. Identifiers are compared for equality only, as their order says nothing. ``commits`` is (origin, sha, day).
+    or later, and not in ``trunk`` where one is given. Identifiers are compared for equality only, as their order says nothing. ``commits`` is (origin, sha, day),
+    or None where the places of the history have the day with them; commits that are not there, or that no line lists, are not new.
     """
     keys = ["origin", "branch"]
     marked, dated = (since.where(f"kind = '{kind}'").select(*keys, "since", "source") for kind in ("commit", "date"))
     of = lambda rows, which: rows.join(which.select(*keys), keys, "left_semi")
-    days = commits.select("origin", "sha", "day")
-    by_mark = history.beyond(of(reach, marked), of(seen, marked), ["branch"]).join(days, ["origin", "sha"]).join(marked, keys)
+    # where the places have days, rows are not dealt out again to be given them
+    marked_reach, dated_reach = (reach.join(x, keys) for x in (marked.drop("since"), dated))
+    if commits is None:
+        days, listed = history.commits, History(history.commits.where(~F.startswith("chain", F.lit(ALONE))), history.crossing)
+        by_mark = listed.beyond(marked_reach, of(seen, marked), ["branch"])
+    else:
+        days = commits.select("origin", "sha", "day")
+        by_mark = history.beyond(marked_reach, of(seen, marked), ["branch"]).select("origin", "branch", "sha", "source").join(days, ["origin", "sha"])
     # the earliest window is one value
     earliest = dated.agg(F.min("since")).first()[0]
     recent = days.where(F.col("day") >= F.lit(earliest)) if earliest is not None else days.limit(0)
-    by_date = history.among(of(reach, dated), reach.limit(0) if trunk is None else of(trunk, dated), ["branch"], recent).join(dated, keys).where("day >= since")
+    by_date = history.among(dated_reach, reach.limit(0) if trunk is None else of(trunk, dated), ["branch"], recent).where("day >= since")
     rows = [x.select("origin", "branch", "sha", "day", "source") for x in (by_mark, by_date)]
     return rows[0].union(rows[1])
 
 
 def reach_and_seen(history: History, tips: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(origin, branch, chain, upto) of what the branches' tips (origin, branch, tip) and what their marks (origin, branch, hwm) reach, in one walk."""
-    starts = tips.select("origin", "branch", F.lit("tip").alias("of"), F.col("tip").alias("sha")).union(marks.select("origin", "branch", F.lit("mark"), "hwm"))
-    found = history.reach(starts, ["branch", "of"])
-    return found.where("of = 'tip'").drop("of"), found.where("of = 'mark'").drop("of")
+    starts = tips.select("origin", "branch", F.lit(True).alias("of_tip"), F.col("tip").alias("sha")).union(marks.select("origin", "branch", F.lit(False), "hwm"))
+    found = history.reach(starts, ["branch", "of_tip"])
+    return found.where("of_tip").drop("of_tip"), found.where("NOT of_tip").drop("of_tip")
 
 
 def skippable(tips: DataFrame, marks: DataFrame, examined: DataFrame) -> DataFrame:

@@ -84,8 +84,8 @@ def nothing_new(counts: Column, kind: Column) -> Column:
     return F.coalesce(none & ((kind == "finalize") | (counts["confirms"] > 0)), F.lit(False))
 
 
-def landed(history: History, reach: DataFrame, seen: DataFrame, bases: DataFrame, since: DataFrame, commits: DataFrame) -> DataFrame:
-    """(origin, branch, sha, day) of merged branches that are still to be captured; ``reach`` and ``seen`` as for ``new_commits``.
+def landed(history: History, reach: DataFrame, seen: DataFrame, bases: DataFrame, since: DataFrame, commits: DataFrame | None) -> DataFrame:
+    """(origin, branch, sha, day) of merged branches that are still to be captured; ``reach``, ``seen`` and ``commits`` as for ``new_commits``.
 
     After the branch's mark where it has one. Else what its tip reaches and the merge's first parent (``bases``: origin, branch, sha, where
     there was a merge commit) does not, from the window's day on.

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from notewell.operators import history as H
+from notewell.operators import incremental as I
 
 
 def random_graph(seed, n, width):
@@ -101,3 +102,29 @@ def test_lines_give_the_same_history(spark, held):
     assert {(r.g, r.commits, r.first_sha) for r in history.summary(reach, ["g"]).collect()} == {(k, len(v), min(v)) for k, v in want.items()}
     plan = asked.join(history.commits.hint("merge"), ["origin", "sha"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("held", [0, 200_000])
+def test_places_carry_days(spark, monkeypatch, held):
+    """What is new is the same where places have the days with them, names of commits may be bytes, and only the places of new commits are dealt out for it: no commits by name again."""
+    monkeypatch.setattr(H.History.reach, "__defaults__", (held,))
+    sha = lambda x: x.encode() * 20
+    days = {"a": 1, "b": None, "c": 9, "d": 3, "m": 8, "n": 20}
+    named = [("o", 1, i, sha(x), sha("abc"[i - 1]) if i else None, days[x]) for i, x in enumerate("abcd")] + [("o", 2, 0, sha("m"), None, days["m"]), ("o", 2, 1, sha("n"), sha("m"), days["n"])]
+    lines = spark.createDataFrame(named, "origin string, line int, at int, sha binary, parent binary, day int")
+    merged = spark.createDataFrame([("o", sha("n"), sha("c")), ("o", sha("d"), sha("z"))], "origin string, sha binary, parent binary")
+    history = H.History.of_lines(lines, merged)
+    # a commit that no line lists has a place and no day; the names of chains are short
+    places = {bytes(r.sha)[:1].decode(): (r.chain, r.pos, r.day) for r in history.commits.collect()}
+    assert {k: v[1:] for k, v in places.items()} == {"a": (0, 1), "b": (1, None), "c": (2, 9), "d": (3, 3), "m": (0, 8), "n": (1, 20), "z": (0, None)}
+    assert [places[x][0] for x in "adn"] == ["1:1", "1:1", "1:2"] and places["z"][0].startswith(H.ALONE)
+    tips = spark.createDataFrame([("o", "x", sha("d")), ("o", "y", sha("n"))], "origin string, branch string, tip binary")
+    marks = spark.createDataFrame([("o", "x", sha("a"))], "origin string, branch string, hwm binary")
+    since = spark.createDataFrame([("o", "x", "commit", sha("a"), None, "mark"), ("o", "y", "date", None, 8, "examined")], "origin string, branch string, kind string, sha binary, since int, source string")
+    reach, seen = I.reach_and_seen(history, tips, marks)
+    got, asked = I.new_commits(history, reach, seen, None, since), I.new_commits(history, reach, seen, lines.select("origin", "sha", "day"), since)
+    found = sorted((r.branch, bytes(r.sha)[:1].decode(), r.day, r.source) for r in got.collect())
+    assert found == [("x", "b", None, "mark"), ("x", "c", 9, "mark"), ("x", "d", 3, "mark"), ("y", "c", 9, "examined"), ("y", "m", 8, "examined"), ("y", "n", 20, "examined")]
+    assert sorted((r.branch, bytes(r.sha)[:1].decode(), r.day, r.source) for r in asked.collect()) == found
+    assert "(sha#" not in got._jdf.queryExecution().optimizedPlan().toString() and "(sha#" in asked._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.branch: (bytes(r.first_sha), r.commits) for r in history.summary(reach, ["branch"]).collect()} == {"x": (sha("a"), 5), "y": (sha("a"), 5)}
