@@ -123,14 +123,21 @@ def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select("user_id", "s.*")
 
 
+#: Rows of a file of a batch, at least.
+FILE_ROWS = 1 << 16
+
+
 def in_batches(spark: SparkSession, events: DataFrame, path: str, n: int = 4) -> DataFrame:
-    """Events written as ``n`` files in order of time, and read as a stream of one file a batch."""
-    cuts = events.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [k / n for k in range(1, n)], 10_000)).first()[0]
+    """Events written as ``n`` parts in order of time, and read as a stream of one part a batch. A part is as many files as the smallest part can fill, so that many tasks write and read it."""
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    for k in range(n):
-        part = events.where((us > cuts[k - 1]) if k == n - 1 else (us <= cuts[k]) if k == 0 else (us > cuts[k - 1]) & (us <= cuts[k]))
-        part.coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    cuts = events.agg(F.percentile_approx(us, [k / n for k in range(1, n)], 10_000)).first()[0]
+    parts = [(us > cuts[k - 1]) if k == n - 1 else (us <= cuts[k]) if k == 0 else (us > cuts[k - 1]) & (us <= cuts[k]) for k in range(n)]
+    # rows are dealt out in turn, so each file gets some: a batch is a fixed number of files, and an empty one is not written
+    files = max(1, min(events.agg(*(F.count_if(p) for p in parts)).first()) // FILE_ROWS)
+    for part in parts:
+        rows = events.where(part)
+        (rows.repartition(files) if files > 1 else rows.coalesce(1)).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(path)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 

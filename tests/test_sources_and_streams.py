@@ -213,3 +213,49 @@ def test_state_is_one_read_and_one_write_a_batch():
     now = SimpleNamespace(getCurrentWatermarkInMs=lambda: 10_000)
     list(repeats.handleExpiredTimer(("s",), now, None))
     assert store.asked == 5
+
+
+def test_a_block_of_sessions_is_one_state():
+    """Before, each session was a key of its own, which costs some milliseconds a batch whatever it holds."""
+    import pandas as pd
+
+    shown, store = state.Shown(), Store()
+    shown.init(store)
+    names = ["=a", "", "=b"] * 20
+    seen = pd.DataFrame({"session": names, "us": range(60), "ord": range(60), "tier": ["t"] * 30 + [None] * 30, "tokens": range(60), "sections": [{"header": 1}] * 60, "cited": [["k"], [], ["é"]] * 20})
+    for nth in (1, 2):
+        last = list(shown.handleInputRows((7,), iter([seen, seen]), None))
+        assert store.asked == 2 * nth and len(last) == 1 and list(last[0]["session"]) == ["=a", "", "=b"]
+    assert list(last[0]["prompts"]) == [80] * 3 and list(last[0]["recent"]) == ["54,57,57,57,57", "55,58,58,58,58", "56,59,59,59,59"] and list(last[0]["cited"]) == ["k", "", "é"] and last[0]["by_tier"][0] == '{"null":40,"t":40}'
+    assert list(shown.handleInputRows((7,), iter([]), None)) == []
+    one = list(shown.handleInputRows((7,), iter([seen.iloc[:1]]), None))[-1]
+    assert list(one["session"]) == ["=a"] and list(one["prompts"]) == [81]
+
+
+def test_parts_of_a_stream_are_many_files(spark, tmp_path, monkeypatch):
+    """Before, a part was one file of one group of rows, so a single task read it."""
+    from notewell.plans import telemetry as P
+
+    monkeypatch.setattr(P, "FILE_ROWS", 50)
+    events = spark.range(0, 1000, 1, 3).select(F.col("id").alias("event_id"), F.timestamp_micros(F.col("id") * 1_000_000).alias("ts"), (F.col("id") % 7).alias("user_id"))
+    stream = P.in_batches(spark, events, str(tmp_path / "in"))
+    seen = []
+    stream.writeStream.foreachBatch(lambda b, i: seen.append(b.withColumn("f", F.input_file_name()).agg(F.count("*"), F.min("event_id"), F.max("event_id"), F.count_distinct("f")).first())).option(
+        "checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert len(seen) == 4 and sum(x[0] for x in seen) == 1000 and all(a[2] < b[1] for a, b in zip(seen, seen[1:])) and {x[3] for x in seen} == {5}
+
+
+def test_sessions_come_back_as_they_were(spark, tmp_path):
+    """Null sessions and tiers, and more sessions than blocks, in one batch and in several."""
+    rows = [(i % 5 or None, i, i, None if i % 3 else "hi", "<vault-context>\n## Top matches\n[[N%d.md]]" % (i % 2)) for i in range(60)]
+    for n in (1, 3):
+        path = str(tmp_path / f"in{n}")
+        # 40 bytes each, which are 10 tokens
+        for k in range(n):
+            spark.createDataFrame(rows[60 // n * k: 60 // n * (k + 1)], "session int, s int, ord int, tier string, output string").coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema("session int, s int, ord int, tier string, output string").option("maxFilesPerTrigger", 1).parquet(path).withColumn("ts", F.timestamp_seconds("s"))
+        with state.rocks(spark):
+            got = C.run_available(state.session_state(stream, 2), str(tmp_path / f"out{n}"), "update")
+            last = {r.session: r for r in got.orderBy("prompts").collect()}
+        assert set(last) == {None, 1, 2, 3, 4} and all((r.prompts, r.total) == (12, 120) for r in last.values())
+        assert last[1].cited == "n0,n1" and last[None].last_us == 55_000_000 and last[4].last_tier is None
