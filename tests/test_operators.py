@@ -6,6 +6,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
@@ -105,6 +106,50 @@ def test_set_twins_by_blocks(spark, monkeypatch, block, named, counts):
     assert len(got) == len(want) > 100 and dict(got) == want
 
 
+def test_terms_are_made_once(spark):
+    """Before, texts were read and cut once to count terms and once more for the sets."""
+    made = spark.sparkContext.accumulator(0)
+
+    def cut(text):
+        made.add(1)
+        return text.split()
+
+    docs = spark.createDataFrame([(i, "f", f"a b c{i % 3} d e") for i in range(30)], "id int, folder string, text string").withColumn("terms", F.udf(cut, "array<string>")("text"))
+    assert W.set_twins(docs).count() == 3 and made.value == 30
+
+
+@pytest.mark.parametrize("shared, counts", [((1, 64), 1 << 20), ((3, 64), 300), ((9, 2), 5000)])
+def test_set_twins_of_sparse_pairs(spark, monkeypatch, shared, counts):
+    """Few of the pairs share a term of their prefixes, so tallies are far fewer than pairs; prefixes are those of the sizes that meet."""
+    monkeypatch.setattr(W, "SHARED", shared)
+    monkeypatch.setattr(W, "COUNTS", counts)
+    rng = random.Random(3)
+    base = [[f"t{int(rng.paretovariate(0.5))}" for _ in range(rng.choice((3, 20, 30, 60)))] for _ in range(250)]
+    data = [(i, rng.choice(("x", "y", None)), sorted({t for t in base[i % 250] if rng.random() > 0.12})) for i in range(500)]
+    first = {}
+    for i, f, t in data:
+        if t:
+            first.setdefault((f, frozenset(t)), i)
+    want = {}
+    for ((fa, ta), a), ((fb, tb), b) in itertools.combinations(first.items(), 2):
+        score = len(ta & tb) / math.sqrt(len(ta) * len(tb))
+        if score >= (0.72 if fa == fb else 0.80):
+            want[min(a, b), max(a, b)] = (fa == fb, round(score, 9))
+    for block in (None, 900):
+        got = W.set_twins(spark.createDataFrame(data, "id int, folder string, terms array<string>"), block=block).collect()
+        assert len(got) == len(want) > 100 and {(r.a, r.b): (r.same, round(r.score, 9)) for r in got} == want
+
+
+def test_packed_sets():
+    rng = random.Random(2)
+    sets = [sorted({rng.choice((-1, 1)) * rng.randrange(1 << rng.choice((3, 10, 18))) for _ in range(rng.randrange(1, 40))}) for _ in range(3000)] + [[0], [-1 << 63, -1], [(1 << 18) - 1]]
+    flat, n = np.array([c for s in sets for c in s], np.int64), np.array([len(s) for s in sets])
+    rare, packed = W._packed(flat, n)
+    assert rare.tolist() == [sum(c < 0 for c in s) for s in sets]
+    assert (W._unpacked(packed, n, rare) == flat).all() and (W._unpacked(pa.chunked_array([packed[5:900], packed[900:]]), n[5:], rare[5:]) == flat[n[:5].sum():]).all()
+    assert len(W._unpacked(*(x[:0] for x in (packed, n, rare)))) == 0
+
+
 def test_vector_twins_thresholds(spark):
     unit = lambda a: [math.cos(a), math.sin(a)]
     data = [(1, "x", unit(0)), (2, "x", unit(math.acos(0.73))), (3, "y", unit(-math.acos(0.79))), (4, "y", unit(-math.acos(0.81)))]
