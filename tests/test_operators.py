@@ -150,6 +150,22 @@ def test_packed_sets():
     assert len(W._unpacked(*(x[:0] for x in (packed, n, rare)))) == 0
 
 
+@pytest.mark.parametrize("cap", [3, 35, 60, 900])
+def test_a_report_joins_no_lower_scores_than_it_shows(spark, monkeypatch, cap):
+    """Before, all twins were joined for the first few."""
+    terms = [f"t{i}" for i in range(60)]
+    data = [(i, "x", terms[: 60 - i]) for i in range(9)] + [(20 + i, "y", terms[i * 3: 59]) for i in range(7)] + [(40, None, terms), (41, None, terms[:45])]
+    docs = spark.createDataFrame(data, "id int, folder string, terms array<string>")
+    every = W.rank_twins(W.set_twins(docs).withColumn("score", F.round("score", 6)), cap).collect()
+    asked, near = [], W._near
+    monkeypatch.setattr(W, "STEPS", (0.97, 0.9))
+    monkeypatch.setattr(W, "_near", lambda sets, across, inside, *a: asked.append(inside) or near(sets, across, inside, *a))
+    top = W.rank_set_twins(docs, cap)
+    assert sorted(map(tuple, top.select(every[0].__fields__).collect())) == sorted(map(tuple, every)) and len(every) <= cap
+    found = [sum(r.same and r.score > t for r in every) >= cap for t in (0.97, 0.9)]
+    assert asked == ([0.97] if found[0] else [0.97, 0.9] if found[1] else [0.97, 0.9, 0.72])
+
+
 def test_vector_twins_thresholds(spark):
     unit = lambda a: [math.cos(a), math.sin(a)]
     data = [(1, "x", unit(0)), (2, "x", unit(math.acos(0.73))), (3, "y", unit(-math.acos(0.79))), (4, "y", unit(-math.acos(0.81)))]
